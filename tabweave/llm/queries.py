@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import quality_rules
+from tabweave.llm import bpe, quality_rules, token_files
 from tabweave.llm.common import table
 
 
@@ -14,7 +14,23 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op5_quality_rules": op5_quality_rules}
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.scratch_folder(spark, "token_files")
+    token_files.write(table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"), end=2)
+    return token_files.read(spark, folder)
+
+
+QUERIES = {"op5_quality_rules": op5_quality_rules, "op7_bpe": op7_bpe, "op10_token_files": op10_token_files}
 
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for words in quality_rules.STOP_WORDS.values() for w in words}))
 
