@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import bpe, quality_rules, token_files
-from tabweave.llm.common import table
+from tabweave.llm import bpe, quality_classifier, quality_rules, token_files, url_filter
+from tabweave.llm.common import crc_mod, table
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,13 +24,24 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_classifier.fit(docs, labels.filter(crc_mod("doc_id", 3) != 1))
+    scored = quality_classifier.score(docs, model)
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.scratch_folder(spark, "token_files")
     token_files.write(table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"), end=2)
     return token_files.read(spark, folder)
 
 
-QUERIES = {"op5_quality_rules": op5_quality_rules, "op7_bpe": op7_bpe, "op10_token_files": op10_token_files}
+QUERIES = {"op5_quality_rules": op5_quality_rules, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_quality_classifier": op9_quality_classifier, "op10_token_files": op10_token_files}
 
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for words in quality_rules.STOP_WORDS.values() for w in words}))
 
