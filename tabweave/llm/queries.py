@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import bpe, quality_classifier, quality_rules, token_files, url_filter
+from tabweave.llm import bpe, language_id, mixing, quality_classifier, quality_rules, token_files, url_filter
 from tabweave.llm.common import crc_mod, table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document (host: its source) and every page (with its markup and address), judged in one way."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model, null = language_id.fit(docs), F.lit(None).cast("long")
+    of_docs = language_id.identify(docs, model, F.col("text"), host=F.col("source"), carry=["doc_id"])
+    html, url = F.col("html"), F.col("url")
+    of_pages = language_id.identify(pages, model, language_id.page_text(html), language_id.url_host(url), language_id.url_suffix(url), language_id.page_declared(html), carry=["page_id"])
+    return of_docs.withColumn("page_id", null).unionByName(of_pages.withColumn("doc_id", null))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -41,22 +56,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
-QUERIES = {"op5_quality_rules": op5_quality_rules, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_quality_classifier": op9_quality_classifier, "op10_token_files": op10_token_files}
+QUERIES = {"op2_language_id": op2_language_id, "op3_mixing": op3_mixing, "op5_quality_rules": op5_quality_rules, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_quality_classifier": op9_quality_classifier, "op10_token_files": op10_token_files}
 
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for words in quality_rules.STOP_WORDS.values() for w in words}))
 
 ORACLES = {
+    "op3_mixing": f"WITH {mixing.sql('documents')} SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(probability, 6) AS probability, kept FROM mixed",
     "op5_quality_rules": f"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
-                     list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM t),
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM t),
         i AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS p, ws FROM w WHERE len(ws) >= 3),
         g AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, ws[p], ws[p + 1], ws[p + 2]) AS n FROM i),
         r AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM g WHERE n > 1) GROUP BY doc_id),
         m AS (SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
                      length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(ls) AS n_lines,
                      len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-                     len(list_filter(ws, x -> lower(x) IN ({_STOP}))) AS n_stop, length(regexp_replace(t, '[^!]+', '', 'g')) AS n_bangs
+                     len(list_filter(ws, lambda x: lower(x) IN ({_STOP}))) AS n_stop, length(regexp_replace(t, '[^!]+', '', 'g')) AS n_bangs
               FROM w LEFT JOIN r USING (doc_id)),
         b AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
