@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import bpe, language_id, mixing, quality_classifier, quality_rules, token_files, url_filter
+from tabweave.llm import bpe, jaccard_join, language_id, mixing, quality_classifier, quality_rules, token_files, url_filter
 from tabweave.llm.common import crc_mod, table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document (host: its source) and every page (with its markup and address), judged in one way."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
@@ -56,7 +60,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op3_mixing": op3_mixing, "op5_quality_rules": op5_quality_rules, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_quality_classifier": op9_quality_classifier, "op10_token_files": op10_token_files}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_language_id": op2_language_id, "op3_mixing": op3_mixing, "op5_quality_rules": op5_quality_rules, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_quality_classifier": op9_quality_classifier, "op10_token_files": op10_token_files}
 
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for words in quality_rules.STOP_WORDS.values() for w in words}))
 
