@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,6 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabweave.llm.bpe import Memo, byte_letters
 from tabweave.llm.common import bounded_batches, partitions, small_or_not
 
 ENTRY = np.dtype([("doc_id", "<i8"), ("n_tokens", "<u4"), ("length", "<u4"), ("place", "<u8")])
@@ -34,45 +34,48 @@ MEMO = 300_000
 SHARDS = "part int, shard int, first_id long, last_id long, n_docs long, n_tokens long, dictionary string, entries binary, payload binary"
 
 
+#: Fixed value: the byte-level pattern of the tokenizers library, with its white space spelled out.
+_WHITE = r"\t-\r\x85\p{Z}"
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
+
+
 class Encoder:
-    """The tokenizers library behind a memo of blank-separated units.
+    """The tokenizers library's BPE model behind memos of units and of pattern matches.
 
-    The byte-level pattern never joins a word with white space after it, so a
-    text may be cut before every blank, unless a blank stands between two other
-    white space characters or ends a run at the text's end; such texts, and those
-    with a special token's string, go to the library whole.
+    No match of the byte-level pattern joins a word with white space after it. If
+    white space characters stand alone in a text, it may thus be cut before every
+    blank and line break into units; other texts are cut by the pattern as a whole,
+    and those with a special token's string go to the library.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.width = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile(r"\s (?:\s|\Z)|\A (?=\s)")
-        self.memo: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if self.whole.search(t) or any(s in t for s in self.special)]
-        units = []
-        for t in texts:
-            first, *rest = t.split(" ")
-            units.append([first, *[" " + x for x in rest]])
-        for i in whole:
-            units[i] = []
-        new = list(set().union(*units).difference(self.memo))
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(set().union(*units))
-        self.memo.update(zip(new, self._library(new), strict=True))
-        out = [b"".join(map(self.memo.__getitem__, u)) for u in units]
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+        self.runs = regex.compile(rf"[{_WHITE}\x1c-\x1f]{{2}}").search
+        self.matches = regex.compile(PATTERN).findall
+        self.letters, self.model = byte_letters(), self.library.model
+        self.match = Memo(self._match, MEMO)
+        self.unit = Memo(lambda piece: self._by_pattern(piece if piece[:1] == "\n" else " " + piece), MEMO)
+
+    def _match(self, match: str) -> bytes:
+        letters = match.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(letters)], self.width).tobytes()
+
+    def _by_pattern(self, text: str) -> bytes:
+        return b"".join(map(self.match.__getitem__, self.matches(text)))
+
+    def encode(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width).tobytes()
+        if self.runs(text):
+            return self._by_pattern(text)
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return self._by_pattern(first) + b"".join(map(self.unit.__getitem__, rest))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -101,7 +104,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end: int) -> bytes:
 
         e = encoder(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_with_end(x, e.width, end)[: SAMPLE_BYTES // SAMPLE_DOCS] for x in e.encode([t or "" for t in b.column(1).to_pylist()])], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([_with_end(x, e.width, end)[: SAMPLE_BYTES // SAMPLE_DOCS] for x in (e.encode(t or "") for t in b.column(1).to_pylist())], pa.binary())], names=["ids"])
 
     samples = [bytes(r.ids) for r in sample.mapInArrow(run, "ids binary").collect()]
     try:
@@ -139,7 +142,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, end: int = 2, key: str = "
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=[c.split()[0] for c in SHARDS.split(", ")])
 
         for b in batches:
-            for i, ids in zip(b.column(0).to_pylist(), e.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+            for i, ids in zip(b.column(0).to_pylist(), (e.encode(t or "") for t in b.column(1).to_pylist()), strict=True):
                 ids = _with_end(ids, e.width, end)
                 frames.append(frame := pack.compress(ids))
                 rows.append((i, len(ids) // int(e.width[2]), len(frame), place))
