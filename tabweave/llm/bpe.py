@@ -42,16 +42,21 @@ def byte_letters() -> dict[int, str]:
 
 
 class Memo(dict):
-    """A dict that computes what it misses and is emptied when full."""
+    """A dict that computes what it misses. When full it becomes the old generation, from which
+    entries still in use are taken over."""
 
     def __init__(self, make, most: int = MEMO):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        self[key] = value = self.make(key)
+        self[key] = value
         return value
 
 

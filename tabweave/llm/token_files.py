@@ -17,6 +17,7 @@ import hashlib
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("n_tokens", "<u4"), ("length", "<u4"), ("p
 SHARD_BYTES, SHARD_DOCS = 4 << 20, 8192
 #: The dictionary is trained on at most so many documents (chosen by a hash of their id) and so many bytes.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 16 << 20, 64 << 10
-MEMO = 300_000
+UNITS, MATCHES = 200_000, 600_000
 SHARDS = "part int, shard int, first_id long, last_id long, n_docs long, n_tokens long, dictionary string, entries binary, payload binary"
 
 
@@ -55,16 +56,17 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.width = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.width == "<u2" else "I"  # machine order, little-endian on every platform that Spark's Python runs on
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.runs = regex.compile(rf"[{_WHITE}\x1c-\x1f]{{2}}").search
         self.matches = regex.compile(PATTERN).findall
         self.letters, self.model = byte_letters(), self.library.model
-        self.match = Memo(self._match, MEMO)
-        self.unit = Memo(lambda piece: self._by_pattern(piece if piece[:1] == "\n" else " " + piece), MEMO)
+        self.match = Memo(self._match, MATCHES)
+        self.unit = Memo(lambda piece: self._by_pattern(piece if piece[:1] == "\n" else " " + piece), UNITS)
 
     def _match(self, match: str) -> bytes:
         letters = match.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(letters)], self.width).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _by_pattern(self, text: str) -> bytes:
         return b"".join(map(self.match.__getitem__, self.matches(text)))
