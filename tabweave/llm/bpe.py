@@ -60,6 +60,15 @@ class Memo(dict):
         return value
 
 
+def matches(pattern, text: str) -> list[str]:
+    """All matches of a pattern of the regex module, with characters that Python's own tables do not
+    assign taken as neither letters nor digits: the module's tables are newer than the tokenizers library's."""
+    if text.isascii():
+        return pattern.findall(text)
+    known = "".join("\ufffd" if unicodedata.category(c) == "Cn" else c for c in text)
+    return pattern.findall(text) if known == text else [text[slice(*m.span())] for m in pattern.finditer(known)]
+
+
 class Codec:
     """Encoder and decoder for a word-level BPE file with a word-end suffix and no decoder part."""
 
@@ -75,7 +84,7 @@ class Codec:
         self.names = {i: t for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names |= {i: t for t, i in self.special.items()}
-        self.split = regex.compile(parts[0]["pattern"]["Regex"].replace(r"\s", _WHITE)).findall
+        self.split = regex.compile(parts[0]["pattern"]["Regex"].replace(r"\s", _WHITE))
         self.white = regex.compile(f"[{_WHITE}]+")
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letters = byte_letters()
@@ -119,7 +128,7 @@ class Codec:
         """Ids (little-endian 32 bits) of a string without white space or special tokens."""
         word = self.white.sub(" ", unicodedata.normalize("NFC", word)).replace("Σ", "σ").lower()
         out = []
-        for piece in self.split(word):
+        for piece in matches(self.split, word):
             symbols = "".join(self.letters[b] for b in piece.encode())
             if self.suffix:
                 symbols = symbols[:-1] + chr(_END + ord(symbols[-1]))

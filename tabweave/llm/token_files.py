@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabweave.llm.bpe import Memo, byte_letters
+from tabweave.llm.bpe import Memo, byte_letters, matches
 from tabweave.llm.common import bounded_batches, partitions, small_or_not
 
 ENTRY = np.dtype([("doc_id", "<i8"), ("n_tokens", "<u4"), ("length", "<u4"), ("place", "<u8")])
@@ -59,7 +59,7 @@ class Encoder:
         self.code = "H" if self.width == "<u2" else "I"  # machine order, little-endian on every platform that Spark's Python runs on
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.runs = regex.compile(rf"[{_WHITE}\x1c-\x1f]{{2}}").search
-        self.matches = regex.compile(PATTERN).findall
+        self.pattern = regex.compile(PATTERN)
         self.letters, self.model = byte_letters(), self.library.model
         self.match = Memo(self._match, MATCHES)
         self.unit = Memo(lambda piece: self._by_pattern(piece if piece[:1] == "\n" else " " + piece), UNITS)
@@ -69,7 +69,7 @@ class Encoder:
         return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _by_pattern(self, text: str) -> bytes:
-        return b"".join(map(self.match.__getitem__, self.matches(text)))
+        return b"".join(map(self.match.__getitem__, matches(self.pattern, text)))
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
