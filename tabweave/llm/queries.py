@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import bpe, jaccard_join, language_id, mixing, quality_classifier, quality_rules, token_files, url_filter
+from tabweave.llm import bpe, jaccard_join, language_id, mixing, nearest, quality_classifier, quality_rules, token_files, url_filter
 from tabweave.llm.common import crc_mod, table
 
 
@@ -28,6 +28,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -60,7 +64,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_language_id": op2_language_id, "op3_mixing": op3_mixing, "op5_quality_rules": op5_quality_rules, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_quality_classifier": op9_quality_classifier, "op10_token_files": op10_token_files}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_language_id": op2_language_id, "op3_mixing": op3_mixing, "op4_nearest": op4_nearest, "op5_quality_rules": op5_quality_rules, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_quality_classifier": op9_quality_classifier, "op10_token_files": op10_token_files}
 
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for words in quality_rules.STOP_WORDS.values() for w in words}))
 
