@@ -1,22 +1,72 @@
-"""Connected components of a graph held as rows, by label propagation with pointer jumping."""
+"""Connected components of a graph held as rows."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.llm.common import durable
 
+#: Edges that one task contracts at a time; a graph of at most so many is done then.
+TASK_EDGES = 1_000_000
+
+
+def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of these edges and the smallest node of each one's component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)  # hook the roots, not only the ends
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, label):
+            return nodes, nodes[label]
+        label = new
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges with the same components: each task replaces its edges, a bounded number at a time, by stars."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kept: list[np.ndarray] = []
+
+        def stars():
+            nodes, low = contract(*np.concatenate(kept, 1))
+            kept.clear()
+            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(low)], names=["a", "b"])
+
+        for batch in batches:
+            kept.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+            if sum(x.shape[1] for x in kept) >= TASK_EDGES:
+                yield stars()
+        if kept:
+            yield stars()
+
+    return edges.mapInArrow(run, "a long, b long")
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node reached) for every node of an edge.
 
-    Each round takes the smallest label among the neighbours and then the label's
-    own label; labels are joined with edges, never gathered. Self loops are
-    allowed, nulls are not edges. Rounds end when no label changes.
+    Tasks first contract the edges they hold. What is left, if more than
+    ``TASK_EDGES``, is settled by rounds of label propagation with pointer jumping:
+    labels are joined with edges, never gathered. Self loops are allowed, nulls
+    are not edges.
     """
-    pairs = edges.select(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("other")).dropna()
-    both = durable(pairs.union(pairs.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
+    pairs = durable(_contracted(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).dropna()))
+    if pairs.limit(TASK_EDGES + 1).count() <= TASK_EDGES:
+        return durable(_contracted(pairs.coalesce(1)).select(F.col("a").alias("node"), F.col("b").alias("component")))
+    both = durable(pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a")).distinct())
     labels = durable(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("m"))

@@ -38,7 +38,7 @@ from tabweave.llm.components import connected_components
 
 GROUPS, LEAF = 64, 32
 #: Tokens that a block may hold; a larger candidate set is cut into blocks.
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 600_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -162,7 +162,7 @@ def _links(members: DataFrame, docs: DataFrame, words: int, plan: Plan) -> DataF
     sizes = members.groupBy("component").agg(F.sum("n").alias("tokens")).withColumn("blocks", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("long"))
     total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     bins = total // BLOCK_TOKENS + 1
-    placed = members.join(small_or_not(sizes), "component").select("id", "component", "blocks")
+    placed = members.join(sizes, "component").select("id", "component", "blocks")
     rows = docs.join(small_or_not(placed), "id").select("component", "id", "blocks", "_tw_text")
 
     def run(batches: Iterator) -> Iterator:
@@ -206,12 +206,12 @@ def components(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key
     sets = durable(_sets(docs, words, plan))
     slim = sets.select("id", "n", "f1", "f2")
     classes = durable(slim.filter("n > 0 AND id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")))
-    signed = sets.filter("n > 0").join(small_or_not(classes.select(F.col("rep").alias("id"))), "id", "left_semi").select("id", F.explode("signatures").alias("s"))
+    signed = sets.filter("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("signatures").alias("s"))
     shared = signed.groupBy("s").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("s", "first")
     candidates = signed.join(shared, "s").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
     members = connected_components(candidates).select(F.col("node").alias("id"), "component").join(classes.select(F.col("rep").alias("id"), "n"), "id")
     links = durable(_links(durable(members), docs, words, plan).distinct())
     linked = connected_components(links).select(F.col("node").alias("rep"), "component")
-    labelled = classes.join(small_or_not(linked), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
-    out = slim.join(small_or_not(labelled), ["n", "f1", "f2"], "left")
+    labelled = classes.join(linked, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
+    out = slim.join(labelled, ["n", "f1", "f2"], "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))

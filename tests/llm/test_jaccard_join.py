@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from tabweave.llm import components as C
 from tabweave.llm import jaccard_join as J
 from tabweave.llm.components import connected_components
 
@@ -43,7 +44,7 @@ def texts(seed):
     return list(enumerate(out, 3))
 
 
-@pytest.mark.parametrize(("k", "num", "den", "block"), [(3, 90, 100, 1_500_000), (5, 80, 100, 1_500_000), (3, 80, 100, 300)])
+@pytest.mark.parametrize(("k", "num", "den", "block"), [(3, 90, 100, 600_000), (5, 80, 100, 600_000), (3, 80, 100, 300)])
 def test_against_brute_force(spark, monkeypatch, k, num, den, block):
     monkeypatch.setattr(J, "BLOCK_TOKENS", block)
     rows = texts(k + num)
@@ -70,7 +71,9 @@ def test_empty_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (1, 1), (1, 1), (4, 1)]
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("limit", [1_000_000, 3])
+def test_components_of_a_long_path(spark, monkeypatch, limit):
+    monkeypatch.setattr(C, "TASK_EDGES", limit)
     path = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in connected_components(path).collect()}
     assert got == {i: 0 for i in range(41)} | {99: 99, 100: 99}
