@@ -77,6 +77,8 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
         F.coalesce(_covered(again), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size(F.filter(words, lambda w: F.lower(w).isin(stop))).cast("long").alias("n_stop"),
         F.length(F.regexp_replace(t, "[^!]+", "")).cast("long").alias("n_bangs"),
+        # keeps the optimizer from copying all of the above into filters on the verdict
+        F.monotonically_increasing_id().alias("_tw_row"),
     )
     return out
 
@@ -92,4 +94,4 @@ def judge(df: DataFrame, text: str = "text", rules=THRESHOLDS, min_words: int =
     names = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop", "n_bangs", "base_failed", "kept"}
     out = measures(df.drop(*(names - {text})), text)
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    return out.withColumn("kept", ~F.col("base_failed") & verdict(rules) & (F.col("_tw_row") >= 0)).drop("_tw_row")
