@@ -19,6 +19,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,12 +33,14 @@ SHARD_BYTES, SHARD_DOCS = 4 << 20, 8192
 #: The dictionary is trained on at most so many documents (chosen by a hash of their id) and so many bytes.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 16 << 20, 64 << 10
 UNITS, MATCHES = 200_000, 600_000
+_ID = attrgetter("id")
 SHARDS = "part int, shard int, first_id long, last_id long, n_docs long, n_tokens long, dictionary string, entries binary, payload binary"
 
 
 #: Fixed value: the byte-level pattern of the tokenizers library, with its white space spelled out.
 _WHITE = r"\t-\r\x85\p{Z}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
+_RARE, _MARKS = "\t\v\f\r\x1c\x1d\x1e\x1f", frozenset(".,;:!?")
 
 
 class Encoder:
@@ -62,11 +65,19 @@ class Encoder:
         self.pattern = regex.compile(PATTERN)
         self.letters, self.model = byte_letters(), self.library.model
         self.match = Memo(self._match, MATCHES)
-        self.unit = Memo(lambda piece: self._by_pattern(piece if piece[:1] == "\n" else " " + piece), UNITS)
+        self.unit = Memo(self._unit, UNITS)
 
     def _match(self, match: str) -> bytes:
         letters = match.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return array(self.code, map(_ID, self.model.tokenize(letters))).tobytes()
+
+    def _unit(self, piece: str) -> bytes:
+        if piece.isascii():  # most units are one word, perhaps with one mark, which needs no search
+            if piece.isalpha():
+                return self.match[" " + piece]
+            if piece[-1:] in _MARKS and piece[:-1].isalpha():
+                return self.match[" " + piece[:-1]] + self.match[piece[-1]]
+        return self._by_pattern(piece if piece[:1] == "\n" else " " + piece)
 
     def _by_pattern(self, text: str) -> bytes:
         return b"".join(map(self.match.__getitem__, matches(self.pattern, text)))
@@ -74,9 +85,11 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width).tobytes()
-        if self.runs(text):
-            return self._by_pattern(text)
         first, *rest = text.replace("\n", " \n").split(" ")
+        if "" in rest or "\n" in rest or not first:
+            return self._by_pattern(text)
+        if (not text.isascii() or any(c in text for c in _RARE)) and self.runs(text):
+            return self._by_pattern(text)
         return self._by_pattern(first) + b"".join(map(self.unit.__getitem__, rest))
 
 
