@@ -66,11 +66,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    if n:
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(max(n, 1 << 16), np.uint64(base))
         out[0] = 1
-    return np.multiply.accumulate(out)
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n]
 
 
 def string_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -143,3 +147,44 @@ def word_batches(column, fold: bool = True):
     text, offsets = string_bytes(column)
     for a, b in pieces(offsets):
         yield a, b, Words(text[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], fold)
+
+
+class WordTable:
+    """Ids of words by their hash, in flat arrays: what the same worker has encoded before is looked up for all
+    words of a batch at once. Emptied beyond ``most`` words."""
+
+    def __init__(self, dtype: str, most: int = 3_000_000):
+        self.dtype, self.most = dtype, most
+        self.keys, self.first, self.flat = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, dtype)
+
+    def _add(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
+        if len(self.keys) + len(keys) > self.most:
+            self.keys, self.first, self.flat = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, self.dtype)
+        all_keys = np.concatenate([self.keys, keys])
+        sizes = np.concatenate([np.diff(self.first), [len(x) for x in ids]]).astype(np.int64)
+        flat = np.concatenate([self.flat, *ids]).astype(self.dtype)
+        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        order = np.argsort(all_keys)
+        self.keys, self.flat = all_keys[order], flat[spread(starts[order], sizes[order])]
+        self.first = np.concatenate([[0], np.cumsum(sizes[order])])
+
+    def encode(self, keys: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and the number of each word's; ``make(i)`` encodes the word at place i."""
+        unique, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, unique)
+        known = np.zeros(len(unique), bool) if not len(self.keys) else self.keys[np.minimum(place, len(self.keys) - 1)] == unique
+        if not known.all():
+            new = np.flatnonzero(~known)
+            if len(self.keys) + len(new) > self.most:
+                new = np.arange(len(unique))
+            self._add(unique[new], [np.asarray(make(int(i)), self.dtype) for i in at[new]])
+            place = np.searchsorted(self.keys, unique)
+        place = place[back]
+        sizes = (self.first[1:] - self.first[:-1])[place]
+        return self.flat[spread(self.first[place], sizes)], sizes
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)

@@ -17,7 +17,6 @@ import hashlib
 import os
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from operator import attrgetter
 
@@ -26,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabweave.llm.bpe import Memo, byte_letters, matches
-from tabweave.llm.common import bounded_batches, partitions, small_or_not
+from tabweave.llm.common import Words, WordTable, bounded_batches, mix, partitions, pieces, small_or_not, string_bytes
 
 ENTRY = np.dtype([("doc_id", "<i8"), ("n_tokens", "<u4"), ("length", "<u4"), ("place", "<u8")])
 SHARD_BYTES, SHARD_DOCS = 4 << 20, 8192
 #: The dictionary is trained on at most so many documents (chosen by a hash of their id) and so many bytes.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 16 << 20, 64 << 10
-UNITS, MATCHES = 200_000, 600_000
+MATCHES = 300_000
 _ID = attrgetter("id")
 SHARDS = "part int, shard int, first_id long, last_id long, n_docs long, n_tokens long, dictionary string, entries binary, payload binary"
 
@@ -40,16 +39,16 @@ SHARDS = "part int, shard int, first_id long, last_id long, n_docs long, n_token
 #: Fixed value: the byte-level pattern of the tokenizers library, with its white space spelled out.
 _WHITE = r"\t-\r\x85\p{Z}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
-_RARE, _MARKS = "\t\v\f\r\x1c\x1d\x1e\x1f", frozenset(".,;:!?")
 
 
 class Encoder:
-    """The tokenizers library's BPE model behind memos of units and of pattern matches.
+    """The tokenizers library's BPE model behind a table of units and a memo of pattern matches.
 
-    No match of the byte-level pattern joins a word with white space after it. If
-    white space characters stand alone in a text, it may thus be cut before every
-    blank and line break into units; other texts are cut by the pattern as a whole,
-    and those with a special token's string go to the library.
+    No match of the byte-level pattern joins a word with white space after it. A
+    text whose white space characters are single blanks and line breaks between
+    words may thus be cut before each into units, which are looked up by their hash
+    for a whole batch. Other texts are cut by the pattern, and those with a special
+    token's string go to the library.
     """
 
     def __init__(self, path: str):
@@ -59,40 +58,69 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.width = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.code = "H" if self.width == "<u2" else "I"  # machine order, little-endian on every platform that Spark's Python runs on
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.runs = regex.compile(rf"[{_WHITE}\x1c-\x1f]{{2}}").search
         self.pattern = regex.compile(PATTERN)
         self.letters, self.model = byte_letters(), self.library.model
         self.match = Memo(self._match, MATCHES)
-        self.unit = Memo(self._unit, UNITS)
+        self.table = WordTable(self.width)
 
-    def _match(self, match: str) -> bytes:
+    def _match(self, match: str) -> list[int]:
         letters = match.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, map(_ID, self.model.tokenize(letters))).tobytes()
+        return list(map(_ID, self.model.tokenize(letters)))
 
-    def _unit(self, piece: str) -> bytes:
-        if piece.isascii():  # most units are one word, perhaps with one mark, which needs no search
-            if piece.isalpha():
-                return self.match[" " + piece]
-            if piece[-1:] in _MARKS and piece[:-1].isalpha():
-                return self.match[" " + piece[:-1]] + self.match[piece[-1]]
-        return self._by_pattern(piece if piece[:1] == "\n" else " " + piece)
+    def _by_pattern(self, text: str) -> list[int]:
+        return [i for m in matches(self.pattern, text) for i in self.match[m]]
 
-    def _by_pattern(self, text: str) -> bytes:
-        return b"".join(map(self.match.__getitem__, matches(self.pattern, text)))
-
-    def encode(self, text: str) -> bytes:
+    def _slowly(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width).tobytes()
-        first, *rest = text.replace("\n", " \n").split(" ")
-        if "" in rest or "\n" in rest or not first:
-            return self._by_pattern(text)
-        if (not text.isascii() or any(c in text for c in _RARE)) and self.runs(text):
-            return self._by_pattern(text)
-        return self._by_pattern(first) + b"".join(map(self.unit.__getitem__, rest))
-
-
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width)
+        return np.array(self._by_pattern(text), self.width)
+
+    def encode(self, text: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of the texts in a byte buffer."""
+        n, raw = len(offsets) - 1, text.tobytes()
+        w = Words(text, offsets, fold=False)
+        owner = np.repeat(np.arange(n), np.diff(offsets))
+        white = (text <= 32) & ((text == 32) | ((text >= 9) & (text <= 13)))
+        # texts with white space in a row, at an end, or of another kind than blanks and line breaks
+        odd = white & (text != 32) & (text != 10)
+        odd |= np.isin(text, (0xE1, 0xE2, 0xE3)) | ((text == 0xC2) & np.isin(np.append(text[1:], 0), (0x85, 0xA0)))
+        odd[1:] |= white[1:] & white[:-1]
+        ends = np.concatenate([offsets[:-1], offsets[1:] - 1])[np.tile(np.diff(offsets) > 0, 2)]
+        odd[ends] |= white[ends]
+        slow = np.zeros(n, bool)
+        slow[owner[odd]] = True
+        if any(s.encode() in raw for s in self.special):
+            slow |= np.array([any(s.encode() in raw[i:j] for s in self.special) for i, j in zip(offsets[:-1], offsets[1:], strict=True)])
+        counts = np.diff(w.first)
+        take = np.flatnonzero(np.repeat(~slow, counts))
+        start, end = w.start[take], w.end[take]
+        initial = np.isin(start, offsets)
+        lead = np.where(initial, 0, text[np.maximum(start - 1, 0)]).astype(np.uint64) if len(start) else np.zeros(0, np.uint64)
+
+        def make(i: int) -> list[int]:
+            unit = raw[start[i] - (not initial[i]) : end[i]].decode()
+            body = unit[1:]
+            # most units are one word, perhaps with one mark, which needs no search
+            if unit[0] == " " and body.isalpha():
+                return self.match[unit]
+            if unit[0] == " " and body[-1] in _MARKS and body[:-1].isalpha():
+                return self.match[unit[:-1]] + self.match[unit[-1]]
+            if unit[0] == "\n" and body.isalpha():
+                return self.match["\n"] + self.match[body]
+            return self._by_pattern(unit)
+
+        ids, sizes = self.table.encode(mix(w.hash[take] + lead * np.uint64(0x9E3779B97F4A7C15)), make)
+        at = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(np.where(slow, 0, counts))])]
+        return [self._slowly(raw[offsets[k] : offsets[k + 1]].decode()) if slow[k] else ids[at[k] : at[k + 1]] for k in range(n)]
+
+    def encode_column(self, column) -> Iterator[np.ndarray]:
+        text, offsets = string_bytes(column)
+        for i, j in pieces(offsets):
+            yield from self.encode(text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+
+
+_MARKS = frozenset(".,;:!?")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -102,8 +130,8 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _with_end(ids: bytes, width: str, end: int) -> bytes:
-    return ids + np.array([end], width).tobytes()
+def _with_end(ids: np.ndarray, width: str, end: int) -> bytes:
+    return ids.tobytes() + np.array([end], width).tobytes()
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end: int) -> bytes:
@@ -119,7 +147,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end: int) -> bytes:
 
         e = encoder(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_with_end(x, e.width, end)[: SAMPLE_BYTES // SAMPLE_DOCS] for x in (e.encode(t or "") for t in b.column(1).to_pylist())], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([_with_end(x, e.width, end)[: SAMPLE_BYTES // SAMPLE_DOCS] for x in e.encode_column(b.column(1))], pa.binary())], names=["ids"])
 
     samples = [bytes(r.ids) for r in sample.mapInArrow(run, "ids binary").collect()]
     try:
@@ -157,7 +185,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, end: int = 2, key: str = "
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=[c.split()[0] for c in SHARDS.split(", ")])
 
         for b in batches:
-            for i, ids in zip(b.column(0).to_pylist(), (e.encode(t or "") for t in b.column(1).to_pylist()), strict=True):
+            for i, ids in zip(b.column(0).to_pylist(), e.encode_column(b.column(1)), strict=True):
                 ids = _with_end(ids, e.width, end)
                 frames.append(frame := pack.compress(ids))
                 rows.append((i, len(ids) // int(e.width[2]), len(frame), place))
