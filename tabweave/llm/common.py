@@ -25,6 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Limits the rows, and so the memory, of the batches sent to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
+def contracted(edges: DataFrame) -> DataFrame:
     """Fewer edges with the same components: each task replaces its edges, a bounded number at a time, by stars."""
 
     def run(batches: Iterator) -> Iterator:
@@ -63,9 +63,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     labels are joined with edges, never gathered. Self loops are allowed, nulls
     are not edges.
     """
-    pairs = durable(_contracted(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).dropna()))
+    pairs = durable(contracted(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).dropna()))
     if pairs.limit(TASK_EDGES + 1).count() <= TASK_EDGES:
-        return durable(_contracted(pairs.coalesce(1)).select(F.col("a").alias("node"), F.col("b").alias("component")))
+        return durable(contracted(pairs.coalesce(1)).select(F.col("a").alias("node"), F.col("b").alias("component")))
     both = durable(pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a")).distinct())
     labels = durable(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:

@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tabweave.llm.common import bounded_batches, durable, mix, small_or_not, word_batches
-from tabweave.llm.components import connected_components
+from tabweave.llm.common import bounded_batches, durable, mix, partitions, small_or_not, word_batches
+from tabweave.llm.components import connected_components, contracted
 
 GROUPS, LEAF = 64, 32
 #: Tokens that a block may hold; a larger candidate set is cut into blocks.
@@ -90,26 +90,75 @@ def signatures(tokens: np.ndarray, plan: Plan, memo: dict) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _sets(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
-    """id, n, f1, f2 (hashes of the whole set) and its signatures."""
+def _hash(tokens: np.ndarray) -> np.uint64:
+    """The set's own hash, its node in the graph."""
+    return np.add.reduce(mix(tokens)) if len(tokens) else np.uint64(0)
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """id, n, node and a second hash of each whole set."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        memo: dict = {}
         for b in batches:
-            ids = b.column(0)
             for i, j, w in word_batches(b.column(1)):
                 sets = w.shingles(words)
-                mixed = [mix(s) for s in sets]
-                f1 = np.array([np.add.reduce(m) if len(m) else 0 for m in mixed], np.uint64).view(np.int64)
-                f2 = np.array([np.bitwise_xor.reduce(mix(m + _SALT)) if len(m) else 0 for m in mixed], np.uint64).view(np.int64)
-                found = [signatures(s, plan, memo) for s in sets]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(f1), pa.array(f2), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "n", "f1", "f2", "signatures"])
+                nodes = np.array([_hash(x) for x in sets], np.uint64).view(np.int64)
+                check = np.array([np.bitwise_xor.reduce(mix(mix(x) + _SALT)) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(np.array([len(x) for x in sets], np.int64)), pa.array(nodes), pa.array(check)], names=["id", "n", "node", "check"])
+
+    return docs.mapInArrow(run, "id long, n long, node long, check long")
+
+
+def _candidates(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
+    """a, b: edges that connect the nodes which share a signature.
+
+    Copies within a task send their signatures once. Rows are sorted by signature
+    within partitions and read as a stream, so that a common one needs no memory.
+    """
 
-    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, signatures array<long>")
+    def sign(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        memo: dict = {}
+        sent: set[int] = set()
+        for b in batches:
+            for _, _, w in word_batches(b.column(0)):
+                found, nodes = [], []
+                for tokens in w.shingles(words):
+                    node = int(_hash(tokens))
+                    if len(tokens) and node not in sent:
+                        if len(sent) > 500_000:
+                            sent.clear()
+                        sent.add(node)
+                        found.append(signatures(tokens, plan, memo))
+                        nodes.append(node)
+                if found:
+                    owner = np.repeat(np.array(nodes, np.uint64).view(np.int64), [len(x) for x in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(owner)], names=["s", "node"])
+
+    def connect(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        last, first = None, 0
+        for b in batches:
+            s, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, int)
+            firsts = node[starts]
+            if len(s) and last is not None and s[0] == last:
+                firsts[0] = first
+            root = np.repeat(firsts, np.diff(np.append(starts, len(s))))
+            if len(s):
+                last, first = s[-1], root[-1]
+            pairs = np.unique(np.stack([node, root])[:, node != root], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    signed = docs.select("_tw_text").mapInArrow(sign, "s long, node long").repartition(partitions(docs.sparkSession), "s").sortWithinPartitions("s")
+    bounded_batches(docs.sparkSession, 1024)
+    edges = durable(contracted(signed.mapInArrow(connect, "a long, b long")))
+    bounded_batches(docs.sparkSession)
+    return edges
 
 
 class Tree:
@@ -158,22 +207,22 @@ def link(sets: list[np.ndarray], side: np.ndarray, plan: Plan) -> list[tuple[int
 
 
 def _links(members: DataFrame, docs: DataFrame, words: int, plan: Plan) -> DataFrame:
-    """a, b: links that connect the linked sets of each candidate set; members: id, n, component."""
+    """a, b: links that connect the linked sets of each candidate set; members: id, node, n, component."""
     sizes = members.groupBy("component").agg(F.sum("n").alias("tokens")).withColumn("blocks", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("long"))
     total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     bins = total // BLOCK_TOKENS + 1
-    placed = members.join(sizes, "component").select("id", "component", "blocks")
-    rows = docs.join(small_or_not(placed), "id").select("component", "id", "blocks", "_tw_text")
+    placed = members.join(sizes, "component").select("id", "node", "component", "blocks")
+    rows = docs.join(small_or_not(placed), "id").select("component", "node", "blocks", "_tw_text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
             for i, j, w in word_batches(b.column(3)):
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], b.column(2)[i:j], pa.array([s.tobytes() for s in w.shingles(words)], pa.binary())], names=["component", "id", "blocks", "tokens"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], b.column(2)[i:j], pa.array([s.tobytes() for s in w.shingles(words)], pa.binary())], names=["component", "node", "blocks", "tokens"])
 
-    sets = rows.mapInArrow(run, "component long, id long, blocks long, tokens binary")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    sets = rows.mapInArrow(run, "component long, node long, blocks long, tokens binary")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     sets = sets.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     # small candidate sets share a task; each pair of blocks of a large one is a task
@@ -183,7 +232,7 @@ def _links(members: DataFrame, docs: DataFrame, words: int, plan: Plan) -> DataF
         import pyarrow as pa
 
         component, i, j = (table.column(c).to_numpy() for c in ("component", "i", "j"))
-        ids, own, tokens = table.column("id").to_numpy(), table.column("own").to_numpy(), table.column("tokens").to_pylist()
+        ids, own, tokens = table.column("node").to_numpy(), table.column("own").to_numpy(), table.column("tokens").to_pylist()
         order = np.lexsort((ids, j, i, component))
         cuts = np.flatnonzero(np.concatenate([[True], (np.diff(component[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0), [True]])) if len(order) else []
         a, b = [], []
@@ -195,7 +244,7 @@ def _links(members: DataFrame, docs: DataFrame, words: int, plan: Plan) -> DataF
                 b.append(ids[at[y]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return sets.select("task", "component", "i", "j", "own", "id", "tokens").groupBy("task").applyInArrow(solve, "a long, b long")
+    return sets.select("task", "component", "i", "j", "own", "node", "tokens").groupBy("task").applyInArrow(solve, "a long, b long")
 
 
 def components(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,15 +252,13 @@ def components(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key
     bounded_batches(df.sparkSession)
     plan = Plan(num, den)
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_tw_text"))
-    sets = durable(_sets(docs, words, plan))
-    slim = sets.select("id", "n", "f1", "f2")
-    classes = durable(slim.filter("n > 0 AND id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")))
-    signed = sets.filter("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("signatures").alias("s"))
-    shared = signed.groupBy("s").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("s", "first")
-    candidates = signed.join(shared, "s").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    members = connected_components(candidates).select(F.col("node").alias("id"), "component").join(classes.select(F.col("rep").alias("id"), "n"), "id")
-    links = durable(_links(durable(members), docs, words, plan).distinct())
-    linked = connected_components(links).select(F.col("node").alias("rep"), "component")
-    labelled = classes.join(linked, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
-    out = slim.join(labelled, ["n", "f1", "f2"], "left")
+    slim = durable(_sets(docs, words))
+    classes = durable(slim.filter("n > 0 AND id IS NOT NULL").groupBy("n", "node", "check").agg(F.min("id").alias("rep")))
+    members = connected_components(_candidates(docs.filter("id IS NOT NULL"), words, plan)).join(classes, "node").select(F.col("rep").alias("id"), "node", "n", "component")
+    linked = connected_components(_links(durable(members), docs, words, plan)).withColumnRenamed("component", "root")
+    named = linked.join(classes, "node").select("node", "root", "rep")
+    smallest = named.groupBy("root").agg(F.min("rep").alias("component"))
+    labels = durable(named.join(smallest, "root").select("rep", "component"))
+    labelled = classes.join(labels, "rep", "left").select("n", "node", "check", F.coalesce("component", "rep").alias("component"))
+    out = slim.join(labelled, ["n", "node", "check"], "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
