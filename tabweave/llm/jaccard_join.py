@@ -7,8 +7,9 @@ has fewer). Two texts link when ``den * |A and B| >= num * |A or B|``.
 2. Tokens are hashed into groups, whose number K depends on the band of the set's
    size. Linked sets differ in at most ``d`` tokens, so with more than ``d``
    groups that hold tokens some group has equal tokens in both: sets that
-   share such a group are candidates. Sets with too few filled groups for this
-   also share one of their ``d + 1`` smallest tokens. No candidate is missed.
+   share such a group are candidates. Frequent tokens are left out of groups where
+   enough groups stay filled, and sets with too few filled groups also share one
+   of their ``d + 1`` smallest tokens. No candidate is missed.
 3. Within candidates, the counts of tokens per group are points of an R-tree. The
    overlap of a set with all sets of a node is at most the sum of the smaller
    coordinates of its point and of the node's upper corner; nodes and points
@@ -40,6 +41,7 @@ GROUPS, LEAF = 64, 32
 #: Tokens that a block may hold; a larger candidate set is cut into blocks.
 BLOCK_TOKENS = 600_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
+ONE_IN, SEEN, MOST_COMMON = 64, 3, 1_000_000
 
 
 class Plan:
@@ -69,24 +71,42 @@ class Plan:
         return out
 
 
-def signatures(tokens: np.ndarray, plan: Plan, memo: dict) -> np.ndarray:
-    """Hashes of the set's groups, such that linked sets share at least one."""
+def _grouped(tokens: np.ndarray, groups: int, tag: np.uint64) -> np.ndarray:
+    """A hash of each group that holds tokens."""
+    h = mix(tokens ^ tag)
+    group = ((h >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
+    order = np.argsort(group)
+    group = group[order]
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    return mix(np.add.reduceat(h[order], first) + mix(group[first] + tag))
+
+
+def signatures(tokens: np.ndarray, plan: Plan, memo: dict, common: np.ndarray) -> np.ndarray:
+    """Hashes of the set's groups, such that linked sets share at least one.
+
+    ``common`` (sorted) holds frequent tokens. They are left out of the groups, since
+    linked sets differ no more without them; a set with too few filled groups left
+    also sends the groups of all its tokens, and if those are too few, its
+    smallest tokens.
+    """
     size = len(tokens)
     if size not in memo:
         if len(memo) > 20_000:
             memo.clear()
         memo[size] = plan.bands(size)
+    rare = tokens[common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] != tokens] if len(common) else tokens
     out = []
     for band, groups, most in memo[size]:
         tag = np.uint64((band + 1) * int(_SALT) % 2**64)
-        h = mix(tokens ^ tag)
-        group = ((h >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
-        order = np.argsort(group)
-        group = group[order]
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        out.append(mix(np.add.reduceat(h[order], first) + mix(group[first] + tag)))
-        if len(first) <= most:
-            out.append(mix(np.sort(h)[: most + 1] + ~tag))
+        if len(common):
+            found = _grouped(rare, groups, tag) if len(rare) else rare
+            out.append(found)
+            if len(found) > most:
+                continue
+        found = _grouped(tokens, groups, ~tag)
+        out.append(found)
+        if len(found) <= most:
+            out.append(mix(np.sort(mix(tokens ^ tag))[: most + 1] + ~tag))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -111,6 +131,24 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, node long, check long")
 
 
+def common_tokens(docs: DataFrame, words: int) -> np.ndarray:
+    """Tokens of at least ``SEEN`` texts of a sample of one in ``ONE_IN``, the most frequent ``MOST_COMMON``.
+
+    They only steer which groups are compared; results are the same for any choice.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for _, _, w in word_batches(b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*w.shingles(words), np.zeros(0, np.uint64)]).view(np.int64))], names=["token"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("id"), F.lit(ONE_IN)) == 0).select("_tw_text").dropDuplicates()
+    counts = sample.mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") >= SEEN)
+    return np.sort(counts.orderBy(F.desc("count"), "token").limit(MOST_COMMON).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+
+
 def _candidates(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
     """a, b: edges that connect the nodes which share a signature.
 
@@ -118,6 +156,8 @@ def _candidates(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
     within partitions and read as a stream, so that a common one needs no memory.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(common_tokens(docs, words))
+
     def sign(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -132,7 +172,7 @@ def _candidates(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
                         if len(sent) > 500_000:
                             sent.clear()
                         sent.add(node)
-                        found.append(signatures(tokens, plan, memo))
+                        found.append(signatures(tokens, plan, memo, shared.value))
                         nodes.append(node)
                 if found:
                     owner = np.repeat(np.array(nodes, np.uint64).view(np.int64), [len(x) for x in found])

@@ -47,6 +47,7 @@ def texts(seed):
 @pytest.mark.parametrize(("k", "num", "den", "block"), [(3, 90, 100, 600_000), (5, 80, 100, 600_000), (3, 80, 100, 300)])
 def test_against_brute_force(spark, monkeypatch, k, num, den, block):
     monkeypatch.setattr(J, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(J, "ONE_IN", 2)
     rows = texts(k + num)
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string").repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.components(df, k, num, den).collect()}
@@ -62,7 +63,9 @@ def test_signatures_lose_no_pair():
         b = np.unique(np.concatenate([keep, rng.integers(0, 2**63, int(rng.integers(0, max(1, n // 4) + 1))).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
         if len(b) and 100 * both >= 80 * (len(a) + len(b) - both):
-            assert len(np.intersect1d(J.signatures(a, plan, {}), J.signatures(b, plan, {})))
+            tokens = np.union1d(a, b)
+            for common in (tokens[:0], tokens, tokens[rng.random(len(tokens)) < rng.random()]):
+                assert len(np.intersect1d(J.signatures(a, plan, {}, common), J.signatures(b, plan, {}, common)))
 
 
 def test_empty_and_null_ids(spark):
