@@ -1,6 +1,528 @@
-"""All queries of the engine proper and their SQL, by name."""
+"""All queries of the engine proper and their SQL, by name.
+
+Every query runs over its whole tables. SQL is given where the operation is
+expressible in it; the rest is held against small examples in the tests.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import tempfile
+import uuid
+from collections.abc import Callable
+from itertools import combinations, permutations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabweave.functions.text import json_mapping
+from tabweave.operators import assoc, batches, clean, covariance, impute, pairs, relations, repair, valuetree, vendors
+from tabweave.plans.fixtures import CNR, DIRTY, LINES, ORD, frame, plain
+from tabweave.sources import readers, sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+TEXTS = ("status", "priority", "segment", "nation", "region")
+
+
+def query(name: str, fixture: str, sql: str | None = None):
+    """Registers a function of the fixture's DataFrame, and its SQL over the fixture as ``f``."""
+
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: f(frame(spark, sf_dir, fixture))
+        if sql is not None:
+            head, sep, rest = sql.strip().partition("WITH ")
+            more = f", {rest}" if sep and not head else f" {sql.strip()}"
+            ORACLES[name] = f"WITH f AS ({plain(fixture)}){more}"
+        return f
+
+    return add
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabweave-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+# --- relationships -----------------------------------------------------------
+
+
+def _score_sql(parent: str, child: str, drop: bool = True) -> str:
+    where = f"WHERE {parent} IS NOT NULL AND {child} IS NOT NULL" if drop else ""
+    return f"""SELECT '{parent}' AS parent, '{child}' AS child, CAST(coalesce(sum(CASE WHEN c IS NOT NULL AND k = 1 THEN n END), 0) AS BIGINT) AS valid, CAST(coalesce(sum(n), 0) AS BIGINT) AS total,
+        (SELECT count(DISTINCT {parent}) FROM f) AS distinct_parent, (SELECT count(DISTINCT {child}) FROM f) AS distinct_child
+        FROM (SELECT {child} AS c, count(DISTINCT {parent}) AS k, count(*) AS n FROM {{src}} {where} GROUP BY {child})""".replace("{src}", "f")
+
+
+_SCORED = "SELECT parent, child, valid, total, round(coalesce(100.0 * valid / nullif(total, 0), 0), 6) AS percentage, round(CASE WHEN valid > 0 THEN 1 - (100.0 * valid / total) / 100 ELSE 1.0 END, 6) AS violation_ratio, distinct_parent, distinct_child FROM s"
+
+
+def _scored(df: DataFrame) -> DataFrame:
+    return df.select("parent", "child", "valid", "total", F.round("percentage", 6).alias("percentage"), F.round("violation_ratio", 6).alias("violation_ratio"), "distinct_parent", "distinct_child")
+
+
+@query("one_to_many_score", CNR, f"WITH s AS ({_score_sql('parent', 'child', False)}) {_SCORED}")
+def one_to_many_score(df: DataFrame) -> DataFrame:
+    return _scored(pairs.one_to_many(pairs.directed(pairs.pair_counts(df, [("parent", "child")])), drop_na=False).filter("parent = 'parent'"))
+
+
+@query("one_to_many_row_mask", CNR, "SELECT initial_id, coalesce(k = 1, false) AS valid FROM f LEFT JOIN (SELECT child, count(DISTINCT parent) AS k FROM f GROUP BY child) USING (child)")
+def one_to_many_row_mask(df: DataFrame) -> DataFrame:
+    return pairs.row_mask(df, "parent", "child").select("initial_id", "valid")
+
+
+@query("one_to_many_all_pairs", ORD, f"WITH s AS ({' UNION ALL '.join(_score_sql(a, b) for a, b in permutations(TEXTS, 2))}) {_SCORED}")
+def one_to_many_all_pairs(df: DataFrame) -> DataFrame:
+    return _scored(pairs.analyse_one_to_many(df, 0, True, TEXTS))
+
+
+@query("one_to_many_all_pairs_95", ORD, f"WITH s AS ({' UNION ALL '.join(_score_sql(a, b) for a, b in permutations(TEXTS, 2))}) {_SCORED} WHERE valid * 100.0 / nullif(total, 0) >= 95")
+def one_to_many_95(df: DataFrame) -> DataFrame:
+    return _scored(pairs.analyse_one_to_many(df, 95, True, TEXTS))
+
+
+def _one_sql(a: str, b: str, drop: bool) -> str:
+    where = f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL" if drop else ""
+    return f"""SELECT '{a}' AS col1, '{b}' AS col2, CAST(CASE WHEN bool_and(({a} IS NULL OR ka = 1) AND ({b} IS NULL OR kb = 1)) THEN count(*) ELSE count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL AND ka = 1 AND kb = 1) END AS BIGINT) AS valid, count(*) AS total
+        FROM (SELECT {a}, {b} FROM f {where}) LEFT JOIN (SELECT {a} AS x, count(DISTINCT {b}) AS ka FROM f {where} GROUP BY {a}) ON {a} = x LEFT JOIN (SELECT {b} AS y, count(DISTINCT {a}) AS kb FROM f {where} GROUP BY {b}) ON {b} = y"""
+
+
+def _one(drop: bool):
+    def run(df: DataFrame) -> DataFrame:
+        return pairs.analyse_one_to_one(df, 0, drop, (*TEXTS, "price")).select("col1", "col2", "valid", "total", F.round("percentage", 6).alias("percentage"))
+
+    sql = " UNION ALL ".join(_one_sql(a, b, drop) for a, b in combinations((*TEXTS, "price"), 2))
+    query(f"one_to_one_all_pairs{'' if drop else '_keep_na'}", ORD, f"WITH s AS ({sql}) SELECT col1, col2, valid, total, round(100.0 * valid / total, 6) AS percentage FROM s")(run)
+
+
+_one(True)
+_one(False)
+
+
+@query("pair_samples_grouped", CNR, """WITH m AS (SELECT child FROM f GROUP BY child HAVING count(DISTINCT parent) = 1), s AS (SELECT * FROM f WHERE child NOT IN (SELECT child FROM m) ORDER BY initial_id LIMIT 1000)
+    SELECT parent, child, count(*) AS occurrences, min(initial_id) AS first FROM s WHERE parent IS NOT NULL GROUP BY ALL""")
+def pair_samples_grouped(df: DataFrame) -> DataFrame:
+    return pairs.samples(df, "parent", "child", valid=False)
+
+
+# --- repair ------------------------------------------------------------------
+
+_PLAN = """c AS (SELECT child, parent, count(*) AS n, min(initial_id) AS first FROM f WHERE child IS NOT NULL GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY child ORDER BY n DESC, first) AS r FROM c WHERE parent IS NOT NULL),
+    t AS (SELECT child, max(parent) FILTER (r = 1) AS correct_value, count(*) AS parents, CAST(sum(n) AS BIGINT) AS present, max(n) FILTER (r = 1) AS top, coalesce(max(n) FILTER (r = 2), 0) AS second FROM r GROUP BY child),
+    a AS (SELECT child, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY child),
+    p AS (SELECT child AS cv, correct_value, parents, present, top, second, total - top AS num_changes,
+                 present >= 5 AND 100.0 * top / present >= CASE WHEN present >= 100 THEN 60 WHEN present >= 50 THEN 65 WHEN present >= 20 THEN 70 WHEN present >= 10 THEN 75 WHEN present >= 5 THEN 80 ELSE 85 END
+                 AND (second = 0 OR top >= 3.0 * second) AS confident FROM t JOIN a USING (child) WHERE parents > 1)"""
+
+
+def _plan(df: DataFrame) -> DataFrame:
+    return repair.plan_for_pair(df, "parent", "child", drop_na=False)
+
+
+@query("correction_plan", CNR, f"WITH {_PLAN} SELECT * FROM p")
+def correction_plan(df: DataFrame) -> DataFrame:
+    return _plan(df).select("cv", "correct_value", "parents", "present", "top", "second", "num_changes", "confident")
+
+
+@query("correction_preview", CNR, f"WITH {_PLAN} SELECT p.cv, c.parent AS current_value, c.n AS occurrences, correct_value, confident, c.parent <> correct_value AS changes FROM p JOIN c ON p.cv = c.child WHERE c.parent IS NOT NULL")
+def correction_preview(df: DataFrame) -> DataFrame:
+    edges = pairs.directed(pairs.pair_counts(df, [("parent", "child")])).filter("parent = 'parent'")
+    return repair.preview(edges, repair.plans(edges, drop_na=False)).drop("parent", "child")
+
+
+@query("corrections_confidence_totals", CNR, f"""WITH {_PLAN} SELECT count(*) AS corrections, CAST(sum(num_changes) AS BIGINT) AS changes, count(*) FILTER (confident) AS confident_corrections, CAST(coalesce(sum(num_changes) FILTER (confident), 0) AS BIGINT) AS confident_changes,
+    count(*) FILTER (NOT confident) AS unsure_corrections, CAST(coalesce(sum(num_changes) FILTER (NOT confident), 0) AS BIGINT) AS unsure_changes FROM p""")
+def corrections_confidence_totals(df: DataFrame) -> DataFrame:
+    return repair.totals(_plan(df)).drop("parent", "child")
+
+
+def _apply(confident: bool):
+    def run(df: DataFrame) -> DataFrame:
+        return repair.apply(df, repair.cells(df, _plan(df), "parent", "child", confident_only=confident, drop_na=False)).select("initial_id", "child", "parent")
+
+    only = "AND confident" if confident else ""
+    query(f"apply_corrections_{'confident' if confident else 'all'}", CNR, f"WITH {_PLAN} SELECT initial_id, child, CASE WHEN cv IS NOT NULL {only} THEN correct_value ELSE parent END AS parent FROM f LEFT JOIN p ON child = cv")(run)
+
+
+_apply(True)
+_apply(False)
+
+
+# --- profiles and cleaning ---------------------------------------------------
+
+
+@query("null_profile", ORD, " UNION ALL ".join(f'SELECT \'{c}\' AS "column", count(*) - count({c}) AS nulls, count(*) AS rows, round((count(*) - count({c})) / count(*), 6) AS share FROM f' for c in ("status", "priority", "segment", "price", "nation", "region")))
+def null_profile(df: DataFrame) -> DataFrame:
+    return pairs.null_profile(df).withColumn("share", F.round("share", 6))
+
+
+@query("value_frequencies", ORD, "SELECT status AS value, count(*) AS n, min(initial_id) AS first FROM f WHERE status IS NOT NULL GROUP BY status")
+def value_frequencies(df: DataFrame) -> DataFrame:
+    return pairs.value_frequencies(df, "status")
+
+
+@query("value_frequencies_with_na", ORD, "SELECT status AS value, count(*) AS n, min(initial_id) AS first FROM f GROUP BY status")
+def value_frequencies_with_na(df: DataFrame) -> DataFrame:
+    return pairs.value_frequencies(df, "status", with_missing=True)
+
+
+@query("categorical_columns", ORD, " UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS present, count(DISTINCT {c}) AS distinct_values, {'false' if c == 'price' else f'count({c}) > 0 AND (count(DISTINCT {c}) < 0.5 * count({c}) OR count(DISTINCT {c}) < 100)'} AS categorical FROM f""" for c in ("status", "priority", "segment", "price", "nation", "region")))
+def categorical_columns(df: DataFrame) -> DataFrame:
+    return pairs.categorical(df).drop("kind")
+
+
+@query("drop_sparse_constant", DIRTY, "SELECT initial_id, name, blank, a, b FROM f")
+def drop_sparse_constant(df: DataFrame) -> DataFrame:
+    return clean.drop_useless_columns(df)
+
+
+@query("drop_empty_rows", DIRTY, "SELECT initial_id, a, b FROM f WHERE a IS NOT NULL OR b IS NOT NULL")
+def drop_empty_rows(df: DataFrame) -> DataFrame:
+    return clean.drop_empty_rows(df.select("initial_id", "a", "b"))
+
+
+@query("strip_to_null", DIRTY, "SELECT initial_id, nullif(trim(name), '') AS name, nullif(trim(blank), '') AS blank FROM f")
+def strip_to_null(df: DataFrame) -> DataFrame:
+    return clean.strip_texts(df.select("initial_id", "name", "blank"))
+
+
+@query("space_counters", DIRTY, """SELECT count(*) FILTER (regexp_matches(name, '^\\s+.+')) + count(*) FILTER (regexp_matches(blank, '^\\s+.+')) AS leading, count(*) FILTER (regexp_matches(name, '^.+\\s+$')) + count(*) FILTER (regexp_matches(blank, '^.+\\s+$')) AS trailing,
+    count(*) FILTER (trim(name) = '') + count(*) FILTER (trim(blank) = '') AS blanked FROM f""")
+def space_counters(df: DataFrame) -> DataFrame:
+    return clean.space_counters(df.select("initial_id", "name", "blank"))
+
+
+@query("clean_import", DIRTY, "SELECT initial_id, nullif(trim(name), '') AS name, nullif(trim(blank), '') AS blank, nullif(trim(a), '') AS a, nullif(trim(b), '') AS b FROM f WHERE NOT (name IS NULL AND blank IS NULL AND a IS NULL AND b IS NULL)")
+def clean_import(df: DataFrame) -> DataFrame:
+    return clean.clean_import(df)
+
+
+@query("dedup_rows", DIRTY, "SELECT min(initial_id) AS initial_id, a, b FROM f GROUP BY a, b")
+def dedup_rows(df: DataFrame) -> DataFrame:
+    return clean.drop_duplicates(df.select("initial_id", "a", "b"))
+
+
+@query("merge_files_union", DIRTY, "WITH u AS (SELECT a, b, NULL AS blank FROM f WHERE initial_id % 2 = 0 UNION SELECT NULL, b, blank FROM f WHERE initial_id % 2 = 1) SELECT nullif(trim(a), '') AS a, nullif(trim(b), '') AS b, nullif(trim(blank), '') AS blank FROM u")
+def merge_files_union(df: DataFrame) -> DataFrame:
+    return clean.merge([df.filter("initial_id % 2 = 0").select("initial_id", "a", "b"), df.filter("initial_id % 2 = 1").select("initial_id", "b", "blank")], useless=False)
+
+
+@query("concat_columns", ORD, "SELECT initial_id, priority, price, nation, region, coalesce(status, 'nan') || ' | ' || coalesce(segment, 'nan') AS \"status | segment\" FROM f")
+def concat_columns(df: DataFrame) -> DataFrame:
+    return clean.concat_columns(df, "status", "segment")
+
+
+# --- imputation --------------------------------------------------------------
+
+
+@query("conditional_numeric_stats", ORD, """WITH r AS (SELECT segment, status, price FROM f WHERE segment IS NOT NULL AND status IS NOT NULL AND price IS NOT NULL),
+    k AS (SELECT segment, status, price, count(*) AS c FROM r GROUP BY ALL), m AS (SELECT segment, status, price, row_number() OVER (PARTITION BY segment, status ORDER BY c DESC, price) AS r FROM k)
+    SELECT segment, status, n, mean, median, round(price, 4) AS mode, std FROM (SELECT segment, status, count(*) AS n, round(avg(price), 4) AS mean, round(median(price), 4) AS median, round(coalesce(stddev_samp(price), 0), 4) AS std FROM r GROUP BY ALL) JOIN m USING (segment, status) WHERE r = 1""")
+def conditional_numeric_stats(df: DataFrame) -> DataFrame:
+    return impute.numeric_stats(df, "price", ["segment", "status"]).select("segment", "status", "n", *(F.round(c, 4).alias(c) for c in ("mean", "median", "mode", "std")))
+
+
+@query("conditional_categorical_probs", ORD, "WITH r AS (SELECT region, segment, status AS value, count(*) AS n, min(initial_id) AS first FROM f WHERE region IS NOT NULL AND segment IS NOT NULL AND status IS NOT NULL GROUP BY ALL) SELECT *, CAST(sum(n) OVER (PARTITION BY region, segment) AS BIGINT) AS group_n, round(n / sum(n) OVER (PARTITION BY region, segment), 6) AS probability FROM r")
+def conditional_categorical_probs(df: DataFrame) -> DataFrame:
+    return impute.value_shares(df, "status", ["region", "segment"]).withColumn("probability", F.round("probability", 6))
+
+
+_MI_FEATURES = ("priority", "segment", "nation", "region")
+
+
+def _mi_sql(target: str, feature: str) -> str:
+    return f"""SELECT '{feature}' AS feature, greatest(0, sum(n / t * ln(n * t / (CAST(a AS DOUBLE) * b)))) AS mi FROM (SELECT n, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY x) AS a, sum(n) OVER (PARTITION BY y) AS b
+        FROM (SELECT {target} AS x, {feature} AS y, CAST(count(*) AS DOUBLE) AS n FROM f WHERE {target} IS NOT NULL AND {feature} IS NOT NULL GROUP BY ALL))"""
+
+
+@query("mutual_information_discrete", ORD, f"WITH m AS ({' UNION ALL '.join(_mi_sql('status', x) for x in _MI_FEATURES)}) SELECT feature, round(mi, 6) AS mi FROM m")
+def mutual_information_discrete(df: DataFrame) -> DataFrame:
+    return impute.mutual_information(df, "status", _MI_FEATURES).withColumn("mi", F.round("mi", 6))
+
+
+@query("fill_na_single", ORD, f"""WITH m AS ({' UNION ALL '.join(_mi_sql('status', x) for x in ('nation', 'region'))}), s AS (SELECT avg(mi) AS mean_mi, max(mi) AS max_mi FROM m),
+    c AS (SELECT nation, region, status, count(*) AS n, min(initial_id) AS first FROM f WHERE status IS NOT NULL GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY nation, region) AS total, row_number() OVER (PARTITION BY nation, region ORDER BY n DESC, first) AS r FROM c),
+    p AS (SELECT nation, region, status AS value, n / total AS probability, total FROM r WHERE r = 1)
+    SELECT initial_id, value AS prediction, round(probability, 6) AS probability, round(least(1, greatest(0, 0.4 * probability + 0.3 * CASE WHEN max_mi > 0 THEN mean_mi / max_mi ELSE 0 END + 0.3 * least(1, log10(greatest(total, 1)) / 2))), 6) AS confidence
+    FROM (SELECT * FROM f WHERE status IS NULL) JOIN p USING (nation, region), s
+    WHERE 0.4 * probability + 0.3 * CASE WHEN max_mi > 0 THEN mean_mi / max_mi ELSE 0 END + 0.3 * least(1, log10(greatest(total, 1)) / 2) >= 0.5""")
+def fill_na_single(df: DataFrame) -> DataFrame:
+    keys, mean_mi, max_mi = impute.top_features(impute.mutual_information(df, "status", ["nation", "region"]).collect(), 2)
+    out = impute.fills(df, "status", sorted(keys), mean_mi, max_mi)
+    return out.select("initial_id", "prediction", F.round("probability", 6).alias("probability"), F.round("confidence", 6).alias("confidence"))
+
+
+@query("fill_na_all", ORD)
+def fill_na_all(df: DataFrame) -> DataFrame:
+    return impute.fill_all(df)
+
+
+# --- rules -------------------------------------------------------------------
+
+_ITEM = "'{c}=' || coalesce({c}, 'NA')"
+_BASKET = "t AS (SELECT initial_id, unnest([" + ", ".join(_ITEM.format(c=c) for c in ("status", "segment", "region")) + "]) AS i FROM f), n AS (SELECT count(DISTINCT initial_id) AS total FROM t)"
+_ONE = "i1 AS (SELECT i AS items, 1 AS size, count(*) AS freq, count(*) / any_value(total) AS support FROM t, n GROUP BY i HAVING count(*) >= 0.05 * any_value(total))"
+_TWO = "i2 AS (SELECT x.i || '|' || y.i AS items, 2 AS size, count(*) AS freq, count(*) / any_value(total) AS support FROM t x JOIN t y ON x.initial_id = y.initial_id AND x.i < y.i, n GROUP BY x.i, y.i HAVING count(*) >= 0.05 * any_value(total))"
+_THREE = "i3 AS (SELECT x.i || '|' || y.i || '|' || z.i AS items, 3 AS size, count(*) AS freq, count(*) / any_value(total) AS support FROM t x JOIN t y ON x.initial_id = y.initial_id AND x.i < y.i JOIN t z ON x.initial_id = z.initial_id AND y.i < z.i, n GROUP BY x.i, y.i, z.i HAVING count(*) >= 0.05 * any_value(total))"
+_SETS = f"{_BASKET}, {_ONE}, {_TWO}, {_THREE}, sets AS (SELECT * FROM i1 UNION ALL SELECT * FROM i2 UNION ALL SELECT * FROM i3)"
+_RULES = f"""{_SETS}, big AS (SELECT string_split(items, '|') AS l, support FROM sets WHERE size > 1),
+    masks AS (SELECT l, support, unnest(range(1, (1 << len(l)) - 1)) AS m FROM big),
+    split AS (SELECT support, array_to_string([l[k] FOR k IN range(1, len(l) + 1) IF (m >> (k - 1)) & 1 = 1], '|') AS antecedent, array_to_string([l[k] FOR k IN range(1, len(l) + 1) IF (m >> (k - 1)) & 1 = 0], '|') AS consequent FROM masks),
+    rules AS (SELECT antecedent, consequent, split.support, split.support / a.support AS confidence, split.support / a.support / c.support AS lift FROM split JOIN sets a ON a.items = antecedent JOIN sets c ON c.items = consequent WHERE split.support / a.support >= 0.2)"""
+
+
+def _baskets(df: DataFrame) -> DataFrame:
+    return assoc.transactions(df, ["status", "segment", "region"])
+
+
+def _joined(*names: str) -> list:
+    return [F.array_join(n, "|").alias(n) for n in names]
+
+
+def _rules(df: DataFrame) -> DataFrame:
+    return assoc.association_rules(assoc.frequent_itemsets(_baskets(df), 0.05, 3), 0.2)
+
+
+@query("transactions", ORD, f"WITH {_BASKET} SELECT initial_id, string_agg(i, '|' ORDER BY i) AS items FROM t GROUP BY initial_id")
+def transactions(df: DataFrame) -> DataFrame:
+    return _baskets(df).select("initial_id", *_joined("items"))
+
+
+def _itemsets(size: int):
+    def run(df: DataFrame) -> DataFrame:
+        return assoc.frequent_itemsets(_baskets(df), 0.05, size).filter(F.col("size") == size).select(*_joined("items"), "size", "freq", F.round("support", 6).alias("support"))
+
+    query(f"itemsets_{size}", ORD, f"WITH {_SETS} SELECT items, size, freq, round(support, 6) AS support FROM i{size}")(run)
+
+
+for _size in (1, 2, 3):
+    _itemsets(_size)
+
+_SHOWN = "antecedent, consequent, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift"
+
+
+@query("association_rules", ORD, f"WITH {_RULES} SELECT {_SHOWN} FROM rules")
+def association_rules(df: DataFrame) -> DataFrame:
+    return _rules(df).select(*_joined("antecedent", "consequent"), *(F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")))
+
+
+@query("rules_filtered_sorted", ORD, f"WITH {_RULES} SELECT {_SHOWN} FROM rules WHERE lift BETWEEN 0.9 AND 1.2 AND len(string_split(antecedent, '|')) = 1 AND list_has_any(list_transform(list_concat(string_split(antecedent, '|'), string_split(consequent, '|')), lambda x: lower(x)), ['region=asia', 'status=f'])")
+def rules_filtered_sorted(df: DataFrame) -> DataFrame:
+    out = assoc.sort_rules(assoc.filter_rules(_rules(df), lift=(0.9, 1.2), antecedent_size=(1, 1), search="REGION=ASIA, status=f"), "lift")
+    return out.select(*_joined("antecedent", "consequent"), *(F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")))
+
+
+@query("rule_statistics", ORD, f"WITH {_RULES} SELECT count(*) AS rules, " + ", ".join(f"round({f}({c}), 6) AS {c}_{n}" for c in ("confidence", "lift") for n, f in (("mean", "avg"), ("median", "median"), ("min", "min"), ("max", "max"))) + " FROM rules")
+def rule_statistics(df: DataFrame) -> DataFrame:
+    out = assoc.rule_statistics(_rules(df))
+    return out.select("rules", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
+
+
+@query("rule_graph_edges", ORD, f"WITH {_RULES}, e AS (SELECT unnest(string_split(antecedent, '|')) AS source, consequent, confidence FROM rules), g AS (SELECT source, unnest(string_split(consequent, '|')) AS target, confidence FROM e), w AS (SELECT source, target, max(confidence) AS weight FROM g GROUP BY ALL) SELECT source, target, round(weight, 6) AS weight, round(coalesce((weight - min(weight) OVER ()) / nullif(max(weight) OVER () - min(weight) OVER (), 0), 0) * 3 + 0.5, 6) AS width FROM w")
+def rule_graph_edges(df: DataFrame) -> DataFrame:
+    return assoc.rule_edges(_rules(df)).select("source", "target", F.round("weight", 6).alias("weight"), F.round("width", 6).alias("width"))
+
+
+def _bins(method: str):
+    def run(df: DataFrame) -> DataFrame:
+        cuts = assoc.edges(df, "quantity", 5, method)
+        return df.groupBy(assoc.bin_label(F.col("quantity"), cuts, method).alias("bin")).agg(F.count("*").alias("n"), F.min("quantity").alias("low"), F.max("quantity").alias("high")).drop("bin")
+
+    cut = "quantile_cont(quantity, {q})" if method == "quantile" else "min(quantity) + (max(quantity) - min(quantity)) * {q}"
+    cuts = ", ".join(cut.format(q=q) + f" AS q{i}" for i, q in enumerate((0.2, 0.4, 0.6, 0.8), 1))
+    query(f"{method}_bins", LINES, f"WITH c AS (SELECT {cuts} FROM f) SELECT count(*) AS n, min(quantity) AS low, max(quantity) AS high FROM f, c GROUP BY CASE WHEN quantity <= q1 THEN 1 WHEN quantity <= q2 THEN 2 WHEN quantity <= q3 THEN 3 WHEN quantity <= q4 THEN 4 ELSE 5 END")(run)
+
+
+_bins("quantile")
+_bins("uniform")
+
+
+# --- covariance --------------------------------------------------------------
+
+_NUMBERS = ("quantity", "discount", "tax")
+
+
+@query("zscore_features", LINES, "SELECT initial_id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 4) AS {c}" for c in _NUMBERS) + " FROM f")
+def zscore_features(df: DataFrame) -> DataFrame:
+    return covariance.zscores(df, _NUMBERS).select("initial_id", *(F.round(c, 4).alias(c) for c in _NUMBERS))
+
+
+_COV = " UNION ALL ".join(f"SELECT '{a}' AS feature_i, '{b}' AS feature_j, covar_samp({a}, {b}) AS cov FROM f" for a in _NUMBERS for b in _NUMBERS)
+
+
+@query("covariance_matrix", LINES, f"WITH c AS ({_COV}) SELECT feature_i, feature_j, round(cov, 6) AS cov FROM c")
+def covariance_matrix(df: DataFrame) -> DataFrame:
+    return covariance.covariance(df, _NUMBERS).withColumn("cov", F.round("cov", 6))
+
+
+@query("covariance_summary", LINES, f'WITH c AS ({_COV}) SELECT round(min(cov), 6) AS "min", round(max(cov), 6) AS "max", round(avg(cov), 6) AS "mean", round(stddev_pop(cov), 6) AS "std" FROM c')
+def covariance_summary(df: DataFrame) -> DataFrame:
+    return covariance.summary(covariance.covariance(df, _NUMBERS)).select(*(F.round(c, 6).alias(c) for c in ("min", "max", "mean", "std")))
+
+
+@query("frequency_encoding", ORD, "SELECT initial_id, round(count(*) OVER (PARTITION BY coalesce(segment, '_MISSING_')) / count(*) OVER (), 6) AS segment FROM f")
+def frequency_encoding(df: DataFrame) -> DataFrame:
+    return covariance.frequency_encoding(df.select("initial_id", "segment"), ["segment"]).select("initial_id", F.round("segment", 6).alias("segment"))
+
+
+@query("mca_covariance_cluster", ORD)
+def mca_covariance_cluster(df: DataFrame) -> DataFrame:
+    out = covariance.analyse(df, ["status", "priority", "segment", "price", "region"], refine=True)
+    place = F.array_position(F.array(*map(F.lit, out["order"])), F.col("feature_i"))
+    return out["covariance"].withColumn("place", place)
+
+
+# --- the graph of columns ----------------------------------------------------
+
+_NATION = "SELECT n_nationkey AS initial_id, n_nationkey AS key, n_name AS name, n_regionkey AS region_key, r_name AS region FROM {nation} JOIN {region} ON n_regionkey = r_regionkey"
+_NODES = ("key", "name", "region_key", "region")
+_EDGES = f"s AS ({' UNION ALL '.join(_score_sql(a, b) for a, b in permutations(_NODES, 2))}), e AS (SELECT parent AS src, child AS dst FROM s WHERE valid = total)"
+
+
+def _edges(df: DataFrame) -> DataFrame:
+    return relations.edges_of(pairs.analyse_one_to_many(df, 95, True, _NODES), df.columns)
+
+
+@query("relation_edges_reduced", _NATION, f"""WITH {_EDGES}, both_ways AS (SELECT src, dst FROM e WHERE (dst, src) IN (SELECT (src, dst) FROM e) AND src < dst), one AS (SELECT src, dst FROM e WHERE (dst, src) NOT IN (SELECT (src, dst) FROM e)),
+    kept AS (SELECT src, dst FROM one WHERE NOT EXISTS (SELECT 1 FROM one a JOIN one b ON a.dst = b.src WHERE a.src = one.src AND b.dst = one.dst)) SELECT src, dst FROM kept UNION ALL SELECT src, dst FROM both_ways""")
+def relation_edges_reduced(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame(relations.reduced(_edges(df)), "src string, dst string")
+
+
+@query("relation_graph_stats", _NATION, f"""WITH {_EDGES}, n AS (SELECT src AS x FROM e UNION SELECT dst FROM e), d AS (SELECT x, (SELECT count(*) FROM e WHERE src = x) AS o, (SELECT count(*) FROM e WHERE dst = x) AS i FROM n)
+    SELECT count(*) AS nodes, CAST(sum(o) AS BIGINT) AS edges, count(*) FILTER (i = 0) AS roots, count(*) FILTER (o = 0) AS leaves, count(*) FILTER (i > 1) AS many_parents, count(*) FILTER (o > 1) AS many_children, NOT EXISTS (SELECT 1 FROM e a JOIN e b ON a.dst = b.src AND a.src = b.dst) AS acyclic FROM d""")
+def relation_graph_stats(df: DataFrame) -> DataFrame:
+    return relations.graph_statistics(_edges(df))
+
+
+@query("relation_colors", ORD, f"""WITH s AS ({' UNION ALL '.join(_score_sql(a, b) for a, b in permutations(TEXTS, 2))}), v AS (SELECT parent AS src, child AS dst, CASE WHEN valid > 0 THEN 1 - (100.0 * valid / total) / 100 ELSE 1.0 END AS r FROM s)
+    SELECT src, dst, CASE WHEN r <= 0 THEN '#00FF00' WHEN r >= 0.05 THEN '#FF0000' ELSE printf('#%02X%02X%02X', CAST(trunc(255 * (r / 0.05)) AS INT), CAST(trunc(255 - 255 * (r / 0.05)) AS INT), 0) END AS color FROM v""")
+def relation_colors(df: DataFrame) -> DataFrame:
+    return relations.colored_edges(relations.edges_of(pairs.analyse_one_to_many(df, 0, True, TEXTS), TEXTS)).select("src", "dst", "color")
+
+
+@query("missing_colors", ORD)
+def missing_colors(df: DataFrame) -> DataFrame:
+    nodes = df.sparkSession.createDataFrame([(c,) for c in (*TEXTS, "price", "other")], "node string")
+    return relations.colored_nodes(nodes, pairs.null_profile(df)).withColumn("share", F.round("share", 6))
+
+
+# --- trees -------------------------------------------------------------------
+
+_TREE = ("status", "segment", "region")
+
+
+@query("value_tree", ORD, """WITH r AS (SELECT coalesce(status, '<NA>') AS status, coalesce(segment, '<NA>') AS segment, coalesce(region, '<NA>') AS region, initial_id FROM f WHERE region = 'ASIA'),
+    c AS (SELECT 'status' AS col, 0 AS o, status AS value, count(*) AS n, min(initial_id) AS first FROM r GROUP BY status UNION ALL SELECT 'segment', 1, segment, count(*), min(initial_id) FROM r GROUP BY segment),
+    b AS (SELECT col FROM c GROUP BY col, o ORDER BY max(n) / sum(n) / (1 + 0.1 * greatest(0, count(*) - 2)) DESC, o LIMIT 1), l AS (SELECT *, row_number() OVER (ORDER BY n DESC, first) AS k FROM c WHERE col = (SELECT col FROM b))
+    SELECT col AS "column", value, n AS "count", round(n / (SELECT count(*) FROM r), 6) AS probability FROM l WHERE k <= 5""")
+def value_tree(df: DataFrame) -> DataFrame:
+    out = valuetree.trees(df.select("initial_id", *_TREE), "region", ["ASIA"], max_depth=1, exclude_id=False)
+    return out.filter("depth = 1").select("column", "value", "count", F.round("probability", 6).alias("probability"))
+
+
+@query("value_tree_top15", ORD)
+def value_tree_top15(df: DataFrame) -> DataFrame:
+    rows = df.select("initial_id", *_TREE, "priority")
+    return valuetree.trees(rows, "region", valuetree.top_values(rows, "region"), max_depth=3, min_probability=0.05, max_values=10, exclude_id=True)
+
+
+# --- mappings, batches, model calls --------------------------------------------
+
+_PART = "SELECT p_partkey AS initial_id, p_type AS kind, p_brand AS brand FROM {part}"
+_MAPPING = "m AS (SELECT DISTINCT kind AS original, upper(split_part(kind, ' ', 1)) AS simplified FROM f WHERE kind <> 'PROMO'), a AS (SELECT initial_id, kind, coalesce(simplified, kind) AS kind_simplified FROM f LEFT JOIN m ON kind = original)"
+
+
+def _mapped(df: DataFrame) -> DataFrame:
+    replies = batches.ask_all(batches.value_batches(df.filter("kind <> 'PROMO'"), "kind"))
+    return batches.apply_mapping(df, "kind", batches.mapping_from(replies))
+
+
+@query("mapping_apply", _PART, f"WITH {_MAPPING} SELECT initial_id, kind, kind_simplified FROM a")
+def mapping_apply(df: DataFrame) -> DataFrame:
+    return _mapped(df).select("initial_id", "kind", "kind_simplified")
+
+
+@query("mapping_preview", _PART, f"WITH {_MAPPING} SELECT DISTINCT kind, kind_simplified FROM a")
+def mapping_preview(df: DataFrame) -> DataFrame:
+    return batches.mapping_preview(_mapped(df), "kind")
+
+
+@query("mapping_reduction", _PART, f"WITH {_MAPPING} SELECT count(DISTINCT kind) AS before, count(DISTINCT kind_simplified) AS after, count(DISTINCT kind) - count(DISTINCT kind_simplified) AS fewer, round(100.0 * (count(DISTINCT kind) - count(DISTINCT kind_simplified)) / count(DISTINCT kind), 6) AS percent FROM a")
+def mapping_reduction(df: DataFrame) -> DataFrame:
+    return batches.reduction(_mapped(df), "kind").withColumn("percent", F.round("percent", 6))
+
+
+@query("batch_fixed10", ORD, "SELECT initial_id, CAST((row_number() OVER (ORDER BY initial_id) - 1) // 10 + 1 AS BIGINT) AS batch_id, CAST((row_number() OVER (ORDER BY initial_id) - 1) % 10 + 1 AS INT) AS local_id FROM f")
+def batch_fixed10(df: DataFrame) -> DataFrame:
+    return batches.fixed(df).select("initial_id", "batch_id", "local_id")
+
+
+@query("batch_by_group", ORD)
+def batch_by_group(df: DataFrame) -> DataFrame:
+    return batches.by_group(df, "nation").select("initial_id", "nation", "batch_id")
+
+
+_DOCS = "SELECT doc_id AS initial_id, lang, source, n_chars FROM {documents}"
+
+
+@query("row_to_string", _DOCS, "SELECT initial_id, initial_id || ' ' || lang || ' ' || source || ' ' || n_chars AS line FROM f")
+def row_to_string(df: DataFrame) -> DataFrame:
+    return df.select("initial_id", batches.row_line(["lang", "source", "n_chars"]).alias("line"))
+
+
+@query("prompt_rows", _DOCS, """SELECT initial_id, '{"lang":"' || lang || '","source":"' || source || '","_row_id":' || initial_id || '}' AS line FROM f""")
+def prompt_rows(df: DataFrame) -> DataFrame:
+    return df.select("initial_id", batches.row_json(["lang", "source"]).alias("line"))
+
+
+@query("llm_extract_stub", _DOCS)
+def llm_extract_stub(df: DataFrame) -> DataFrame:
+    asked = batches.prompts(batches.by_group(df, "source"), ["source", "lang"])
+    return batches.join_results(df, batches.extracted(batches.ask_all(asked)))
+
+
+@query("resume_batches", _DOCS)
+def resume_batches(df: DataFrame) -> DataFrame:
+    folder = _scratch(df.sparkSession, "replies")
+    batches.extract_resumable(df, "source", ["source", "lang"], folder, most_batches=3)
+    return batches.extract_resumable(df, "source", ["source", "lang"], folder)
+
+
+_REPLIES = """SELECT 1 AS id, 'Here: {"a b": "A", "c": "C"} done' AS reply UNION ALL SELECT 2, '{"x": "X", "y": "Y",' UNION ALL SELECT 3, 'nothing' UNION ALL SELECT 4, '{"k": "v"}'"""
+
+
+@query("json_mapping_parse", _REPLIES, "SELECT * FROM (VALUES (1, 'a b', 'A'), (1, 'c', 'C'), (2, 'x', 'X'), (2, 'y', 'Y'), (4, 'k', 'v')) v(id, original, simplified)")
+def json_mapping_parse(df: DataFrame) -> DataFrame:
+    return df.select("id", F.explode(json_mapping(F.col("reply"))).alias("original", "simplified"))
+
+
+_VENDOR_LINES = """SELECT 'Acme Inc; A1, A2; acme' AS value UNION ALL SELECT 'Acme; A2;x;A3; acme corp, acme' UNION ALL SELECT 'bolt' UNION ALL SELECT 'Crane Ltd; C' UNION ALL SELECT ' ; q; r'"""
+
+
+@query("vendor_parse_merge", _VENDOR_LINES, "SELECT * FROM (VALUES ('Acme', 'A1, A2, A2;x;A3', 'acme, acme corp'), ('bolt', '', ''), ('Crane', 'C', '')) v(vendor, families, aliases)")
+def vendor_parse_merge(df: DataFrame) -> DataFrame:
+    return vendors.merge(vendors.parse(df))
+
+
+# --- files -------------------------------------------------------------------
+
+
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes nations as Latin-1 CSV and reads them again, with the encoding detected."""
+    folder = _scratch(spark, "csv")
+    sinks.write_csv(frame(spark, sf_dir, _NATION).withColumn("name", F.concat("name", F.lit(" é"))), folder, "latin-1", with_id=True)
+    return readers.read_csv(spark, folder)
+
+
+def txt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _scratch(spark, "lines")
+    frame(spark, sf_dir, "SELECT '  ' || r_name AS value FROM {region} UNION ALL SELECT '   '").write.text(folder)
+    return readers.read_lines(spark, folder, "region")
+
+
+QUERIES |= {"csv_roundtrip": csv_roundtrip, "txt_lines": txt_lines}
+ORACLES |= {
+    "csv_roundtrip": f"SELECT initial_id, key, name || ' é' AS name, region_key, region FROM ({plain(_NATION)})",
+    "txt_lines": "SELECT r_name AS region FROM region",
+}

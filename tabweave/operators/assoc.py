@@ -90,9 +90,13 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.1, max_size: in
 
 def _choose(items: Column, k: int) -> Column:
     """All sorted k-subsets of a sorted array."""
+
+    def longer(chosen: Column) -> Column:
+        return F.transform(F.filter(items, lambda y: y > F.element_at(chosen, -1)), lambda y: F.concat(chosen, F.array(y)))
+
     out = F.transform(items, lambda x: F.array(x))
     for _ in range(k - 1):
-        out = F.flatten(F.transform(out, lambda s: F.transform(F.filter(items, lambda y, s=s: y > F.element_at(s, -1)), lambda y, s=s: F.concat(s, F.array(y)))))
+        out = F.flatten(F.transform(out, longer))
     return out
 
 
