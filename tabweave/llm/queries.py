@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import bpe, jaccard_join, language_id, mixing, nearest, quality_classifier, quality_rules, token_files, url_filter
+from tabweave.llm import bpe, jaccard_join, language_id, lm_scoring, mixing, nearest, quality_classifier, quality_rules, token_files, url_filter
 from tabweave.llm.common import crc_mod, table
 
 
@@ -43,6 +43,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2, tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
 
@@ -64,7 +68,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_language_id": op2_language_id, "op3_mixing": op3_mixing, "op4_nearest": op4_nearest, "op5_quality_rules": op5_quality_rules, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_quality_classifier": op9_quality_classifier, "op10_token_files": op10_token_files}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_language_id": op2_language_id, "op3_mixing": op3_mixing, "op4_nearest": op4_nearest, "op5_quality_rules": op5_quality_rules, "op6_lm_scoring": op6_lm_scoring, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_quality_classifier": op9_quality_classifier, "op10_token_files": op10_token_files}
 
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for words in quality_rules.STOP_WORDS.values() for w in words}))
 
