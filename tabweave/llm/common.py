@@ -134,7 +134,7 @@ class Words:
         return out
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 22):
+def pieces(offsets: np.ndarray, most: int = 1 << 21):
     """Ranges of rows of at most ``most`` bytes (or one row)."""
     a = 0
     while a < len(offsets) - 1:
