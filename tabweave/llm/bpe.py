@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -28,10 +29,12 @@ from tabweave.llm.common import bounded_batches
 #: A last symbol with the word-end mark is shifted into a private range, so that it is one character.
 _END = 0xF0000
 #: Entries kept per worker in the memo of words and of token pairs; a full memo is emptied.
-MEMO = 400_000
+MEMO = 100_000
 #: Unicode white space as a character class. Python's own also has the four separators of ``_ODD``.
 _WHITE = r"\t-\r\x85\p{Z}"
 _ODD = re.compile("[\x1c-\x1f]")
+#: Letters below this character are the same in all Unicode tables.
+_LATIN, _MARKS = "\u0250", frozenset(".,;:!?")
 
 
 def byte_letters() -> dict[int, str]:
@@ -104,6 +107,7 @@ class Codec:
             self.automaton.add_word(s, s)
         self.automaton.make_automaton()
         self.compatible = Memo(lambda pair: self.merge(pair[0] + pair[1]) == [x for x in pair if x])
+        self.piece = Memo(self._encode_piece)
         self.word = Memo(self._encode_word)
 
     def _symbols(self, token: str) -> str:
@@ -115,10 +119,13 @@ class Codec:
     def merge(self, symbols: str) -> list[str]:
         """Plain merging by rank, for a pair of tokens."""
         parts = list(symbols)
+        rank, none = self.rank.get, 1 << 60
         while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 60))
-            if (parts[best], parts[best + 1]) not in self.rank:
+            ranks = [rank(pair, none) for pair in zip(parts, parts[1:])]
+            least = min(ranks)
+            if least == none:
                 break
+            best = ranks.index(least)
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
@@ -134,18 +141,26 @@ class Codec:
 
     def _encode_word(self, word: str) -> bytes:
         """Ids (little-endian 32 bits) of a string without white space or special tokens."""
-        word = self.white.sub(" ", unicodedata.normalize("NFC", word)).replace("Σ", "σ").lower()
-        out = []
-        for piece in matches(self.split, word):
-            symbols = "".join(self.letters[b] for b in piece.encode())
-            if self.suffix:
-                symbols = symbols[:-1] + chr(_END + ord(symbols[-1]))
-            last, j, back = self._last_tokens(symbols), len(symbols), []
-            while j:
-                back.append(self.ids[last[j]])
-                j -= len(last[j])
-            out += back[::-1]
-        return np.array(out, "<u4").tobytes()
+        if not word.isascii():
+            word = self.white.sub(" ", unicodedata.normalize("NFC", word)).replace("Σ", "σ")
+        word, piece = word.lower(), self.piece.__getitem__
+        # most words are Latin letters, perhaps with one mark, which needs no search
+        if word and max(word) < _LATIN:
+            if word.isalpha():
+                return piece(word)
+            if word[-1] in _MARKS and word[:-1].isalpha():
+                return piece(word[:-1]) + piece(word[-1])
+        return b"".join(map(piece, matches(self.split, word)))
+
+    def _encode_piece(self, piece: str) -> bytes:
+        symbols = piece.encode().decode("latin-1").translate(self.letters)
+        if self.suffix:
+            symbols = symbols[:-1] + chr(_END + ord(symbols[-1]))
+        last, j, back = self._last_tokens(symbols), len(symbols), []
+        while j:
+            back.append(self.ids[last[j]])
+            j -= len(last[j])
+        return struct.pack(f"<{len(back)}I", *reversed(back))
 
     def encode(self, text: str) -> bytes:
         word = self.word.__getitem__
