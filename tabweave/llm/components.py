@@ -12,6 +12,8 @@ from tabweave.llm.common import durable
 
 #: Edges that one task contracts at a time; a graph of at most so many is done then.
 TASK_EDGES = 1_000_000
+#: Tasks whose contracted edges are contracted together.
+MERGED = 8
 
 
 def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,13 +60,18 @@ def contracted(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node reached) for every node of an edge.
 
-    Tasks first contract the edges they hold. What is left, if more than
-    ``TASK_EDGES``, is settled by rounds of label propagation with pointer jumping:
-    labels are joined with edges, never gathered. Self loops are allowed, nulls
-    are not edges.
+    Tasks first contract the edges they hold, then those of several tasks together
+    as long as this halves them. What is left, if more than ``TASK_EDGES``, is
+    settled by rounds of label propagation with pointer jumping: labels are joined
+    with edges, never gathered. Self loops are allowed, nulls are not edges.
     """
     pairs = durable(contracted(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).dropna()))
-    if pairs.limit(TASK_EDGES + 1).count() <= TASK_EDGES:
+    n, before, tasks = pairs.count(), float("inf"), pairs.rdd.getNumPartitions()
+    while TASK_EDGES < n <= before / 2 and tasks > 1:
+        tasks = -(-tasks // MERGED)
+        pairs, before = durable(contracted(pairs.coalesce(tasks))), n
+        n = pairs.count()
+    if n <= TASK_EDGES:
         return durable(contracted(pairs.coalesce(1)).select(F.col("a").alias("node"), F.col("b").alias("component")))
     both = durable(pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a")).distinct())
     labels = durable(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")))
