@@ -71,9 +71,12 @@ def test_fills_of_unknown_and_single_groups(spark):
 
 def test_later_fills_see_earlier_ones(spark):
     rows = [(i, "ab"[i % 2], "xy"[i % 2], "pq"[i % 2]) for i in range(40)] + [(40, "a", None, None)]
-    out = impute.fill_all(spark.createDataFrame(rows, "initial_id long, k string, t string, u string"))
-    last = out.filter("initial_id = 40").first()
-    assert (last.t, last.u) == ("x", "p")
+    df = spark.createDataFrame(rows, "initial_id long, k string, t string, u string")
+    first, second = ({"target": t, "columns": [k], "mean_mi": 1.0, "max_mi": 1.0} for t, k in (("t", "k"), ("u", "t")))
+    at = lambda out: tuple(out.filter("initial_id = 40").select("t", "u").first())
+    assert at(impute.fill(df, second)) == (None, None)
+    assert at(impute.fill(impute.fill(df, first), second)) == ("x", "p")
+    assert at(impute.fill_all(df, top_k=1)) == ("x", "p")
 
 
 def test_batches(spark):
