@@ -15,7 +15,8 @@ has fewer). Two texts link when ``den * |A and B| >= num * |A or B|``.
    coordinates of its point and of the node's upper corner; nodes and points
    whose bound is too small are skipped, and survivors are verified exactly. Pairs
    that earlier links already connect need no check. Large candidate sets are cut
-   into blocks of bounded size, and pairs of blocks are tasks of their own.
+   by set size into bands, these into blocks of bounded size, and pairs of blocks of
+   the same or neighbouring bands are tasks of their own.
 4. Links give components by label propagation.
 
 All pairs that survive are verified on 64-bit token hashes. Texts are read whole.
@@ -27,10 +28,11 @@ candidates.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -248,43 +250,55 @@ def link(sets: list[np.ndarray], side: np.ndarray, plan: Plan) -> list[tuple[int
 
 def _links(members: DataFrame, docs: DataFrame, words: int, plan: Plan) -> DataFrame:
     """a, b: links that connect the linked sets of each candidate set; members: id, node, n, component."""
-    sizes = members.groupBy("component").agg(F.sum("n").alias("tokens")).withColumn("blocks", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("long"))
+    sizes = members.groupBy("component").agg(F.sum("n").alias("tokens"))
     total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     bins = total // BLOCK_TOKENS + 1
-    placed = members.join(sizes, "component").select("id", "node", "component", "blocks")
-    rows = docs.join(small_or_not(placed), "id").select("component", "node", "blocks", "_tw_text")
+    # bands of sizes a little wider than linked sets can differ, so that links stay within a band or join neighbours
+    width = math.log(max(plan.den / plan.num, 1.001)) * (1 + 1e-6)
+    large = sizes.withColumn("large", F.col("tokens") > BLOCK_TOKENS).select("component", "large")
+    banded = durable(members.join(large, "component").withColumn("band", F.when(F.col("large"), F.floor(F.log("n") / width)).otherwise(0).cast("long")))
+    order = Window.partitionBy("component").orderBy("band")
+    blocks = banded.groupBy("component", "band").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("long").alias("blocks"))
+    beside = lambda f, d: F.coalesce(F.when(f("band").over(order) == F.col("band") + d, f("blocks").over(order)), F.lit(0))
+    blocks = blocks.withColumns({"below": beside(F.lag, -1), "above": beside(F.lead, 1)})  # a component has few bands
+    placed = banded.join(blocks, ["component", "band"]).select("id", "node", "component", "large", "band", "blocks", "below", "above")
+    rows = docs.join(small_or_not(placed), "id").select("component", "node", "large", "band", "blocks", "below", "above", "_tw_text")
+    kept = "component long, node long, large boolean, band long, blocks long, below long, above long"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            for i, j, w in word_batches(b.column(3)):
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], b.column(2)[i:j], pa.array([s.tobytes() for s in w.shingles(words)], pa.binary())], names=["component", "node", "blocks", "tokens"])
-
-    sets = rows.mapInArrow(run, "component long, node long, blocks long, tokens binary")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    sets = sets.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+            for i, j, w in word_batches(b.column(7)):
+                yield pa.RecordBatch.from_arrays([*(b.column(k)[i:j] for k in range(7)), pa.array([s.tobytes() for s in w.shingles(words)], pa.binary())], names=[*b.schema.names[:7], "tokens"])
+
+    sets = rows.mapInArrow(run, f"{kept}, tokens binary").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # a set meets all blocks of its own band and of the neighbouring ones; (band, i, j, across) names the pair of blocks
+    meets = """concat(
+        transform(sequence(0L, blocks - 1), t -> struct(band, least(own, t) AS i, greatest(own, t) AS j, false AS across, own <= t AS side)),
+        transform(filter(sequence(0L, greatest(above, 1L) - 1), t -> t < above), t -> struct(band, own AS i, t AS j, true AS across, true AS side)),
+        transform(filter(sequence(0L, greatest(below, 1L) - 1), t -> t < below), t -> struct(band - 1 AS band, t AS i, own AS j, true AS across, false AS side)))"""
+    sets = sets.withColumn("pair", F.explode(F.expr(meets)))
     # small candidate sets share a task; each pair of blocks of a large one is a task
-    sets = sets.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.xxhash64("component", "i", "j")))
+    sets = sets.withColumn("task", F.when(F.col("large"), F.xxhash64("component", "pair.band", "pair.i", "pair.j", "pair.across")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bins))))
 
     def solve(table):
         import pyarrow as pa
 
-        component, i, j = (table.column(c).to_numpy() for c in ("component", "i", "j"))
-        ids, own, tokens = table.column("node").to_numpy(), table.column("own").to_numpy(), table.column("tokens").to_pylist()
-        order = np.lexsort((ids, j, i, component))
-        cuts = np.flatnonzero(np.concatenate([[True], (np.diff(component[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0), [True]])) if len(order) else []
+        keys = np.stack([table.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("across", "j", "i", "band", "component")])
+        ids, side, tokens = table.column("node").to_numpy(), table.column("side").to_numpy(zero_copy_only=False), table.column("tokens").to_pylist()
+        order = np.lexsort((ids, *keys))
+        cuts = np.flatnonzero(np.concatenate([[True], (np.diff(keys[:, order], axis=1) != 0).any(0), [True]])) if len(order) else []
         a, b = [], []
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             at = order[s:e]
             sets = [np.frombuffer(tokens[x], np.uint64) for x in at]
-            for x, y in link(sets, own[at] == i[at[0]], plan):
+            for x, y in link(sets, side[at], plan):
                 a.append(ids[at[x]])
                 b.append(ids[at[y]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return sets.select("task", "component", "i", "j", "own", "node", "tokens").groupBy("task").applyInArrow(solve, "a long, b long")
+    return sets.select("task", "component", "pair.*", "node", "tokens").groupBy("task").applyInArrow(solve, "a long, b long")
 
 
 def components(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
