@@ -152,37 +152,32 @@ def word_batches(column, fold: bool = True):
 
 class WordTable:
     """Ids of words by their hash, in flat arrays: what the same worker has encoded before is looked up for all
-    words of a batch at once. Emptied beyond ``most`` words."""
+    words of a batch at once. The first ``most`` distinct words are kept, which holds the frequent ones."""
 
-    def __init__(self, dtype: str, most: int = 3_000_000):
+    def __init__(self, dtype: str, most: int = 600_000):
         self.dtype, self.most = dtype, most
         self.keys, self.first, self.flat = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, dtype)
 
-    def _add(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
-        if len(self.keys) + len(keys) > self.most:
-            self.keys, self.first, self.flat = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, self.dtype)
-        all_keys = np.concatenate([self.keys, keys])
-        sizes = np.concatenate([np.diff(self.first), [len(x) for x in ids]]).astype(np.int64)
-        flat = np.concatenate([self.flat, *ids]).astype(self.dtype)
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        order = np.argsort(all_keys)
-        self.keys, self.flat = all_keys[order], flat[spread(starts[order], sizes[order])]
-        self.first = np.concatenate([[0], np.cumsum(sizes[order])])
-
     def encode(self, keys: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and the number of each word's; ``make(i)`` encodes the word at place i."""
         unique, at, back = np.unique(keys, return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, unique)
         known = np.zeros(len(unique), bool) if not len(self.keys) else self.keys[np.minimum(place, len(self.keys) - 1)] == unique
-        if not known.all():
-            new = np.flatnonzero(~known)
-            if len(self.keys) + len(new) > self.most:
-                new = np.arange(len(unique))
-            self._add(unique[new], [np.asarray(make(int(i)), self.dtype) for i in at[new]])
-            place = np.searchsorted(self.keys, unique)
-        place = place[back]
-        sizes = (self.first[1:] - self.first[:-1])[place]
-        return self.flat[spread(self.first[place], sizes)], sizes
+        new, flat = np.flatnonzero(~known), self.flat
+        sizes, starts = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
+        sizes[known], starts[known] = np.diff(self.first)[place[known]], self.first[:-1][place[known]]
+        if len(new):
+            made = [np.asarray(make(int(i)), self.dtype) for i in at[new]]
+            n = np.array([len(x) for x in made], np.int64)
+            sizes[new], starts[new] = n, len(flat) + np.cumsum(n) - n
+            flat = np.concatenate([flat, *made])
+            if len(self.keys) < self.most:
+                all_keys = np.concatenate([self.keys, unique[new]])
+                all_starts, all_sizes = np.concatenate([self.first[:-1], starts[new]]), np.concatenate([np.diff(self.first), n])
+                order = np.argsort(all_keys)
+                self.keys, self.flat = all_keys[order], flat[spread(all_starts[order], all_sizes[order])]
+                self.first = np.concatenate([[0], np.cumsum(all_sizes[order])])
+        return flat[spread(starts[back], sizes[back])], sizes[back]
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

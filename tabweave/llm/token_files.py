@@ -31,7 +31,7 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("n_tokens", "<u4"), ("length", "<u4"), ("p
 SHARD_BYTES, SHARD_DOCS = 4 << 20, 8192
 #: The dictionary is trained on at most so many documents (chosen by a hash of their id) and so many bytes.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 16 << 20, 64 << 10
-MATCHES = 300_000
+MATCHES = 120_000
 _ID = attrgetter("id")
 SHARDS = "part int, shard int, first_id long, last_id long, n_docs long, n_tokens long, dictionary string, entries binary, payload binary"
 
