@@ -5,7 +5,10 @@ depend on each other) are combined with the declared markup language, the
 address suffix, and a prior for the host that is smoothed towards its domain and
 then towards the whole table. The last three come from grouped counts of the
 texts' likeliest languages over all rows. Only the trigram table is fitted on a
-sample: at most ``SAMPLE`` labelled rows, chosen by a hash of the key.
+sample: of each labelled language all rows, or about ``SAMPLE`` of them, chosen by
+a hash of the key (rows that repeat a key go together). Languages whose rows hold
+no trigram can't be learned, and are named in a warning, as are those of fewer than
+``FEW`` rows.
 
 ``und`` stands for no known language: its likelihood is that of trigrams which
 no language explains. Texts are read whole. Null and empty texts have no text
@@ -16,17 +19,20 @@ suffixes and declarations are no evidence.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.llm.common import _FOLD, LOWER, UPPER, bounded_batches, durable, mix, pieces, small_or_not, string_bytes
 
-BITS, SAMPLE = 16, 4000
+BITS, SAMPLE, FEW = 16, 4000, 20
 #: Log probability of a trigram under no language, the trigrams that count at most, and how many of them are worth one independent draw.
 UNKNOWN, MOST, TEMPER = -12.0, 600, 4.0
+#: A language with little text gives unseen trigrams this log probability, below ``UNKNOWN``, so that it does not draw what no language explains.
+UNSEEN = -14.0
 #: Pseudo-counts of the host's prior towards the domain's, and of the domain's towards the whole.
 STRENGTH = 5.0
 UND = "und"
@@ -62,9 +68,21 @@ class Model:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     spark = docs.sparkSession
     bounded_batches(spark)
-    labelled = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull())
-    share = min(1.0, 1.2 * sample / max(1, labelled.count()))
-    rows = labelled.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(sample).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("_tw_text"))
+    labelled = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("_tw_text"), F.shiftrightunsigned(F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key)), 1).alias("_tw_hash"))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("_tw_hash").alias("first")).collect()  # a row per language
+    upto = {r.lang: (1 << 63) - 1 if r.n <= sample else max(r.first, int(1.2 * sample / r.n * 2.0**62) << 1) for r in sizes}
+    upto = {x: min(h, (1 << 63) - 1) for x, h in upto.items()}
+
+    def below(limits: dict[str, int]) -> DataFrame:
+        limit = F.broadcast(spark.createDataFrame(sorted(limits.items()), "lang string, _tw_upto long"))
+        return labelled.join(limit, "lang").filter(F.col("_tw_hash") <= F.col("_tw_upto"))
+
+    large = {r.lang: upto[r.lang] for r in sizes if r.n > sample}
+    if large:
+        by_hash = below(large).groupBy("lang", "_tw_hash").agg(F.count("*").alias("n"))  # about 1.2 x sample rows a language
+        so_far = by_hash.select("lang", "_tw_hash", F.sum("n").over(Window.partitionBy("lang").orderBy("_tw_hash")).alias("rows"))
+        upto |= {r.lang: r.upto for r in so_far.groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("rows") <= sample, F.col("_tw_hash"))), F.min("_tw_hash")).alias("upto")).collect()}
+    rows = below(upto).select("lang", "_tw_text")
 
     def run(batches):
         import pyarrow as pa
@@ -79,10 +97,14 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     counts = rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
-    table = np.full((1 << BITS, len(languages)), 0.1)
+    if poor := sorted(r.lang for r in sizes if r.n < FEW or r.lang not in languages):
+        warnings.warn(f"languages with fewer than {FEW} labelled rows or without text, which are learned poorly or not at all: {', '.join(poor)}", stacklevel=2)
+    table = np.zeros((1 << BITS, len(languages)))
     for k, x in enumerate(languages):
         mine = counts[counts["lang"] == x]
-        table[mine["bucket"].to_numpy(), k] += mine["n"].to_numpy()
+        table[mine["bucket"].to_numpy(), k] = mine["n"].to_numpy()
+    least = math.exp(UNSEEN)
+    table += np.minimum(0.1, table.sum(0) * least / (1 - least * (1 << BITS)))
     return Model(languages, np.log(table / table.sum(0)).astype(np.float32))
 
 

@@ -47,6 +47,20 @@ def test_languages_of_clean_prose(spark):
     assert all(r.language == r.lang and r.kept for r in out)
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_every_labelled_language_is_learned(spark, parts):
+    fi = ["tämä on talo ja kissa istuu siellä puutarhassa joen luona", "kissa ja koira ovat talossa ja puutarha on joen luona", "talo on siellä ja koira istuu puutarhassa"]
+    df = prose(spark).drop("source", "n_chars")
+    df = df.unionByName(spark.createDataFrame([(1000 + i, t, "fi") for i, t in enumerate(fi)] + [(None, "zde je dům a kočka sedí na zahradě u řeky", "cs")], "doc_id long, text string, lang string"))
+    df = df.orderBy("lang").coalesce(1).repartitionByRange(parts, "lang")
+    with pytest.warns(UserWarning, match="cs, fi"):
+        model = language_id.fit(df, sample=20)
+    assert model.languages == ["cs", "de", "en", "fi"]
+    new = spark.createDataFrame([(1, "koira istuu talossa ja kissa on puutarhassa", "fi"), (2, "qzxqvv jjkqq wxzzq vvkqjx " * 9, "und")], "doc_id long, text string, lang string")
+    out = language_id.identify(df.unionByName(new), model, F.col("text"), carry=["lang"]).collect()
+    assert len(out) == 246 and all(r.language == r.lang for r in out)
+
+
 def test_rules_keep_clean_prose_and_reject_repetition(spark):
     df = prose(spark).unionByName(odd(spark, [(900, "buy now " * 200, "en", "s"), (901, "the and of", "en", "s")]))
     kept = {r.doc_id for r in quality_rules.judge(df).filter("kept").collect()}
