@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,8 +65,14 @@ def by_group(df: DataFrame, group: str, least: int = LEAST_ROWS, most: int = MOS
 
 
 def fixed(df: DataFrame, size: int = FEW_ROWS) -> DataFrame:
-    """batch_id and local_id (1..size) for blocks of ``size`` rows in row order, by range partitions and their offsets."""
-    ordered = df.repartitionByRange(ROW_ID).sortWithinPartitions(ROW_ID).withColumn("_p", F.spark_partition_id())
+    """batch_id and local_id (1..size) for blocks of ``size`` rows in row order, by range partitions and their offsets.
+
+    The partitions are written once (``checkpoint()``): planned twice, counts and rows may be partitioned differently.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tw-ckpt-"))
+    ordered = df.repartitionByRange(ROW_ID).withColumn("_p", F.spark_partition_id()).checkpoint()
     counts = ordered.groupBy("_p").count()
     before = counts.select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_before"))  # a row per partition
     place = F.row_number().over(Window.partitionBy("_p").orderBy(ROW_ID)) - 1 + F.col("_before")

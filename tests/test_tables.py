@@ -127,3 +127,15 @@ def test_every_query_with_sql_is_registered():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_fixed_batches_keep_wide_rows(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        df = spark.range(0, 150_000, 1, 8).select(((F.col("id") * 7919) % 150_000).alias("initial_id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 2).alias("a"), F.sha2((F.col("id") + 1).cast("string"), 512).alias("b"))
+        wrong = (F.col("batch_id") != F.floor(F.col("initial_id") / 10) + 1) | (F.col("local_id") != F.col("initial_id") % 10 + 1) | F.col("a").isNull() | F.col("b").isNull()
+        r = batches.fixed(df).agg(F.count("*").alias("n"), F.count_if(wrong).alias("wrong"), F.countDistinct("a", "b").alias("rows")).first()
+        assert (r.n, r.wrong, r.rows) == (150_000, 0, 150_000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
