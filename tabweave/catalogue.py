@@ -6,8 +6,6 @@ expressible in it; the rest is held against small examples in the tests.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from itertools import combinations, permutations
 
@@ -16,8 +14,11 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.text import json_mapping
 from tabweave.operators import assoc, batches, clean, covariance, impute, pairs, relations, repair, valuetree, vendors
-from tabweave.plans.fixtures import CNR, DIRTY, LINES, ORD, frame, plain
+from tabweave.functions.text import json_row, short_hash, shown, shown_percent, shown_thousands
+from tabweave.plans.fixtures import CNR, DIRTY, GROUPS, LINES, ORD, frame, plain
 from tabweave.sources import readers, sinks
+from tabweave.storage import numbered
+from tabweave.storage import scratch as _scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,18 +32,14 @@ def query(name: str, fixture: str, sql: str | None = None):
         QUERIES[name] = lambda spark, sf_dir: f(frame(spark, sf_dir, fixture))
         if sql is not None:
             head, sep, rest = sql.strip().partition("WITH ")
-            more = f", {rest}" if sep and not head else f" {sql.strip()}"
-            ORACLES[name] = f"WITH f AS ({plain(fixture)}){more}"
+            recursive = "RECURSIVE " * rest.startswith("RECURSIVE ")
+            more = f", {rest.removeprefix(recursive)}" if sep and not head else f" {sql.strip()}"
+            ORACLES[name] = f"WITH {recursive}f AS ({plain(fixture)}){more}"
         return f
 
     return add
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabweave-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 # --- relationships -----------------------------------------------------------
 
 
@@ -75,9 +72,30 @@ def one_to_many_all_pairs(df: DataFrame) -> DataFrame:
     return _scored(pairs.analyse_one_to_many(df, 0, True, TEXTS))
 
 
-@query("one_to_many_all_pairs_95", ORD, f"WITH s AS ({' UNION ALL '.join(_score_sql(a, b) for a, b in permutations(TEXTS, 2))}) {_SCORED} WHERE valid * 100.0 / nullif(total, 0) >= 95")
+_GROUPS = ("leaf", "branch", "other")
+_SOME = f"s AS ({' UNION ALL '.join(_score_sql(a, b) for a, b in permutations(_GROUPS, 2))})"
+
+
+@query("one_to_many_all_pairs_95", GROUPS, f"WITH {_SOME} {_SCORED} WHERE valid * 100.0 / nullif(total, 0) >= 95")
 def one_to_many_95(df: DataFrame) -> DataFrame:
-    return _scored(pairs.analyse_one_to_many(df, 95, True, TEXTS))
+    return _scored(pairs.analyse_one_to_many(df, 95, True, _GROUPS))
+
+
+_PLACE = f"list_position({list(_GROUPS)}, parent), list_position({list(_GROUPS)}, child)"
+
+
+def _placed(df: DataFrame, *columns: str) -> DataFrame:
+    return numbered(df, "place").select("place", *columns)
+
+
+@query("one_to_many_ranked", GROUPS, f"WITH {_SOME} SELECT row_number() OVER (ORDER BY coalesce(100.0 * valid / nullif(total, 0), 0) DESC, {_PLACE}) - 1 AS place, parent, child FROM s")
+def one_to_many_ranked(df: DataFrame) -> DataFrame:
+    return _placed(pairs.analyse_one_to_many(df, 0, True, _GROUPS), "parent", "child")
+
+
+@query("errors_ranked", GROUPS, f"WITH {_SOME} SELECT row_number() OVER (ORDER BY CASE WHEN valid > 0 THEN 1 - (100.0 * valid / total) / 100 ELSE 1.0 END DESC, {_PLACE}) - 1 AS place, parent, child FROM s WHERE valid < total")
+def errors_ranked(df: DataFrame) -> DataFrame:
+    return _placed(pairs.analyse_errors(df, True, _GROUPS), "parent", "child")
 
 
 def _one_sql(a: str, b: str, drop: bool) -> str:
@@ -289,15 +307,24 @@ def transactions(df: DataFrame) -> DataFrame:
 
 
 def _itemsets(size: int):
+    least = 0.01 if size == 3 else 0.05
+
     def run(df: DataFrame) -> DataFrame:
-        return assoc.frequent_itemsets(_baskets(df), 0.05, size).filter(F.col("size") == size).select(*_joined("items"), "size", "freq", F.round("support", 6).alias("support"))
+        return assoc.frequent_itemsets(_baskets(df), least, size).filter(F.col("size") == size).select(*_joined("items"), "size", "freq", F.round("support", 6).alias("support"))
 
-    query(f"itemsets_{size}", ORD, f"WITH {_SETS} SELECT items, size, freq, round(support, 6) AS support FROM i{size}")(run)
+    query(f"itemsets_{size}", ORD, f"WITH {_SETS.replace('0.05', str(least))} SELECT items, size, freq, round(support, 6) AS support FROM i{size}")(run)
 
 
 for _size in (1, 2, 3):
     _itemsets(_size)
 
+
+
+@query("itemsets_ranked", ORD, f"WITH {_SETS} SELECT row_number() OVER (ORDER BY size, support DESC, items) - 1 AS place, items FROM sets")
+def itemsets_ranked(df: DataFrame) -> DataFrame:
+    return _placed(assoc.sort_itemsets(assoc.frequent_itemsets(_baskets(df), 0.05, 3)), *_joined("items"))
+
+
 _SHOWN = "antecedent, consequent, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift"
 
 
@@ -401,7 +428,12 @@ def relation_colors(df: DataFrame) -> DataFrame:
     return relations.colored_edges(relations.edges_of(pairs.analyse_one_to_many(df, 0, True, TEXTS), TEXTS)).select("src", "dst", "color")
 
 
-@query("missing_colors", ORD)
+_NODE_SHARES = " UNION ALL ".join(f"SELECT '{c}' AS node, (count(*) - count({c})) / count(*) AS share FROM f" for c in (*TEXTS, "price")) + " UNION ALL SELECT 'other', 0.0"
+_RGB = "printf('#%02X%02X%02X', CAST(trunc({0}) AS INT), CAST(trunc({1}) AS INT), CAST(trunc({2}) AS INT))"
+
+
+@query("missing_colors", ORD, f"""WITH s AS ({_NODE_SHARES}) SELECT node, round(share, 6) AS share, CASE WHEN share = 0 THEN '#006400' WHEN share >= 0.5 THEN '#8B0000'
+    WHEN share <= 0.15 THEN {_RGB.format('139 * (share / 0.15)', '100 - 31 * (share / 0.15)', '19 * (share / 0.15)')} ELSE {_RGB.format('139', '69 - 69 * ((share - 0.15) / 0.35)', '19 - 19 * ((share - 0.15) / 0.35)')} END AS color FROM s""")
 def missing_colors(df: DataFrame) -> DataFrame:
     nodes = df.sparkSession.createDataFrame([(c,) for c in (*TEXTS, "price", "other")], "node string")
     return relations.colored_nodes(nodes, pairs.null_profile(df)).withColumn("share", F.round("share", 6))
@@ -421,10 +453,27 @@ def value_tree(df: DataFrame) -> DataFrame:
     return out.filter("depth = 1").select("column", "value", "count", F.round("probability", 6).alias("probability"))
 
 
-@query("value_tree_top15", ORD)
+def _tree_sql(columns: tuple[str, ...], root: str, depth: int, least: float, most: int) -> str:
+    """The tree of all values of ``root``, level by level."""
+    steps = [f"r0 AS (SELECT {root} AS node, {root} AS root, ['{root}'] AS used, {', '.join(columns)} FROM b)"]
+    for d in range(1, depth + 1):
+        cells = " UNION ALL ".join(f"SELECT node, root, '{c}' AS col, {i} AS o, {c} AS value FROM r{d - 1} WHERE NOT list_contains(used, '{c}')" for i, c in enumerate(columns))
+        steps.append(f"c{d} AS (SELECT node, root, col, o, value, count(*) AS n FROM ({cells}) GROUP BY ALL)")
+        steps.append(f"p{d} AS (SELECT node, col, sum(n) AS total, row_number() OVER (PARTITION BY node ORDER BY max(n) / sum(n) / (1 + 0.10 * greatest(0, count(*) - 2)) DESC, o) AS k FROM c{d} GROUP BY node, col, o)")
+        steps.append(f"l{d} AS (SELECT c.node || chr(31) || col || '=' || value AS node_id, c.node AS parent_id, root, {d} AS depth, col, value, n, n / total AS probability FROM (SELECT c.*, total, row_number() OVER (PARTITION BY c.node ORDER BY n DESC, value) AS r FROM c{d} c JOIN p{d} p USING (node, col) WHERE k = 1) c WHERE r <= {most} AND n / total >= {least})")
+        now = "CASE l.col " + " ".join(f"WHEN '{c}' THEN r.{c}" for c in columns) + " END"
+        steps.append(f"r{d} AS (SELECT node_id AS node, r.root, list_append(used, col) AS used, {', '.join(f'r.{c}' for c in columns)} FROM r{d - 1} r JOIN l{d} l ON r.node = l.parent_id AND {now} = l.value)")
+    start = f"SELECT {root} AS node_id, NULL AS parent_id, {root} AS root, 0 AS depth, '{root}' AS col, {root} AS value, count(*) AS n, 1.0 AS probability FROM b GROUP BY {root}"
+    rows = " UNION ALL ".join([start, *(f"SELECT * FROM l{d}" for d in range(1, depth + 1))])
+    filled = ", ".join("coalesce(" + c + ", '<NA>') AS " + c for c in columns)
+    base = f"b AS (SELECT {filled} FROM f)"
+    return f'WITH {base}, {", ".join(steps)} SELECT node_id, parent_id, root, CAST(depth AS INT) AS depth, col AS "column", value, n AS "count", round(probability, 6) AS probability FROM ({rows})'
+
+
+@query("value_tree_top15", ORD, _tree_sql((*_TREE, "priority"), "region", 3, 0.05, 10))
 def value_tree_top15(df: DataFrame) -> DataFrame:
     rows = df.select("initial_id", *_TREE, "priority")
-    return valuetree.trees(rows, "region", valuetree.top_values(rows, "region"), max_depth=3, min_probability=0.05, max_values=10, exclude_id=True)
+    return valuetree.trees(rows, "region", valuetree.top_values(rows, "region"), max_depth=3, min_probability=0.05, max_values=10, exclude_id=True).withColumn("probability", F.round("probability", 6))
 
 
 # --- mappings, batches, model calls --------------------------------------------
@@ -434,8 +483,7 @@ _MAPPING = "m AS (SELECT DISTINCT kind AS original, upper(split_part(kind, ' ',
 
 
 def _mapped(df: DataFrame) -> DataFrame:
-    replies = batches.ask_all(batches.value_batches(df.filter("kind <> 'PROMO'"), "kind"))
-    return batches.apply_mapping(df, "kind", batches.mapping_from(replies))
+    return batches.simplify(df, "kind", _scratch(df.sparkSession, "simplified"))[0]
 
 
 @query("mapping_apply", _PART, f"WITH {_MAPPING} SELECT initial_id, kind, kind_simplified FROM a")
@@ -458,7 +506,16 @@ def batch_fixed10(df: DataFrame) -> DataFrame:
     return batches.fixed(df).select("initial_id", "batch_id", "local_id")
 
 
-@query("batch_by_group", ORD)
+def _batches_sql(group: str) -> str:
+    """Blocks of 50 rows a group, in order, folded into batches: ``placed`` has the rows with their batch."""
+    joins = "fold.size < 35 AND fold.size + b.n <= 50"
+    return f"""WITH RECURSIVE rows_ AS (SELECT *, (row_number() OVER (PARTITION BY {group} ORDER BY initial_id) - 1) // 50 AS block FROM f WHERE {group} IS NOT NULL),
+        blocks AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY g, block) AS k FROM (SELECT {group} AS g, block, count(*) AS n FROM rows_ GROUP BY ALL)),
+        fold AS (SELECT k, CAST(1 AS BIGINT) AS batch_id, n AS size FROM blocks WHERE k = 1 UNION ALL SELECT b.k, CASE WHEN {joins} THEN batch_id ELSE batch_id + 1 END, CASE WHEN {joins} THEN fold.size + b.n ELSE b.n END FROM fold JOIN blocks b ON b.k = fold.k + 1),
+        placed AS (SELECT rows_.*, batch_id FROM rows_ JOIN blocks ON {group} = g AND rows_.block = blocks.block JOIN fold USING (k))"""
+
+
+@query("batch_by_group", ORD, f"{_batches_sql('nation')} SELECT initial_id, nation, batch_id FROM placed")
 def batch_by_group(df: DataFrame) -> DataFrame:
     return batches.by_group(df, "nation").select("initial_id", "nation", "batch_id")
 
@@ -471,18 +528,51 @@ def row_to_string(df: DataFrame) -> DataFrame:
     return df.select("initial_id", batches.row_line(["lang", "source", "n_chars"]).alias("line"))
 
 
+@query("product_codes", _PART, "SELECT initial_id, kind, upper(string_split(kind, ' ')[1]) AS product_code FROM f")
+def product_codes(df: DataFrame) -> DataFrame:
+    return batches.label_rows(df, ["kind", "brand"], "product_code", batches.CODE_PROMPT, _scratch(df.sparkSession, "codes")).select("initial_id", "kind", "product_code")
+
+
+@query("product_categories", _PART, "SELECT initial_id, kind, string_split(kind, ' ')[-1] AS product_category FROM f")
+def product_categories(df: DataFrame) -> DataFrame:
+    return batches.label_rows(df, ["brand", "kind"], "product_category", batches.CATEGORY_PROMPT, _scratch(df.sparkSession, "categories")).select("initial_id", "kind", "product_category")
+
+
+@query("report_counts", ORD, """WITH g AS (SELECT segment, count(*) AS rows, count(*) FILTER (trim(status) <> '') AS filled FROM f GROUP BY segment)
+    SELECT CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(filled) AS BIGINT) AS filled, count(segment) AS groups, round(sum(rows) FILTER (segment IS NOT NULL) / count(segment), 6) AS rows_per_group FROM g""")
+def report_counts(df: DataFrame) -> DataFrame:
+    return clean.report_counts(df, "status", "segment").withColumn("rows_per_group", F.round("rows_per_group", 6))
+
+
+@query("label_encoding", ORD, "SELECT initial_id, CASE WHEN priority IS NOT NULL THEN dense_rank() OVER (ORDER BY priority) - 1 END AS priority FROM (SELECT * FROM f WHERE priority IS NOT NULL) UNION ALL SELECT initial_id, NULL FROM f WHERE priority IS NULL")
+def label_encoding(df: DataFrame) -> DataFrame:
+    return clean.label_encoded(df.select("initial_id", "priority"), "priority")
+
+
+@query("shown_values", ORD, """SELECT initial_id, printf('%.4f', price) AS fixed_digits, printf('%.2f', initial_id / 7.0 / 100 * 100) || '%' AS percentage, format('{:,}', initial_id) AS thousands,
+    substr(md5(coalesce(status, '') || chr(31) || nation), 1, 8) AS hash FROM f""")
+def shown_values(df: DataFrame) -> DataFrame:
+    share = F.col("initial_id") / F.lit(7.0) / 100
+    return df.select("initial_id", shown(F.col("price")).alias("fixed_digits"), shown_percent(share).alias("percentage"), shown_thousands(F.col("initial_id")).alias("thousands"), short_hash(F.col("status"), F.col("nation")).alias("hash"))
+
+
+@query("json_rows", ORD, """SELECT initial_id, '{"status":' || coalesce('"' || status || '"', 'null') || ',"nation":"' || nation || '"}' AS line FROM f""")
+def json_rows(df: DataFrame) -> DataFrame:
+    return df.select("initial_id", json_row(df.select("status", "nation")).alias("line"))
+
+
 @query("prompt_rows", _DOCS, """SELECT initial_id, '{"lang":"' || lang || '","source":"' || source || '","_row_id":' || initial_id || '}' AS line FROM f""")
 def prompt_rows(df: DataFrame) -> DataFrame:
     return df.select("initial_id", batches.row_json(["lang", "source"]).alias("line"))
 
 
-@query("llm_extract_stub", _DOCS)
+@query("llm_extract_stub", _DOCS, "SELECT *, source AS product_name, source AS manufacturer FROM f")
 def llm_extract_stub(df: DataFrame) -> DataFrame:
     asked = batches.prompts(batches.by_group(df, "source"), ["source", "lang"])
     return batches.join_results(df, batches.extracted(batches.ask_all(asked)))
 
 
-@query("resume_batches", _DOCS)
+@query("resume_batches", _DOCS, f"{_batches_sql('source')} SELECT initial_id AS row_id, source AS product_name, source AS manufacturer, batch_id FROM placed")
 def resume_batches(df: DataFrame) -> DataFrame:
     folder = _scratch(df.sparkSession, "replies")
     batches.extract_resumable(df, "source", ["source", "lang"], folder, most_batches=3)

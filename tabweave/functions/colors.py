@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: RGB ends of the scales.
-GREEN, ORANGE, RED, DARK_RED, BRIGHT_GREEN, BRIGHT_RED = (0, 100, 0), (255, 165, 0), (255, 0, 0), "#8B0000", (0, 255, 0), (255, 0, 0)
+GREEN, ORANGE, RED, BRIGHT_GREEN, BRIGHT_RED = (0x00, 0x64, 0x00), (0x8B, 0x45, 0x13), (0x8B, 0x00, 0x00), (0x00, 0xFF, 0x00), (0xFF, 0x00, 0x00)
 
 
 def between(low: tuple, high: tuple, ratio: Column) -> Column:
@@ -15,12 +15,13 @@ def between(low: tuple, high: tuple, ratio: Column) -> Column:
 
 
 def of_missing(share: Column) -> Column:
-    """Node colour by share of missing values."""
+    """Node colour by share of missing values, held within [0, 1]."""
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
     return (
         F.when(share <= 0, "#006400")
         .when(share <= 0.15, between(GREEN, ORANGE, share / 0.15))
         .when(share < 0.50, between(ORANGE, RED, (share - 0.15) / 0.35))
-        .otherwise(DARK_RED)
+        .otherwise("#8B0000")
     )
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DataType, FractionalType, StringType
+from pyspark.sql.types import BooleanType, DataType, DatetimeType, DoubleType, FloatType, FractionalType, StringType
 
 #: Strings that a CSV reader takes as missing.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -65,6 +65,38 @@ def percent(x: float) -> str:
     return f"{x:.2%}"
 
 
+def shown(c: Column, digits: int = 4) -> Column:
+    """Fixed digits, without separators."""
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c.cast("double")))
+
+
+def shown_percent(c: Column) -> Column:
+    """A share as a percentage with two digits."""
+    return F.when(c.isNotNull(), F.concat(F.format_string("%.2f", c.cast("double") * 100), F.lit("%")))
+
+
+def shown_thousands(c: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(c.cast("long"), 0)
+
+
+def short_hash(*columns: Column, digits: int = 8) -> Column:
+    """The first hexadecimal digits of the MD5 of the values as text, with a separator between them; missing values count as empty."""
+    return F.substring(F.md5(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)).cast("binary")), 1, digits)
+
+
+def json_safe(c: Column, kind: DataType) -> Column:
+    """The value as JSON can hold it: numbers that aren't finite become null, times become text."""
+    if isinstance(kind, DoubleType | FloatType):
+        return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    return c.cast("string") if isinstance(kind, DatetimeType) else c
+
+
+def json_row(df: DataFrame) -> Column:
+    """A row as a JSON object, missing values as null."""
+    return F.to_json(F.struct(*(json_safe(F.col(f.name), f.dataType).alias(f.name) for f in df.schema)), {"ignoreNullFields": "false"})
+
+
 def json_object(c: Column) -> Column:
     """The outermost {...} of a reply, else null."""
     return F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit(""))

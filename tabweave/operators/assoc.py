@@ -12,14 +12,14 @@ from pyspark.sql.types import BooleanType, NumericType
 
 from tabweave.functions.text import as_text, significant
 from tabweave.operators.pairs import ROW_ID
+from tabweave.storage import materialised, quantiles
 
 
 def edges(df: DataFrame, column: str, bins: int = 5, method: str = "quantile") -> list[float]:
     """Bin edges of a numeric column, without repeats; quantiles are exact and interpolated."""
     c = F.col(column).cast("double")
     if method == "quantile":
-        got = df.agg(F.percentile(c, [i / bins for i in range(bins + 1)])).first()[0]
-        return sorted(set(got or []))
+        return sorted(set(quantiles(df, c, [i / bins for i in range(bins + 1)])))
     low, high = df.agg(F.min(c), F.max(c)).first()
     if low is None:
         return []
@@ -64,40 +64,36 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.1, max_size: in
 
     Identical baskets are counted once with their multiplicity. Candidates of a
     level join two sets with equal prefixes and drop those with an infrequent
-    subset; their support is counted by exploding each distinct basket's frequent
-    items into sets of that size, never by testing sets against all baskets.
+    subset. A basket's candidates grow from the frequent sets of the level before that it
+    holds, by an item that it holds too; other subsets are never formed. Every level is written once.
     """
-    weighted = baskets.groupBy("items").agg(F.count("*").alias("w")).persist()
+    weighted = materialised(baskets.groupBy("items").agg(F.count("*").alias("w")))
     total = weighted.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     least = max(1, math.ceil(min_support * total - 1e-9))
-    level = weighted.select(F.explode("items").alias("i"), "w").groupBy("i").agg(F.sum("w").alias("freq")).filter(F.col("freq") >= least).select(F.array("i").alias("items"), "freq").persist()
+    level = materialised(weighted.select(F.explode("items").alias("i"), "w").groupBy("i").agg(F.sum("w").alias("freq")).filter(F.col("freq") >= least).select(F.array("i").alias("items"), "freq"))
     found, size = level, 1
     singles = level.select(F.col("items")[0].alias("i"))
     flat = weighted.withColumn("b", F.xxhash64("items")).select("b", "w", F.explode("items").alias("i")).join(F.broadcast(singles) if singles.count() <= 100_000 else singles, "i", "left_semi")
-    rest = flat.groupBy("b", "w").agg(F.array_sort(F.collect_list("i")).alias("kept")).persist()
-    while (max_size is None or size < max_size) and level.limit(1).count():
+    kept = flat.groupBy("b", "w").agg(F.array_sort(F.collect_list("i")).alias("kept"))
+    held = kept.select("b", "w", "kept", F.explode("kept").alias("i")).select("b", "w", "kept", F.array("i").alias("items"))
+    while (max_size is None or size < max_size) and not level.isEmpty():
         size += 1
         left = level.select(F.col("items").alias("a"), F.slice("items", 1, size - 2).alias("p"), F.element_at("items", -1).alias("x"))
         right = level.select(F.slice("items", 1, size - 2).alias("p"), F.element_at("items", -1).alias("y"))
         joined = left.join(right, "p").filter("x < y").select(F.concat("a", F.array("y")).alias("items"))
         subsets = joined.select("items", F.posexplode("items").alias("pos", "drop")).select("items", F.filter("items", lambda v: v != F.col("drop")).alias("s"))
         sure = subsets.join(level.select(F.col("items").alias("s")), "s").groupBy("items").count().filter(F.col("count") == size).select("items")
-        grown = rest.select("w", F.explode(_choose(F.col("kept"), size)).alias("items"))
-        level = grown.join(sure, "items", "left_semi").groupBy("items").agg(F.sum("w").alias("freq")).filter(F.col("freq") >= least).persist()
+        wanted = sure.select(F.slice("items", 1, size - 1).alias("items"), F.element_at("items", -1).alias("more"))
+        grown = materialised(held.join(wanted, "items").filter(F.array_contains("kept", F.col("more"))).select("b", "w", "kept", F.array_append("items", F.col("more")).alias("items")))
+        level = materialised(grown.groupBy("items").agg(F.sum("w").alias("freq")).filter(F.col("freq") >= least))
+        held = grown.join(level.select("items"), "items", "left_semi")
         found = found.unionByName(level)
     return found.select("items", F.size("items").alias("size"), "freq", (F.col("freq") / total if total else F.lit(0.0)).alias("support"))
 
 
-def _choose(items: Column, k: int) -> Column:
-    """All sorted k-subsets of a sorted array."""
-
-    def longer(chosen: Column) -> Column:
-        return F.transform(F.filter(items, lambda y: y > F.element_at(chosen, -1)), lambda y: F.concat(chosen, F.array(y)))
-
-    out = F.transform(items, lambda x: F.array(x))
-    for _ in range(k - 1):
-        out = F.flatten(F.transform(out, longer))
-    return out
+def sort_itemsets(itemsets: DataFrame) -> DataFrame:
+    """By size, then by support with the highest first; ties by items."""
+    return itemsets.orderBy("size", F.desc("support"), "items")
 
 
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.5) -> DataFrame:

@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.functions.text import json_mapping, strip_to_null
+from tabweave.operators.clean import with_default
 from tabweave.operators.pairs import ROW_ID, require
+from tabweave.storage import materialised, numbered
 
 LEAST_ROWS, MOST_ROWS, MOST_VALUES, FEW_ROWS = 35, 50, 100, 10
 PROMPT = "Answer with one JSON object for these rows.\n[rows]"
@@ -34,50 +37,77 @@ def pack(sizes: Iterable[int], least: int = LEAST_ROWS, most: int = MOST_ROWS) -
     return out
 
 
-def by_group(df: DataFrame, group: str, least: int = LEAST_ROWS, most: int = MOST_ROWS) -> DataFrame:
-    """``df`` with batch_id (from 1): groups in order, cut into blocks of ``most`` rows, small ones packed together.
+def _blocks(sizes: DataFrame, least: int, most: int) -> DataFrame:
+    """_g, first, last: the batch of a group's first block and of its last, from rows (_g, n) of group sizes.
 
-    Rows with a missing group get no batch and are left out. Only the list of
-    groups with their sizes passes through one task, as text sorted by group.
+    Groups are ranges in order. Whether a block joins the batch before it depends only on
+    that batch's size, or on its being closed, so every range first says for each such state how
+    many batches it opens and in which state it ends; these few numbers give each range its first state.
     """
-    rows = df.filter(F.col(group).isNotNull())
-    place = F.row_number().over(Window.partitionBy(group).orderBy(ROW_ID)) - 1
-    rows = rows.withColumn("_block", F.floor(place / most))
-    sizes = rows.groupBy(group, "_block").count()
 
-    def fold(batches):
+    def step(state, n: int):
+        """States and opened batches after a group, and whether its last block opened one; ``least`` stands for a closed batch."""
+        full, rest = divmod(n, most)
+        if full:
+            joined, state = np.zeros(len(state), bool), np.full(len(state), least)
+            return (np.full(len(state), min(rest, least)), np.full(len(state), full + 1), joined) if rest else (state, np.full(len(state), full), joined)
+        joined = (state < least) & (state + rest <= most)
+        return np.minimum(np.where(joined, state + rest, rest), least), np.where(joined, 0, 1), joined
+
+    def summarise(batches):
         import pandas as pd
+        from pyspark import TaskContext
 
-        last, size, batch = False, 0, 0
+        state, opened = np.arange(least + 1), np.zeros(least + 1, np.int64)
         for b in batches:
-            ids = []
-            for n in b["count"]:
-                if last and size < least and size + n <= most:
-                    size += n
-                else:
-                    batch, size, last = batch + 1, n, True
-                ids.append(batch)
-            yield pd.DataFrame({"_g": b["_g"], "_block": b["_block"], "batch_id": ids})
+            for n in b["n"]:
+                state, more, _ = step(state, int(n))
+                opened += more
+        yield pd.DataFrame({"_p": TaskContext.get().partitionId(), "ends": [state.tolist()], "opened": [opened.tolist()]})
+
+    ordered = materialised(sizes.orderBy("_g"))
+    ranges = ordered.mapInPandas(summarise, "_p int, ends array<long>, opened array<long>").orderBy("_p").collect()  # a row per partition
+    begin, state, opened = {}, least, 0
+    for r in ranges:
+        begin[r["_p"]] = state, opened
+        state, opened = r.ends[state], opened + r.opened[state]
+
+    def number(batches):
+        import pandas as pd
+        from pyspark import TaskContext
 
-    ordered = sizes.select(F.col(group).alias("_g"), "_block", "count").orderBy("_g", "_block").coalesce(1)
-    ids = ordered.mapInPandas(fold, f"_g {dict(df.dtypes)[group]}, _block long, batch_id long")
-    return rows.join(ids, (rows[group] == ids["_g"]) & (rows["_block"] == ids["_block"])).select(*(rows[c] for c in df.columns), "batch_id")
+        first, opened = begin[TaskContext.get().partitionId()]
+        state = np.array([first])
+        for b in batches:
+            firsts, lasts = [], []
+            for n in b["n"]:
+                state, more, joined = step(state, int(n))
+                firsts.append(opened if joined[0] else opened + 1)
+                opened += int(more[0])
+                lasts.append(opened)
+            yield pd.DataFrame({"_g": b["_g"], "first": firsts, "last": lasts})
 
+    return ordered.mapInPandas(number, f"_g {dict(sizes.dtypes)['_g']}, first long, last long")
 
-def fixed(df: DataFrame, size: int = FEW_ROWS) -> DataFrame:
-    """batch_id and local_id (1..size) for blocks of ``size`` rows in row order, by range partitions and their offsets.
 
-    The partitions are written once (``checkpoint()``): planned twice, counts and rows may be partitioned differently.
+def by_group(df: DataFrame, group: str, least: int = LEAST_ROWS, most: int = MOST_ROWS) -> DataFrame:
+    """``df`` with batch_id (from 1): groups in order, cut into blocks of ``most`` rows in row order, small ones packed together.
+
+    Rows with a missing group get no batch and are left out. Rows are numbered over ranges of
+    (group, row), so that a large group is spread over tasks.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tw-ckpt-"))
-    ordered = df.repartitionByRange(ROW_ID).withColumn("_p", F.spark_partition_id()).checkpoint()
-    counts = ordered.groupBy("_p").count()
-    before = counts.select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_before"))  # a row per partition
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(ROW_ID)) - 1 + F.col("_before")
-    out = ordered.join(F.broadcast(before), "_p").withColumn("_place", place)
-    return out.withColumn("batch_id", F.floor(F.col("_place") / size) + 1).withColumn("local_id", (F.col("_place") % size + 1).cast("int")).drop("_p", "_before", "_place")
+    rows = numbered(df.filter(F.col(group).isNotNull()), "_place", [group, ROW_ID])
+    sizes = materialised(rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("n"), F.min("_place").alias("_start")))
+    blocks = _blocks(sizes.select("_g", "n"), least, most).join(sizes, "_g")
+    block = F.floor((F.col("_place") - F.col("_start")) / most)
+    out = rows.join(blocks, rows[group] == blocks["_g"])
+    return out.select(*(rows[c] for c in df.columns), (F.least(F.col("first") + block, F.col("last"))).cast("long").alias("batch_id"))
+
+
+def fixed(df: DataFrame, size: int = FEW_ROWS) -> DataFrame:
+    """batch_id and local_id (1..size) for blocks of ``size`` rows in row order, by range partitions and their offsets."""
+    out = numbered(df, "_place", [ROW_ID])
+    return out.withColumns({"batch_id": F.floor(F.col("_place") / size) + 1, "local_id": (F.col("_place") % size + 1).cast("int")}).drop("_place")
 
 
 def by_first_letter(df: DataFrame, column: str) -> DataFrame:
@@ -99,7 +129,9 @@ def row_line(columns: Sequence[str]) -> Column:
 
 
 def prompts(batched: DataFrame, columns: Sequence[str], template: str = PROMPT, group: str | None = None) -> DataFrame:
-    """batch_id, prompt: ``Row id: json`` lines in row order, put into the template."""
+    """batch_id, prompt: ``Row id: json`` lines in row order, put into the template; rows without any value are left out."""
+    values = [strip_to_null(F.col(c).cast("string")).isNotNull() for c in columns]
+    batched = batched.filter(reduce(Column.__or__, values)) if values else batched
     line = F.concat(F.lit("Row "), F.col(ROW_ID).cast("string"), F.lit(": "), row_json(columns, F.col(group).cast("string") if group else None))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(ROW_ID).alias("i"), line.alias("line")))), lambda x: x.line), "\n")
     return batched.groupBy("batch_id").agg(lines.alias("lines")).select("batch_id", F.replace(F.lit(template), F.lit("[rows]"), F.col("lines")).alias("prompt"))
@@ -107,9 +139,14 @@ def prompts(batched: DataFrame, columns: Sequence[str], template: str = PROMPT,
 
 class OfflineClient:
     """Deterministic replies: for each ``Row id: {...}`` line the first value's leading words and last word;
-    for other lines their first word in capitals."""
+    where the prompt names a field, for each line that starts with a number its first word in capitals (a code) or its
+    last word; for other lines their first word in capitals."""
 
     def ask(self, prompt: str) -> str:
+        if field := re.search(r'"(product_code|product_category)"', prompt):
+            lines = [(int(i), t.split()) for i, t in re.findall(r"^(\d+) (.*)$", prompt, re.M)]
+            word = (lambda w: w[0].upper()) if field[1] == "product_code" else (lambda w: w[-1])
+            return json.dumps({"rows": [{"row_id": i, field[1]: word(w) if w else ""} for i, w in lines]})
         rows = [json.loads(m) for m in re.findall(r"^Row [^:]*: (\{.*\})$", prompt, re.M)]
         if rows:
             texts = [(r["_row_id"], next((str(v) for k, v in r.items() if not k.startswith("_")), "")) for r in rows]
@@ -153,16 +190,10 @@ def extracted(replies: DataFrame, fields: Sequence[str] = ("product_name", "manu
 
 def extract_resumable(df: DataFrame, group: str, columns: Sequence[str], folder: str, factory: Callable = offline_client, template: str = PROMPT, most_batches: int | None = None) -> DataFrame:
     """Extracts rows' fields; replies are appended to ``folder``, and batches that it holds are not asked again."""
-    spark = df.sparkSession
     require(df, group, *columns)
     asked = prompts(by_group(df, group), columns, template, group)
     asked = asked if most_batches is None else asked.filter(F.col("batch_id") <= most_batches)
-    store = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store):
-        done = spark.read.parquet(folder).filter("error IS NULL").select("batch_id")
-        asked = asked.join(done, "batch_id", "left_anti")
-    ask_all(asked, factory).write.mode("append").parquet(folder)
-    return extracted(spark.read.parquet(folder).filter("error IS NULL"))
+    return extracted(_answered(asked, folder, factory))
 
 
 def join_results(df: DataFrame, results: DataFrame, fields: Sequence[str] = ("product_name", "manufacturer"), keep_all: bool = False) -> DataFrame:
@@ -171,6 +202,55 @@ def join_results(df: DataFrame, results: DataFrame, fields: Sequence[str] = ("pr
     return df.join(last.select(F.col("row_id").alias(ROW_ID), *fields), ROW_ID, "left")
 
 
+#: Instructions for one field per row; ``[rows]`` and ``[vendors]`` are replaced.
+CODE_PROMPT = """Find the product code (a model, part or stock number) in each numbered row; give an empty text if there is none.
+Answer with one JSON object {"rows": [{"row_id": number, "product_code": text}]}.
+[rows]"""
+CATEGORY_PROMPT = """Name the category of the product in each numbered row; give an empty text if it is unclear.
+Answer with one JSON object {"rows": [{"row_id": number, "product_category": text}]}.
+[rows]"""
+EXTRACT_PROMPT = """Name the product and its manufacturer in each row, a JSON object after the row's number. Use a vendor's name from this list where it fits:
+[vendors]
+Answer with one JSON object {"rows": [{"row_id": number, "product_name": text, "manufacturer": text}]}.
+[rows]"""
+
+
+def with_vendors(template: str, vendors: Sequence[tuple[str, Sequence[str]]]) -> str:
+    """The template with a table of vendors and their aliases, one a line."""
+    return template.replace("[vendors]", "\n".join(f"{name}: {', '.join(aliases)}" if aliases else name for name, aliases in vendors))
+
+
+def lacking(config: dict[str, str | None], names: Sequence[str] = ("endpoint", "key", "deployment")) -> list[str]:
+    """Names of settings that a client needs and the configuration lacks or leaves blank."""
+    return [n for n in names if not str(config.get(n) or "").strip()]
+
+
+def label_rows(df: DataFrame, columns: Sequence[str], field: str, template: str, folder: str, factory: Callable = offline_client, size: int = FEW_ROWS) -> DataFrame:
+    """``df`` with ``field`` (added as an empty text if absent), asked for in batches of ``size`` rows numbered 1..size.
+
+    Replies are appended to ``folder``, and batches that it holds are not asked again. A reply's numbers lead
+    back to the rows; a row without an answer, or of a batch whose call failed, keeps its value.
+    """
+    rows = fixed(with_default(df, field), size)
+    line = F.concat(F.col("local_id").cast("string"), F.lit(" "), F.array_join(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), " "))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("local_id", line.alias("line")))), lambda x: x.line), "\n")
+    asked = rows.groupBy("batch_id").agg(lines.alias("lines")).select("batch_id", F.replace(F.lit(template), F.lit("[rows]"), F.col("lines")).alias("prompt"))
+    answers = extracted(_answered(asked, folder, factory), [field]).groupBy("batch_id", "row_id").agg(F.max(field).alias("_new"))
+    answers = answers.withColumnRenamed("row_id", "local_id")
+    return rows.join(answers, ["batch_id", "local_id"], "left").withColumn(field, F.coalesce("_new", field)).select(*df.columns, *([field] if field not in df.columns else []))
+
+
+def _answered(asked: DataFrame, folder: str, factory: Callable) -> DataFrame:
+    """All replies in ``folder`` that aren't errors, after asking for the batches that it lacks."""
+    spark = asked.sparkSession
+    store = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store):
+        done = spark.read.parquet(folder).filter("error IS NULL").select("batch_id")
+        asked = asked.join(done, "batch_id", "left_anti")
+    ask_all(asked, factory).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder).filter("error IS NULL")
+
+
 # --- value mappings ----------------------------------------------------------
 
 
@@ -194,6 +274,15 @@ def apply_mapping(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     return df.join(m, F.col(column) == F.col("_o"), "left").withColumn(f"{column}_simplified", F.coalesce("_s", column)).drop("_o", "_s")
 
 
+def simplify(df: DataFrame, column: str, folder: str, factory: Callable = offline_client, size: int = MOST_VALUES) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with ``<column>_simplified``, the mapping): distinct values are asked for in batches, replies parsed and merged, and the mapping applied.
+
+    A batch whose call fails or whose reply can't be parsed leaves its values as they are.
+    """
+    mapping = materialised(mapping_from(_answered(value_batches(df, column, size), folder, factory)))
+    return apply_mapping(df, column, mapping), mapping
+
+
 def mapping_preview(df: DataFrame, column: str) -> DataFrame:
     return df.select(column, f"{column}_simplified").distinct().orderBy(column)
 

@@ -11,16 +11,14 @@ from pyspark.sql.types import StringType
 
 from tabweave.functions.text import as_text, ends_with_space, starts_with_space, strip_to_null
 from tabweave.operators.pairs import ROW_ID, columns_of
+from tabweave.storage import numbered
 
 MOSTLY = 0.98
 
 
 def with_row_id(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
-    """``initial_id`` 1..n in the order of the rows; it replaces an existing one."""
-    df = df.drop(ROW_ID)
-    schema = df.schema.add(ROW_ID, "long") if not df.columns else df.select("*", F.lit(0).cast("long").alias(ROW_ID)).schema
-    rows = df.orderBy(*order) if order else df
-    return df.sparkSession.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema)
+    """``initial_id`` 1..n in the order of the rows; it replaces an existing one. The rows are written once."""
+    return numbered(df.drop(ROW_ID), ROW_ID, list(order) if order else None).withColumn(ROW_ID, F.col(ROW_ID) + 1)
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -98,3 +96,26 @@ def concat_columns(df: DataFrame, a: str, b: str) -> DataFrame:
     """Replaces two columns by ``a | b``; missing values print as ``nan``."""
     text = F.concat(as_text(F.col(a), df.schema[a].dataType, "nan"), F.lit(" | "), as_text(F.col(b), df.schema[b].dataType, "nan"))
     return df.select(*(c for c in df.columns if c not in (a, b)), text.alias(f"{a} | {b}"))
+
+
+def with_default(df: DataFrame, column: str, value: object = "") -> DataFrame:
+    """``df`` with a constant column, unless it has one of that name."""
+    return df if column in df.columns else df.withColumn(column, F.lit(value))
+
+
+def label_encoded(df: DataFrame, column: str) -> DataFrame:
+    """The column's values replaced by 0, 1, ... in ascending order; missing stays missing. Only distinct values are sorted."""
+    values = df.select(F.col(column).alias("_v")).filter("_v IS NOT NULL").distinct()
+    codes = numbered(values, "_code", ["_v"])
+    return df.join(codes, F.col(column) == F.col("_v"), "left").withColumn(column, F.col("_code")).select(df.columns)
+
+
+def report_counts(df: DataFrame, result: str, group: str | None = None) -> DataFrame:
+    """rows, filled (rows with a non-blank result) and, by group, groups and average rows per group (0 for no rows)."""
+    filled = F.count_if(strip_to_null(F.col(result).cast("string")).isNotNull()).alias("filled")
+    if group is None:
+        return df.agg(F.count("*").alias("rows"), filled)
+    out = df.groupBy(group).agg(F.count("*").alias("rows"), filled)
+    known = F.col(group).isNotNull()
+    average = F.coalesce(F.try_divide(F.sum(F.when(known, F.col("rows"))), F.count_if(known)), F.lit(0.0))
+    return out.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("filled"), F.lit(0)).alias("filled"), F.count_if(known).alias("groups"), average.alias("rows_per_group"))

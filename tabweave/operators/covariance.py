@@ -16,9 +16,11 @@ from pyspark.sql.types import StringType
 
 from tabweave.operators.impute import is_numeric
 from tabweave.operators.pairs import ROW_ID, categorical, pair_counts
+from tabweave.storage import materialised
 
 MISSING = "_MISSING_"
-MOST_CATEGORIES = 2000
+#: Categories up to which their table is a matrix on the driver, and rounds of iteration beyond.
+MOST_CATEGORIES, ROUNDS = 2000, 25
 
 
 def classify(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list[str], list[str]]:
@@ -46,46 +48,91 @@ def frequency_encoding(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
-def burt_scores(df: DataFrame, columns: Sequence[str], components: int | None = None) -> tuple[dict[tuple[str, str], np.ndarray], np.ndarray]:
-    """Category coordinates and inertias of multiple correspondence analysis, from the table of pair counts."""
+def category_scores(df: DataFrame, columns: Sequence[str], components: int | None = None) -> tuple[DataFrame, np.ndarray, float]:
+    """(c, v, scores as an array; inertias; total inertia) of multiple correspondence analysis, from the table of pair counts.
+
+    Up to MOST_CATEGORIES categories the table is a matrix on the driver; beyond, its leading vectors
+    come from orthogonal iteration, in which only sums over all categories reach the driver.
+    """
     filled = df.select(ROW_ID, *(F.coalesce(F.col(c), F.lit(MISSING)).alias(c) for c in columns))
-    singles = filled.select(F.inline(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns)))).groupBy("c", "v").count()
-    own = singles.limit(MOST_CATEGORIES + 1).collect()
-    if len(own) > MOST_CATEGORIES:
-        raise ValueError("too many categories for correspondence analysis; use frequency encoding alone")
+    singles = materialised(filled.select(F.inline(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns)))).groupBy("c", "v").agg(F.count("*").alias("n")))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    counts = pair_counts(filled, pairs) if pairs else None
+    kinds = singles.count()
+    k, rows = components or min(10, max(1, kinds - len(columns))), singles.agg(F.sum("n")).first()[0] / len(columns) if kinds else 0
+    found, values = (_by_matrix if kinds <= MOST_CATEGORIES else _by_iteration)(singles, counts, len(columns), k, rows)
+    return found, values, kinds / len(columns) - 1
+
+
+def _by_matrix(singles: DataFrame, counts: DataFrame | None, columns: int, k: int, rows: float) -> tuple[DataFrame, np.ndarray]:
+    own = singles.collect()
     cats = sorted((r.c, r.v) for r in own)
     at = {c: i for i, c in enumerate(cats)}
     burt = np.zeros((len(cats), len(cats)))
     for r in own:
-        burt[at[r.c, r.v], at[r.c, r.v]] = r["count"]
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    for r in pair_counts(filled, pairs).collect() if pairs else []:
+        burt[at[r.c, r.v], at[r.c, r.v]] = r.n
+    for r in counts.collect() if counts is not None else []:
         i, j = at[r.col1, r.v1], at[r.col2, r.v2]
         burt[i, j] = burt[j, i] = r.n
     mass = np.sqrt(np.diag(burt))
-    values, vectors = np.linalg.eigh(burt / np.outer(mass, mass) / len(columns))
-    keep = np.argsort(values)[::-1][1 : 1 + (components or min(10, max(1, len(cats) - len(columns))))]
-    rows = burt[np.diag_indices_from(burt)].sum() / len(columns)
+    values, vectors = np.linalg.eigh(burt / np.outer(mass, mass) / columns)
+    keep = np.argsort(values)[::-1][1 : 1 + k]
     scores = vectors[:, keep] * np.sqrt(rows) / mass[:, None] * np.sqrt(np.maximum(values[keep], 0))
     scores *= np.where(scores[np.abs(scores).argmax(0), range(scores.shape[1])] < 0, -1, 1)
-    return {c: scores[i] for c, i in at.items()}, values[keep]
-
-
-def encode(df: DataFrame, numbers: Sequence[str], texts: Sequence[str], refine: bool = False) -> DataFrame:
-    """Standardised numbers beside encoded categories: frequencies, or 0.7 of them and 0.3 of (z + 1) / 2 of the first component."""
-    out = df
+    return singles.sparkSession.createDataFrame([(*c, scores[i].tolist()) for c, i in at.items()], "c string, v string, scores array<double>"), values[keep]
+
+
+def _by_iteration(singles: DataFrame, counts: DataFrame, columns: int, k: int, rows: float, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray]:
+    spark, size = singles.sparkSession, k + 1
+    name = lambda c, v: F.concat_ws("\x1f", c, v)
+    mass = materialised(singles.select("c", "v", name("c", "v").alias("a"), F.sqrt(F.col("n").cast("double")).alias("m")))
+    both = counts.select(F.inline(F.array(*(F.struct(name(*x).alias("a"), name(*y).alias("b"), "n") for x, y in ((("col1", "v1"), ("col2", "v2")), (("col2", "v2"), ("col1", "v1")))))))
+    both = both.unionByName(singles.select(name("c", "v").alias("a"), name("c", "v").alias("b"), "n"))
+    weight = F.col("n") / (F.col("m") * F.col("mb")) / columns
+    table = materialised(both.join(mass.select("a", "m"), "a").join(mass.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b").select("a", "b", weight.alias("w")))
+    # the first vector is known: the roots of the masses
+    x = mass.select("a", "c", "v", "m", *(F.col("m").alias("x0") if i == 0 else (F.xxhash64("a", F.lit(i)) / 2.0**63).alias(f"x{i}") for i in range(size)))
+
+    def products(d: DataFrame, left: str, right: str) -> np.ndarray:
+        got = d.agg(*(F.sum(F.col(f"{left}{i}") * F.col(f"{right}{j}")).alias(f"g{i}_{j}") for i in range(size) for j in range(size))).first()
+        return np.array(got, float).reshape(size, size)
+
+    def turned(d: DataFrame, by: np.ndarray, source: str, kept: Sequence[str] = ()) -> DataFrame:
+        return d.select("a", "c", "v", "m", *kept, *(sum((F.col(f"{source}{i}") * float(by[i, j]) for i in range(size)), F.lit(0.0)).alias(f"x{j}") for j in range(size)))
+
+    for k_ in range(rounds + 1):
+        x = materialised(turned(x, np.linalg.inv(np.linalg.cholesky(products(x, "x", "x"))).T, "x"))
+        y = table.join(x.select(F.col("a").alias("b"), *(f"x{i}" for i in range(size))), "b").groupBy("a").agg(*(F.sum(F.col("w") * F.col(f"x{i}")).alias(f"y{i}") for i in range(size)))
+        xy = materialised(x.join(y, "a"))
+        if k_ == rounds:
+            break
+        x = xy.select("a", "c", "v", "m", *(F.col(f"y{i}").alias(f"x{i}") for i in range(size)))
+    h = products(xy, "x", "y")
+    values, vectors = np.linalg.eigh((h + h.T) / 2)
+    keep = np.argsort(values)[::-1][1:size]
+    by = np.zeros((size, size))
+    by[:, : len(keep)] = vectors[:, keep] * np.sqrt(rows) * np.sqrt(np.maximum(values[keep], 0))
+    out = turned(xy, by, "x").select("c", "v", *((F.col(f"x{i}") / F.col("m")).alias(f"s{i}") for i in range(len(keep))))
+    tops = out.agg(*(F.max_by(f"s{i}", F.abs(f"s{i}")).alias(f"s{i}") for i in range(len(keep)))).first()
+    return out.select("c", "v", F.array(*(F.col(f"s{i}") * (-1.0 if tops[i] < 0 else 1.0) for i in range(len(keep)))).alias("scores")), values[keep]
+
+
+def encode(df: DataFrame, numbers: Sequence[str], texts: Sequence[str], refine: bool = False) -> tuple[DataFrame, np.ndarray | None]:
+    """Standardised numbers beside encoded categories: frequencies, or 0.7 of them and 0.3 of (z + 1) / 2 of the first
+    component of correspondence analysis, whose explained shares of inertia are then given too."""
+    out, explained = df, None
     if refine and texts:
-        scores, _ = burt_scores(df, texts)
-        first = {c: s[0] for c, s in scores.items()}
+        scores, values, total = category_scores(df, texts)
+        explained = values / total if total > 0 else values
+        first = scores.select("c", "v", F.element_at("scores", 1).alias("s"))
+        by_column = first.groupBy("c").agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("dev"))
+        z = materialised(first.join(by_column, "c").select("c", F.col("v").alias("_k"), ((F.coalesce((F.col("s") - F.col("mean")) / F.nullif(F.col("dev"), F.lit(0.0)), F.lit(0.0)) + 1) / 2).alias("_z")))
         for c in texts:
-            own = np.array([x for (n, _), x in first.items() if n == c])
-            z = lambda x, own=own: (x - own.mean()) / (own.std() or 1.0)
-            table = df.sparkSession.createDataFrame([(v, float((z(x) + 1) / 2)) for (n, v), x in first.items() if n == c], "_k string, _z double")
-            out = out.withColumn("_k", F.coalesce(F.col(c), F.lit(MISSING))).join(F.broadcast(table), "_k").withColumnRenamed("_z", f"_z_{c}").drop("_k")  # at most MOST_CATEGORIES rows
+            out = out.withColumn("_k", F.coalesce(F.col(c), F.lit(MISSING))).join(z.filter(F.col("c") == c).drop("c"), "_k").withColumnRenamed("_z", f"_z_{c}").drop("_k")
     out = frequency_encoding(out, texts)
     if refine:
         out = out.withColumns({c: 0.7 * F.col(c) + 0.3 * F.col(f"_z_{c}") for c in texts}).drop(*(f"_z_{c}" for c in texts))
-    return zscores(out, [*numbers]).select(ROW_ID, *numbers, *texts)
+    return zscores(out, [*numbers]).select(ROW_ID, *numbers, *texts), explained
 
 
 def covariance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -153,16 +200,17 @@ def leaves(merges: np.ndarray, n: int) -> list[int]:
 
 
 def analyse(df: DataFrame, columns: Sequence[str], drop_na: bool = False, refine: bool = False, method: str = "ward") -> dict:
-    """Covariance table, matrix, linkage and the clustered order of the columns; skipped columns are named."""
+    """Covariance table, matrix, linkage, the clustered order of the columns, rows, and the inertia's explained shares; skipped columns are named."""
     numbers, texts, skipped = classify(df, columns)
     rows = df.dropna(subset=list(columns)) if drop_na else df
     features = [*numbers, *texts]
     if not features:
         raise ValueError("no numeric or categorical column")
-    cov = covariance(encode(rows, numbers, texts, refine), features)
+    encoded, explained = encode(rows, numbers, texts, refine)
+    cov = covariance(encoded, features)
     m = matrix(cov, features)
     merges = linkage(distances(m), method) if len(features) > 1 else np.zeros((0, 4))
-    return {"covariance": cov, "matrix": m, "features": features, "skipped": skipped, "linkage": merges, "order": [features[i] for i in leaves(merges, len(features))]}
+    return {"covariance": cov, "matrix": m, "features": features, "skipped": skipped, "linkage": merges, "order": [features[i] for i in leaves(merges, len(features))], "explained_inertia": explained, "rows": rows.count()}
 
 
 def missing_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -56,10 +56,9 @@ def pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 
 def directed(counts: DataFrame) -> DataFrame:
-    """parent, child, pv, cv, n, first: both directions of unordered pair counts."""
-    forward = counts.select(F.col("col1").alias("parent"), F.col("col2").alias("child"), F.col("v1").alias("pv"), F.col("v2").alias("cv"), "n", "first")
-    back = counts.select(F.col("col2").alias("parent"), F.col("col1").alias("child"), F.col("v2").alias("pv"), F.col("v1").alias("cv"), "n", "first")
-    return forward.unionByName(back)
+    """parent, child, pv, cv, n, first: both directions of unordered pair counts, each row read once."""
+    side = lambda a, b: F.struct(F.col(f"col{a}").alias("parent"), F.col(f"col{b}").alias("child"), F.col(f"v{a}").alias("pv"), F.col(f"v{b}").alias("cv"), "n", "first")
+    return counts.select(F.inline(F.array(side(1, 2), side(2, 1))))
 
 
 def _percent(valid: Column, total: Column) -> Column:
@@ -71,43 +70,51 @@ def violation(percentage: Column) -> Column:
 
 
 def one_to_many(edges: DataFrame, drop_na: bool = True) -> DataFrame:
-    """Per (parent, child): total, valid, percentage, violation_ratio, distinct and missing counts.
+    """Per (parent, child): total, valid, percentage, violation_ratio, distinct and missing counts, from ``directed`` counts.
 
     A row is valid if its child value is present and has exactly one distinct
-    parent value; a child whose parents are all missing is not valid.
+    parent value; a child whose parents are all missing is not valid. One aggregate by
+    child value and one by pair; a parent's distinct values are those of the opposite direction's child.
     """
-    nulls = edges.groupBy("parent", "child").agg(
-        F.count_distinct("pv").alias("distinct_parent"), F.count_distinct("cv").alias("distinct_child"),
-        F.sum(F.when(F.col("pv").isNull(), F.col("n")).otherwise(0)).alias("na_parent"), F.sum(F.when(F.col("cv").isNull(), F.col("n")).otherwise(0)).alias("na_child"),
+    used = F.col("pv").isNotNull() & F.col("cv").isNotNull() if drop_na else F.lit(True)
+    per_child = edges.groupBy("parent", "child", "cv").agg(
+        F.sum(F.when(used, F.col("n")).otherwise(0)).alias("n"), F.count("pv").alias("parents"), F.sum("n").alias("all"),
+        F.sum(F.when(F.col("pv").isNull(), F.col("n")).otherwise(0)).alias("na_parent"),
     )
-    used = edges.filter("pv IS NOT NULL AND cv IS NOT NULL") if drop_na else edges
-    per_child = used.groupBy("parent", "child", "cv").agg(F.sum("n").alias("n"), F.count("pv").alias("parents"))
     good = F.when(F.col("cv").isNotNull() & (F.col("parents") == 1), F.col("n")).otherwise(0)
-    score = per_child.groupBy("parent", "child").agg(F.sum(good).alias("valid"), F.sum("n").alias("total"))
-    out = nulls.join(score, ["parent", "child"], "left")
+    score = per_child.groupBy("parent", "child").agg(
+        F.sum(good).alias("valid"), F.sum("n").alias("total"), F.count("cv").alias("distinct_child"), F.sum("na_parent").alias("na_parent"),
+        F.sum(F.when(F.col("cv").isNull(), F.col("all")).otherwise(0)).alias("na_child"),
+    )
+    both = Window.partitionBy(F.least("parent", "child"), F.greatest("parent", "child"))  # a pair's two directions
     pct = _percent(F.col("valid"), F.col("total"))
-    return out.select("parent", "child", F.coalesce("valid", F.lit(0)).alias("valid"), F.coalesce("total", F.lit(0)).alias("total"), pct.alias("percentage"), violation(pct).alias("violation_ratio"), "distinct_parent", "distinct_child", "na_parent", "na_child")
+    out = score.withColumn("distinct_parent", F.sum("distinct_child").over(both) - F.col("distinct_child"))
+    return out.select("parent", "child", "valid", "total", pct.alias("percentage"), violation(pct).alias("violation_ratio"), "distinct_parent", "distinct_child", "na_parent", "na_child")
 
 
 def one_to_one(counts: DataFrame, drop_na: bool = True) -> DataFrame:
     """Per unordered pair: valid rows are those whose values have exactly one partner each.
 
     If every present value has one partner, all rows count, those with missing
-    values too.
+    values too. The partners of first values come from a window, those of second values
+    from an aggregate after it: of a value with one partner, the group's only row is known.
     """
-    used = counts.filter("v1 IS NOT NULL AND v2 IS NOT NULL") if drop_na else counts
-    w1, w2 = Window.partitionBy("col1", "col2", "v1"), Window.partitionBy("col1", "col2", "v2")
-    sides = used.withColumns({"p1": F.count("v2").over(w1), "p2": F.count("v1").over(w2)})
-    one1, one2 = F.col("v1").isNull() | (F.col("p1") == 1), F.col("v2").isNull() | (F.col("p2") == 1)
-    both = F.col("v1").isNotNull() & F.col("v2").isNotNull() & (F.col("p1") == 1) & (F.col("p2") == 1)
-    score = sides.groupBy("col1", "col2").agg(F.bool_and(one1 & one2).alias("all"), F.sum(F.when(both, F.col("n")).otherwise(0)).alias("some"), F.sum("n").alias("total"))
-    nulls = counts.groupBy("col1", "col2").agg(
-        F.count_distinct("v1").alias("distinct1"), F.count_distinct("v2").alias("distinct2"),
-        F.sum(F.when(F.col("v1").isNull(), F.col("n")).otherwise(0)).alias("na1"), F.sum(F.when(F.col("v2").isNull(), F.col("n")).otherwise(0)).alias("na2"),
+    first, second = F.col("v1").isNotNull(), F.col("v2").isNotNull()
+    w1 = Window.partitionBy("col1", "col2", "v1")
+    rows = counts.withColumns({"p1": F.count("v2").over(w1), "nth": F.row_number().over(w1.orderBy("v2"))})
+    used = (first & second) if drop_na else F.lit(True)
+    add = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    per_second = rows.groupBy("col1", "col2", "v2").agg(
+        F.count("v1").alias("p2"), F.count_if(used).alias("kinds"), F.coalesce(F.bool_and(F.when(used, ~first | (F.col("p1") == 1))), F.lit(True)).alias("ones"), add(used).alias("total"),
+        add(first & (F.col("p1") == 1)).alias("single"), F.count_if(first & (F.col("nth") == 1)).alias("distinct1"), F.sum("n").alias("n"), add(~first).alias("na1"),
+    )
+    good = second & (F.col("p2") == 1)
+    score = per_second.groupBy("col1", "col2").agg(
+        F.bool_and(F.col("ones") & (~second | good | (F.col("kinds") == 0))).alias("all"), F.sum(F.when(good, F.col("single")).otherwise(0)).alias("some"), F.sum("total").alias("total"),
+        F.sum("distinct1").alias("distinct1"), F.count("v2").alias("distinct2"), F.sum("na1").alias("na1"), F.sum(F.when(~second, F.col("n")).otherwise(0)).alias("na2"),
     )
-    valid = F.when(F.col("all"), F.col("total")).otherwise(F.col("some"))
-    out = nulls.join(score, ["col1", "col2"], "left").withColumn("valid", F.coalesce(valid, F.lit(0)))
-    return out.select("col1", "col2", "valid", F.coalesce("total", F.lit(0)).alias("total"), _percent(F.col("valid"), F.col("total")).alias("percentage"), "distinct1", "distinct2", "na1", "na2")
+    out = score.withColumn("valid", F.when(F.col("all"), F.col("total")).otherwise(F.col("some")))
+    return out.select("col1", "col2", "valid", "total", _percent(F.col("valid"), F.col("total")).alias("percentage"), "distinct1", "distinct2", "na1", "na2")
 
 
 def above(results: DataFrame, percent: float) -> DataFrame:
@@ -115,14 +122,31 @@ def above(results: DataFrame, percent: float) -> DataFrame:
     return results.filter(F.col("percentage") >= (percent / 100) * 100)
 
 
+def _ranked(results: DataFrame, by: Column, columns: Sequence[str], a: str, b: str) -> DataFrame:
+    """Highest first; ties in the order of the columns."""
+    place = F.array(*map(F.lit, columns))
+    return results.orderBy(by.desc(), F.array_position(place, F.col(a)), F.array_position(place, F.col(b)))
+
+
 def analyse_one_to_many(df: DataFrame, threshold: float = 95, drop_na: bool = True, columns: Sequence[str] | None = None) -> DataFrame:
-    counts = pair_counts(df, list(combinations(columns or columns_of(df), 2)))
-    return above(one_to_many(directed(counts), drop_na), threshold)
+    """Results of all ordered pairs that reach the threshold, highest percentage first."""
+    columns = list(columns or columns_of(df))
+    found = one_to_many(directed(pair_counts(df, list(combinations(columns, 2)))), drop_na)
+    return _ranked(above(found, threshold), F.col("percentage"), columns, "parent", "child")
 
 
 def analyse_one_to_one(df: DataFrame, threshold: float = 95, drop_na: bool = True, columns: Sequence[str] | None = None) -> DataFrame:
-    counts = pair_counts(df, list(combinations(columns or columns_of(df), 2)))
-    return above(one_to_one(counts, drop_na), threshold)
+    """Results of all unordered pairs that reach the threshold, highest percentage first."""
+    columns = list(columns or columns_of(df))
+    found = one_to_one(pair_counts(df, list(combinations(columns, 2))), drop_na)
+    return _ranked(above(found, threshold), F.col("percentage"), columns, "col1", "col2")
+
+
+def analyse_errors(df: DataFrame, drop_na: bool = True, columns: Sequence[str] | None = None) -> DataFrame:
+    """Results of ordered pairs with violations, highest violation ratio first."""
+    columns = list(columns or columns_of(df))
+    found = one_to_many(directed(pair_counts(df, list(combinations(columns, 2)))), drop_na)
+    return _ranked(found.filter("valid < total"), F.col("violation_ratio"), columns, "parent", "child")
 
 
 def ordered_pairs(columns: Sequence[str]) -> list[tuple[str, str]]:

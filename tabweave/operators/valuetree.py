@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.operators.pairs import ROW_ID
+from tabweave.storage import materialised
 
 NA = "<NA>"
 MOST_NODES = 100_000
@@ -31,7 +32,6 @@ def grouping_score(top_share, distinct):
 
 def trees(df: DataFrame, column: str, values: Sequence[str | None], max_depth: int = 20, min_probability: float = 0.0, max_values: int = 5, remove_determined: bool = False, exclude_id: bool = False) -> DataFrame:
     """node_id, parent_id, root, depth, column, value, count, probability of the trees below ``column = value``."""
-    spark = df.sparkSession
     rows = _text(df.drop(ROW_ID) if exclude_id else df)
     names = rows.columns
     roots = [NA if v is None else str(v) for v in values]
@@ -42,8 +42,8 @@ def trees(df: DataFrame, column: str, values: Sequence[str | None], max_depth: i
     frontier = rows.withColumn("_root", F.col("_node"))
     place = F.create_map(*(x for i, c in enumerate(names) for x in (F.lit(c), F.lit(i))))
     for depth in range(1, max_depth + 1):
-        frontier = frontier.persist()
-        if frontier.limit(1).count() == 0:
+        frontier = materialised(frontier)
+        if frontier.isEmpty():
             break
         cells = frontier.select("_node", "_root", "_used", "_order", F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in names)))).filter(~F.array_contains("_used", F.col("column")))
         counts = cells.groupBy("_node", "_root", "column", "value").agg(F.count("*").alias("n"), F.min("_order").alias("first"))
@@ -54,20 +54,20 @@ def trees(df: DataFrame, column: str, values: Sequence[str | None], max_depth: i
         best = per.groupBy("_node").agg(F.max_by("column", F.struct(score, -F.element_at(place, F.col("column")))).alias("column"), F.max("total").alias("total"))
         rank = F.row_number().over(Window.partitionBy("_node").orderBy(F.desc("n"), "first", "value"))
         chosen = counts.join(best, ["_node", "column"]).withColumn("r", rank).filter(F.col("r") <= max_values).withColumn("probability", F.col("n") / F.col("total")).filter(F.col("probability") >= min_probability)
-        level = chosen.select(F.concat_ws("\x1f", "_node", F.concat("column", F.lit("="), "value")).alias("node_id"), F.col("_node").alias("parent_id"), F.col("_root").alias("root"), F.lit(depth).alias("depth"), "column", "value", F.col("n").alias("count"), "probability").persist()
+        level = chosen.select(F.concat_ws("\x1f", "_node", F.concat("column", F.lit("="), "value")).alias("node_id"), F.col("_node").alias("parent_id"), F.col("_root").alias("root"), F.lit(depth).alias("depth"), "column", "value", F.col("n").alias("count"), "probability")
+        level = materialised(level)
         out = out.unionByName(level)
         steps = level.select(F.col("parent_id").alias("_node"), F.col("column").alias("_column"), F.col("value").alias("_value"), F.col("node_id").alias("_child"))
         now = F.element_at(F.create_map(*(x for c in names for x in (F.lit(c), F.col(c)))), F.col("_column"))
         frontier = frontier.join(steps, "_node").filter(now == F.col("_value")).withColumn("_used", F.array_append("_used", F.col("_column"))).withColumn("_node", F.col("_child")).drop("_column", "_value", "_child")
-        if depth % 4 == 0 and spark.sparkContext.getCheckpointDir():
-            frontier = frontier.checkpoint()
     return out
 
 
 def top_values(df: DataFrame, column: str, most: int = 15) -> list[str]:
-    """The most frequent values, missing included; ties by value."""
+    """The most frequent values, missing included; ties by first appearance, or by value without a row id."""
     key = F.coalesce(F.col(column).cast("string"), F.lit(NA))
-    return [r.v for r in df.groupBy(key.alias("v")).count().orderBy(F.desc("count"), "v").limit(most).collect()]
+    first = F.min(ROW_ID) if ROW_ID in df.columns else F.lit(0)
+    return [r.v for r in df.groupBy(key.alias("v")).agg(F.count("*").alias("n"), first.alias("first")).orderBy(F.desc("n"), "first", "v").limit(most).collect()]
 
 
 def nested(nodes: DataFrame) -> dict:

@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabweave.functions.text import json_object
+from tabweave.operators.batches import ask_all
+from tabweave.storage import materialised
+
 #: Company forms that don't belong to a vendor's base name.
 COMPANY_FORMS = ("inc", "corp", "corporation", "co", "company", "ltd", "limited", "llc", "gmbh", "ag", "sa", "plc", "technologies", "networks", "systems", "group")
 
@@ -45,6 +49,29 @@ def batch_lines(catalogue: DataFrame) -> DataFrame:
     return catalogue.groupBy(F.upper(F.substring("vendor", 1, 1)).alias("batch_id")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines")).orderBy("batch_id")
 
 
+#: Instructions for one letter's vendors; ``[rows]`` is replaced.
+PROMPT = """Merge entries of the same vendor among these lines of the form name;families;aliases.
+Answer with one JSON object {"vendors": [{"vendor": text, "families": text, "aliases": text}]}.
+[rows]"""
+
+
+def merge_by_model(catalogue: DataFrame, factory: Callable, template: str = PROMPT, keep: bool = False) -> DataFrame:
+    """vendor, families, aliases as a model merges them, one call per first letter, ordered without regard to case.
+
+    A letter whose call fails, or whose reply can't be parsed, is lost, or stays as it was if ``keep`` is set.
+    """
+    asked = batch_lines(catalogue).select("batch_id", F.replace(F.lit(template), F.lit("[rows]"), F.col("lines")).alias("prompt"))
+    replies = materialised(ask_all(asked, factory))
+    read = replies.select("batch_id", F.from_json(json_object(F.col("reply")), "struct<vendors:array<struct<vendor:string,families:string,aliases:string>>>").vendors.alias("v"))
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("families", "aliases")]
+    out = read.select(F.inline("v")).filter(F.trim("vendor") != "").select("vendor", *texts)
+    if keep:
+        lost = read.filter("v IS NULL").select("batch_id")
+        rest = catalogue.withColumn("batch_id", F.upper(F.substring("vendor", 1, 1))).join(lost, "batch_id").select("vendor", *texts)
+        out = out.unionByName(rest)
+    return out.orderBy(F.upper("vendor"), "vendor")
+
+
 def verify(catalogue: DataFrame, factory: Callable) -> DataFrame:
     """Each row through ``client.verify(dict) -> dict``; a row whose call fails stays as it is."""
 

@@ -25,8 +25,9 @@ class Session:
         return cls(rows, clean.clean_import(rows) if cleaned else rows, ("loaded",))
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, before: Session | None = None, size: int = -1) -> Session:
-        """Reads and cleans a file; the same file (by name and size) as before is not read again."""
+    def load(cls, spark: SparkSession, path: str, before: Session | None = None, size: int | None = None) -> Session:
+        """Reads and cleans a file; the same file (by name and size) as before is not read again. The size is looked up unless given."""
+        size = spark.read.format("binaryFile").load(path).agg({"length": "sum"}).first()[0] if size is None else size
         if before is not None and before.source == (path, size):
             return before
         return replace(cls.of(read_table(spark, path), cleaned=True), source=(path, size))

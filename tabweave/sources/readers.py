@@ -10,7 +10,6 @@ from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from tabweave.functions.text import missing_to_null
 
@@ -75,6 +74,18 @@ def _place(ref: str) -> int:
     return n - 1
 
 
+def _first_sheet(z: zipfile.ZipFile) -> str:
+    """The file of the sheet that the workbook lists first."""
+    if "xl/workbook.xml" in z.namelist() and "xl/_rels/workbook.xml.rels" in z.namelist():
+        sheet = next(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"), None)
+        name = next((v for k, v in sheet.attrib.items() if k.endswith("}id")), None) if sheet is not None else None
+        for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+            if r.get("Id") == name:
+                target = r.get("Target", "")
+                return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    return min((n for n in z.namelist() if n.startswith("xl/worksheets/") and n.endswith(".xml")), key=lambda n: (len(n), n))
+
+
 def sheet_rows(content: bytes) -> list[list[str | None]]:
     """Rows of a workbook's first sheet as text."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -89,7 +100,7 @@ def sheet_rows(content: bytes) -> list[list[str | None]]:
                 k = int(x.get("numFmtId", 0))
                 if 14 <= k <= 22 or any(c in custom.get(k, "").lower() for c in ("yy", "dd", "h:mm")):
                     dates.add(i)
-        first = sorted(n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml"))[0]
+        first = _first_sheet(z)
         rows = []
         for row in ElementTree.fromstring(z.read(first)).iter(f"{_MAIN}row"):
             out: list[str | None] = []
@@ -112,33 +123,6 @@ def sheet_rows(content: bytes) -> list[list[str | None]]:
     return rows
 
 
-class SpreadsheetSource(DataSource):
-    """``spark.read.format("spreadsheet").option("rows", n).load(path)``: cells of .xlsx files as arrays of text.
-
-    The files are read by Spark, so that any of its stores will do; see ``read_excel``.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "spreadsheet"
-
-    def schema(self) -> str:
-        return "row_number long, cells array<string>"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _SpreadsheetReader(self.options["path"])
-
-
-class _SpreadsheetReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path.removeprefix("file:")
-
-    def read(self, partition):
-        with open(self.path, "rb") as f:
-            for i, row in enumerate(sheet_rows(f.read())):
-                yield i, row
-
-
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
     """First sheet of an .xlsx workbook with a header row; types are inferred. A workbook is one task's work."""
     if path.lower().endswith(".xls"):
