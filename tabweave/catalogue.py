@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.text import json_mapping
 from tabweave.operators import assoc, batches, clean, covariance, impute, pairs, relations, repair, valuetree, vendors
-from tabweave.functions.text import json_row, short_hash, shown, shown_percent, shown_thousands
+from tabweave.functions.text import json_row, short_hash, shorten, shown, shown_percent, shown_thousands
 from tabweave.plans.fixtures import CNR, DIRTY, GROUPS, LINES, ORD, frame, plain
+from tabweave.session import Session
 from tabweave.sources import readers, sinks
 from tabweave.storage import numbered
 from tabweave.storage import scratch as _scratch
@@ -230,6 +231,29 @@ def concat_columns(df: DataFrame) -> DataFrame:
     return clean.concat_columns(df, "status", "segment")
 
 
+_KEYED = "SELECT p_partkey AS key, p_name AS name FROM {part}"
+
+
+@query("row_numbers", _KEYED, "SELECT row_number() OVER (ORDER BY key DESC) AS initial_id, key FROM f")
+def row_numbers(df: DataFrame) -> DataFrame:
+    return clean.with_row_id(df.select((-F.col("key")).alias("order"), "key"), ["order"]).select("initial_id", "key")
+
+
+@query("preview_rows", ORD, "SELECT * FROM f ORDER BY initial_id LIMIT 10")
+def preview_rows(df: DataFrame) -> DataFrame:
+    return Session(df, df).preview()
+
+
+@query("listwise_report", ORD, "SELECT count(*) AS rows, count(*) FILTER (status IS NOT NULL AND segment IS NOT NULL AND price IS NOT NULL) AS complete, count(*) - count(status) AS na_status, count(*) - count(segment) AS na_segment, count(*) - count(price) AS na_price FROM f")
+def listwise_report(df: DataFrame) -> DataFrame:
+    return covariance.missing_report(df, ["status", "segment", "price"])
+
+
+@query("short_labels", _KEYED, "SELECT key, CASE WHEN length(name) > 12 THEN substr(name, 1, 9) || '...' ELSE name END AS label FROM f")
+def short_labels(df: DataFrame) -> DataFrame:
+    return df.select("key", shorten(F.col("name"), 12).alias("label"))
+
+
 # --- imputation --------------------------------------------------------------
 
 
@@ -333,6 +357,12 @@ def association_rules(df: DataFrame) -> DataFrame:
     return _rules(df).select(*_joined("antecedent", "consequent"), *(F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")))
 
 
+@query("rules_mined", ORD, f"WITH {_RULES} SELECT {_SHOWN} FROM rules")
+def rules_mined(df: DataFrame) -> DataFrame:
+    _, rules = assoc.mine(df, ["status", "segment", "region"], 0.05, 0.2, 3)
+    return rules.select(*_joined("antecedent", "consequent"), *(F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")))
+
+
 @query("rules_filtered_sorted", ORD, f"WITH {_RULES} SELECT {_SHOWN} FROM rules WHERE lift BETWEEN 0.9 AND 1.2 AND len(string_split(antecedent, '|')) = 1 AND list_has_any(list_transform(list_concat(string_split(antecedent, '|'), string_split(consequent, '|')), lambda x: lower(x)), ['region=asia', 'status=f'])")
 def rules_filtered_sorted(df: DataFrame) -> DataFrame:
     out = assoc.sort_rules(assoc.filter_rules(_rules(df), lift=(0.9, 1.2), antecedent_size=(1, 1), search="REGION=ASIA, status=f"), "lift")
@@ -416,6 +446,13 @@ def relation_edges_reduced(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(relations.reduced(_edges(df)), "src string, dst string")
 
 
+@query("relation_edges_removed", _NATION, f"""WITH {_EDGES}, one AS (SELECT src, dst FROM e WHERE (dst, src) NOT IN (SELECT (src, dst) FROM e)),
+    kept AS (SELECT src, dst FROM one WHERE NOT EXISTS (SELECT 1 FROM one a JOIN one b ON a.dst = b.src WHERE a.src = one.src AND b.dst = one.dst))
+    SELECT src, dst FROM e WHERE (src, dst) NOT IN (SELECT (src, dst) FROM kept) AND NOT ((dst, src) IN (SELECT (src, dst) FROM e) AND src < dst)""")
+def relation_edges_removed(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame(relations.removed(_edges(df)), "src string, dst string")
+
+
 @query("relation_graph_stats", _NATION, f"""WITH {_EDGES}, n AS (SELECT src AS x FROM e UNION SELECT dst FROM e), d AS (SELECT x, (SELECT count(*) FROM e WHERE src = x) AS o, (SELECT count(*) FROM e WHERE dst = x) AS i FROM n)
     SELECT count(*) AS nodes, CAST(sum(o) AS BIGINT) AS edges, count(*) FILTER (i = 0) AS roots, count(*) FILTER (o = 0) AS leaves, count(*) FILTER (i > 1) AS many_parents, count(*) FILTER (o > 1) AS many_children, NOT EXISTS (SELECT 1 FROM e a JOIN e b ON a.dst = b.src AND a.src = b.dst) AS acyclic FROM d""")
 def relation_graph_stats(df: DataFrame) -> DataFrame:
@@ -520,6 +557,11 @@ def batch_by_group(df: DataFrame) -> DataFrame:
     return batches.by_group(df, "nation").select("initial_id", "nation", "batch_id")
 
 
+@query("batch_first_letter", _PART, "SELECT initial_id, upper(substr(kind, 1, 1)) AS batch_id FROM f WHERE trim(kind) <> ''")
+def batch_first_letter(df: DataFrame) -> DataFrame:
+    return batches.by_first_letter(df, "kind").select("initial_id", "batch_id")
+
+
 _DOCS = "SELECT doc_id AS initial_id, lang, source, n_chars FROM {documents}"
 
 
@@ -611,8 +653,16 @@ def txt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_lines(spark, folder, "region")
 
 
-QUERIES |= {"csv_roundtrip": csv_roundtrip, "txt_lines": txt_lines}
+def semicolon_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes nations as a file with ``;`` between quoted values and reads them again."""
+    folder = _scratch(spark, "semicolon")
+    sinks.write_semicolon(frame(spark, sf_dir, _NATION).select("name", F.concat("region", F.lit("; x")).alias("region")), folder)
+    return readers.read_semicolon(spark, folder)
+
+
+QUERIES |= {"semicolon_roundtrip": semicolon_roundtrip, "csv_roundtrip": csv_roundtrip, "txt_lines": txt_lines}
 ORACLES |= {
+    "semicolon_roundtrip": f"SELECT name, region || '; x' AS region FROM ({plain(_NATION)})",
     "csv_roundtrip": f"SELECT initial_id, key, name || ' é' AS name, region_key, region FROM ({plain(_NATION)})",
     "txt_lines": "SELECT r_name AS region FROM region",
 }

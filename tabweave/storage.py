@@ -37,13 +37,13 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def running(df: DataFrame, value: Column, name: str, order: list[Column | str] | None = None) -> DataFrame:
+def running(df: DataFrame, value: Column, name: str, order: list[Column | str] | None = None, kind: str = "long") -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over all rows before, in the given order or that of the rows.
 
     Only sums of partitions meet in one task; rows keep their partitions.
     """
     rows = df.orderBy(*order) if order else df
-    rows = materialised(rows.withColumns({"_tw_at": F.monotonically_increasing_id(), "_tw_v": value.cast("long")}))
+    rows = materialised(rows.withColumns({"_tw_at": F.monotonically_increasing_id(), "_tw_v": value.cast(kind)}))
     part = F.shiftright("_tw_at", 33)
     sums = rows.groupBy(part.alias("_tw_p")).agg(F.sum("_tw_v").alias("_tw_s"))
     before = sums.select("_tw_p", (F.sum("_tw_s").over(Window.orderBy("_tw_p")) - F.col("_tw_s")).alias("_tw_b"))  # a row per partition
