@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabweave.storage import materialised
+
 #: Words are runs of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -25,15 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Limits the rows, and so the memory, of the batches sent to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the shared checkpoint folder, so lost executors don't undo it."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tw-ckpt-"))
-    return df.checkpoint(eager=True)
+    return materialised(df)
 
 
 def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -49,6 +51,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def freed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``; when a task's rows end, its worker, which waits for other tasks, gives freed memory back."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    """Returns memory that the allocators of Arrow and C hold but don't use."""
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 # --- hashing the words of an Arrow string column ---------------------------
 
 _SPACE = np.zeros(256, bool)
@@ -56,7 +83,6 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
 _CODE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
 
@@ -67,15 +93,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_POWERS: dict[int, np.ndarray] = {}
+#: Words of at most so many bytes are hashed side by side, byte by byte; longer ones one at a time.
+SHORT = 32
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    if len(_POWERS.get(base, ())) < n:
-        out = np.full(max(n, 1 << 16), np.uint64(base))
-        out[0] = 1
-        _POWERS[base] = np.multiply.accumulate(out)
-    return _POWERS[base][:n]
+def word_hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges. Every byte goes through a multiplication and a shift, so that, unlike for sums of
+    powers, no construction of equal hashes is known to hold for all words; two given words share one with odds of about 2**-64."""
+    size = np.minimum(end - start, SHORT + 1).astype(np.uint8)
+    order = np.argsort(size, kind="stable")
+    upto = np.cumsum(np.bincount(size, minlength=SHORT + 2))  # words of at most so many bytes
+    places, h = start[order[: upto[SHORT]]], np.full(upto[SHORT], _MIX)
+    for k in range(SHORT):
+        a = upto[k]
+        if a == len(h):
+            break
+        x = (h[a:] ^ _CODE[text[places[a:] + k]]) * _MUL
+        h[a:] = x ^ (x >> np.uint64(32))
+    out = np.empty(len(start), np.uint64)
+    out[order[: len(h)]] = mix(h)
+    for i in order[len(h) :].tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(text[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def string_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -106,11 +145,10 @@ class Words:
         ends = inside[:-1] & (~inside[1:] | breaks)
         self.start, self.end = np.flatnonzero(starts[: n + 1]), np.flatnonzero(ends[: n + 1])
         self.first = np.searchsorted(self.start, offsets)
-        up = _powers(n, _BASE)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_CODE[self.text] * up, out=total[1:])
-        down = _powers(n, pow(_BASE, -1, 2**64))
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64) * _MUL) if n else np.zeros(0, np.uint64)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return word_hashes(self.text, self.start, self.end)
 
     def word(self, i: int) -> bytes:
         return self.text[self.start[i] : self.end[i]].tobytes()
@@ -134,6 +172,25 @@ class Words:
         return out
 
 
+#: Marks that usually end a word.
+MARKS = frozenset(".,;:!?")
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[[ord(c) for c in MARKS]] = True
+_IS_LETTER = np.zeros(256, bool)
+_IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def marked(w: Words) -> np.ndarray:
+    """Which words are a body and one mark after a letter (ASCII or Latin-1), which no tokenizer here joins."""
+    long = w.end - w.start > 1
+    before = w.text[np.maximum(w.end - 2, 0)]
+    latin = np.zeros(len(long), bool)
+    wide = np.flatnonzero(long & (before >= 0x80) & (w.end - w.start > 2))
+    lead, trail = w.text[w.end[wide] - 3], before[wide]
+    latin[wide] = (lead == 0xC3) & (trail != 0x97) & (trail != 0xB7)
+    return long & _IS_MARK[w.text[w.end - 1]] & (_IS_LETTER[before] | latin)
+
+
 def pieces(offsets: np.ndarray, most: int = 1 << 21):
     """Ranges of rows of at most ``most`` bytes (or one row)."""
     a = 0
@@ -152,32 +209,37 @@ def word_batches(column, fold: bool = True):
 
 class WordTable:
     """Ids of words by their hash, in flat arrays: what the same worker has encoded before is looked up for all
-    words of a batch at once. The first ``most`` distinct words are kept, which holds the frequent ones."""
+    words of a batch at once. The first distinct words are kept, which holds the frequent ones: ``most`` words
+    and ``most_ids`` ids, about 20 MB. Words that find no room are encoded anew in every batch."""
 
-    def __init__(self, dtype: str, most: int = 600_000):
-        self.dtype, self.most = dtype, most
-        self.keys, self.first, self.flat = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, dtype)
+    def __init__(self, dtype: str, most: int = 700_000, most_ids: int = 2_200_000):
+        self.dtype, self.most, self.most_ids = dtype, most, most_ids
+        self.keys, self.starts, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, dtype)
 
-    def encode(self, keys: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and the number of each word's; ``make(i)`` encodes the word at place i."""
+    def places(self, keys: np.ndarray, make) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the distinct words: ids in a row, starts and sizes of each one's, and the distinct word of each word.
+        ``make(at)`` gives the ids of the words at places ``at`` in a row, and the number of each one's."""
         unique, at, back = np.unique(keys, return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, unique)
-        known = np.zeros(len(unique), bool) if not len(self.keys) else self.keys[np.minimum(place, len(self.keys) - 1)] == unique
+        known = self.keys[np.minimum(place, len(self.keys) - 1)] == unique if len(self.keys) else np.zeros(len(unique), bool)
         new, flat = np.flatnonzero(~known), self.flat
-        sizes, starts = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
-        sizes[known], starts[known] = np.diff(self.first)[place[known]], self.first[:-1][place[known]]
+        starts, sizes = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
+        starts[known], sizes[known] = self.starts[place[known]], self.sizes[place[known]]
         if len(new):
-            made = [np.asarray(make(int(i)), self.dtype) for i in at[new]]
-            n = np.array([len(x) for x in made], np.int64)
+            made, n = make(at[new])
             sizes[new], starts[new] = n, len(flat) + np.cumsum(n) - n
-            flat = np.concatenate([flat, *made])
-            if len(self.keys) < self.most:
-                all_keys = np.concatenate([self.keys, unique[new]])
-                all_starts, all_sizes = np.concatenate([self.first[:-1], starts[new]]), np.concatenate([np.diff(self.first), n])
-                order = np.argsort(all_keys)
-                self.keys, self.flat = all_keys[order], flat[spread(all_starts[order], all_sizes[order])]
-                self.first = np.concatenate([[0], np.cumsum(all_sizes[order])])
-        return flat[spread(starts[back], sizes[back])], sizes[back]
+            flat = np.concatenate([flat, made])
+            if len(self.keys) + len(new) <= self.most and len(flat) <= self.most_ids:
+                where, self.flat = place[new], flat
+                self.keys = np.insert(self.keys, where, unique[new])
+                self.starts, self.sizes = np.insert(self.starts, where, starts[new]), np.insert(self.sizes, where, n)
+        return flat, starts, sizes, back
+
+    def encode(self, keys: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and the number of each word's."""
+        flat, starts, sizes, back = self.places(keys, make)
+        sizes = sizes[back]
+        return flat[spread(starts[back], sizes)], sizes
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -12,27 +12,34 @@ no trigram can't be learned, and are named in a warning, as are those of fewer t
 
 ``und`` stands for no known language: its likelihood is that of trigrams which
 no language explains. Texts are read whole. Null and empty texts have no text
-evidence and are judged ``und`` unless other evidence speaks. Null hosts,
-suffixes and declarations are no evidence.
+evidence; they are judged by their host, suffix and declaration, and are ``und``
+if these are null too. Null hosts, suffixes and declarations are no evidence.
+On ties the first language in alphabetical order wins, ``und`` last. Repeated
+rows are judged one by one; an empty table gives no rows. Input columns named
+``language``, ``posterior`` or ``kept`` are replaced unless ``carry`` leaves them out.
 """
 
 from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweave.llm.common import _FOLD, LOWER, UPPER, bounded_batches, durable, mix, pieces, small_or_not, string_bytes
+from tabweave.llm.common import _FOLD, LOWER, UPPER, bounded_batches, durable, freed, mix, pieces, release, small_or_not, string_bytes
 
 BITS, SAMPLE, FEW = 16, 4000, 20
 #: Log probability of a trigram under no language, the trigrams that count at most, and how many of them are worth one independent draw.
 UNKNOWN, MOST, TEMPER = -12.0, 600, 4.0
 #: A language with little text gives unseen trigrams this log probability, below ``UNKNOWN``, so that it does not draw what no language explains.
 UNSEEN = -14.0
+#: Bytes of texts whose trigrams are in memory at once, some 50 bytes each.
+PIECE = 1 << 18
 #: Pseudo-counts of the host's prior towards the domain's, and of the domain's towards the whole.
 STRENGTH = 5.0
 UND = "und"
@@ -85,17 +92,26 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     rows = below(upto).select("lang", "_tw_text")
 
     def run(batches):
-        import pyarrow as pa
+        kept: dict[str, np.ndarray] = {}
 
-        for b in batches:
-            langs, (data, offsets) = np.array(b.column(0).to_pylist()), string_bytes(b.column(1))
-            ids, owner = _trigrams(data, offsets)
-            for x in np.unique(langs):
-                got = np.bincount(ids[langs[owner] == x], minlength=1 << BITS) if len(ids) else np.zeros(1)
+        def rows():
+            for x, got in kept.items():
                 at = np.flatnonzero(got)
-                yield pa.RecordBatch.from_arrays([pa.array([str(x)] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(got[at].astype(np.int64))], names=["lang", "bucket", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(got[at])], names=["lang", "bucket", "n"])
+            kept.clear()
 
-    counts = rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+        for b in batches:
+            langs, (data, offsets) = np.array(b.column(0).to_pylist()), string_bytes(b.column(1))
+            for i, j in pieces(offsets, PIECE):
+                ids, owner = _trigrams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                of_text = langs[i:j]
+                for x in np.unique(of_text).tolist():
+                    kept[x] = kept.get(x, 0) + np.bincount(ids[of_text[owner] == x], minlength=1 << BITS)
+            if len(kept) > 64:
+                yield from rows()
+        yield from rows()
+
+    counts = rows.mapInArrow(freed(run), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     if poor := sorted(r.lang for r in sizes if r.n < FEW or r.lang not in languages):
         warnings.warn(f"languages with fewer than {FEW} labelled rows or without text, which are learned poorly or not at all: {', '.join(poor)}", stacklevel=2)
@@ -114,13 +130,13 @@ def with_likelihoods(df: DataFrame, model: Model, text: Column, name: str = "_tw
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("array<double>")
-    def score(column):
-        import pyarrow as pa
-
-        data, offsets = string_bytes(column)
-        rows = [shared.value.likelihoods(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in pieces(offsets)]
-        flat = np.concatenate(rows) if rows else np.zeros((0, len(shared.value.languages) + 1))
-        return pa.ListArray.from_arrays(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32), flat.ravel())
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            data, offsets = string_bytes(column)
+            rows = [shared.value.likelihoods(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in pieces(offsets, PIECE)]
+            flat = np.concatenate(rows) if rows else np.zeros((0, len(shared.value.languages) + 1))
+            yield pa.ListArray.from_arrays(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32), flat.ravel())
+        release()
 
     return df.withColumn(name, score(text.cast("string")))
 
@@ -183,7 +199,8 @@ def fuse(df: DataFrame, model: Model, p: Priors, least: float = 0.5) -> DataFram
     scores = add(add(F.col("_tw_ll"), F.coalesce("_tw_prior", F.array(*map(F.lit, p.overall)))), add(F.coalesce("_tw_by_suffix", none), F.coalesce("_tw_by_declared", none)))
     out = out.withColumn("_tw_scores", scores)
     top = F.array_max("_tw_scores")
-    out = out.withColumn("language", F.when(F.aggregate(F.transform("_tw_ll", lambda x: F.abs(x)), F.lit(0.0), lambda a, b: a + b) + F.when(F.col("_tw_by_declared").isNull(), 0).otherwise(1) > 0, F.get(names, _best(F.col("_tw_scores")))).otherwise(UND))
+    spoken = F.exists("_tw_ll", lambda x: x != 0) | F.col("_tw_prior").isNotNull() | F.col("_tw_by_suffix").isNotNull() | F.col("_tw_by_declared").isNotNull()
+    out = out.withColumn("language", F.when(spoken, F.get(names, _best(F.col("_tw_scores")))).otherwise(UND))
     out = out.withColumn("posterior", 1 / F.aggregate(F.transform("_tw_scores", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, b: a + b))
     out = out.withColumn("kept", (F.col("language") != UND) & (F.col("posterior") >= least))
     return out.drop(*(c for c in out.columns if c.startswith("_tw_")))

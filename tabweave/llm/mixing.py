@@ -8,7 +8,8 @@ hash of the key, so that a rerun keeps the same documents.
 
 DataFrame functions only. Null values of a dimension are the value ``''``.
 Documents without words have weight 0 and are drawn with probability
-min(1, lambda). Rows that repeat share their draw. An empty table gives no rows.
+min(1, lambda). Rows that repeat share their draw. An empty table gives no rows. A fixed
+number of sweeps is made; targets that the cells allow are then met to about one in a million.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.llm.common import BROADCAST_ROWS, WORD, durable, small_or_not
+from tabweave.storage import running
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Targets are the observed token shares to this power, normalised, where none are given.
@@ -51,12 +53,47 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
         one = F.col(f"_tw_raw_{d}") * F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy(d)))
         out = out.withColumn(f"_tw_one_{d}", F.coalesce(one, F.lit(0.0))).withColumn(f"_tw_t_{d}", F.try_divide(F.col("_tw_total") * F.col(f"_tw_raw_{d}"), F.sum(f"_tw_one_{d}").over(Window.partitionBy())))
     out = out.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(sweeps):
+    for k in range(sweeps):
+        if k and k % 10 == 0:
+            out = durable(out)  # deeper plans overflow the stack
         for d in DIMENSIONS:
             out = out.withColumn("weight", F.coalesce(F.col("weight") * F.try_divide(F.col(f"_tw_t_{d}"), F.sum("weight").over(Window.partitionBy(d))), F.lit(0.0)))
     return out.select(*DIMENSIONS, "tokens", "weight")
 
 
+def rake_by_joins(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temperature: float = TEMPERATURE, sweeps: int = SWEEPS) -> DataFrame:
+    """``rake`` for tables of any size: marginals are grouped sums joined back, and every step is written once."""
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    wanted = {}
+    for d in DIMENSIONS:
+        sums = cells.groupBy(d).agg(F.sum("tokens").alias("_tw_own"))
+        raw = F.pow(F.col("_tw_own").cast("double"), temperature)
+        if targets and d in targets:
+            raw = F.coalesce(*(F.when(F.col(d) == v, F.lit(float(x))) for v, x in targets[d].items()), F.lit(0.0))
+        sums = durable(sums.withColumn("_tw_raw", raw))
+        known = sums.agg(F.sum(F.when(F.col("_tw_own") > 0, F.col("_tw_raw")))).first()[0]
+        wanted[d] = sums.select(d, F.try_divide(total * F.col("_tw_raw"), F.lit(known).cast("double")).alias("_tw_goal"))
+    out = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for _ in range(sweeps):
+        for d in DIMENSIONS:
+            factor = out.groupBy(d).agg(F.sum("weight").alias("_tw_sum")).join(wanted[d], d).select(d, F.try_divide("_tw_goal", "_tw_sum").alias("_tw_factor"))
+            out = durable(out.join(factor, d).withColumn("weight", F.coalesce(F.col("weight") * F.col("_tw_factor"), F.lit(0.0))).drop("_tw_factor"))
+    return out.select(*DIMENSIONS, "tokens", "weight")
+
+
+def calibrate_by_ranges(cells: DataFrame, share: float = SHARE) -> DataFrame:
+    """``calibrate`` for tables of any size: sums before each cell come from ranges of the sorted cells."""
+    out = cells.withColumn("_tw_r", F.coalesce(F.try_divide(F.col("weight"), F.col("tokens")), F.lit(1.0)))
+    order = [F.desc("_tw_r"), *DIMENSIONS]
+    out = running(running(out, F.col("tokens"), "_tw_full", order), F.col("weight"), "_tw_used", order, "double")
+    all_tokens, all_weight = (x or 0 for x in out.agg(F.sum("tokens"), F.sum("weight")).first())
+    multiplier = F.try_divide(share * all_tokens - F.col("_tw_full"), all_weight - F.col("_tw_used"))
+    fits = (multiplier * F.col("_tw_r") <= 1) & (multiplier >= 0)
+    chosen = out.filter(fits).agg(F.max_by(multiplier, F.struct("_tw_r", multiplier))).first()[0]
+    probability = F.coalesce(F.least(F.lit(1.0), F.lit(chosen).cast("double") * F.col("_tw_r")), F.lit(1.0))
+    return out.withColumn("probability", probability).select(*DIMENSIONS, "tokens", "weight", "probability")
+
+
 def calibrate(cells: DataFrame, share: float = SHARE) -> DataFrame:
     """Adds ``probability``: lambda is the least multiplier at which the cells' expected tokens reach ``share`` of all."""
     r = F.coalesce(F.try_divide(F.col("weight"), F.col("tokens")), F.lit(1.0))
@@ -76,17 +113,18 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, sha
     """``docs`` with topic, n_tokens, weight (per token, 1 is the average), probability and kept.
 
     The table of cells is broadcast and raked in one task where it has at most
-    ``BROADCAST_ROWS`` rows; else the same plan runs distributed.
+    ``BROADCAST_ROWS`` rows; else marginals are joined and cells sorted in ranges. Columns of the input
+    named as the added ones are replaced, but for key and text.
     """
     added = ("topic", "n_tokens", "weight", "probability", "kept")
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.drop(*(c for c in added if c in docs.columns and c not in (key, text)))
     keyed = keyed.withColumns({"topic": topic(body), "n_tokens": F.regexp_count(body, F.lit(WORD)).cast("long"), "_tw_source": F.coalesce(F.col("source"), F.lit("")), "_tw_lang": F.coalesce(F.col("lang"), F.lit(""))})
     cells = durable(keyed.groupBy(F.col("_tw_source").alias("source"), F.col("_tw_lang").alias("lang"), "topic").agg(F.sum("n_tokens").alias("tokens")))
-    if cells.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        cells = cells.repartition(1)  # one partition needs no further shuffle for any of the windows
-    raked = durable(rake(cells, targets, temperature, sweeps))
-    ready = durable(calibrate(raked.repartition(1) if raked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else raked, share))
+    if cells.count() <= BROADCAST_ROWS:  # one partition needs no further shuffle for any of the windows
+        ready = durable(calibrate(durable(rake(cells.repartition(1), targets, temperature, sweeps)).repartition(1), share))
+    else:
+        ready = durable(calibrate_by_ranges(rake_by_joins(cells, targets, temperature, sweeps), share))
     table = ready.select(F.col("source").alias("_tw_source"), F.col("lang").alias("_tw_lang"), "topic", F.coalesce(F.try_divide(F.col("weight"), F.col("tokens")), F.lit(0.0)).alias("weight"), "probability")
     out = keyed.join(small_or_not(table), ["_tw_source", "_tw_lang", "topic"])
     rest = [c for c in keyed.columns if c not in ("_tw_source", "_tw_lang", "topic", "n_tokens")]
