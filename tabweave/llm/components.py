@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.llm.common import durable
+from tabweave.llm.common import durable, freed
 
 #: Edges that one task contracts at a time; a graph of at most so many is done then.
 TASK_EDGES = 1_000_000
@@ -34,27 +34,28 @@ def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def contracted(edges: DataFrame) -> DataFrame:
-    """Fewer edges with the same components: each task replaces its edges, a bounded number at a time, by stars."""
+def stars(batches: Iterator) -> Iterator:
+    """Fewer edges (Arrow batches a, b) with the same components, a bounded number at a time."""
+    import pyarrow as pa
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    kept: list[np.ndarray] = []
 
-        kept: list[np.ndarray] = []
+    def flush():
+        nodes, low = contract(*np.concatenate(kept, 1))
+        kept.clear()
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(low)], names=["a", "b"])
 
-        def stars():
-            nodes, low = contract(*np.concatenate(kept, 1))
-            kept.clear()
-            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(low)], names=["a", "b"])
+    for batch in batches:
+        kept.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+        if sum(x.shape[1] for x in kept) >= TASK_EDGES:
+            yield flush()
+    if kept:
+        yield flush()
 
-        for batch in batches:
-            kept.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
-            if sum(x.shape[1] for x in kept) >= TASK_EDGES:
-                yield stars()
-        if kept:
-            yield stars()
 
-    return edges.mapInArrow(run, "a long, b long")
+def contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges with the same components: each task replaces its edges by stars."""
+    return edges.mapInArrow(freed(stars), "a long, b long")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

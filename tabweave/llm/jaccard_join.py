@@ -13,16 +13,18 @@ has fewer). Two texts link when ``den * |A and B| >= num * |A or B|``.
 3. Within candidates, the counts of tokens per group are points of an R-tree. The
    overlap of a set with all sets of a node is at most the sum of the smaller
    coordinates of its point and of the node's upper corner; nodes and points
-   whose bound is too small are skipped, and survivors are verified exactly. Pairs
-   that earlier links already connect need no check. Large candidate sets are cut
-   by set size into bands, these into blocks of bounded size, and pairs of blocks of
-   the same or neighbouring bands are tasks of their own.
-4. Links give components by label propagation.
+   whose bound is too small are skipped. Pairs that earlier links already connect need
+   no check. Large candidate sets are cut by set size into bands, these into blocks of
+   bounded size, and pairs of blocks of the same or neighbouring bands are tasks of their own.
+4. Candidates shrink to the sets that surviving pairs connect. Only these are sent whole, and
+   within them pairs that the R-tree leaves are verified exactly. Links give components by
+   label propagation.
 
 All pairs that survive are verified on 64-bit token hashes. Texts are read whole.
 Texts without words (null, empty) have an empty set and link with nothing. Rows
-that repeat an id with the same text are one document; rows with a null id form
-no links and get a null component. No cap is set on groups, partners or
+that repeat an id with the same text are one document; rows with an id but
+different texts are judged each by its own text; rows with a null id form
+no links and get a null component. Other columns are not read; an empty table gives no rows. No cap is set on groups, partners or
 candidates.
 """
 
@@ -36,14 +38,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tabweave.llm.common import bounded_batches, durable, mix, partitions, small_or_not, word_batches
-from tabweave.llm.components import connected_components, contracted
+from tabweave.llm.common import bounded_batches, durable, freed, mix, partitions, small_or_not, word_batches
+from tabweave.llm.components import connected_components
 
-GROUPS, LEAF = 64, 32
-#: Tokens that a block may hold; a larger candidate set is cut into blocks.
-BLOCK_TOKENS = 600_000
+LEAST_GROUPS, LEAF = 16, 16
+#: Tokens that a block may hold as sets or as points; a larger candidate set is cut into blocks.
+BLOCK_TOKENS, BLOCK_POINTS = 600_000, 3_000_000
+COUNT = np.dtype("<u2")
 _SALT = np.uint64(0xD6E8FEB86659FD93)
-ONE_IN, SEEN, MOST_COMMON = 64, 3, 1_000_000
+ONE_IN, SEEN, MOST_COMMON = 16, 2, 1_000_000
 
 
 class Plan:
@@ -130,11 +133,11 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 check = np.array([np.bitwise_xor.reduce(mix(mix(x) + _SALT)) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(np.array([len(x) for x in sets], np.int64)), pa.array(nodes), pa.array(check)], names=["id", "n", "node", "check"])
 
-    return docs.mapInArrow(run, "id long, n long, node long, check long")
+    return docs.mapInArrow(freed(run), "id long, n long, node long, check long")
 
 
-def common_tokens(docs: DataFrame, words: int) -> np.ndarray:
-    """Tokens of at least ``SEEN`` texts of a sample of one in ``ONE_IN``, the most frequent ``MOST_COMMON``.
+def common_tokens(docs: DataFrame, classes: DataFrame, words: int) -> np.ndarray:
+    """Tokens of at least ``SEEN`` different sets of a sample of one in ``ONE_IN``, the most frequent ``MOST_COMMON``.
 
     They only steer which groups are compared; results are the same for any choice.
     """
@@ -146,19 +149,20 @@ def common_tokens(docs: DataFrame, words: int) -> np.ndarray:
             for _, _, w in word_batches(b.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*w.shingles(words), np.zeros(0, np.uint64)]).view(np.int64))], names=["token"])
 
-    sample = docs.filter(F.pmod(F.xxhash64("id"), F.lit(ONE_IN)) == 0).select("_tw_text").dropDuplicates()
-    counts = sample.mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") >= SEEN)
+    chosen = F.pmod(F.xxhash64("id"), F.lit(ONE_IN)) == 0
+    sample = docs.filter(chosen).join(small_or_not(classes.select(F.col("rep").alias("id")).filter(chosen)), "id", "left_semi").select("_tw_text")
+    counts = sample.mapInArrow(freed(run), "token long").groupBy("token").count().filter(F.col("count") >= SEEN)
     return np.sort(counts.orderBy(F.desc("count"), "token").limit(MOST_COMMON).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
 
 
-def _candidates(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
+def _candidates(docs: DataFrame, classes: DataFrame, words: int, plan: Plan) -> DataFrame:
     """a, b: edges that connect the nodes which share a signature.
 
     Copies within a task send their signatures once. Rows are sorted by signature
     within partitions and read as a stream, so that a common one needs no memory.
     """
 
-    shared = docs.sparkSession.sparkContext.broadcast(common_tokens(docs, words))
+    shared = docs.sparkSession.sparkContext.broadcast(common_tokens(docs, classes, words))
 
     def sign(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -196,73 +200,99 @@ def _candidates(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
             pairs = np.unique(np.stack([node, root])[:, node != root], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    signed = docs.select("_tw_text").mapInArrow(sign, "s long, node long").repartition(partitions(docs.sparkSession), "s").sortWithinPartitions("s")
+    signed = docs.select("_tw_text").mapInArrow(freed(sign), "s long, node long").repartition(partitions(docs.sparkSession), "s").sortWithinPartitions("s")
     bounded_batches(docs.sparkSession, 1024)
-    edges = durable(contracted(signed.mapInArrow(connect, "a long, b long")))
+    # copies share most signatures, which are dealt to many tasks: each edge is kept once
+    edges = durable(signed.mapInArrow(freed(connect), "a long, b long").distinct())
     bounded_batches(docs.sparkSession)
     return edges
 
 
+def point(tokens: np.ndarray, groups: int | None = None) -> np.ndarray:
+    """Counts of a set's tokens per group. The number of groups, a power of two, leaves four to eight tokens a group in larger sets."""
+    groups = groups or max(LEAST_GROUPS, 1 << max(0, len(tokens).bit_length() - 3))
+    return np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The point over fewer groups."""
+    return counts.reshape(-1, groups).sum(0)
+
+
 class Tree:
-    """A two-level R-tree: points in leaves of neighbours by size, with the upper corner and least size of each leaf."""
+    """An R-tree: points, tiled by size and by the sum of every other coordinate into leaves, with the upper corner and least size of each leaf."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points, self.sizes = points, sizes
+        slices = max(1, math.isqrt(-(-len(sizes) // LEAF)))
+        by_size = np.argsort(sizes, kind="stable")
+        half = points[:, ::2].sum(1)
+        self.order = np.concatenate([x[np.argsort(half[x], kind="stable")] for x in np.array_split(by_size, slices)])
+        self.points, self.sizes = points[self.order], sizes[self.order]
         cuts = np.arange(0, len(sizes), LEAF)
-        self.upper, self.least = np.maximum.reduceat(points, cuts, axis=0), sizes[cuts]
-
-    def near(self, point: np.ndarray, size: int, start: int, end: int, plan: Plan) -> np.ndarray:
-        """Points start..end whose overlap bound reaches what a link needs."""
-        a, b = start // LEAF, -(-end // LEAF)
-        leaves = a + np.flatnonzero(np.minimum(self.upper[a:b], point).sum(1) >= plan.overlap(size, np.maximum(self.least[a:b], size)))
-        at = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
-        at = at[(at >= start) & (at < end)]
-        return at[np.minimum(self.points[at], point).sum(1) >= plan.overlap(size, self.sizes[at])]
-
-
-def link(sets: list[np.ndarray], side: np.ndarray, plan: Plan) -> list[tuple[int, int]]:
-    """Links that connect all linked sets; with two sides, of pairs across only."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sizes = np.array([len(sets[i]) for i in order], np.int64)
-    points = np.stack([np.bincount((sets[i] & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for i in order]).astype(np.int32)
-    across, side, label, out = side.any() and not side.all(), side[order], np.arange(len(sets)), []
-    tree = Tree(points, sizes)
-    for q in range(len(sets) - 1):
-        end = int(np.searchsorted(sizes, plan.den * sizes[q] // plan.num, "right"))
-        open_ = label[q + 1 : end] != label[q]
+        self.upper, self.least = np.maximum.reduceat(self.points, cuts, axis=0), np.minimum.reduceat(self.sizes, cuts)
+
+    def near(self, q: int, open_: np.ndarray, plan: Plan) -> np.ndarray:
+        """Places among ``open_`` whose overlap bound with the point at place q reaches what a link needs."""
+        p, size = self.points[q], int(self.sizes[q])
+        leaves = np.unique(open_ // LEAF)
+        leaves = leaves[np.minimum(self.upper[leaves], p).sum(1) >= plan.overlap(size, self.least[leaves])]
+        at = open_[np.isin(open_ // LEAF, leaves)] if len(leaves) else open_[:0]
+        return at[np.minimum(self.points[at], p).sum(1) >= plan.overlap(size, self.sizes[at])]
+
+
+def link(points: list[np.ndarray], side: np.ndarray, plan: Plan, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links that connect all linked sets; with two sides, of pairs across only. Without the sets, links of all pairs
+    that their points don't rule out."""
+    least = min(map(len, points))
+    counts = np.stack([folded(p, least) for p in points]).astype(np.int32)
+    tree = Tree(counts, counts.sum(1))
+    side, n, out = side[tree.order], len(points), []
+    across, label, places = side.any() and not side.all(), np.arange(n), np.arange(n)
+    for q in range(n - 1):
+        open_ = places[q + 1 :][label[q + 1 :] != label[q]]
+        # linked sets differ in size by a bounded factor
+        open_ = open_[(plan.num * tree.sizes[open_] <= plan.den * tree.sizes[q]) & (plan.num * tree.sizes[q] <= plan.den * tree.sizes[open_])]
         if across:
-            open_ &= side[q + 1 : end] != side[q]
-        if not open_.any():
-            continue
-        near = tree.near(points[q], int(sizes[q]), q + 1, end, plan)
-        near = near[open_[near - q - 1]]
-        for p in near:
+            open_ = open_[side[open_] != side[q]]
+        for p in tree.near(q, open_, plan).tolist() if len(open_) else ():
             if label[p] == label[q]:
                 continue
-            a, b = sets[order[q]], sets[order[p]]
-            at = np.searchsorted(b, a)
-            both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-            if plan.den * both >= plan.num * (len(a) + len(b) - both):
-                label[label == label[p]] = label[q]
-                out.append((int(order[q]), int(order[p])))
+            i, j = int(tree.order[q]), int(tree.order[p])
+            if sets is not None:
+                a, b = sets[i], sets[j]
+                at = np.searchsorted(b, a)
+                both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+                if plan.den * both < plan.num * (len(a) + len(b) - both):
+                    continue
+            label[label == label[p]] = label[q]
+            out.append((i, j))
     return out
 
 
-def _links(members: DataFrame, docs: DataFrame, words: int, plan: Plan) -> DataFrame:
-    """a, b: links that connect the linked sets of each candidate set; members: id, node, n, component."""
+def _sent(tokens: np.ndarray, exact: bool) -> bytes:
+    return tokens.tobytes() if exact else point(tokens).astype(COUNT).tobytes()
+
+
+def _links(members: DataFrame, docs: DataFrame, words: int, plan: Plan, exact: bool) -> DataFrame:
+    """a, b: links that connect the linked sets of each candidate set; members: id, node, n, component.
+
+    If not ``exact``, points are sent in place of sets (a byte for four to eight tokens of eight bytes each), and links are
+    those that the points' bounds leave.
+    """
+    block_tokens = BLOCK_TOKENS if exact else BLOCK_POINTS
     sizes = members.groupBy("component").agg(F.sum("n").alias("tokens"))
     total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    bins = total // BLOCK_TOKENS + 1
+    bins = total // block_tokens + 1
     # bands of sizes a little wider than linked sets can differ, so that links stay within a band or join neighbours
     width = math.log(max(plan.den / plan.num, 1.001)) * (1 + 1e-6)
-    large = sizes.withColumn("large", F.col("tokens") > BLOCK_TOKENS).select("component", "large")
-    banded = durable(members.join(large, "component").withColumn("band", F.when(F.col("large"), F.floor(F.log("n") / width)).otherwise(0).cast("long")))
+    large = sizes.withColumn("large", F.col("tokens") > block_tokens).select("component", "large")
+    banded = durable(members.join(large, "component").withColumn("band", F.when(F.col("large") | F.lit(not exact), F.floor(F.log("n") / width)).otherwise(0).cast("long")))
     order = Window.partitionBy("component").orderBy("band")
-    blocks = banded.groupBy("component", "band").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("long").alias("blocks"))
+    blocks = banded.groupBy("component", "band").agg(F.ceil(F.sum("n") / block_tokens).cast("long").alias("blocks"))
     beside = lambda f, d: F.coalesce(F.when(f("band").over(order) == F.col("band") + d, f("blocks").over(order)), F.lit(0))
     blocks = blocks.withColumns({"below": beside(F.lag, -1), "above": beside(F.lead, 1)})  # a component has few bands
     placed = banded.join(blocks, ["component", "band"]).select("id", "node", "component", "large", "band", "blocks", "below", "above")
-    rows = docs.join(small_or_not(placed), "id").select("component", "node", "large", "band", "blocks", "below", "above", "_tw_text")
+    rows = docs.join(small_or_not(durable(placed)), "id").select("component", "node", "large", "band", "blocks", "below", "above", "_tw_text")
     kept = "component long, node long, large boolean, band long, blocks long, below long, above long"
 
     def run(batches: Iterator) -> Iterator:
@@ -270,9 +300,9 @@ def _links(members: DataFrame, docs: DataFrame, words: int, plan: Plan) -> DataF
 
         for b in batches:
             for i, j, w in word_batches(b.column(7)):
-                yield pa.RecordBatch.from_arrays([*(b.column(k)[i:j] for k in range(7)), pa.array([s.tobytes() for s in w.shingles(words)], pa.binary())], names=[*b.schema.names[:7], "tokens"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k)[i:j] for k in range(7)), pa.array([_sent(s, exact) for s in w.shingles(words)], pa.binary())], names=[*b.schema.names[:7], "tokens"])
 
-    sets = rows.mapInArrow(run, f"{kept}, tokens binary").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    sets = rows.mapInArrow(freed(run), f"{kept}, tokens binary").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     # a set meets all blocks of its own band and of the neighbouring ones; (band, i, j, across) names the pair of blocks
     meets = """concat(
         transform(sequence(0L, blocks - 1), t -> struct(band, least(own, t) AS i, greatest(own, t) AS j, false AS across, own <= t AS side)),
@@ -292,13 +322,15 @@ def _links(members: DataFrame, docs: DataFrame, words: int, plan: Plan) -> DataF
         a, b = [], []
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             at = order[s:e]
-            sets = [np.frombuffer(tokens[x], np.uint64) for x in at]
-            for x, y in link(sets, side[at], plan):
+            got = [np.frombuffer(tokens[x], np.uint64 if exact else COUNT) for x in at]
+            least = min(len(point(x)) for x in got) if exact else 0
+            for x, y in link([point(x, least) for x in got], side[at], plan, got) if exact else link(got, side[at], plan):
                 a.append(ids[at[x]])
                 b.append(ids[at[y]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return sets.select("task", "component", "pair.*", "node", "tokens").groupBy("task").applyInArrow(solve, "a long, b long")
+    # written, so that no stage has two Python workers a task
+    return durable(sets.select("task", "component", "pair.*", "node", "tokens").groupBy("task").applyInArrow(solve, "a long, b long"))
 
 
 def components(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,8 +340,9 @@ def components(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_tw_text"))
     slim = durable(_sets(docs, words))
     classes = durable(slim.filter("n > 0 AND id IS NOT NULL").groupBy("n", "node", "check").agg(F.min("id").alias("rep")))
-    members = connected_components(_candidates(docs.filter("id IS NOT NULL"), words, plan)).join(classes, "node").select(F.col("rep").alias("id"), "node", "n", "component")
-    linked = connected_components(_links(durable(members), docs, words, plan)).withColumnRenamed("component", "root")
+    members = connected_components(_candidates(docs.filter("id IS NOT NULL"), classes, words, plan)).join(classes, "node").select(F.col("rep").alias("id"), "node", "n", "component")
+    near = connected_components(_links(durable(members), docs, words, plan, exact=False)).join(classes, "node").select(F.col("rep").alias("id"), "node", "n", "component")
+    linked = connected_components(_links(durable(near), docs, words, plan, exact=True)).withColumnRenamed("component", "root")
     named = linked.join(classes, "node").select("node", "root", "rep")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component"))
     labels = durable(named.join(smallest, "root").select("rep", "component"))

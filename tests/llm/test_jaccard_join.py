@@ -72,6 +72,27 @@ def test_empty_and_null_ids(spark):
     assert J.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = J.components(spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (4, "A b c d e f")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (1, 1), (1, 1), (4, 1)]
+    two = [(3, "a b c d e f"), (8, "u v w x y z"), (8, "a b c d e f"), (9, "u v w x y z"), (8, None)]
+    got = J.components(spark.createDataFrame([(*r, 5) for r in two], "doc_id long, text string, component_id int")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(3, 2, 3), (8, 0, 8), (8, 2, 3), (8, 2, 8), (9, 2, 8)]
+
+
+def test_points_bound_the_overlap():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        a, b = (np.unique(rng.integers(0, 400, int(rng.integers(1, 300))).astype(np.uint64) * J._SALT) for _ in range(2))
+        p, q = J.point(a), J.point(b)
+        least = min(len(p), len(q))
+        assert p.sum() == len(a) and np.minimum(J.folded(p, least), J.folded(q, least)).sum() >= len(np.intersect1d(a, b))
+
+
+def test_the_tree_rules_most_unlinked_pairs_out():
+    rng, plan = np.random.default_rng(8), J.Plan(80, 100)
+    sets = [np.unique(rng.integers(0, 2**63, 400).astype(np.uint64)) for _ in range(300)]
+    points = np.stack([J.point(s, 128) for s in sets])
+    tree = J.Tree(points, points.sum(1))
+    left = sum(len(tree.near(q, np.arange(q + 1, 300), plan)) for q in range(299))
+    assert left <= 5  # of 44,850
 
 
 @pytest.mark.parametrize("limit", [1_000_000, 3])
