@@ -5,40 +5,54 @@ and returns the rows that stay: with the columns of ``documents``, but for the
 last, which returns the encoded documents. Each result is written as Parquet and
 read again as the next stage's input. Duplicates are texts linked by sets of
 five-word shingles with a similarity of 0.8 or more; the smallest doc_id stays.
-Rows with null or empty text carry no language and go in the first stage.
+Rows without text go in the first two stages: in the first if their source is null
+too (a source's language stands for them otherwise), else in the second, since they have no words. Rows that
+repeat a doc_id stay or go together in the join and in mixing. Columns of the input keep their
+values whatever their names. Every stage of an empty table is empty.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.llm import bpe, jaccard_join, language_id, mixing, quality_rules, token_files
-from tabweave.llm.common import small_or_not, table
+from tabweave.llm.common import durable, small_or_not, table
 from tabweave.llm.queries import tokenizer_file
 
+#: Columns that the operators read by name.
+NEEDED = ("doc_id", "text", "lang", "source")
+
+
+def kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that ``judge`` marks ``kept``, with their own columns, which it sees under other names unless it needs them."""
+    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c not in NEEDED}
+    judged = judge(docs.withColumnsRenamed(own))
+    return judged.filter("kept").select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose fused evidence names a language; sources stand in for hosts."""
-    judged = language_id.identify(docs, language_id.fit(docs), F.col("text"), host=F.col("source"))
-    return judged.filter("kept").select(docs.columns)
+    return kept(docs, lambda rows: language_id.identify(rows, language_id.fit(rows), F.col("text"), host=F.col("source")))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that pass the base rule and the threshold table."""
-    return quality_rules.judge(docs).filter("kept").select(docs.columns)
+    return kept(docs, quality_rules.judge)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component; documents without words or id all stay."""
+    """Keeps the smallest doc_id of each component; documents without words or id all stay, and so do all rows of a doc_id that stays."""
     groups = jaccard_join.components(docs, words=5, num=80, den=100)
-    extra = groups.filter("component_id <> doc_id").select("doc_id")
+    extra = durable(groups.filter("component_id <> doc_id").select("doc_id").distinct())
     return docs.join(small_or_not(extra), "doc_id", "left_anti").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents by the probabilities calibrated to the target weights."""
-    return mixing.mix(docs).filter("kept").select(docs.columns)
+    return kept(docs, mixing.mix)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
