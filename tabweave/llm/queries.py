@@ -44,7 +44,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2, tokenizer_file("byte_bpe_50k.tiktoken"))
+    return lm_scoring.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2, tokenizer_file("byte_bpe_multi_50k.tiktoken"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
