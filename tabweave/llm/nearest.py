@@ -7,11 +7,15 @@ all trees through one shared priority queue, ordered by the sum of squared margi
 of the planes to cross, until the opened leaves hold ``share`` of all rows (at least
 ``LEAST_ROWS``). Rows of opened leaves are reranked by their exact distance.
 
+The share is measured unless given: for ``TRIALS`` rows of the sample, how far the queue must go for
+``RECALL`` of their exact neighbours in the sample. In larger tables neighbours are nearer, so
+recall is rather higher there. Uniformly scattered vectors need most rows, clustered ones few.
+
 Leaves are sets of rows of their own; large ones (many copies of a vector) are
 salted. Vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, nor do rows without id. Ties go to the smaller
-id. The share is high by default because uniformly scattered vectors need it for a
-recall of 0.9; clustered ones do with much less.
+id. Rows that repeat an id are one row at their least distance, and as queries give the union of what they find.
+Columns of the input other than key, vector and those of ``queries`` are not read. An empty table has no neighbours.
 """
 
 from __future__ import annotations
@@ -25,10 +29,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweave.llm.common import bounded_batches, durable
+from tabweave.llm.common import bounded_batches, durable, freed
 
-TREES, SAMPLE, LEAF_ROWS, MOST_LEVELS = 8, 20_000, 200, 12
-SHARE, LEAST_ROWS = 0.9, 4000
+#: Trees, rows that they are fitted on, and rows a leaf; levels follow the table's rows while four rows of the sample are in a leaf.
+TREES, SAMPLE, LEAF_ROWS, MOST_LEVELS = 8, 65_536, 200, 14
+RECALL, TRIALS, LEAST_ROWS = 0.93, 128, 4000
 #: Leaves of a tree that are handled together, and the rows at which such a block is salted.
 BLOCK_LEVELS, SALT_ROWS = 3, 20_000
 
@@ -89,6 +94,22 @@ class Forest:
             heapq.heappush(queue, (cost + margin * margin, k, level + 1, 2 * node + 1 - near))
         return out
 
+    def share(self, sample: np.ndarray, k: int) -> float:
+        """Rows to open, as a share of all, for ``RECALL`` of the ``k`` nearest neighbours of rows of the sample in it."""
+        leaves = self.leaves(sample)
+        sizes = {(t, int(leaf)): int(n) for t in range(TREES) for leaf, n in zip(*np.unique(leaves[:, t], return_counts=True), strict=True)}
+        needed = []
+        for q in range(0, len(sample), -(-len(sample) // TRIALS)):
+            d = ((sample - sample[q]) ** 2).sum(1)
+            d[q] = np.inf
+            near = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
+            opened, rows = {}, 0
+            for at in self.search(sample[q], sizes, np.inf):
+                rows += sizes[at]
+                opened[at] = rows
+            needed += [min(opened[t, int(leaf)] for t, leaf in enumerate(leaves[i])) for i in near]
+        return float(np.quantile(needed, RECALL, method="higher")) / len(sample) if needed else 1.0
+
 
 def _matrix(column, dim: int) -> np.ndarray:
     import pyarrow as pa
@@ -96,7 +117,7 @@ def _matrix(column, dim: int) -> np.ndarray:
     return column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def neighbours(df: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", share: float = SHARE) -> DataFrame:
+def neighbours(df: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", share: float | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (Euclidean distance) of each query row's ``k`` nearest found."""
     spark = df.sparkSession
     bounded_batches(spark, 2048)
@@ -108,9 +129,11 @@ def neighbours(df: DataFrame, queries: Column, k: int = 10, key: str = "vec_id",
     dim, total = lengths["dim"], lengths["count"]
     rows = rows.filter(F.size("vector") == dim)
     levels = max(1, min(MOST_LEVELS, math.ceil(math.log2(max(2, total / LEAF_ROWS)))))
-    chance = int(min(1.0, 1.2 * SAMPLE / total) * (1 << 20))
-    sample = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) <= chance).select("vec_id", "vector").limit(SAMPLE).collect()
-    forest = spark.sparkContext.broadcast(Forest.fit(np.array([r.vector for r in sorted(sample)], float).reshape(-1, dim), levels))
+    place_of = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))
+    chance = int(min(1.0, 1.2 * SAMPLE / total) * (1 << 40))
+    sample = _matrix(rows.filter(place_of <= chance).orderBy(place_of, "vec_id", "vector").limit(SAMPLE).select("vector").toArrow().column(0).combine_chunks(), dim)
+    fitted = Forest.fit(sample, levels)
+    forest, share = spark.sparkContext.broadcast(fitted), fitted.share(sample, k) if share is None else share
 
     def place(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -123,7 +146,7 @@ def neighbours(df: DataFrame, queries: Column, k: int = 10, key: str = "vec_id",
             for t in range(TREES):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(leaves[:, t]), b.column(0), raw], names=["tree", "leaf", "vec_id", "raw"])
 
-    placed = rows.select("vec_id", "vector").mapInArrow(place, "tree int, leaf long, vec_id long, raw binary").withColumn("block", F.shiftright("leaf", BLOCK_LEVELS))
+    placed = rows.select("vec_id", "vector").mapInArrow(freed(place), "tree int, leaf long, vec_id long, raw binary").withColumn("block", F.shiftright("leaf", BLOCK_LEVELS))
     counts = durable(placed.groupBy("tree", "block", "leaf").count())  # at most trees * 2^levels rows
     sizes = spark.sparkContext.broadcast({(r.tree, r.leaf): r["count"] for r in counts.collect()})
     salts = F.broadcast(counts.groupBy("tree", "block").agg(F.ceil(F.sum("count") / SALT_ROWS).cast("long").alias("salts")))
@@ -143,7 +166,7 @@ def neighbours(df: DataFrame, queries: Column, k: int = 10, key: str = "vec_id",
                     blocks[at] = blocks.get(at, 0) | 1 << (leaf & ((1 << BLOCK_LEVELS) - 1))
                 yield pa.RecordBatch.from_pydict({"tree": pa.array([t for t, _ in blocks], pa.int32()), "block": pa.array([v for _, v in blocks], pa.int64()), "open": pa.array(list(blocks.values()), pa.int64()), "query_id": pa.array([int(i)] * len(blocks), pa.int64()), "q": pa.array([q.tobytes()] * len(blocks), pa.binary())})
 
-    probes = rows.filter("query").select("vec_id", "vector").mapInArrow(probe, "tree int, block long, open long, query_id long, q binary")
+    probes = rows.filter("query").select("vec_id", "vector").mapInArrow(freed(probe), "tree int, block long, open long, query_id long, q binary")
     probes = probes.join(salts, ["tree", "block"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     salted = placed.join(salts, ["tree", "block"]).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")))
 

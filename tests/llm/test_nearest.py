@@ -46,3 +46,20 @@ def test_unusable_rows(spark):
     got = sorted((r.query_id, r.rank, r.vec_id) for r in nearest.neighbours(df, F.col("vec_id") % 100 == 0).collect())
     assert got == [(0, 1, 100), (0, 2, 1), (100, 1, 0), (100, 2, 1)]
     assert nearest.neighbours(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_clustered_vectors_open_few_rows(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(300, 24)) * 8
+    x = centres[rng.integers(0, 300, 12_000)] + rng.normal(size=(12_000, 24))
+    forest = nearest.Forest.fit(x, 6)
+    assert forest.share(x, 10) < 0.3
+    noise = rng.normal(size=(3000, 64))
+    assert nearest.Forest.fit(noise, 4).share(noise, 10) > 0.5
+
+
+def test_repeated_ids_are_one_row(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.0, 2.0]), (2, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in nearest.neighbours(df, F.col("vec_id") == 0).collect())
+    assert got == [(0, 1, 1, 0.1), (0, 2, 2, round(5**0.5, 6))]
