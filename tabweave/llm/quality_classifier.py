@@ -4,12 +4,15 @@ Every feature of a text (words, pairs of neighbouring words, byte trigrams with
 word borders) is hashed to a bucket with a learned vector; a text is the mean of
 its features' vectors, and a softmax layer gives the class. Training is
 stochastic gradient descent in numpy on a bounded sample of labelled rows
-(``SAMPLE`` per class, chosen by a hash of the key). Since the layers are linear
+(``SAMPLE`` per class, chosen by a hash of the key; of these, texts of more than ``SAMPLE_BYTES``
+are left out, so that the sample is bounded in bytes too). Since the layers are linear
 up to the softmax, scoring needs one margin per bucket, which is a table of
 fixed size.
 
 Texts are scored whole. Null and empty texts have no features and get the bias's
-score. Without any labelled row every score is 0.5.
+score. Without any labelled row every score is 0.5. Of several labels of one key the larger
+one counts; labels other than 0 and 1 and null keys are ignored. Rows that repeat are scored one
+by one, and all rows of a sampled key are learned from. Columns of the input other than keys and text are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tabweave.llm.common import Words, bounded_batches, mix, pieces, string_bytes
+from tabweave.llm.common import Words, bounded_batches, freed, mix, pieces, string_bytes
 
 BITS, DIM = 17, 8
-SAMPLE, EPOCHS, RATE = 1500, 5, 0.5
+SAMPLE, SAMPLE_BYTES, EPOCHS, RATE = 1500, 32 << 10, 5, 0.5
 _SAME = np.uint64(0x5EED)
 
 
@@ -95,10 +98,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Learns from at most ``sample`` labelled rows of each class; ``labels`` must hold training rows only."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    chosen = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_tw_key"), F.col(label).cast("int").alias("_tw_label")).dropDuplicates(["_tw_key"])
+    chosen = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_tw_key"), F.col(label).cast("int").alias("_tw_label")).groupBy("_tw_key").agg(F.max("_tw_label").alias("_tw_label"))
     picked = [chosen.filter(F.col("_tw_label") == c).orderBy(F.xxhash64("_tw_key"), "_tw_key").limit(sample) for c in (0, 1)]
     rows = F.broadcast(picked[0].unionAll(picked[1]))  # at most 2 * sample rows
-    source = docs.select(F.col(key).alias("_tw_key"), F.col(text).alias("_tw_text")).join(rows, "_tw_key").select("_tw_text", "_tw_label", "_tw_key")
+    short = F.coalesce(F.octet_length(text), F.lit(0)) <= SAMPLE_BYTES
+    source = docs.filter(short).select(F.col(key).alias("_tw_key"), F.col(text).alias("_tw_text")).join(rows, "_tw_key").select("_tw_text", "_tw_label", "_tw_key")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -110,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), pa.array([x.astype(np.int32).tobytes() for x, _ in bags], pa.binary()), pa.array([x.astype(np.int32).tobytes() for _, x in bags], pa.binary())], names=["_tw_key", "label", "ids", "counts"])
 
     schema = StructType([source.schema["_tw_key"]]).add("label", "integer").add("ids", "binary").add("counts", "binary")
-    got = sorted(source.mapInArrow(run, schema).collect(), key=lambda r: (r["_tw_key"], bytes(r.ids)))
+    got = sorted(source.mapInArrow(freed(run), schema).collect(), key=lambda r: (r["_tw_key"], bytes(r.ids)))
     return train([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.int32), r.label) for r in got])
 
 
@@ -130,4 +134,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str, ..
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys))), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*keys, name])
 
     source = docs.select(*keys, F.col(text).alias("_tw_text"))
-    return source.mapInArrow(run, StructType([*(source.schema[k] for k in keys), StructField(name, DoubleType())]))
+    return source.mapInArrow(freed(run), StructType([*(source.schema[k] for k in keys), StructField(name, DoubleType())]))

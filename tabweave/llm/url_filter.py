@@ -9,7 +9,8 @@ others are joined by a shuffle.
 
 Null addresses and ones without ``://`` have empty host and path, no rule, and
 the method's verdict on no tokens (the prior; ``allow`` on a tie). Rows that
-repeat are judged one by one.
+repeat are judged one by one. A word has at most ``LONGEST`` letters. Addresses of any length are read
+whole. Columns of the input other than keys, url and html are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from tabweave.llm.common import LOWER, UPPER, bounded_batches, durable
+from tabweave.llm.common import LOWER, UPPER, bounded_batches, durable, freed
 
 HEAD, WORDS, LONGEST = 50_000, 200_000, 24
 #: A host with more than one in so many of the rows does not go through a shuffle by host.
@@ -158,7 +159,7 @@ def _with_words(ruled: DataFrame, counts: DataFrame) -> tuple[DataFrame, Segment
             yield pa.RecordBatch.from_pydict({"word": list(uses), "uses": list(uses.values())})
 
     total = counts.agg(F.sum("n")).first()[0] or 0
-    uses = hosts.select("host").mapInArrow(found, "word string, uses long").groupBy("word").agg(F.sum("uses").alias("uses"))
+    uses = hosts.select("host").mapInArrow(freed(found), "word string, uses long").groupBy("word").agg(F.sum("uses").alias("uses"))
     used = durable(counts.join(uses, "word"))
     head = {r.word: r.n for r in used.orderBy(F.desc("uses"), "word").limit(WORDS).collect()}
     segmenter = Segmenter(head, total)
@@ -174,7 +175,7 @@ def _with_words(ruled: DataFrame, counts: DataFrame) -> tuple[DataFrame, Segment
                 if words := sorted(_substrings(h) - known.value):
                     yield pa.RecordBatch.from_pydict({"host": [h] * len(words), "word": words})
 
-    by_host = hosts.select("host").mapInArrow(rare, "host string, word string").join(used.select("word", "n"), "word")
+    by_host = hosts.select("host").mapInArrow(freed(rare), "host string, word string").join(used.select("word", "n"), "word")
     by_host = durable(by_host.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("_tw_more")))
     hot = F.broadcast(hosts.filter(F.col("rows") > ruled.count() // HOT).select("host", F.lit(True).alias("_tw_hot")))  # fewer than HOT rows
     rows = ruled.join(hot, "host", "left").withColumn("_tw_at", F.monotonically_increasing_id() % 1024)
@@ -209,7 +210,7 @@ def judge(pages: DataFrame, url: str = "url", html: str = "html", rules=RULES, k
             yield pa.RecordBatch.from_pydict({"verdict": [k[0] for k in found], "token": [k[1] for k in found], "n": list(found.values())})
 
     # all pages are counted, for the tokens that are used most; only those with a verdict are evidence
-    seen = ruled.select("host", "path", "_tw_verdict", "_tw_more").mapInArrow(count, "verdict string, token string, n long")
+    seen = ruled.select("host", "path", "_tw_verdict", "_tw_more").mapInArrow(freed(count), "verdict string, token string, n long")
     by_token = durable(seen.groupBy("token").agg(*(F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("n"))), F.lit(0)).alias(v) for v in ("allow", "block")), F.sum("n").alias("n")))
     totals = by_token.agg(*(F.sum(F.when(F.col("token") == "", F.col(v))).alias(f"docs_{v}") for v in ("allow", "block")), *(F.sum(F.when(F.col("token") != "", F.col(v))).alias(v) for v in ("allow", "block")), F.count_if(F.col("allow") + F.col("block") > 0).alias("kinds"), F.count_if(F.col("token") != "").alias("all_kinds")).first()
     a_docs, b_docs = totals.docs_allow or 0, totals.docs_block or 0
@@ -233,7 +234,7 @@ def judge(pages: DataFrame, url: str = "url", html: str = "html", rules=RULES, k
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.float64()), pa.array(rare, pa.list_(pa.string()))], names=[*b.schema.names[:-1], "block_odds", "_tw_rare"])
 
     kept = StructType([f for f in ruled.schema if f.name != "_tw_more"]).add("block_odds", "double").add("_tw_rare", ArrayType(StringType()))
-    judged = ruled.mapInArrow(score, kept)
+    judged = ruled.mapInArrow(freed(score), kept)
     if totals.all_kinds > len(head):
         judged = durable(judged.withColumn("_tw_row", F.monotonically_increasing_id()))
         rare = judged.select("_tw_row", F.explode("_tw_rare").alias("token")).groupBy("_tw_row", "token").agg(F.count("*").alias("times"))
