@@ -63,7 +63,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", known_language), ("quality rules", quality), ("n-gram Jaccard join", one_of_each_group), ("mixing", mixed), ("BPE encoding", encoded)]
 
-#: Language ID, the join and the encoding are not expressible in SQL; tests hold each stage against a brute-force version.
+#: Language ID, the join and the encoding are not expressible in SQL; tests/llm/test_pipeline.py holds the rows against plain versions of the stages after language ID,
+#: and language ID has a plain version in test_stages.py.
 ORACLE_SQL = None
 
 
