@@ -4,20 +4,22 @@ A folder holds ``shards`` and ``dictionary``, both Parquet written by Spark (so
 a lost executor's work is redone and committed once). A shard row has, for a run
 of documents in ascending doc_id order, the concatenated frames (``payload``),
 the offset index (``entries``: per document its id, token count, and the place
-and length of its frame) and the SHA-256 of the dictionary. A document is read
-by its entry alone.
+and length of its frame), the bytes of an id, and the SHA-256 of the dictionary.
+A document is read by its entry alone.
 
 Null and empty texts are documents with the end id only. Rows that repeat a
-doc_id are all kept, ordered by text. Texts are encoded whole.
+doc_id are all kept, ordered by a hash of their text. Rows with a null doc_id come
+first and are flagged in their entries. Texts are encoded whole, of any length below
+4 GB of ids. Other columns are not read. An empty table gives empty files.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from operator import attrgetter
 
 import numpy as np
@@ -25,15 +27,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabweave.llm.bpe import Memo, byte_letters, matches
-from tabweave.llm.common import Words, WordTable, bounded_batches, mix, partitions, pieces, small_or_not, string_bytes
+from tabweave.llm.common import MARKS, Words, WordTable, bounded_batches, freed, marked, mix, partitions, pieces, small_or_not, spread, string_bytes, word_hashes
+from tabweave.storage import scratch as scratch_folder  # noqa: F401 (a new folder in the shared one)
 
-ENTRY = np.dtype([("doc_id", "<i8"), ("n_tokens", "<u4"), ("length", "<u4"), ("place", "<u8")])
+ENTRY = np.dtype([("doc_id", "<i8"), ("n_tokens", "<u4"), ("length", "<u4"), ("place", "<u4"), ("flags", "<u4")])
 SHARD_BYTES, SHARD_DOCS = 4 << 20, 8192
-#: The dictionary is trained on at most so many documents (chosen by a hash of their id) and so many bytes.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 16 << 20, 64 << 10
+#: The dictionary is trained on the whole arrays of at most so many documents (chosen by a hash of their id among those of at most so many bytes).
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 64 << 10, 64 << 10
 MATCHES = 120_000
 _ID = attrgetter("id")
-SHARDS = "part int, shard int, first_id long, last_id long, n_docs long, n_tokens long, dictionary string, entries binary, payload binary"
+SHARDS = "part int, shard int, first_id long, last_id long, n_docs long, n_tokens long, width int, dictionary string, entries binary, payload binary"
 
 
 #: Fixed value: the byte-level pattern of the tokenizers library, with its white space spelled out.
@@ -47,7 +50,7 @@ class Encoder:
     No match of the byte-level pattern joins a word with white space after it. A
     text whose white space characters are single blanks and line breaks between
     words may thus be cut before each into units, which are looked up by their hash
-    for a whole batch. Other texts are cut by the pattern, and those with a special
+    for a whole batch, without the mark that may end them. Other texts are cut by the pattern, and those with a special
     token's string go to the library.
     """
 
@@ -63,6 +66,11 @@ class Encoder:
         self.letters, self.model = byte_letters(), self.library.model
         self.match = Memo(self._match, MATCHES)
         self.table = WordTable(self.width)
+        self.leads = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
+        self.leads[[i for token, i in self.library.get_vocab().items() if token.startswith(self.letters[32])]] = True
+        self.marks, self.single = np.zeros(256, self.width), np.zeros(256, bool)
+        for c in MARKS:
+            self.marks[ord(c)], self.single[ord(c)] = self.match[c][0], len(self.match[c]) == 1
 
     def _match(self, match: str) -> list[int]:
         letters = match.encode().decode("latin-1").translate(self.letters)
@@ -94,33 +102,51 @@ class Encoder:
             slow |= np.array([any(s.encode() in raw[i:j] for s in self.special) for i, j in zip(offsets[:-1], offsets[1:], strict=True)])
         counts = np.diff(w.first)
         take = np.flatnonzero(np.repeat(~slow, counts))
-        start, end = w.start[take], w.end[take]
+        start = w.start[take]
+        mark = (marked(w) & self.single[w.text[w.end - 1]])[take] if len(w.text) else np.zeros(0, bool)
+        last, end = w.end[take] - 1, w.end[take] - mark
         initial = np.isin(start, offsets)
         lead = np.where(initial, 0, text[np.maximum(start - 1, 0)]).astype(np.uint64) if len(start) else np.zeros(0, np.uint64)
 
         def make(i: int) -> list[int]:
             unit = raw[start[i] - (not initial[i]) : end[i]].decode()
             body = unit[1:]
-            # most units are one word, perhaps with one mark, which needs no search
+            # most units are one word, which needs no search
             if unit[0] == " " and body.isalpha():
                 return self.match[unit]
-            if unit[0] == " " and body[-1] in _MARKS and body[:-1].isalpha():
-                return self.match[unit[:-1]] + self.match[unit[-1]]
             if unit[0] == "\n" and body.isalpha():
                 return self.match["\n"] + self.match[body]
             return self._by_pattern(unit)
 
-        ids, sizes = self.table.encode(mix(w.hash[take] + lead * np.uint64(0x9E3779B97F4A7C15)), make)
-        at = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(np.where(slow, 0, counts))])]
+        def made(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            # units after a blank are encoded in one go, each from the id that begins with the blank
+            units = at[lead[at] == 32].tolist()
+            if len(units) == len(at):
+                found = np.array(self.library.encode_batch_fast([b"".join([raw[start[i] - 1 : end[i]] for i in units]).decode()], add_special_tokens=False)[0].ids, self.width)
+                starts = np.flatnonzero(self.leads[found])
+                if len(starts) == len(units):
+                    return found, np.diff(np.append(starts, len(found)))
+            elif units:
+                (a, m), (b, n) = made(np.array(units)), made(at[lead[at] != 32])
+                sizes = np.empty(len(at), np.int64)
+                sizes[lead[at] == 32], sizes[lead[at] != 32] = m, n
+                begin = np.empty(len(at), np.int64)
+                begin[lead[at] == 32], begin[lead[at] != 32] = np.cumsum(m) - m, len(a) + np.cumsum(n) - n
+                return np.concatenate([a, b])[spread(begin, sizes)], sizes
+            one_by_one = [make(i) for i in at.tolist()]
+            return np.fromiter(chain.from_iterable(one_by_one), self.width), np.fromiter(map(len, one_by_one), np.int64, len(one_by_one))
+
+        ids, sizes = self.table.encode(mix(word_hashes(text, start, end) + lead * np.uint64(0x9E3779B97F4A7C15)), made)
+        ids = np.insert(ids, np.cumsum(sizes)[mark], self.marks[text[last[mark]]])
+        at = np.concatenate([[0], np.cumsum(sizes + mark)])[np.concatenate([[0], np.cumsum(np.where(slow, 0, counts))])]
         return [self._slowly(raw[offsets[k] : offsets[k + 1]].decode()) if slow[k] else ids[at[k] : at[k + 1]] for k in range(n)]
 
-    def encode_column(self, column) -> Iterator[np.ndarray]:
+    def encode_column(self, column) -> Iterator[tuple[int, int, list[np.ndarray]]]:
         text, offsets = string_bytes(column)
         for i, j in pieces(offsets):
-            yield from self.encode(text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            yield i, j, self.encode(text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-_MARKS = frozenset(".,;:!?")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -138,16 +164,18 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end: int) -> bytes:
     """A dictionary of at most DICTIONARY_BYTES from a bounded sample of serialized id arrays."""
     import zstandard
 
+    docs = docs.filter(F.coalesce(F.octet_length("_tw_text"), F.lit(0)) <= SAMPLE_BYTES)
     total = docs.count()
     share = min(1.0, 1.5 * SAMPLE_DOCS / max(total, 1))
-    sample = docs.filter(F.pmod(F.xxhash64("_tw_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(SAMPLE_DOCS)
+    place = F.xxhash64("_tw_id", F.octet_length("_tw_text"))
+    sample = docs.filter(F.pmod(place, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(place, "_tw_id").limit(SAMPLE_DOCS)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         e = encoder(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_with_end(x, e.width, end)[: SAMPLE_BYTES // SAMPLE_DOCS] for x in e.encode_column(b.column(1))], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([_with_end(x, e.width, end)for _, _, texts in e.encode_column(b.column(1)) for x in texts], pa.binary())], names=["ids"])
 
     samples = [bytes(r.ids) for r in sample.mapInArrow(run, "ids binary").collect()]
     try:
@@ -180,30 +208,32 @@ def write(df: DataFrame, folder: str, tokenizer: str, end: int = 2, key: str = "
         def flush():
             nonlocal rows, frames, place, shard
             entries = np.array(rows, ENTRY)
-            out = (part, shard, int(entries["doc_id"][0]), int(entries["doc_id"][-1]), len(rows), int(entries["n_tokens"].sum(dtype=np.int64)), sha, entries.tobytes(), b"".join(frames))
+            named = entries["doc_id"][entries["flags"] == 0]
+            out = (part, shard, int(named[0]) if len(named) else None, int(named[-1]) if len(named) else None, len(rows), int(entries["n_tokens"].sum(dtype=np.int64)), int(e.width[2]), sha, entries.tobytes(), b"".join(frames))
             rows, frames, place, shard = [], [], 0, shard + 1
-            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=[c.split()[0] for c in SHARDS.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=[c.split()[0] for c in SHARDS.split(", ")])
 
         for b in batches:
-            for i, ids in zip(b.column(0).to_pylist(), e.encode_column(b.column(1)), strict=True):
-                ids = _with_end(ids, e.width, end)
-                frames.append(frame := pack.compress(ids))
-                rows.append((i, len(ids) // int(e.width[2]), len(frame), place))
-                place += len(frame)
-                if place >= SHARD_BYTES or len(rows) >= SHARD_DOCS:
-                    yield flush()
+            for first, last, texts in e.encode_column(b.column(1)):
+                for i, ids in zip(b.column(0)[first:last].to_pylist(), texts, strict=True):
+                    ids = _with_end(ids, e.width, end)
+                    frames.append(frame := pack.compress(ids))
+                    rows.append((i or 0, len(ids) // int(e.width[2]), len(frame), place, i is None))
+                    place += len(frame)
+                    if place >= SHARD_BYTES or len(rows) >= SHARD_DOCS:
+                        yield flush()
         if rows:
             yield flush()
 
-    ordered = docs.filter("_tw_id IS NOT NULL").repartitionByRange(partitions(spark), "_tw_id").sortWithinPartitions("_tw_id", "_tw_text")
-    ordered.mapInArrow(run, SHARDS).write.mode("overwrite").parquet(f"{folder}/shards")
+    order = ("_tw_id", F.xxhash64("_tw_text"))
+    ordered = docs.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, "_tw_text")
+    ordered.mapInArrow(freed(run), SHARDS).write.mode("overwrite").parquet(f"{folder}/shards")
 
 
-def read(spark: SparkSession, folder: str, vocabulary: int = 1 << 16, with_ids: bool = False) -> DataFrame:
+def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32 and, if asked for, ids (little-endian unsigned 32 bits)."""
     shards = spark.read.schema(SHARDS).parquet(f"{folder}/shards")
     words = {r.dictionary: bytes(r.bytes) for r in spark.read.parquet(f"{folder}/dictionary").collect()}
-    width = "<u2" if vocabulary <= 1 << 16 else "<u4"
     sizes = shards.select("part", "shard", "n_tokens")
     by_part = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")
     within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")
@@ -226,19 +256,12 @@ def read(spark: SparkSession, folder: str, vocabulary: int = 1 << 16, with_ids:
                 starts = start + np.cumsum(entries["n_tokens"], dtype=np.int64) - entries["n_tokens"]
                 view, crcs, all_ids = memoryview(r["payload"]), [], []
                 for x in entries:
-                    ids = np.frombuffer(opened[sha].decompress(view[int(x["place"]) : int(x["place"]) + int(x["length"])]), width).astype("<u4").tobytes()
+                    ids = np.frombuffer(opened[sha].decompress(view[int(x["place"]) : int(x["place"]) + int(x["length"])]), f"<u{r['width']}").astype("<u4").tobytes()
                     crcs.append(zlib.crc32(ids))
                     if with_ids:
                         all_ids.append(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(entries["doc_id"].astype(np.int64)), pa.array(starts.astype(np.int64)), pa.array(entries["n_tokens"].astype(np.int64)), pa.array(crcs, pa.int64())] + [pa.array(all_ids, pa.binary())] * with_ids, names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(entries["doc_id"].astype(np.int64), mask=entries["flags"] > 0), pa.array(starts.astype(np.int64)), pa.array(entries["n_tokens"].astype(np.int64)), pa.array(crcs, pa.int64())] + [pa.array(all_ids, pa.binary())] * with_ids, names=names)
 
     bounded_batches(spark, 4)
-    placed = shards.join(small_or_not(starts), ["part", "shard"]).select("entries", "payload", "dictionary", "_tw_start")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
-
-
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint folder."""
-    import tempfile
-
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tw-')}/{name}-{uuid.uuid4().hex}"
+    placed = shards.join(small_or_not(starts), ["part", "shard"]).select("entries", "payload", "width", "dictionary", "_tw_start")
+    return placed.mapInArrow(freed(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)

@@ -15,7 +15,8 @@ CASES = ["", " ", "  ", "a  b", "a   b", "a \n b\n", "x    y ", "it's<|endoftex
 
 
 def same(texts):
-    for t, got in zip(texts, token_files.encoder(PATH).encode_column(pa.array(texts, pa.string())), strict=True):
+    found = [x for _, _, part in token_files.encoder(PATH).encode_column(pa.array(texts, pa.string())) for x in part]
+    for t, got in zip(texts, found, strict=True):
         assert got.tolist() == LIBRARY.encode(t, add_special_tokens=False).ids, repr(t)
 
 
@@ -43,3 +44,24 @@ def test_round_trip(spark, tmp_path):
 def test_empty(spark, tmp_path):
     token_files.write(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path), PATH)
     assert token_files.read(spark, str(tmp_path)).count() == 0
+
+
+def thue_morse(n):
+    """A word over a and b and its complement, on which hashes by sums of powers modulo 2**64 agree."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_equal_power_sums():
+    same([" ".join([*thue_morse(n), "x", *thue_morse(n)[::-1]]) for n in (16, 1024, 2048)])
+
+
+def test_null_and_repeated_ids_and_long_texts(spark, tmp_path):
+    rows = [(None, "no id"), (-3, "minus"), (4, "b"), (4, "a"), (4, "a"), (None, None), (9, "long word " * 60_000), (0, "zero")]
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path), PATH)
+    got = token_files.read(spark, str(tmp_path), with_ids=True).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -3, 0, 4, 4, 4, 9]
+    want = sorted((i is not None, i or 0, LIBRARY.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in rows)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, np.frombuffer(r.ids, "<u4").tolist()) for r in got) == want
+    ends = np.cumsum([r.n_tokens for r in got])
+    assert [r.start for r in got] == [0, *ends[:-1].tolist()]
