@@ -63,6 +63,21 @@ def freed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     return wrapped
 
 
+def regrouped(batches: Iterator, rows: int) -> Iterator:
+    """The same rows in batches of at least ``rows`` (but for the last), so that array work doesn't depend on the session's batch size."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
 def release() -> None:
     """Returns memory that the allocators of Arrow and C hold but don't use."""
     import gc

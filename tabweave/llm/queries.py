@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import bpe, jaccard_join, language_id, lm_scoring, mixing, nearest, quality_classifier, quality_rules, token_files, url_filter
+from tabweave.llm import bpe, fingerprints, hard_negatives, jaccard_join, language_id, lm_scoring, mixing, nearest, quality_classifier, quality_rules, token_files, url_filter, vector_codes
 from tabweave.llm.common import crc_mod, table
 
 
@@ -68,7 +68,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_language_id": op2_language_id, "op3_mixing": op3_mixing, "op4_nearest": op4_nearest, "op5_quality_rules": op5_quality_rules, "op6_lm_scoring": op6_lm_scoring, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_quality_classifier": op9_quality_classifier, "op10_token_files": op10_token_files}
+#: Labels as the mining query sees them: every seventh row's is moved by one.
+MOVED = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=MOVED)
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.followed(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_language_id": op2_language_id, "op3_mixing": op3_mixing, "op4_nearest": op4_nearest, "op5_quality_rules": op5_quality_rules, "op6_lm_scoring": op6_lm_scoring, "op7_bpe": op7_bpe, "op8_url_filter": op8_url_filter, "op9_quality_classifier": op9_quality_classifier, "op10_token_files": op10_token_files, "op11_hard_negatives": op11_hard_negatives, "op12_fingerprints": op12_fingerprints, "op13_vector_codes": op13_vector_codes}
 
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for words in quality_rules.STOP_WORDS.values() for w in words}))
 
@@ -90,4 +106,6 @@ ORACLES = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND coalesce({" AND ".join(r.sql().replace("/ n_words", "/ nullif(n_words, 0)").replace("/ n_lines", "/ nullif(n_lines, 0)") for r in quality_rules.THRESHOLDS)}, false) AS kept
         FROM b""",
+    "op11_hard_negatives": hard_negatives.sql(label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"),
+    "op13_vector_codes": vector_codes.sql(),
 }
