@@ -12,24 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.functions.text import missing_to_null
+from tabweave.sources import split_csv
+from tabweave.storage import small_or_not
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-16 by its mark, UTF-8 if every line is valid, else Latin-1 (which accepts any bytes)."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 2).alias("h")).first()
-    if head is not None and bytes(head.h or b"") in (b"\xff\xfe", b"\xfe\xff"):
-        return "UTF-16"
-    bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
-    return "ISO-8859-1" if bad else "UTF-8"
+    """UTF-16 by its mark, UTF-8 if every line is valid, else Latin-1 (which accepts any bytes); of several files the least strict."""
+    found = set(split_csv.encodings(spark, path).values())
+    return next((e for e in (split_csv.UTF16, split_csv.LATIN1) if e in found), split_csv.UTF8)
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, sep: str = ",") -> DataFrame:
-    """A CSV file with a header; usual spellings of missing values are null, types are inferred after that."""
-    encoding = encoding or detect_encoding(spark, path)
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).option("sep", sep)
-    raw = reader.option("inferSchema", False).csv(path)
-    texts = raw.select(*(missing_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns))
-    return infer_types(texts)
+    """CSV files with headers; usual spellings of missing values are null, types are inferred after that. Files are split, see ``split_csv``."""
+    raw = split_csv.read(spark, path, sep, encoding)
+    return infer_types(raw.select(*(missing_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns)))
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -50,15 +46,15 @@ def read_lines(spark: SparkSession, path: str, name: str | None = None) -> DataF
 
 def read_semicolon(spark: SparkSession, path: str) -> DataFrame:
     """Quoted ``;`` rows, all text; rows without any value are dropped."""
-    raw = spark.read.option("header", True).option("sep", ";").option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    raw = split_csv.read(spark, path, ";")
     return raw.filter(F.concat_ws("", *(F.col(f"`{c}`") for c in raw.columns)) != "")
 
 
 def read_vendor_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a malformed ``;`` file without its header, for ``vendors.parse``."""
-    lines = spark.read.text(path)
-    header = lines.first()
-    return lines.filter(F.col("value") != (header.value if header else "")) if header else lines
+    """Lines of malformed ``;`` files for ``vendors.parse``, without the first line of each file: a later line that equals it stays."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    heads = rows.filter("block = 0").groupBy("file").agg(F.min("at").alias("at"))  # a row a file
+    return rows.join(small_or_not(heads), ["file", "at"], "left_anti").select("value")
 
 
 # --- spreadsheets ------------------------------------------------------------
