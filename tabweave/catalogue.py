@@ -167,6 +167,38 @@ _apply(True)
 _apply(False)
 
 
+_ALL_PAIRS = ("leaf", "branch", "other")
+
+
+def _repair_sql(columns: tuple[str, ...], threshold: float, confident: bool) -> str:
+    """The plans of all pairs with errors on one state of the table, applied in order."""
+    scores, rows, plans = [], [], []
+    for k, (a, b) in enumerate(permutations(columns, 2)):
+        scores.append(f"SELECT {k} AS k, valid, total FROM ({_score_sql(a, b)})")
+        plans.append(f"""SELECT {k} AS k, '{a}' AS col, cv, correct_value FROM (SELECT cv, max(pv) FILTER (r = 1) AS correct_value, count(*) AS parents, sum(n) AS present, max(n) FILTER (r = 1) AS top, coalesce(max(n) FILTER (r = 2), 0) AS second
+            FROM (SELECT *, row_number() OVER (PARTITION BY cv ORDER BY n DESC, first) AS r FROM (SELECT {b} AS cv, {a} AS pv, count(*) AS n, min(initial_id) AS first FROM f WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL)) GROUP BY cv)
+            WHERE parents > 1 {"AND present >= 5 AND 100.0 * top / present >= CASE WHEN present >= 100 THEN 60 WHEN present >= 50 THEN 65 WHEN present >= 20 THEN 70 WHEN present >= 10 THEN 75 ELSE 80 END AND (second = 0 OR top >= 3.0 * second)" if confident else ""}""")
+        rows.append(f"SELECT {k} AS k, initial_id, {a} AS old, {b} AS cv FROM f WHERE {a} IS NOT NULL AND {b} IS NOT NULL")
+    fields = ", ".join(f"coalesce(max(new) FILTER (col = '{c}'), any_value({c})) AS {c}" for c in columns)
+    return f"""WITH s AS ({" UNION ALL ".join(scores)}), o AS (SELECT k, row_number() OVER (ORDER BY CASE WHEN valid > 0 THEN 1 - (100.0 * valid / total) / 100 ELSE 1.0 END DESC, k) AS o FROM s WHERE valid < total AND 100.0 * valid / nullif(total, 0) >= {threshold}),
+        p AS ({" UNION ALL ".join(plans)}), r AS ({" UNION ALL ".join(rows)}),
+        c AS (SELECT initial_id, col, arg_max(correct_value, o) AS new, count(*) AS writes FROM r JOIN p USING (k, cv) JOIN o USING (k) WHERE old <> correct_value GROUP BY ALL)
+        SELECT initial_id, {fields}, CAST(coalesce(sum(writes), 0) AS BIGINT) AS writes FROM f LEFT JOIN c USING (initial_id) GROUP BY initial_id"""
+
+
+def _repaired(confident: bool):
+    def run(df: DataFrame) -> DataFrame:
+        out, changes = repair.repair_all(df, 20, True, _ALL_PAIRS, confident_only=confident)
+        writes = changes.groupBy("initial_id").agg(F.count("*").alias("writes"))
+        return out.join(writes, "initial_id", "left").select("initial_id", *_ALL_PAIRS, F.coalesce("writes", F.lit(0)).alias("writes"))
+
+    query(f"repair_all_pairs{'_confident' if confident else ''}", GROUPS, _repair_sql(_ALL_PAIRS, 20, confident))(run)
+
+
+_repaired(False)
+_repaired(True)
+
+
 # --- profiles and cleaning ---------------------------------------------------
 
 
@@ -363,10 +395,11 @@ def rules_mined(df: DataFrame) -> DataFrame:
     return rules.select(*_joined("antecedent", "consequent"), *(F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")))
 
 
-@query("rules_filtered_sorted", ORD, f"WITH {_RULES} SELECT {_SHOWN} FROM rules WHERE lift BETWEEN 0.9 AND 1.2 AND len(string_split(antecedent, '|')) = 1 AND list_has_any(list_transform(list_concat(string_split(antecedent, '|'), string_split(consequent, '|')), lambda x: lower(x)), ['region=asia', 'status=f'])")
+@query("rules_filtered_sorted", ORD, f"WITH {_RULES} SELECT row_number() OVER (ORDER BY round(lift, 9) DESC, antecedent, consequent) - 1 AS place, {_SHOWN} FROM rules WHERE lift BETWEEN 0.9 AND 1.2 AND len(string_split(antecedent, '|')) = 1 AND list_has_any(list_transform(list_concat(string_split(antecedent, '|'), string_split(consequent, '|')), lambda x: lower(x)), ['region=asia', 'status=f'])")
 def rules_filtered_sorted(df: DataFrame) -> DataFrame:
-    out = assoc.sort_rules(assoc.filter_rules(_rules(df), lift=(0.9, 1.2), antecedent_size=(1, 1), search="REGION=ASIA, status=f"), "lift")
-    return out.select(*_joined("antecedent", "consequent"), *(F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")))
+    rules = _rules(df).withColumn("lift", F.round("lift", 9))  # sums of doubles differ in their last digits
+    out = assoc.sort_rules(assoc.filter_rules(rules, lift=(0.9, 1.2), antecedent_size=(1, 1), search="REGION=ASIA, status=f"), "lift")
+    return _placed(out, "antecedent", "consequent", "support", "confidence", "lift").select("place", *_joined("antecedent", "consequent"), *(F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")))
 
 
 @query("rule_statistics", ORD, f"WITH {_RULES} SELECT count(*) AS rules, " + ", ".join(f"round({f}({c}), 6) AS {c}_{n}" for c in ("confidence", "lift") for n, f in (("mean", "avg"), ("median", "median"), ("min", "min"), ("max", "max"))) + " FROM rules")
@@ -528,9 +561,9 @@ def mapping_apply(df: DataFrame) -> DataFrame:
     return _mapped(df).select("initial_id", "kind", "kind_simplified")
 
 
-@query("mapping_preview", _PART, f"WITH {_MAPPING} SELECT DISTINCT kind, kind_simplified FROM a")
+@query("mapping_preview", _PART, f"WITH {_MAPPING} SELECT row_number() OVER (ORDER BY kind) - 1 AS place, kind, kind_simplified FROM (SELECT DISTINCT kind, kind_simplified FROM a)")
 def mapping_preview(df: DataFrame) -> DataFrame:
-    return batches.mapping_preview(_mapped(df), "kind")
+    return _placed(batches.mapping_preview(_mapped(df), "kind"), "kind", "kind_simplified")
 
 
 @query("mapping_reduction", _PART, f"WITH {_MAPPING} SELECT count(DISTINCT kind) AS before, count(DISTINCT kind_simplified) AS after, count(DISTINCT kind) - count(DISTINCT kind_simplified) AS fewer, round(100.0 * (count(DISTINCT kind) - count(DISTINCT kind_simplified)) / count(DISTINCT kind), 6) AS percent FROM a")
@@ -621,25 +654,59 @@ def resume_batches(df: DataFrame) -> DataFrame:
     return batches.extract_resumable(df, "source", ["source", "lang"], folder)
 
 
-_REPLIES = """SELECT 1 AS id, 'Here: {"a b": "A", "c": "C"} done' AS reply UNION ALL SELECT 2, '{"x": "X", "y": "Y",' UNION ALL SELECT 3, 'nothing' UNION ALL SELECT 4, '{"k": "v"}'"""
+_REPLIES = """SELECT id, kind, brand, CASE id % 5 WHEN 0 THEN 'Here you are: ' || open || pair || ', "c": "C"' || shut || ' done' WHEN 1 THEN open || pair || ', "b": "B" ,  '
+    WHEN 2 THEN 'no reply for ' || brand WHEN 3 THEN open || pair ELSE open || '"' || kind || '": ' || open END AS reply
+    FROM (SELECT p_partkey AS id, p_type AS kind, p_brand AS brand, '"' || p_type || '": "' || p_brand || '"' AS pair, chr(123) AS open, chr(125) AS shut FROM {part})"""
 
 
-@query("json_mapping_parse", _REPLIES, "SELECT * FROM (VALUES (1, 'a b', 'A'), (1, 'c', 'C'), (2, 'x', 'X'), (2, 'y', 'Y'), (4, 'k', 'v')) v(id, original, simplified)")
+@query("json_mapping_parse", _REPLIES, """SELECT id, kind AS original, brand AS simplified FROM f WHERE id % 5 IN (0, 1, 3) UNION ALL SELECT id, 'c', 'C' FROM f WHERE id % 5 = 0
+    UNION ALL SELECT id, 'b', 'B' FROM f WHERE id % 5 = 1 UNION ALL SELECT id, kind, '{}' FROM f WHERE id % 5 = 4""")
 def json_mapping_parse(df: DataFrame) -> DataFrame:
+    """Replies with text around, with a comma and braces missing at the end, without any object, and with an object inside."""
     return df.select("id", F.explode(json_mapping(F.col("reply"))).alias("original", "simplified"))
 
 
-_VENDOR_LINES = """SELECT 'Acme Inc; A1, A2; acme' AS value UNION ALL SELECT 'Acme; A2;x;A3; acme corp, acme' UNION ALL SELECT 'bolt' UNION ALL SELECT 'Crane Ltd; C' UNION ALL SELECT ' ; q; r'"""
+#: Malformed lines of suppliers: company forms, notes in brackets, unequal case, too many parts, too few, and no name.
+_VENDOR_LINES = """SELECT s_suppkey AS id, CASE s_suppkey % 7
+    WHEN 0 THEN 'Firm ' || n || ' Inc; F' || k || ', F1;' || ' alias ' || k WHEN 1 THEN 'firm ' || n || ';F' || k || ';x;F2; alias ' || k || ', a' WHEN 2 THEN 'FIRM ' || n || ' (branch ' || k || ')'
+    WHEN 3 THEN 'Firm ' || n || ', Ltd.; F3' WHEN 4 THEN ' ; F9; lost ' || k WHEN 5 THEN 'Firm ' || n || ' Technologies GmbH; ;b, a' ELSE 'vendor;families;aliases' END AS value
+    FROM (SELECT s_suppkey, CAST(s_suppkey % 23 AS STRING) AS n, CAST(s_suppkey AS STRING) AS k FROM {supplier})"""
+_FORMS = "|".join(vendors.COMPANY_FORMS)
+_VENDORS = f"""l AS (SELECT string_split(value, ';') AS p FROM f), v AS (SELECT trim(p[1]) AS vendor, trim(CASE WHEN len(p) > 2 THEN array_to_string(p[2:len(p) - 1], ';') WHEN len(p) = 2 THEN p[2] ELSE '' END) AS families, trim(CASE WHEN len(p) > 2 THEN p[-1] ELSE '' END) AS aliases FROM l),
+    b AS (SELECT trim(regexp_replace(regexp_replace(regexp_replace(vendor, '\\(.*?\\)', ' ', 'g'), '(?i)[\\s,]+({_FORMS})\\b\\.?', ' ', 'g'), '\\s+', ' ', 'g')) AS vendor, families, aliases FROM v WHERE vendor <> ''),
+    m AS (SELECT upper(vendor) AS k, min(vendor) AS vendor, list_distinct(flatten(list(regexp_split_to_array(families, '\\s*,\\s*')))) AS fs, list_distinct(flatten(list(regexp_split_to_array(aliases, '\\s*,\\s*')))) AS xs FROM b GROUP BY upper(vendor)),
+    vendors AS (SELECT k, vendor, array_to_string(list_sort(list_filter(fs, lambda x: x <> '')), ', ') AS families, array_to_string(list_sort(list_filter(xs, lambda x: x <> '')), ', ') AS aliases FROM m)"""
+
 
+@query("vendor_lines", _VENDOR_LINES, "SELECT value FROM f")
+def vendor_lines(df: DataFrame) -> DataFrame:
+    """Lines written as files with a header each, and read again: lines that equal the header stay."""
+    folder = _scratch(df.sparkSession, "vendors")
+    df.select(F.col("value").alias("vendor;families;aliases")).repartition(3).write.option("header", True).option("sep", "\x01").option("quote", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    return readers.read_vendor_lines(df.sparkSession, folder)
 
-@query("vendor_parse_merge", _VENDOR_LINES, "SELECT * FROM (VALUES ('Acme', 'A1, A2, A2;x;A3', 'acme, acme corp'), ('bolt', '', ''), ('Crane', 'C', '')) v(vendor, families, aliases)")
+
+@query("vendor_parse_merge", _VENDOR_LINES, f"WITH {_VENDORS} SELECT row_number() OVER (ORDER BY k) - 1 AS place, vendor, families, aliases FROM vendors")
 def vendor_parse_merge(df: DataFrame) -> DataFrame:
-    return vendors.merge(vendors.parse(df))
+    return _placed(vendors.merge(vendors.parse(df)), "vendor", "families", "aliases")
+
+
+@query("vendor_batches", _VENDOR_LINES, f"WITH {_VENDORS}, s AS (SELECT upper(substr(vendor, 1, 1)) AS batch_id, vendor || ';' || families || ';' || aliases AS line FROM vendors) SELECT row_number() OVER (ORDER BY batch_id) - 1 AS place, batch_id, string_agg(line, chr(10) ORDER BY line) AS lines FROM s GROUP BY batch_id")
+def vendor_batches(df: DataFrame) -> DataFrame:
+    return _placed(vendors.batch_lines(vendors.merge(vendors.parse(df))), "batch_id", "lines")
 
 
 # --- files -------------------------------------------------------------------
 
 
+def csv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents, whose texts hold line breaks and quotes, as CSV and reads them again, many tasks a file."""
+    folder = _scratch(spark, "csv")
+    rows = frame(spark, sf_dir, "SELECT doc_id AS initial_id, source, '\"' || source || '\",\n' || text AS text FROM {documents}")
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    return readers.read_csv(spark, folder).select("initial_id", "source", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("hash"))
+
+
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes nations as Latin-1 CSV and reads them again, with the encoding detected."""
     folder = _scratch(spark, "csv")
@@ -660,8 +727,9 @@ def semicolon_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_semicolon(spark, folder)
 
 
-QUERIES |= {"semicolon_roundtrip": semicolon_roundtrip, "csv_roundtrip": csv_roundtrip, "txt_lines": txt_lines}
+QUERIES |= {"csv_documents": csv_documents, "semicolon_roundtrip": semicolon_roundtrip, "csv_roundtrip": csv_roundtrip, "txt_lines": txt_lines}
 ORACLES |= {
+    "csv_documents": "SELECT doc_id AS initial_id, source, CAST(length(t) AS INTEGER) AS n_chars, sha256(t) AS hash FROM (SELECT *, '\"' || source || '\",' || chr(10) || text AS t FROM documents)",
     "semicolon_roundtrip": f"SELECT name, region || '; x' AS region FROM ({plain(_NATION)})",
     "csv_roundtrip": f"SELECT initial_id, key, name || ' é' AS name, region_key, region FROM ({plain(_NATION)})",
     "txt_lines": "SELECT r_name AS region FROM region",

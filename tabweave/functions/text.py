@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DataType, DatetimeType, DoubleType, FloatType, FractionalType, StringType
+from pyspark.sql.types import BooleanType, DataType, DatetimeType, DecimalType, DoubleType, FloatType, FractionalType, StringType
 
 #: Strings that a CSV reader takes as missing.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -33,13 +33,26 @@ def missing_to_null(c: Column) -> Column:
     return F.when(~c.isin(*MISSING), c)
 
 
+def number_text(c: Column) -> Column:
+    """A double in its shortest digits: positional from 1e-4 up to 1e16, as ``1e-05`` or ``1.5e+16`` beyond; ``nan``, ``inf``, ``-inf``."""
+    text = c.cast("double").cast("string")
+    sign, bare = F.when(F.startswith(text, F.lit("-")), "-").otherwise(""), F.regexp_replace(text, "^-", "")
+    whole, part, e = (F.regexp_extract(bare, r"^(\d+)\.(\d+)E(-?\d+)$", i) for i in (1, 2, 3))
+    power, part = F.coalesce(e.try_cast("int"), F.lit(0)), F.when(part == "0", "").otherwise(part)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), whole, part)
+    padded = F.rpad(part, F.greatest(power, F.length(part)), "0")
+    large = F.concat(whole, F.substring(padded, F.lit(1), power), F.lit("."), F.when(F.length(part) > power, F.substring(part, power + 1, F.length(part))).otherwise("0"))
+    short = F.concat(whole, F.when(part != "", F.concat(F.lit("."), part)).otherwise(""), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), "0"))
+    shown = F.when((power < -4) | (power >= 16), short).when(power < 0, small).otherwise(large)
+    return F.when(bare == "NaN", "nan").when(bare == "Infinity", F.concat(sign, F.lit("inf"))).when(e != "", F.concat(sign, shown)).otherwise(text)
+
+
 def as_text(c: Column, kind: DataType, missing: str | None = None) -> Column:
-    """How the value prints in a table: whole doubles as ``2.0``, booleans as ``True``."""
+    """How the value prints in a table: whole doubles as ``2.0``, tiny ones as ``1e-05``, booleans as ``True``."""
     if isinstance(kind, BooleanType):
         out = F.when(c, "True").when(~c, "False")
     elif isinstance(kind, FractionalType):
-        whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-        out = F.when(whole, F.concat(F.format_string("%d", c.cast("long")), F.lit(".0"))).otherwise(c.cast("string"))
+        out = c.cast("string") if isinstance(kind, DecimalType) else number_text(c.cast("string").cast("double"))
     else:
         out = c if isinstance(kind, StringType) else c.cast("string")
     return out if missing is None else F.coalesce(out, F.lit(missing))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweave.operators.pairs import ROW_ID, directed, pair_counts, require
+from tabweave.operators.pairs import ROW_ID, above, columns_of, directed, one_to_many, pair_counts, require
+from tabweave.storage import materialised, small_or_not
 
 #: Least share in percent of the majority, by number of present parents.
 CONFIDENCE = ((100, 60), (50, 65), (20, 70), (10, 75), (5, 80))
@@ -72,6 +76,45 @@ def cells(df: DataFrame, plan: DataFrame, parent: str, child: str, order: int =
     return hit.select(F.lit(order).alias("plan_order"), F.lit(parent).alias("column"), ROW_ID, F.col("old").alias("old_value"), F.col("correct_value").alias("new_value"))
 
 
+def all_plans(df: DataFrame, threshold: float = 95, drop_na: bool = True, columns: Sequence[str] | None = None, min_count: int = 5, ratio: float = 3.0) -> DataFrame:
+    """plan_order (from 0) and the plans of every ordered pair with errors whose percentage reaches the threshold.
+
+    Counts of all pairs come from the scans of ``pair_counts``, written once; plans all refer to this one state of the
+    table. Pairs are in the order of the results: most violations first, ties in the order of the columns.
+    """
+    columns = list(columns or columns_of(df))
+    edges = materialised(directed(pair_counts(df, list(combinations(columns, 2)))))
+    place = F.array(*map(F.lit, columns))
+    found = above(one_to_many(edges, drop_na), threshold).filter("valid < total").select("parent", "child", "violation_ratio")
+    order = Window.orderBy(F.desc("violation_ratio"), F.array_position(place, F.col("parent")), F.array_position(place, F.col("child")))
+    pairs = found.select("parent", "child", (F.row_number().over(order) - 1).alias("plan_order"))  # a row a pair of columns
+    return plans(edges, drop_na, min_count, ratio).join(F.broadcast(pairs), ["parent", "child"])
+
+
+def all_cells(df: DataFrame, plan: DataFrame, confident_only: bool = False, drop_na: bool = True) -> DataFrame:
+    """The cells that the plans of all pairs change (see ``cells``), from one pass over the rows.
+
+    A row meets the plans of all its child values in one join: it is unpivoted to (child, value), as plans are keyed.
+    """
+    todo = plan.filter("confident") if confident_only else plan
+    by_value = todo.groupBy("child", "cv").agg(F.collect_list(F.struct("plan_order", "parent", "correct_value")).alias("plans"))  # as many as pairs at most
+    kids = [r.child for r in todo.select("child").distinct().collect()]  # names of columns
+    parents = [r.parent for r in todo.select("parent").distinct().collect()]
+    if not kids:
+        return df.select(F.lit(0).alias("plan_order"), F.lit("").alias("column"), ROW_ID, F.lit("").alias("old_value"), F.lit("").alias("new_value")).limit(0)
+    now = F.create_map(*(x for c in parents for x in (F.lit(c), F.col(c).cast("string"))))
+    long = df.select(ROW_ID, now.alias("now"), F.inline(F.array(*(F.struct(F.lit(c).alias("child"), F.col(c).cast("string").alias("cv")) for c in kids)))).filter("cv IS NOT NULL")
+    hit = long.join(small_or_not(by_value), ["child", "cv"]).select(ROW_ID, "now", F.inline("plans")).withColumn("old_value", F.element_at("now", F.col("parent")))
+    hit = hit.filter(~F.col("old_value").eqNullSafe(F.col("correct_value")) & (F.col("old_value").isNotNull() | F.lit(not drop_na)))
+    return hit.select("plan_order", F.col("parent").alias("column"), ROW_ID, "old_value", F.col("correct_value").alias("new_value"))
+
+
+def repair_all(df: DataFrame, threshold: float = 95, drop_na: bool = True, columns: Sequence[str] | None = None, confident_only: bool = False, min_count: int = 5, ratio: float = 3.0) -> tuple[DataFrame, DataFrame]:
+    """(the table after all plans in order, the changed cells with the plan that changes each): later plans win a cell, and both writes count."""
+    changes = materialised(all_cells(df, all_plans(df, threshold, drop_na, columns, min_count, ratio), confident_only, drop_na))
+    return apply(df, changes), changes
+
+
 def apply(df: DataFrame, changes: DataFrame) -> DataFrame:
     """Writes the cells; of several plans for one cell the last wins. Rows that are gone are left alone."""
     last = changes.groupBy(ROW_ID, "column").agg(F.max_by("new_value", "plan_order").alias("new"))

@@ -30,7 +30,7 @@ FROM {part}"""
 
 GROUPS = """
 SELECT c_custkey AS initial_id, 'g' || CAST(c_custkey % 300 AS STRING) AS leaf, 'o' || CAST(c_custkey % 3 AS STRING) AS other,
-       CASE WHEN c_custkey % 31 = 0 THEN NULL WHEN c_custkey % 300 < 10 AND c_custkey % 7 = 0 THEN 'b' ELSE 'b' || CAST(FLOOR((c_custkey % 300) / 10.0) AS STRING) END AS branch
+       CASE WHEN c_custkey % 31 = 0 THEN NULL WHEN c_custkey % 300 < 10 AND c_custkey % 7 = 0 THEN 'b' ELSE 'b' || CAST(CAST(FLOOR((c_custkey % 300) / 10.0) AS INT) AS STRING) END AS branch
 FROM {customer}"""
 
 LINES = "SELECT l_orderkey * 10 + l_linenumber AS initial_id, l_quantity AS quantity, l_discount AS discount, l_tax AS tax, l_returnflag AS flag, l_linestatus AS line FROM {lineitem}"
