@@ -314,6 +314,42 @@ def mutual_information_discrete(df: DataFrame) -> DataFrame:
     return impute.mutual_information(df, "status", _MI_FEATURES).withColumn("mi", F.round("mi", 6))
 
 
+_PRODUCTS = """SELECT p_partkey AS initial_id, p_retailprice AS price, p_size AS size, p_brand AS brand,
+    CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE p_retailprice / 100.0 + 20 * p_size END AS mixed FROM {part}"""
+
+
+def _noise_sql(salt: int) -> str:
+    return f"CAST('0x' || substr(md5(initial_id || '/{salt}'), 1, 6) AS BIGINT)"
+
+
+def _psi(n: str) -> str:
+    x = f"(CAST({n} AS DOUBLE) + 6)"
+    return f"(ln({x}) - 1 / (2 * {x}) - 1 / (12 * {x} ** 2) + 1 / (120 * {x} ** 4) - 1 / (252 * {x} ** 6)" + "".join(f" - 1 / (CAST({n} AS DOUBLE) + {j})" for j in range(6)) + ")"
+
+
+def _neighbour_sql(name: str) -> str:
+    """All pairs of rows: the third distance of each row, and the rows nearer than it along either column."""
+    return f"""SELECT '{name}' AS feature, greatest(0, {_psi('max(n)')} + {_psi('3')} - avg({_psi('nx')}) - avg({_psi('ny')})) AS mi FROM (SELECT i, count(*) FILTER (dx < r) + 1 AS nx, count(*) FILTER (dy < r) + 1 AS ny, any_value(n) AS n FROM
+        (SELECT *, max(d) FILTER (k = 3) OVER (PARTITION BY i) AS r FROM (SELECT *, greatest(dx, dy) AS d, row_number() OVER (PARTITION BY i ORDER BY greatest(dx, dy)) AS k FROM
+        (SELECT p.initial_id AS i, p.n AS n, abs(p.x - q.x) AS dx, abs(p.y - q.y) AS dy FROM {name}_v p JOIN {name}_v q ON p.initial_id <> q.initial_id))) GROUP BY i)"""
+
+
+_NEAR = ("size", "mixed")
+_NEAR_SQL = ", ".join(f"{c}_v AS MATERIALIZED (SELECT initial_id, count(*) OVER () AS n, CAST(floor(price / stddev_pop(price) OVER () * 1048576) AS BIGINT) * 16777216 + {_noise_sql(1)} AS x, CAST(floor({c} / stddev_pop({c}) OVER () * 1048576) AS BIGINT) * 16777216 + {_noise_sql(2)} AS y FROM f WHERE price IS NOT NULL AND {c} IS NOT NULL)" for c in _NEAR)
+
+
+@query("mutual_information_neighbours", _PRODUCTS, f"WITH {_NEAR_SQL} SELECT feature, round(mi, 4) AS mi FROM ({' UNION ALL '.join(_neighbour_sql(c) for c in _NEAR)})")
+def mutual_information_neighbours(df: DataFrame) -> DataFrame:
+    return impute.mutual_information(df, "price", _NEAR, "neighbours").withColumn("mi", F.round("mi", 4))
+
+
+@query("mutual_information_lines", LINES)
+def mutual_information_lines(df: DataFrame) -> DataFrame:
+    """The same over all lines, of the quantity; and of the classes of flags."""
+    numbers = impute.mutual_information(df, "quantity", ["discount", "tax", "flag"], "neighbours").withColumn("target", F.lit("quantity"))
+    return numbers.unionByName(impute.mutual_information(df, "flag", ["quantity", "line"], "neighbours").withColumn("target", F.lit("flag")))
+
+
 @query("fill_na_single", ORD, f"""WITH m AS ({' UNION ALL '.join(_mi_sql('status', x) for x in ('nation', 'region'))}), s AS (SELECT avg(mi) AS mean_mi, max(mi) AS max_mi FROM m),
     c AS (SELECT nation, region, status, count(*) AS n, min(initial_id) AS first FROM f WHERE status IS NOT NULL GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY nation, region) AS total, row_number() OVER (PARTITION BY nation, region ORDER BY n DESC, first) AS r FROM c),
     p AS (SELECT nation, region, status AS value, n / total AS probability, total FROM r WHERE r = 1)
