@@ -99,6 +99,18 @@ def errors_ranked(df: DataFrame) -> DataFrame:
     return _placed(pairs.analyse_errors(df, True, _GROUPS), "parent", "child")
 
 
+#: A wide table of lines: keys that fix others, exact partners, and many columns without relations.
+_WIDE = """SELECT l_orderkey * 10 + l_linenumber AS initial_id, l_orderkey AS ord, o_custkey AS cust, n_name AS nation, r_name AS region, 'n' || CAST(n_nationkey AS STRING) AS nation_key, l_partkey AS part, l_suppkey AS supp,
+    l_quantity AS quantity, l_discount AS discount, l_tax AS tax, l_returnflag AS flag, CASE WHEN l_linenumber = 5 THEN NULL ELSE l_shipdate END AS shipped, o_orderpriority AS priority
+    FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey"""
+_WIDE_COLUMNS = ("ord", "cust", "nation", "region", "nation_key", "part", "supp", "quantity", "discount", "tax", "flag", "shipped", "priority")
+
+
+@query("one_to_many_wide", _WIDE, f"WITH s AS ({' UNION ALL '.join(_score_sql(a, b) for a, b in permutations(_WIDE_COLUMNS, 2))}) {_SCORED} WHERE valid * 100.0 / nullif(total, 0) >= 95")
+def one_to_many_wide(df: DataFrame) -> DataFrame:
+    return _scored(pairs.analyse_one_to_many(df, 95, True, _WIDE_COLUMNS))
+
+
 def _one_sql(a: str, b: str, drop: bool) -> str:
     where = f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL" if drop else ""
     return f"""SELECT '{a}' AS col1, '{b}' AS col2, CAST(CASE WHEN bool_and(({a} IS NULL OR ka = 1) AND ({b} IS NULL OR kb = 1)) THEN count(*) ELSE count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL AND ka = 1 AND kb = 1) END AS BIGINT) AS valid, count(*) AS total
@@ -117,6 +129,11 @@ _one(True)
 _one(False)
 
 
+@query("one_to_one_wide", _WIDE, f"WITH s AS ({' UNION ALL '.join(_one_sql(a, b, True) for a, b in combinations(_WIDE_COLUMNS, 2))}) SELECT col1, col2, valid, total, round(100.0 * valid / total, 6) AS percentage FROM s WHERE 100.0 * valid / total >= 95")
+def one_to_one_wide(df: DataFrame) -> DataFrame:
+    return pairs.analyse_one_to_one(df, 95, True, _WIDE_COLUMNS).select("col1", "col2", "valid", "total", F.round("percentage", 6).alias("percentage"))
+
+
 @query("pair_samples_grouped", CNR, """WITH m AS (SELECT child FROM f GROUP BY child HAVING count(DISTINCT parent) = 1), s AS (SELECT * FROM f WHERE child NOT IN (SELECT child FROM m) ORDER BY initial_id LIMIT 1000)
     SELECT parent, child, count(*) AS occurrences, min(initial_id) AS first FROM s WHERE parent IS NOT NULL GROUP BY ALL""")
 def pair_samples_grouped(df: DataFrame) -> DataFrame:
