@@ -27,9 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Limits the rows, and so the memory, of the batches sent to Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Limits the rows and bytes, and so the memory, of the batches sent to Python workers.
+
+    Stages run when the caller asks for rows, so the limits stay on the session. They are the same for all operators, whose order
+    therefore doesn't matter; those that want larger batches put them together in the worker (``regrouped``).
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tabweave.llm.common import bounded_batches, durable, freed, mix, partitions, small_or_not, word_batches
+from tabweave.llm.common import bounded_batches, durable, freed, mix, partitions, regrouped, small_or_not, word_batches
 from tabweave.llm.components import connected_components
 
 LEAST_GROUPS, LEAF = 16, 16
@@ -188,7 +188,7 @@ def _candidates(docs: DataFrame, classes: DataFrame, words: int, plan: Plan) ->
         import pyarrow as pa
 
         last, first = None, 0
-        for b in batches:
+        for b in regrouped(batches, 8192):
             s, node = b.column(0).to_numpy(), b.column(1).to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, int)
             firsts = node[starts]
@@ -201,11 +201,8 @@ def _candidates(docs: DataFrame, classes: DataFrame, words: int, plan: Plan) ->
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     signed = docs.select("_tw_text").mapInArrow(freed(sign), "s long, node long").repartition(partitions(docs.sparkSession), "s").sortWithinPartitions("s")
-    bounded_batches(docs.sparkSession, 1024)
     # copies share most signatures, which are dealt to many tasks: each edge is kept once
-    edges = durable(signed.mapInArrow(freed(connect), "a long, b long").distinct())
-    bounded_batches(docs.sparkSession)
-    return edges
+    return durable(signed.mapInArrow(freed(connect), "a long, b long").distinct())
 
 
 def point(tokens: np.ndarray, groups: int | None = None) -> np.ndarray:

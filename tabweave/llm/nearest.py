@@ -29,13 +29,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweave.llm.common import bounded_batches, durable, freed
+from tabweave.llm.common import bounded_batches, durable, freed, regrouped
 
 #: Trees, rows that they are fitted on, and rows a leaf; levels follow the table's rows while four rows of the sample are in a leaf.
 TREES, SAMPLE, LEAF_ROWS, MOST_LEVELS = 8, 65_536, 200, 14
 RECALL, TRIALS, LEAST_ROWS = 0.93, 128, 4000
 #: Leaves of a tree that are handled together, and the rows at which such a block is salted.
 BLOCK_LEVELS, SALT_ROWS = 3, 20_000
+#: Rows whose leaves are found side by side.
+ROWS = 2048
 
 
 def usable(vector: Column) -> Column:
@@ -120,7 +122,7 @@ def _matrix(column, dim: int) -> np.ndarray:
 def neighbours(df: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", share: float | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (Euclidean distance) of each query row's ``k`` nearest found."""
     spark = df.sparkSession
-    bounded_batches(spark, 2048)
+    bounded_batches(spark)
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"), F.coalesce(queries, F.lit(False)).alias("query")).filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     lengths = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     result = "query_id long, rank int, vec_id long, score double"
@@ -139,7 +141,7 @@ def neighbours(df: DataFrame, queries: Column, k: int = 10, key: str = "vec_id",
         import pyarrow as pa
 
         f = forest.value
-        for b in batches:
+        for b in regrouped(batches, ROWS):
             x = _matrix(b.column(1), dim)
             leaves = f.leaves(x)
             raw = pa.array([v.tobytes() for v in x], pa.binary())

@@ -9,7 +9,7 @@ others are joined by a shuffle.
 
 Null addresses and ones without ``://`` have empty host and path, no rule, and
 the method's verdict on no tokens (the prior; ``allow`` on a tie). Rows that
-repeat are judged one by one. A word has at most ``LONGEST`` letters. Addresses of any length are read
+repeat are judged one by one. Words of titles have any length; only lengths that occur among them are searched. Addresses of any length are read
 whole. Columns of the input other than keys, url and html are not read. An empty table gives no rows.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 
 from tabweave.llm.common import LOWER, UPPER, bounded_batches, durable, freed
 
-HEAD, WORDS, LONGEST = 50_000, 200_000, 24
+HEAD, WORDS = 50_000, 200_000
 #: A host with more than one in so many of the rows does not go through a shuffle by host.
 HOT = 1000
 
@@ -70,6 +70,7 @@ class Segmenter:
         """``total``: the count of all words, if ``counts`` has only some."""
         self.total = total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
+        self.lengths = {len(w) for w in counts}
         self.unknown = math.log(total) + 3.0
         self.memo: dict[str, list[str]] = {}
 
@@ -77,24 +78,25 @@ class Segmenter:
     def of(cls, cost: dict[str, float], total: int) -> Segmenter:
         """From another one's costs and total."""
         out = cls({}, total - 1)
-        out.cost = cost
+        out.cost, out.lengths = cost, {len(w) for w in cost}
         return out
 
     def split(self, name: str, more: dict[str, int] | None = None) -> list[str]:
         """``more``: counts of rarer words in this name."""
         if more:
-            return self._split(name, ChainMap({w: -math.log(n / self.total) for w, n in more.items()}, self.cost))
+            return self._split(name, ChainMap({w: -math.log(n / self.total) for w, n in more.items()}, self.cost), self.lengths | {len(w) for w in more})
         if name not in self.memo:
             if len(self.memo) > 100_000:
                 self.memo.clear()
-            self.memo[name] = self._split(name, self.cost)
+            self.memo[name] = self._split(name, self.cost, self.lengths)
         return self.memo[name]
 
-    def _split(self, name: str, costs: dict[str, float]) -> list[str]:
+    def _split(self, name: str, costs: dict[str, float], lengths: set[int]) -> list[str]:
         best, back = [0.0], [0]
+        lengths = sorted({1, *lengths}, reverse=True)
         for j in range(1, len(name) + 1):
             options = []
-            for i in range(max(0, j - LONGEST), j):
+            for i in (j - n for n in lengths if n <= j):
                 cost = costs.get(name[i:j])
                 if cost is None and j - i > 1:
                     continue
@@ -128,12 +130,12 @@ def tokens(host: str, path: str, segmenter: Segmenter, more: dict[str, int] | No
 def title_words(pages: DataFrame, html: str = "html") -> DataFrame:
     """word, n: counts of the words of all titles."""
     title = F.lower(F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1))
-    return pages.select(F.explode(F.regexp_extract_all(title, F.lit("([a-z]+)"), 1)).alias("word")).filter(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
+    return pages.select(F.explode(F.regexp_extract_all(title, F.lit("([a-z]+)"), 1)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def _substrings(host: str) -> set[str]:
-    """What may be a word of the host."""
-    return {x[i:j] for x in _name_parts(host) if not x.isdigit() for i in range(len(x)) for j in range(i + 1, min(len(x), i + LONGEST) + 1)}
+def _substrings(host: str, lengths: list[int]) -> set[str]:
+    """What may be a word of the host, of the lengths that words have."""
+    return {x[i : i + n] for x in _name_parts(host) if not x.isdigit() for n in lengths for i in range(len(x) - n + 1)}
 
 
 def _with_words(ruled: DataFrame, counts: DataFrame) -> tuple[DataFrame, Segmenter]:
@@ -144,6 +146,7 @@ def _with_words(ruled: DataFrame, counts: DataFrame) -> tuple[DataFrame, Segment
     """
     spark = ruled.sparkSession
     hosts = ruled.groupBy("host").agg(F.count("*").alias("rows"))
+    lengths = sorted(r.n for r in counts.select(F.length("word").alias("n")).distinct().collect())  # few: no word is longer than its title
 
     def found(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -151,7 +154,7 @@ def _with_words(ruled: DataFrame, counts: DataFrame) -> tuple[DataFrame, Segment
         uses = Counter()
         for b in batches:
             for h in b.column(0).to_pylist():
-                uses.update(_substrings(h))
+                uses.update(_substrings(h, lengths))
                 if len(uses) > 200_000:
                     yield pa.RecordBatch.from_pydict({"word": list(uses), "uses": list(uses.values())})
                     uses.clear()
@@ -172,7 +175,7 @@ def _with_words(ruled: DataFrame, counts: DataFrame) -> tuple[DataFrame, Segment
 
         for b in batches:
             for h in b.column(0).to_pylist():
-                if words := sorted(_substrings(h) - known.value):
+                if words := sorted(_substrings(h, lengths) - known.value):
                     yield pa.RecordBatch.from_pydict({"host": [h] * len(words), "word": words})
 
     by_host = hosts.select("host").mapInArrow(freed(rare), "host string, word string").join(used.select("word", "n"), "word")
@@ -189,7 +192,7 @@ def _with_words(ruled: DataFrame, counts: DataFrame) -> tuple[DataFrame, Segment
 def judge(pages: DataFrame, url: str = "url", html: str = "html", rules=RULES, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``keys``, host, path, rule, verdict, and block_odds, the method's log odds of blocking."""
     spark = pages.sparkSession
-    bounded_batches(spark, 4096)
+    bounded_batches(spark)
     host, path = host_of(F.col(url)), path_of(F.col(url))
     ruled = pages.select(*keys, host.alias("host"), path.alias("path")).withColumns(dict(zip(("rule", "_tw_verdict"), longest_rule(F.col("host"), F.col("path"), rules), strict=True)))
     ruled, segmenter = _with_words(ruled, title_words(pages, html))

@@ -55,3 +55,9 @@ def test_rare_tokens_and_words_count_in_full(spark, monkeypatch, head, words, ho
         want = math.log((docs["block"] + 1) / (docs["allow"] + 1)) + sum(log["block"](t) - log["allow"](t) for t in url_filter.tokens(r.host, r.path, segmenter))
         assert math.isclose(r.block_odds, want, abs_tol=1e-9)
         assert r.rule or r.verdict == ("block" if r.block_odds > 0 else "allow")
+
+
+def test_words_of_any_length_split_names():
+    s = url_filter.Segmenter({"internationalisationsdienstleistungen": 9, "net": 5, "shop": 5})
+    assert s.split("internationalisationsdienstleistungenshop") == ["internationalisationsdienstleistungen", "shop"]
+    assert s.split("netinternationalisationsdienstleistungen", {"netin": 1}) == ["net", "internationalisationsdienstleistungen"]
