@@ -6,6 +6,7 @@ expressible in it; the rest is held against small examples in the tests.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from itertools import combinations, permutations
 
@@ -384,6 +385,43 @@ def fill_na_all(df: DataFrame) -> DataFrame:
     return impute.fill_all(df)
 
 
+@query("predicted_numbers", ORD, """SELECT status, round(median(price), 4) AS prediction, round(1 / (1 + coalesce(stddev_samp(price), 0)), 9) AS probability, count(*) AS n FROM f WHERE status IS NOT NULL AND price IS NOT NULL GROUP BY status""")
+def predicted_numbers(df: DataFrame) -> DataFrame:
+    return impute.predictions(df, "price", ["status"]).select("status", F.round("prediction", 4).alias("prediction"), F.round("probability", 9).alias("probability"), "n")
+
+
+_FILLED = ("status", "segment", "nation", "region")
+
+
+def _mean_mi(target: str) -> str:
+    each = " UNION ALL ".join(_mi_sql(target, x) for x in _FILLED if x != target)
+    return f"mi_{target} AS (SELECT *, row_number() OVER (ORDER BY mi DESC) AS r FROM ({each})), m_{target} AS (SELECT avg(mi) AS mean_mi, max(mi) AS max_mi FROM mi_{target})"
+
+
+def _fill_sql(source: str, target: str) -> str:
+    """``target`` of ``source`` filled from the groups of all other columns."""
+    keys = ", ".join(c for c in _FILLED if c != target)
+    present = " AND ".join(f"{c} IS NOT NULL" for c in _FILLED if c != target)
+    sure = "0.4 * n / total + 0.3 * CASE WHEN max_mi > 0 THEN mean_mi / max_mi ELSE 0 END + 0.3 * least(1, log10(greatest(total, 1)) / 2)"
+    shown = ", ".join(f"coalesce({c}, CASE WHEN {sure} >= 0.5 THEN best END) AS {c}" if c == target else c for c in _FILLED)
+    return f"""(SELECT initial_id, {shown} FROM {source} LEFT JOIN (SELECT {keys}, {target} AS best, n, total FROM (SELECT *, sum(n) OVER (PARTITION BY {keys}) AS total, row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, first) AS r
+        FROM (SELECT {keys}, {target}, count(*) AS n, min(initial_id) AS first FROM {source} WHERE {target} IS NOT NULL AND {present} GROUP BY ALL)) WHERE r = 1) USING ({keys}), m_{target})"""
+
+
+@query("fill_na_in_order", ORD, f"WITH {_mean_mi('status')}, {_mean_mi('segment')}, one AS {_fill_sql('f', 'status')}, two AS {_fill_sql('one', 'segment')} SELECT * FROM two")
+def fill_na_in_order(df: DataFrame) -> DataFrame:
+    """Two columns with missing values, the second filled from groups that hold the first's fills."""
+    return impute.fill_all(df.select("initial_id", *_FILLED))
+
+
+@query("fill_na_analysis", ORD, f"""WITH {_mean_mi('status')}, k AS (SELECT DISTINCT segment, nation, region FROM f WHERE status IS NOT NULL AND segment IS NOT NULL)
+    SELECT 'status' AS target, string_agg(feature, ',' ORDER BY r) AS columns, round(avg(mi), 6) AS mean_mi, round(max(mi), 6) AS max_mi, (SELECT count(*) FROM f WHERE status IS NULL) AS na_count, (SELECT count(*) FROM f JOIN k USING (segment, nation, region) WHERE f.status IS NULL) AS fillable_count FROM mi_status""")
+def fill_na_analysis(df: DataFrame) -> DataFrame:
+    a = impute.analyse(df.select("initial_id", *_FILLED), "status", 3)
+    row = (a["target"], ",".join(a["columns"]), round(a["mean_mi"], 6), round(a["max_mi"], 6), a["na_count"], a["fillable_count"])
+    return df.sparkSession.createDataFrame([row], "target string, columns string, mean_mi double, max_mi double, na_count long, fillable_count long")
+
+
 # --- rules -------------------------------------------------------------------
 
 _ITEM = "'{c}=' || coalesce({c}, 'NA')"
@@ -599,6 +637,18 @@ def value_tree_top15(df: DataFrame) -> DataFrame:
     return valuetree.trees(rows, "region", valuetree.top_values(rows, "region"), max_depth=3, min_probability=0.05, max_values=10, exclude_id=True).withColumn("probability", F.round("probability", 6))
 
 
+_SHOWN_TREE = _tree_sql((*_TREE, "priority"), "region", 2, 0.05, 4)
+
+
+@query("value_tree_text", ORD, f"""WITH RECURSIVE t AS ({_SHOWN_TREE}), r AS (SELECT *, printf('%08x', row_number() OVER (PARTITION BY parent_id ORDER BY probability DESC, value)) AS place FROM t),
+    k AS (SELECT node_id, place AS key FROM r WHERE depth = 0 UNION ALL SELECT r.node_id, k.key || r.place FROM r JOIN k ON r.parent_id = k.node_id)
+    SELECT row_number() OVER (ORDER BY key) - 1 AS place, repeat('  ', depth) || "column" || ' = ' || value || ' (' || printf('%.2f', probability * 100) || '%, ' || "count" || ')' AS line FROM r JOIN k USING (node_id)""")
+def value_tree_text(df: DataFrame) -> DataFrame:
+    rows = df.select("initial_id", *_TREE, "priority")
+    nodes = valuetree.trees(rows, "region", valuetree.top_values(rows, "region"), max_depth=2, min_probability=0.05, max_values=4, exclude_id=True)
+    return _placed(valuetree.lines(nodes.withColumn("probability", F.round("probability", 6))), "line")
+
+
 # --- mappings, batches, model calls --------------------------------------------
 
 _PART = "SELECT p_partkey AS initial_id, p_type AS kind, p_brand AS brand FROM {part}"
@@ -749,6 +799,41 @@ def vendor_batches(df: DataFrame) -> DataFrame:
     return _placed(vendors.batch_lines(vendors.merge(vendors.parse(df))), "batch_id", "lines")
 
 
+class _VendorClient:
+    """Merges lines by their vendor's name in capitals, and verifies a vendor by its length."""
+
+    def ask(self, prompt: str) -> str:
+        found: dict[str, list[str]] = {}
+        for x in prompt.splitlines():
+            if x.count(";") == 2 and not x.endswith("aliases."):
+                name, families, _ = x.split(";")
+                found.setdefault(name.upper(), []).append(families)
+        return json.dumps({"vendors": [{"vendor": n, "families": " + ".join(sorted(f)), "aliases": str(len(f))} for n, f in found.items()]})
+
+    def verify(self, row: dict) -> dict:
+        if len(row["vendor"]) % 2:
+            raise ConnectionError("no answer")
+        return {"vendor": row["vendor"].lower(), "families": "verified"}
+
+
+@query("vendors_by_model", _VENDOR_LINES, f"WITH {_VENDORS.partition(', m AS')[0]}, u AS (SELECT upper(vendor) AS vendor, string_agg(replace(families, ';', ' '), ' + ' ORDER BY replace(families, ';', ' ')) AS families, CAST(count(*) AS VARCHAR) AS aliases FROM b GROUP BY upper(vendor)) SELECT row_number() OVER (ORDER BY vendor) - 1 AS place, * FROM u")
+def vendors_by_model(df: DataFrame) -> DataFrame:
+    rows = vendors.parse(df)
+    return _placed(vendors.merge_by_model(rows.withColumns({"vendor": vendors.base_name(F.col("vendor")), "families": F.replace("families", F.lit(";"), F.lit(" ")), "aliases": F.lit("")}), _VendorClient), "vendor", "families", "aliases")
+
+
+@query("vendors_verified", _VENDOR_LINES, f"WITH {_VENDORS} SELECT CASE WHEN length(vendor) % 2 = 1 THEN vendor ELSE lower(vendor) END AS vendor, CASE WHEN length(vendor) % 2 = 1 THEN families ELSE 'verified' END AS families, aliases FROM vendors")
+def vendors_verified(df: DataFrame) -> DataFrame:
+    return vendors.verify(vendors.merge(vendors.parse(df)), _VendorClient)
+
+
+@query("web_answers", _PART, """WITH q AS (SELECT kind, brand, 'maker of ' || kind || ' ' || brand AS query, count(*) AS parts FROM f GROUP BY ALL), w AS (SELECT *, unnest(string_split(query, ' ')[:3]) AS w, unnest([1, 2, 3]) AS rank FROM q)
+    SELECT kind, brand, parts, query, CAST(rank AS INT) AS rank, 'https://example.org/' || lower(w) || '#' || rank AS id, 'https://example.org/' || lower(w) AS url, upper(w) AS title, '2024-01-0' || rank AS published_date, substr(w, 1, 1) AS author, w || ' in ' || query AS text, NULL AS error FROM w WHERE w IS NOT NULL""")
+def web_answers(df: DataFrame) -> DataFrame:
+    asked = df.groupBy("kind", "brand").agg(F.count("*").alias("parts")).withColumn("query", F.concat_ws(" ", F.lit("maker of"), "kind", "brand"))
+    return batches.web_answers(asked, per_query=3)
+
+
 # --- files -------------------------------------------------------------------
 
 

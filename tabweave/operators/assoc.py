@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,10 @@ from pyspark.sql.types import BooleanType, NumericType
 
 from tabweave.functions.text import as_text, significant
 from tabweave.operators.pairs import ROW_ID
-from tabweave.storage import materialised, quantiles
+from tabweave.storage import materialised, numbered, quantiles, small_or_not
+
+#: Candidate sets (and frequent items) that are broadcast together, and distinct baskets a task mines by itself.
+SETS, BASKETS = 200_000, 100_000
 
 
 def edges(df: DataFrame, column: str, bins: int = 5, method: str = "quantile") -> list[float]:
@@ -59,36 +63,125 @@ def transactions(df: DataFrame, columns: Sequence[str], treat_na: bool = True, b
     return df.select(ROW_ID, items.alias("items")).filter(F.size("items") > 0)
 
 
+class PrefixTree:
+    """Weighted sorted baskets by common prefixes: node -> (item, weight, children)."""
+
+    def __init__(self, baskets: Iterable[tuple[Sequence[int], int]]):
+        self.children: list[dict[int, int]] = [{}]
+        self.item, self.weight, self.parent = [-1], [0], [-1]
+        self.at: dict[int, list[int]] = {}
+        for items, w in baskets:
+            node = 0
+            for i in items:
+                child = self.children[node].get(i)
+                if child is None:
+                    child = len(self.item)
+                    self.children[node][i] = child
+                    self.children.append({})
+                    self.item.append(i)
+                    self.weight.append(0)
+                    self.parent.append(node)
+                    self.at.setdefault(i, []).append(child)
+                self.weight[child] += w
+                node = child
+
+    def before(self, item: int) -> list[tuple[list[int], int]]:
+        """The conditional baskets of an item: what precedes it on each of its paths."""
+        out = []
+        for node in self.at[item]:
+            path, up = [], self.parent[node]
+            while up > 0:
+                path.append(self.item[up])
+                up = self.parent[up]
+            out.append((path[::-1], self.weight[node]))
+        return out
+
+    def mine(self, least: float, most: int | None) -> Iterator[tuple[int, ...]]:
+        """Sets of at least that weight and at most that size, items ascending."""
+        for item, nodes in self.at.items():
+            if sum(self.weight[n] for n in nodes) >= least:
+                yield (item,)
+                if most is None or most > 1:
+                    for rest in PrefixTree(self.before(item)).mine(least, None if most is None else most - 1):
+                        yield (*rest, item)
+
+
+def held_sets(tree: dict, basket: Sequence[int]) -> Iterator[int]:
+    """Numbers of the sets of a nested dict (item -> rest, None -> number) that a sorted basket holds."""
+    for k, i in enumerate(basket):
+        rest = tree.get(i)
+        if rest is not None:
+            if None in rest:
+                yield rest[None]
+            yield from held_sets(rest, basket[k + 1 :])
+
+
 def frequent_itemsets(baskets: DataFrame, min_support: float = 0.1, max_size: int | None = 5) -> DataFrame:
-    """items (sorted), size, freq, support, level by level.
+    """items (sorted), size, freq, support of all sizes from two passes, whatever the largest size.
 
-    Identical baskets are counted once with their multiplicity. Candidates of a
-    level join two sets with equal prefixes and drop those with an infrequent
-    subset. A basket's candidates grow from the frequent sets of the level before that it
-    holds, by an item that it holds too; other subsets are never formed. Every level is written once.
+    Identical baskets are counted once with their multiplicity and dealt evenly over tasks. A set that is frequent in the table is
+    frequent, by the same share, in some task's baskets: so each task mines its own by conditional prefix trees, and the
+    union of what they find holds every frequent set. The second pass counts these exactly, in blocks of ``SETS`` that are
+    broadcast. No basket, item or prefix is a shuffle's key, so that frequent items make no task larger than others.
     """
+    spark = baskets.sparkSession
     weighted = materialised(baskets.groupBy("items").agg(F.count("*").alias("w")))
     total = weighted.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     least = max(1, math.ceil(min_support * total - 1e-9))
-    level = materialised(weighted.select(F.explode("items").alias("i"), "w").groupBy("i").agg(F.sum("w").alias("freq")).filter(F.col("freq") >= least).select(F.array("i").alias("items"), "freq"))
-    found, size = level, 1
-    singles = level.select(F.col("items")[0].alias("i"))
-    flat = weighted.withColumn("b", F.xxhash64("items")).select("b", "w", F.explode("items").alias("i")).join(F.broadcast(singles) if singles.count() <= 100_000 else singles, "i", "left_semi")
-    kept = flat.groupBy("b", "w").agg(F.array_sort(F.collect_list("i")).alias("kept"))
-    held = kept.select("b", "w", "kept", F.explode("kept").alias("i")).select("b", "w", "kept", F.array("i").alias("items"))
-    while (max_size is None or size < max_size) and not level.isEmpty():
-        size += 1
-        left = level.select(F.col("items").alias("a"), F.slice("items", 1, size - 2).alias("p"), F.element_at("items", -1).alias("x"))
-        right = level.select(F.slice("items", 1, size - 2).alias("p"), F.element_at("items", -1).alias("y"))
-        joined = left.join(right, "p").filter("x < y").select(F.concat("a", F.array("y")).alias("items"))
-        subsets = joined.select("items", F.posexplode("items").alias("pos", "drop")).select("items", F.filter("items", lambda v: v != F.col("drop")).alias("s"))
-        sure = subsets.join(level.select(F.col("items").alias("s")), "s").groupBy("items").count().filter(F.col("count") == size).select("items")
-        wanted = sure.select(F.slice("items", 1, size - 1).alias("items"), F.element_at("items", -1).alias("more"))
-        grown = materialised(held.join(wanted, "items").filter(F.array_contains("kept", F.col("more"))).select("b", "w", "kept", F.array_append("items", F.col("more")).alias("items")))
-        level = materialised(grown.groupBy("items").agg(F.sum("w").alias("freq")).filter(F.col("freq") >= least))
-        held = grown.join(level.select("items"), "items", "left_semi")
-        found = found.unionByName(level)
-    return found.select("items", F.size("items").alias("size"), "freq", (F.col("freq") / total if total else F.lit(0.0)).alias("support"))
+    empty = spark.createDataFrame([], "items array<string>, size int, freq long, support double")
+    if not total:
+        return empty
+    singles = weighted.select(F.explode("items").alias("i"), "w").groupBy("i").agg(F.sum("w").alias("freq")).filter(F.col("freq") >= least)
+    names = [r.i for r in singles.select("i").orderBy("i").limit(SETS + 1).collect()]
+    if len(names) > SETS:
+        raise ValueError(f"more than {SETS} items are frequent; raise min_support")
+    code = spark.sparkContext.broadcast({n: k for k, n in enumerate(names)})
+    # bounded slices; of small tables no more than leave enough rows to tell frequent sets from chance
+    slices = max(1, -(-weighted.count() // BASKETS), min(spark.sparkContext.defaultParallelism, least // 50))
+    dealt = materialised(weighted.repartition(slices, F.xxhash64("items")))
+
+    def coded(batches: Iterator) -> Iterator[tuple[list[int], int]]:
+        known = code.value
+        for b in batches:
+            for items, w in zip(b["items"], b["w"], strict=True):
+                yield sorted(known[i] for i in items if i in known), int(w)
+
+    def local(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        mine = list(coded(batches))  # one of the even slices
+        share = least / total * sum(w for _, w in mine)
+        found = [list(s) for s in PrefixTree(mine).mine(max(share - 1e-9, 1e-9), max_size)]
+        yield pd.DataFrame({"set": found})
+
+    candidates = materialised(numbered(dealt.mapInPandas(local, "set array<int>").distinct(), "k"))
+    many, found = candidates.count(), None
+    for start in range(0, many, SETS):
+        block = candidates.filter(F.col("k").between(start, start + SETS - 1)).select("k", "set").collect()  # at most SETS rows
+        tree: dict = {}
+        for r in block:
+            node = tree
+            for i in r.set:
+                node = node.setdefault(i, {})
+            node[None] = r.k
+        shared = spark.sparkContext.broadcast(tree)
+
+        def count(batches: Iterator, shared=shared) -> Iterator:
+            import pandas as pd
+
+            sums: Counter = Counter()
+            for items, w in coded(batches):
+                for k in held_sets(shared.value, items):
+                    sums[k] += w
+            yield pd.DataFrame({"k": list(sums), "w": list(sums.values())}).astype("int64")
+
+        part = dealt.mapInPandas(count, "k long, w long").groupBy("k").agg(F.sum("w").alias("freq")).filter(F.col("freq") >= least)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return empty
+    shown = spark.createDataFrame([(names,)], "names array<string>")
+    items = F.array_sort(F.transform("set", lambda i: F.get("names", i)))
+    return candidates.join(small_or_not(materialised(found)), "k").crossJoin(F.broadcast(shown)).select(items.alias("items"), F.size("set").alias("size"), "freq", (F.col("freq") / total).alias("support"))  # one row of names
 
 
 def sort_itemsets(itemsets: DataFrame) -> DataFrame:

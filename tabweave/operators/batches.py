@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import json
 import re
+import time
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from tabweave.functions.text import json_mapping, strip_to_null
 from tabweave.operators.clean import with_default
@@ -22,6 +25,8 @@ from tabweave.operators.pairs import ROW_ID, require
 from tabweave.storage import materialised, numbered
 
 LEAST_ROWS, MOST_ROWS, MOST_VALUES, FEW_ROWS = 35, 50, 100, 10
+#: Prompts whose replies are saved together.
+PER_COMMIT = 64
 PROMPT = "Answer with one JSON object for these rows.\n[rows]"
 
 
@@ -188,12 +193,15 @@ def extracted(replies: DataFrame, fields: Sequence[str] = ("product_name", "manu
     return replies.select("batch_id", F.inline(F.from_json("reply", schema).rows)).select("row_id", *fields, "batch_id")
 
 
-def extract_resumable(df: DataFrame, group: str, columns: Sequence[str], folder: str, factory: Callable = offline_client, template: str = PROMPT, most_batches: int | None = None) -> DataFrame:
-    """Extracts rows' fields; replies are appended to ``folder``, and batches that it holds are not asked again."""
+def extract_resumable(df: DataFrame, group: str, columns: Sequence[str], folder: str, factory: Callable = offline_client, template: str = PROMPT, most_batches: int | None = None, on_error: str = "raise", per_commit: int = PER_COMMIT) -> DataFrame:
+    """Extracts rows' fields; replies are saved in ``folder`` as they come, and batches that it holds are not asked again.
+
+    A failed call raises, after the replies before it are saved (or is left out, if ``on_error`` is ``skip``).
+    """
     require(df, group, *columns)
     asked = prompts(by_group(df, group), columns, template, group)
     asked = asked if most_batches is None else asked.filter(F.col("batch_id") <= most_batches)
-    return extracted(_answered(asked, folder, factory))
+    return extracted(_answered(asked, folder, factory, on_error, per_commit))
 
 
 def join_results(df: DataFrame, results: DataFrame, fields: Sequence[str] = ("product_name", "manufacturer"), keep_all: bool = False) -> DataFrame:
@@ -228,7 +236,7 @@ def lacking(config: dict[str, str | None], names: Sequence[str] = ("endpoint", "
 def label_rows(df: DataFrame, columns: Sequence[str], field: str, template: str, folder: str, factory: Callable = offline_client, size: int = FEW_ROWS) -> DataFrame:
     """``df`` with ``field`` (added as an empty text if absent), asked for in batches of ``size`` rows numbered 1..size.
 
-    Replies are appended to ``folder``, and batches that it holds are not asked again. A reply's numbers lead
+    Replies are saved in ``folder`` as they come, and batches that it holds are not asked again. A reply's numbers lead
     back to the rows; a row without an answer, or of a batch whose call failed, keeps its value.
     """
     rows = fixed(with_default(df, field), size)
@@ -240,15 +248,38 @@ def label_rows(df: DataFrame, columns: Sequence[str], field: str, template: str,
     return rows.join(answers, ["batch_id", "local_id"], "left").withColumn(field, F.coalesce("_new", field)).select(*df.columns, *([field] if field not in df.columns else []))
 
 
-def _answered(asked: DataFrame, folder: str, factory: Callable) -> DataFrame:
-    """All replies in ``folder`` that aren't errors, after asking for the batches that it lacks."""
-    spark = asked.sparkSession
-    store = spark._jvm.org.apache.hadoop.fs.Path(folder)
+def _answered(asked: DataFrame, folder: str, factory: Callable, on_error: str = "skip", per_commit: int = PER_COMMIT) -> DataFrame:
+    """All replies in ``folder`` that aren't errors, after asking for the batches that it lacks.
+
+    Prompts are written in files of about ``per_commit`` and read as a stream, a file a micro-batch, whose calls are spread over all
+    tasks. Each micro-batch's replies are saved before the next one begins, under its own number, so that a repeated one replaces itself.
+    With ``raise`` a failed call ends the run once its micro-batch is saved; the next run asks for what is lacking.
+    """
+    spark, run = asked.sparkSession, uuid.uuid4().hex
+    replies, kind = f"{folder}/replies", dict(asked.dtypes)["batch_id"]
+    schema = f"batch_id {kind}, reply string, error string, run string, commit long"
+    store = spark._jvm.org.apache.hadoop.fs.Path(replies)
+    found = lambda: spark.read.schema(schema).parquet(replies).filter("error IS NULL").select("batch_id", "reply", "error")
     if store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store):
-        done = spark.read.parquet(folder).filter("error IS NULL").select("batch_id")
-        asked = asked.join(done, "batch_id", "left_anti")
-    ask_all(asked, factory).write.mode("append").parquet(folder)
-    return spark.read.parquet(folder).filter("error IS NULL")
+        asked = asked.join(found().select("batch_id"), "batch_id", "left_anti")
+    asked = materialised(asked.select("batch_id", "prompt"))
+    files = -(-asked.count() // per_commit)
+    if files:
+        asked.repartition(files).write.parquet(f"{folder}/asked/{run}")
+        stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/asked/{run}")
+        spread = stream.repartition(spark.sparkContext.defaultParallelism)
+
+        def save(answers: DataFrame, number: int) -> None:
+            at = f"{replies}/run={run}/commit={number}"
+            answers.write.mode("overwrite").parquet(at)
+            if on_error == "raise":
+                failed = spark.read.parquet(at).filter("error IS NOT NULL").select("error").first()
+                if failed is not None:
+                    raise RuntimeError(f"a call failed: {failed.error}")
+
+        query = ask_all(spread, factory).writeStream.foreachBatch(save).option("checkpointLocation", f"{folder}/log/{run}").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return found() if store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store) else spark.createDataFrame([], schema).select("batch_id", "reply", "error")
 
 
 # --- value mappings ----------------------------------------------------------
@@ -293,15 +324,54 @@ def reduction(df: DataFrame, column: str) -> DataFrame:
     return out.withColumn("fewer", F.col("before") - F.col("after")).withColumn("percent", F.coalesce(F.try_divide(F.col("fewer"), F.col("before")) * 100, F.lit(0.0)))
 
 
-def web_answers(queries: DataFrame, factory: Callable, per_query: int = 2) -> DataFrame:
-    """query, rank, url, title, text from a search client with ``search(query, n) -> list of dicts``."""
+class OfflineSearch:
+    """Deterministic results: a page for each word of the query."""
 
-    def run(batches):
-        import pandas as pd
+    def search(self, query: str, n: int) -> list[dict]:
+        pages = [(w, f"https://example.org/{w.lower()}") for w in query.split()]
+        return [{"id": f"{u}#{k}", "url": u, "title": w.upper(), "text": f"{w} in {query}", "author": w[:1], "published_date": f"2024-01-{k:02}"} for k, (w, u) in enumerate(pages[:n], 1)]
+
+
+_ANSWER = "rank int, id string, url string, title string, published_date string, author string, text string, error string"
 
-        client = factory()
-        for b in batches:
-            rows = [(q, k, r.get("url"), r.get("title"), r.get("text")) for q in b["query"] for k, r in enumerate(client.search(q, per_query)[:per_query], 1)]
-            yield pd.DataFrame(rows, columns=["query", "rank", "url", "title", "text"])
 
-    return queries.select("query").mapInPandas(run, "query string, rank int, url string, title string, text string")
+def web_table(factory: Callable = OfflineSearch, per_query: int = 2, retries: int = 2, per_second: float | None = None, wait: float = 0.5):
+    """A table function of a query's text: its results by rank, from a search client with ``search(query, n) -> list of dicts``.
+
+    A failed search is tried again after ever longer waits; after ``retries`` times it gives one row of rank 0 with its error. A
+    task asks no more often than ``per_second`` times a second. Missing texts give no rows. Use it laterally:
+    ``SELECT q.*, a.* FROM q, LATERAL web_answers(q.query) a`` after ``spark.udtf.register("web_answers", web_table(...))``.
+    """
+    fields = [f.split()[0] for f in _ANSWER.split(", ")][1:-1]
+
+    class Answers:
+        def __init__(self):
+            self.client, self.last = factory(), 0.0
+
+        def eval(self, query: str):
+            if query is None or not query.strip():
+                return
+            for k in range(retries + 1):
+                if per_second:
+                    time.sleep(max(0.0, self.last + 1 / per_second - time.monotonic()))
+                    self.last = time.monotonic()
+                try:
+                    found = self.client.search(query, per_query)[:per_query]
+                except Exception as e:  # a client may fail in any way; the row says how
+                    if k == retries:
+                        yield (0, *[None] * len(fields), f"{type(e).__name__}: {e}")
+                    else:
+                        time.sleep(wait * 2**k)
+                    continue
+                for rank, r in enumerate(found, 1):
+                    yield (rank, *((None if r.get(f) is None else str(r[f])) for f in fields), None)
+                return
+
+    return udtf(Answers, returnType=_ANSWER)
+
+
+def web_answers(queries: DataFrame, factory: Callable = OfflineSearch, per_query: int = 2, **bounds) -> DataFrame:
+    """``queries`` (with a column ``query``), each row with its results (see ``web_table``); rows without results are left out."""
+    spark, name = queries.sparkSession, f"web_answers_{uuid.uuid4().hex}"
+    spark.udtf.register(name, web_table(factory, per_query, **bounds))
+    return spark.sql(f"SELECT q.*, a.* FROM {{q}} q, LATERAL {name}(q.query) a", q=queries)

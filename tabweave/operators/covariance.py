@@ -10,17 +10,19 @@ from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tabweave.operators.impute import is_numeric
 from tabweave.operators.pairs import ROW_ID, categorical, pair_counts
-from tabweave.storage import materialised
+from tabweave.storage import materialised, small_or_not
 
 MISSING = "_MISSING_"
 #: Categories up to which their table is a matrix on the driver, and rounds of iteration beyond.
-MOST_CATEGORIES, ROUNDS = 2000, 25
+MOST_CATEGORIES, ROUNDS = 2000, 200
+#: Iteration ends when no eigenvalue moves by more than this share of the largest.
+TOLERANCE = 1e-9
 
 
 def classify(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list[str], list[str]]:
@@ -44,7 +46,7 @@ def frequency_encoding(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for c in columns:
         key = F.coalesce(F.col(c), F.lit(MISSING))
         shares = df.groupBy(key.alias("_k")).agg((F.count("*") / F.lit(max(total, 1))).alias("_share"))
-        df = df.withColumn("_k", key).join(shares, "_k").drop("_k", c).withColumnRenamed("_share", c)
+        df = df.withColumn("_k", key).join(small_or_not(shares), "_k").drop("_k", c).withColumnRenamed("_share", c)
     return df
 
 
@@ -65,25 +67,27 @@ def category_scores(df: DataFrame, columns: Sequence[str], components: int | Non
 
 
 def _by_matrix(singles: DataFrame, counts: DataFrame | None, columns: int, k: int, rows: float) -> tuple[DataFrame, np.ndarray]:
-    own = singles.collect()
-    cats = sorted((r.c, r.v) for r in own)
+    numbered_ = singles.select("c", "v", "n", (F.row_number().over(Window.orderBy("c", "v")) - 1).alias("i"))  # at most MOST_CATEGORIES rows
+    own = materialised(numbered_).orderBy("i").toArrow()
+    cats = list(zip(own.column("c").to_pylist(), own.column("v").to_pylist(), strict=True))
     at = {c: i for i, c in enumerate(cats)}
-    burt = np.zeros((len(cats), len(cats)))
-    for r in own:
-        burt[at[r.c, r.v], at[r.c, r.v]] = r.n
-    for r in counts.collect() if counts is not None else []:
-        i, j = at[r.col1, r.v1], at[r.col2, r.v2]
-        burt[i, j] = burt[j, i] = r.n
+    burt = np.diag(own.column("n").to_numpy().astype(float))
+    if counts is not None:  # three numbers a pair of categories, as arrays
+        place = F.broadcast(singles.sparkSession.createDataFrame([(*c, i) for c, i in at.items()], "c string, v string, i long"))
+        side = lambda k: place.select(F.col("c").alias(f"col{k}"), F.col("v").alias(f"v{k}"), F.col("i").alias(f"i{k}"))
+        got = counts.join(side(1), ["col1", "v1"]).join(side(2), ["col2", "v2"]).select("i1", "i2", "n").toArrow()
+        i, j, n = (got.column(c).to_numpy() for c in ("i1", "i2", "n"))
+        burt[i, j] = burt[j, i] = n
     mass = np.sqrt(np.diag(burt))
     values, vectors = np.linalg.eigh(burt / np.outer(mass, mass) / columns)
     keep = np.argsort(values)[::-1][1 : 1 + k]
-    scores = vectors[:, keep] * np.sqrt(rows) / mass[:, None] * np.sqrt(np.maximum(values[keep], 0))
+    scores = vectors[:, keep] * np.sqrt(rows * columns) / mass[:, None] * np.sqrt(np.maximum(values[keep], 0))
     scores *= np.where(scores[np.abs(scores).argmax(0), range(scores.shape[1])] < 0, -1, 1)
     return singles.sparkSession.createDataFrame([(*c, scores[i].tolist()) for c, i in at.items()], "c string, v string, scores array<double>"), values[keep]
 
 
-def _by_iteration(singles: DataFrame, counts: DataFrame, columns: int, k: int, rows: float, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray]:
-    spark, size = singles.sparkSession, k + 1
+def _by_iteration(singles: DataFrame, counts: DataFrame, columns: int, k: int, rows: float, rounds: int | None = None) -> tuple[DataFrame, np.ndarray]:
+    spark, size, rounds = singles.sparkSession, k + 1, ROUNDS if rounds is None else rounds
     name = lambda c, v: F.concat_ws("\x1f", c, v)
     mass = materialised(singles.select("c", "v", name("c", "v").alias("a"), F.sqrt(F.col("n").cast("double")).alias("m")))
     both = counts.select(F.inline(F.array(*(F.struct(name(*x).alias("a"), name(*y).alias("b"), "n") for x, y in ((("col1", "v1"), ("col2", "v2")), (("col2", "v2"), ("col1", "v1")))))))
@@ -100,18 +104,21 @@ def _by_iteration(singles: DataFrame, counts: DataFrame, columns: int, k: int, r
     def turned(d: DataFrame, by: np.ndarray, source: str, kept: Sequence[str] = ()) -> DataFrame:
         return d.select("a", "c", "v", "m", *kept, *(sum((F.col(f"{source}{i}") * float(by[i, j]) for i in range(size)), F.lit(0.0)).alias(f"x{j}") for j in range(size)))
 
+    before = None
     for k_ in range(rounds + 1):
         x = materialised(turned(x, np.linalg.inv(np.linalg.cholesky(products(x, "x", "x"))).T, "x"))
         y = table.join(x.select(F.col("a").alias("b"), *(f"x{i}" for i in range(size))), "b").groupBy("a").agg(*(F.sum(F.col("w") * F.col(f"x{i}")).alias(f"y{i}") for i in range(size)))
         xy = materialised(x.join(y, "a"))
-        if k_ == rounds:
+        h = products(xy, "x", "y")
+        now = np.linalg.eigvalsh((h + h.T) / 2)
+        if k_ == rounds or (before is not None and np.abs(now - before).max() <= TOLERANCE * np.abs(now).max()):
             break
+        before = now
         x = xy.select("a", "c", "v", "m", *(F.col(f"y{i}").alias(f"x{i}") for i in range(size)))
-    h = products(xy, "x", "y")
     values, vectors = np.linalg.eigh((h + h.T) / 2)
     keep = np.argsort(values)[::-1][1:size]
     by = np.zeros((size, size))
-    by[:, : len(keep)] = vectors[:, keep] * np.sqrt(rows) * np.sqrt(np.maximum(values[keep], 0))
+    by[:, : len(keep)] = vectors[:, keep] * np.sqrt(rows * columns) * np.sqrt(np.maximum(values[keep], 0))
     out = turned(xy, by, "x").select("c", "v", *((F.col(f"x{i}") / F.col("m")).alias(f"s{i}") for i in range(len(keep))))
     tops = out.agg(*(F.max_by(f"s{i}", F.abs(f"s{i}")).alias(f"s{i}") for i in range(len(keep)))).first()
     return out.select("c", "v", F.array(*(F.col(f"s{i}") * (-1.0 if tops[i] < 0 else 1.0) for i in range(len(keep)))).alias("scores")), values[keep]
@@ -128,7 +135,7 @@ def encode(df: DataFrame, numbers: Sequence[str], texts: Sequence[str], refine:
         by_column = first.groupBy("c").agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("dev"))
         z = materialised(first.join(by_column, "c").select("c", F.col("v").alias("_k"), ((F.coalesce((F.col("s") - F.col("mean")) / F.nullif(F.col("dev"), F.lit(0.0)), F.lit(0.0)) + 1) / 2).alias("_z")))
         for c in texts:
-            out = out.withColumn("_k", F.coalesce(F.col(c), F.lit(MISSING))).join(z.filter(F.col("c") == c).drop("c"), "_k").withColumnRenamed("_z", f"_z_{c}").drop("_k")
+            out = out.withColumn("_k", F.coalesce(F.col(c), F.lit(MISSING))).join(small_or_not(z.filter(F.col("c") == c).drop("c")), "_k").withColumnRenamed("_z", f"_z_{c}").drop("_k")
     out = frequency_encoding(out, texts)
     if refine:
         out = out.withColumns({c: 0.7 * F.col(c) + 0.3 * F.col(f"_z_{c}") for c in texts}).drop(*(f"_z_{c}" for c in texts))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.operators.pairs import ROW_ID
-from tabweave.storage import materialised
+from tabweave.storage import materialised, small_or_not
 
 NA = "<NA>"
 MOST_NODES = 100_000
@@ -82,6 +82,34 @@ def nested(nodes: DataFrame) -> dict:
     return {r.root: at[r.node_id] for r in rows if r.parent_id is None}
 
 
+def in_order(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``key``, whose order is depth-first: every node's place among its siblings, likeliest first, from its root down.
+
+    One join a level of children with their parents' keys; no node but the roots' count reaches the driver.
+    """
+    place = lambda by: F.lpad(F.conv(F.row_number().over(Window.partitionBy(by).orderBy(F.desc("probability"), "value")).cast("string"), 10, 16), 8, "0")
+    ranked = materialised(nodes.withColumn("_place", place("parent_id")))  # siblings are values of one node, at most as many as a tree keeps
+    deepest = ranked.agg(F.max("depth")).first()[0]
+    level = ranked.filter("depth = 0").withColumn("key", F.col("_place"))
+    out = level
+    for depth in range(1, (deepest or 0) + 1):
+        above = level.select(F.col("node_id").alias("parent_id"), F.col("key").alias("_key"))
+        level = materialised(ranked.filter(F.col("depth") == depth).join(small_or_not(above), "parent_id").withColumn("key", F.concat("_key", "_place")).select(*ranked.columns, "key"))
+        out = out.unionByName(level)
+    return out.drop("_place")
+
+
+def lines(nodes: DataFrame) -> DataFrame:
+    """key and line: the text of ``to_text``, a row a node, in depth-first order of the key."""
+    shown = F.concat(F.repeat(F.lit("  "), F.col("depth")), "column", F.lit(" = "), "value", F.lit(" ("), F.format_string("%.2f", F.col("probability") * 100), F.lit("%, "), F.col("count").cast("string"), F.lit(")"))
+    return in_order(nodes).select("key", shown.alias("line")).orderBy("key")
+
+
+def write_text(nodes: DataFrame, folder: str) -> None:
+    """The tree's lines as text files whose names are in depth-first order; of any number of nodes."""
+    lines(nodes).select("line").write.mode("overwrite").text(folder)
+
+
 def to_json(nodes: DataFrame) -> str:
     return json.dumps(nested(nodes), ensure_ascii=False, indent=2)
 
