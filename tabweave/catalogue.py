@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.functions.text import json_mapping
-from tabweave.operators import assoc, batches, clean, covariance, impute, pairs, relations, repair, valuetree, vendors
+from tabweave.operators import assoc, batches, clean, covariance, graphs, impute, pairs, relations, repair, valuetree, vendors
 from tabweave.functions.text import json_row, short_hash, shorten, shown, shown_percent, shown_thousands
 from tabweave.plans.fixtures import CNR, DIRTY, GROUPS, LINES, ORD, frame, plain
 from tabweave.session import Session
@@ -600,6 +600,29 @@ def missing_colors(df: DataFrame) -> DataFrame:
     return relations.colored_nodes(nodes, pairs.null_profile(df)).withColumn("share", F.round("share", 6))
 
 
+#: A graph of parts: each has edges to its half, its third and its sixth, of which the last follows from the others.
+_PART_GRAPH = "SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, CAST(FLOOR(p_partkey / 2.0) AS BIGINT) AS dst FROM {part} UNION ALL SELECT p_partkey, CAST(FLOOR(p_partkey / 3.0) AS BIGINT) FROM {part} UNION ALL SELECT p_partkey, CAST(FLOOR(p_partkey / 6.0) AS BIGINT) FROM {part}) WHERE dst > 0"
+_REACH = "RECURSIVE c AS (SELECT src, dst FROM f UNION SELECT c.src, f.dst FROM c JOIN f ON c.dst = f.src)"
+_DETOUR = "EXISTS (SELECT 1 FROM f x JOIN c ON x.dst = c.src WHERE x.src = f.src AND c.dst = f.dst)"
+
+
+@query("graph_closure", _PART_GRAPH, "WITH RECURSIVE c AS (SELECT src, dst, 1 AS steps FROM f UNION SELECT c.src, f.dst, c.steps + 1 FROM c JOIN f ON c.dst = f.src) SELECT src, dst, CAST(min(steps) AS INT) AS steps FROM c GROUP BY ALL")
+def graph_closure(df: DataFrame) -> DataFrame:
+    return graphs.closure(df)
+
+
+@query("graph_reduced", _PART_GRAPH, f"WITH {_REACH} SELECT src, dst FROM f WHERE NOT {_DETOUR}")
+def graph_reduced(df: DataFrame) -> DataFrame:
+    return graphs.reduced(df)
+
+
+@query("graph_removed", _PART_GRAPH, f"""WITH {_REACH}, k AS (SELECT src, dst FROM f WHERE NOT {_DETOUR}), g AS (SELECT src, dst FROM f WHERE {_DETOUR}),
+    w AS (SELECT src, dst AS at, [src, dst] AS path FROM k UNION ALL SELECT w.src, k.dst, list_append(path, k.dst) FROM w JOIN k ON w.at = k.src)
+    SELECT src, dst, array_to_string(path, '>') AS path FROM (SELECT g.src, g.dst, path, row_number() OVER (PARTITION BY g.src, g.dst ORDER BY len(path), path) AS r FROM g JOIN w ON w.src = g.src AND w.at = g.dst) WHERE r = 1""")
+def graph_removed(df: DataFrame) -> DataFrame:
+    return graphs.removed(df).select("src", "dst", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
 # --- trees -------------------------------------------------------------------
 
 _TREE = ("status", "segment", "region")

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import io
 import zipfile
-from datetime import datetime, timedelta
+from collections.abc import Iterator
+from itertools import islice
 from pathlib import PurePosixPath
-from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.functions.text import missing_to_null
-from tabweave.sources import split_csv
+from tabweave.sources import sheets, split_csv
 from tabweave.storage import small_or_not
 
 
@@ -59,86 +59,45 @@ def read_vendor_lines(spark: SparkSession, path: str) -> DataFrame:
 
 # --- spreadsheets ------------------------------------------------------------
 
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
-
-def _place(ref: str) -> int:
-    n = 0
-    for c in ref:
-        if c.isalpha():
-            n = n * 26 + ord(c.upper()) - 64
-    return n - 1
-
-
-def _first_sheet(z: zipfile.ZipFile) -> str:
-    """The file of the sheet that the workbook lists first."""
-    if "xl/workbook.xml" in z.namelist() and "xl/_rels/workbook.xml.rels" in z.namelist():
-        sheet = next(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"), None)
-        name = next((v for k, v in sheet.attrib.items() if k.endswith("}id")), None) if sheet is not None else None
-        for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
-            if r.get("Id") == name:
-                target = r.get("Target", "")
-                return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-    return min((n for n in z.namelist() if n.startswith("xl/worksheets/") and n.endswith(".xml")), key=lambda n: (len(n), n))
-
-
-def sheet_rows(content: bytes) -> list[list[str | None]]:
-    """Rows of a workbook's first sheet as text."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = z.namelist()
-        shared = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")] if "xl/sharedStrings.xml" in names else []
-        dates = set()
-        if "xl/styles.xml" in names:
-            styles = ElementTree.fromstring(z.read("xl/styles.xml"))
-            custom = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iter(f"{_MAIN}numFmt")}
-            cells = styles.find(f"{_MAIN}cellXfs")
-            for i, x in enumerate(cells if cells is not None else ()):
-                k = int(x.get("numFmtId", 0))
-                if 14 <= k <= 22 or any(c in custom.get(k, "").lower() for c in ("yy", "dd", "h:mm")):
-                    dates.add(i)
-        first = _first_sheet(z)
-        rows = []
-        for row in ElementTree.fromstring(z.read(first)).iter(f"{_MAIN}row"):
-            out: list[str | None] = []
-            for c in row.iter(f"{_MAIN}c"):
-                at = _place(c.get("r", "")) if c.get("r") else len(out)
-                out += [None] * (at + 1 - len(out))
-                v, kind = c.find(f"{_MAIN}v"), c.get("t")
-                if kind == "inlineStr":
-                    out[at] = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
-                elif v is not None and v.text is not None:
-                    if kind == "s":
-                        out[at] = shared[int(v.text)]
-                    elif kind == "b":
-                        out[at] = "True" if v.text == "1" else "False"
-                    elif int(c.get("s", -1)) in dates:
-                        out[at] = str(datetime(1899, 12, 30) + timedelta(days=float(v.text)))
-                    else:
-                        out[at] = v.text
-            rows.append(out)
-    return rows
-
-
-def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """First sheet of an .xlsx workbook with a header row; types are inferred. A workbook is one task's work."""
+
+def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """A sheet of an .xlsx workbook (the first, unless named) with a header row; types are inferred. Rows are read in ranges, see ``sheets``.
+
+    Where only Spark can open the path, the workbook is fetched by Spark and its sheet read as a stream by one task.
+    """
     if path.lower().endswith(".xls"):
         raise ValueError("the old .xls format is not supported; save the workbook as .xlsx")
-
-    def run(batches):
+    sheets.register(spark)
+    try:
+        with sheets.opened(path):
+            pass
+        reader = spark.read.format("xlsx") if sheet is None else spark.read.format("xlsx").option("sheet", sheet)
+        raw = reader.load(path)
+    except (OSError, ImportError, ValueError) as e:
+        if isinstance(e, ValueError) and "scheme" not in str(e).lower():
+            raise
+        raw = _fetched(spark, path, sheet)
+    return infer_types(raw.select(*(missing_to_null(F.col(f"`{c.replace('`', '``')}`")).alias(c) for c in raw.columns)))
+
+
+def _fetched(spark: SparkSession, path: str, sheet: str | None) -> DataFrame:
+    def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for b in batches:
             for content in b["content"]:
-                rows = sheet_rows(bytes(content))
-                yield pd.DataFrame({"row_number": range(len(rows)), "cells": rows})
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                    rows = enumerate(sheets.Workbook(z, sheet).rows())
+                    while held := list(islice(rows, sheets.BATCH)):
+                        yield pd.DataFrame({"row_number": [n for n, _ in held], "cells": [r for _, r in held]})
 
     cells = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row_number long, cells array<string>")
     header = cells.filter("row_number = 0").first()
     if header is None:
-        raise ValueError("the first sheet is empty")
-    names = [c if c is not None else f"Unnamed: {i}" for i, c in enumerate(header.cells)]
-    body = cells.filter("row_number > 0").orderBy("row_number").select(*(missing_to_null(F.get("cells", F.lit(i))).alias(c) for i, c in enumerate(names)))
-    return infer_types(body)
+        raise ValueError("the sheet is empty")
+    width = cells.agg(F.max(F.size("cells"))).first()[0]
+    names = split_csv.names_of([c or "" for c in (*header.cells, *[None] * (width - len(header.cells)))])
+    return cells.filter("row_number > 0").orderBy("row_number").select(*(F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(names)))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
