@@ -276,6 +276,25 @@ def merge_files_union(df: DataFrame) -> DataFrame:
     return clean.merge([df.filter("initial_id % 2 = 0").select("initial_id", "a", "b"), df.filter("initial_id % 2 = 1").select("initial_id", "b", "blank")], useless=False)
 
 
+@query("merged_csv", DIRTY, "WITH u AS (SELECT a, b, NULL AS blank FROM f WHERE initial_id % 2 = 0 UNION SELECT NULL, b, blank FROM f WHERE initial_id % 2 = 1) SELECT nullif(trim(a), '') AS a, nullif(trim(b), '') AS b, nullif(trim(blank), '') AS blank FROM u")
+def merged_csv(df: DataFrame) -> DataFrame:
+    """Two tables merged in a session, written as CSV without row ids, and read again."""
+    merged = Session.merged([df.filter("initial_id % 2 = 0").select("initial_id", "a", "b"), df.filter("initial_id % 2 = 1").select("initial_id", "b", "blank")], useless=False)
+    folder = _scratch(df.sparkSession, "merged")
+    sinks.write_csv(merged.processed, folder)
+    return readers.read_csv(df.sparkSession, folder)
+
+
+@query("results_after_drop", ORD, f"WITH s AS ({' UNION ALL '.join(_score_sql(a, b) for a, b in permutations(TEXTS, 2))}) SELECT parent, child, valid, total FROM s WHERE 'status' NOT IN (parent, child) AND 'nation' NOT IN (parent, child)")
+def results_after_drop(df: DataFrame) -> DataFrame:
+    """What a session still knows of its column pairs after two columns are gone."""
+    s = Session(df, df)
+    for r in pairs.analyse_one_to_many(df, 0, True, TEXTS).collect():  # a row a pair of columns
+        s = s.with_result((r.parent, r.child), (r.valid, r.total))
+    left = s.drop("status").concat("nation", "price").results
+    return df.sparkSession.createDataFrame([(*k, *v) for k, v in left.items()], "parent string, child string, valid long, total long")
+
+
 @query("concat_columns", ORD, "SELECT initial_id, priority, price, nation, region, coalesce(status, 'nan') || ' | ' || coalesce(segment, 'nan') AS \"status | segment\" FROM f")
 def concat_columns(df: DataFrame) -> DataFrame:
     return clean.concat_columns(df, "status", "segment")

@@ -33,18 +33,17 @@ def plans(edges: DataFrame, drop_na: bool = True, min_count: int = 5, ratio: flo
 
     correct_value is the most frequent parent value, the first seen on ties;
     num_changes counts the child's rows that differ from it, missing parents
-    included, and present the rows that have a parent.
+    included, and present the rows that have a parent. The second count comes from a join of the counts with the most frequent
+    values of violating children: no child's parents are ranked in one task.
     """
     keys = ["parent", "child", "cv"]
     used = edges.filter("cv IS NOT NULL" + (" AND pv IS NOT NULL" if drop_na else ""))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("pv").isNull(), F.desc("n"), "first"))
-    top = lambda k: F.coalesce(F.max(F.when((F.col("r") == k) & F.col("pv").isNotNull(), F.col("n"))), F.lit(0))
-    per_child = used.withColumn("r", rank).groupBy(*keys).agg(
-        F.count("pv").alias("parents"), F.max(F.when(F.col("r") == 1, F.col("pv"))).alias("correct_value"), top(1).alias("top"), top(2).alias("second"),
-        F.sum("n").alias("rows"), F.sum(F.when(F.col("pv").isNotNull(), F.col("n")).otherwise(0)).alias("present"), F.min("first").alias("first"),
-    )
-    bad = per_child.filter("parents > 1")
-    return bad.select(*keys, "correct_value", "parents", "present", "top", "second", (F.col("rows") - F.col("top")).alias("num_changes"), confident(F.col("present"), F.col("top"), F.col("second"), min_count, ratio).alias("confident"), "first")
+    best = F.max(F.when(F.col("pv").isNotNull(), F.struct("n", -F.col("first"), "pv")))
+    per_child = used.groupBy(*keys).agg(F.count("pv").alias("parents"), best.alias("best"), F.sum("n").alias("rows"), F.sum(F.when(F.col("pv").isNotNull(), F.col("n")).otherwise(0)).alias("present"), F.min("first").alias("first"))
+    bad = materialised(per_child.filter("parents > 1").select(*keys, "parents", F.col("best.pv").alias("correct_value"), F.col("best.n").alias("top"), "rows", "present", "first"))
+    others = used.join(small_or_not(bad.select(*keys, "correct_value")), keys).filter(F.col("pv").isNotNull() & (F.col("pv") != F.col("correct_value")))
+    second = others.groupBy(*keys).agg(F.max("n").alias("second"))
+    return bad.join(second, keys).select(*keys, "correct_value", "parents", "present", "top", "second", (F.col("rows") - F.col("top")).alias("num_changes"), confident(F.col("present"), F.col("top"), F.col("second"), min_count, ratio).alias("confident"), "first")
 
 
 def plan_for_pair(df: DataFrame, parent: str, child: str, drop_na: bool = True, min_count: int = 5, ratio: float = 3.0) -> DataFrame:

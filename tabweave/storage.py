@@ -7,6 +7,8 @@ partitioned differently.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,12 +23,33 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="tabweave-")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="tabweave-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return _LOCAL[0]
+
+
+_LOCAL: list[str] = []
+_SCRATCH: set[str] = set()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path in the shared folder; ``clear`` removes what was written there."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.add(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes this process's scratch folders; results that read them are gone then. Returns how many there were.
+
+    Checkpoints go by themselves once nothing refers to them, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    gone = 0
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def materialised(df: DataFrame) -> DataFrame:

@@ -189,3 +189,25 @@ def test_density_and_verification(spark):
     assert sorted(tuple(r) for r in vendors.verify(df, Client).collect()) == [("Acme", "f", "seen"), ("bad", "g", "h")]
     assert '"x" -> "y"' in to_dot(spark.createDataFrame([("x", "y", 0.01)], "src string, dst string, violation_ratio double"))
     assert json.loads(batches.OfflineClient().ask("Map\nred wine\n")) == {"red wine": "RED"}
+
+
+def test_scratch_folders_are_cleared(spark):
+    from tabweave import storage
+
+    storage.clear(spark)
+    folder = storage.scratch(spark, "some")
+    spark.range(3).write.parquet(folder)
+    assert storage.clear(spark) == 1 and storage.clear(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder)
+
+
+def test_second_counts_of_a_hot_child(spark):
+    rows = [(i, "hot" if i % 10 else f"c{i % 7}", f"p{i % 1000 if i % 3 else 5}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "initial_id long, child string, parent string").repartition(4)
+    plan = repair.plan_for_pair(df, "parent", "child")
+    assert "Window" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    r = plan.filter("cv = 'hot'").first()
+    seen = [p for _, c, p in rows if c == "hot"]
+    counts = sorted((seen.count(p) for p in set(seen)), reverse=True)
+    assert (r.top, r.second, r.correct_value, r.num_changes) == (counts[0], counts[1], "p5", len(seen) - counts[0])
