@@ -8,7 +8,8 @@ hash of the key, so that a rerun keeps the same documents.
 
 DataFrame functions only. Null values of a dimension are the value ``''``.
 Documents without words have weight 0 and are drawn with probability
-min(1, lambda). Rows that repeat share their draw. An empty table gives no rows. A fixed
+min(1, lambda). Rows that repeat share their draw, as do rows with a null key. Cells of equal weight a token are in the order of
+their dimensions. Texts are counted whole, of any length. An empty table gives no rows. A fixed
 number of sweeps is made; targets that the cells allow are then met to about one in a million.
 """
 
@@ -109,17 +110,20 @@ def calibrate(cells: DataFrame, share: float = SHARE) -> DataFrame:
     return out.withColumn("probability", F.coalesce(F.least(F.lit(1.0), chosen * F.col("_tw_r")), F.lit(1.0))).select(*DIMENSIONS, "tokens", "weight", "probability")
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = SHARE, key: str = "doc_id", text: str = "text", temperature: float = TEMPERATURE, sweeps: int = SWEEPS) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = SHARE, key: str = "doc_id", text: str = "text", temperature: float = TEMPERATURE, sweeps: int = SWEEPS, topics: Column | None = None) -> DataFrame:
     """``docs`` with topic, n_tokens, weight (per token, 1 is the average), probability and kept.
 
+    ``topics`` gives each document's topic, as a column or a classifier has it; without it the text's form stands for one (see ``topic``).
     The table of cells is broadcast and raked in one task where it has at most
     ``BROADCAST_ROWS`` rows; else marginals are joined and cells sorted in ranges. Columns of the input
     named as the added ones are replaced, but for key and text.
     """
     added = ("topic", "n_tokens", "weight", "probability", "kept")
     body = F.coalesce(F.col(text), F.lit(""))
+    docs = docs if topics is None else docs.withColumn("_tw_topic", topics)
+    topics = None if topics is None else F.col("_tw_topic")
     keyed = docs.drop(*(c for c in added if c in docs.columns and c not in (key, text)))
-    keyed = keyed.withColumns({"topic": topic(body), "n_tokens": F.regexp_count(body, F.lit(WORD)).cast("long"), "_tw_source": F.coalesce(F.col("source"), F.lit("")), "_tw_lang": F.coalesce(F.col("lang"), F.lit(""))})
+    keyed = keyed.withColumns({"topic": topic(body) if topics is None else F.coalesce(topics.cast("string"), F.lit("")), "n_tokens": F.regexp_count(body, F.lit(WORD)).cast("long"), "_tw_source": F.coalesce(F.col("source"), F.lit("")), "_tw_lang": F.coalesce(F.col("lang"), F.lit(""))})
     cells = durable(keyed.groupBy(F.col("_tw_source").alias("source"), F.col("_tw_lang").alias("lang"), "topic").agg(F.sum("n_tokens").alias("tokens")))
     if cells.count() <= BROADCAST_ROWS:  # one partition needs no further shuffle for any of the windows
         ready = durable(calibrate(durable(rake(cells.repartition(1), targets, temperature, sweeps)).repartition(1), share))
@@ -127,7 +131,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, sha
         ready = durable(calibrate_by_ranges(rake_by_joins(cells, targets, temperature, sweeps), share))
     table = ready.select(F.col("source").alias("_tw_source"), F.col("lang").alias("_tw_lang"), "topic", F.coalesce(F.try_divide(F.col("weight"), F.col("tokens")), F.lit(0.0)).alias("weight"), "probability")
     out = keyed.join(small_or_not(table), ["_tw_source", "_tw_lang", "topic"])
-    rest = [c for c in keyed.columns if c not in ("_tw_source", "_tw_lang", "topic", "n_tokens")]
+    rest = [c for c in keyed.columns if c not in ("_tw_source", "_tw_lang", "_tw_topic", "topic", "n_tokens")]
     return out.withColumn("kept", draw(F.col(key)) < F.col("probability")).select(*rest, *added)
 
 

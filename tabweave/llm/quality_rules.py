@@ -2,6 +2,8 @@
 
 Null and empty texts have zero words and fail the base rule. Repeated rows are
 judged one by one. Word windows are compared by 64-bit hashes within one text.
+Texts are read whole, of any length: windows are numbered within the row, so that a very long one is one task's work. Columns of the
+input named as the added measures are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations

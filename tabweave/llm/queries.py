@@ -68,12 +68,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
-#: Labels as the mining query sees them: every seventh row's is moved by one.
-MOVED = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
-
-
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=MOVED)
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))  # every seventh row's label is moved by one
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
 
 
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

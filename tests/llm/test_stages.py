@@ -160,3 +160,13 @@ def test_quality_on_held_out_rows(spark):
     held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert sum((scores[i] >= 0.5) == (i % 2 == 1) for i in held) > 0.95 * len(held)
     assert {r.score for r in score_quality(df.limit(5), fit_quality(df, labels.limit(0))).collect()} == {0.5}
+
+
+def test_mixing_by_given_topics(spark):
+    rows = [(i, f"word {i} " * 5, "en", "s", "sport" if i % 4 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    out = mixing.mix(df, targets={"topic": {"sport": 0.5, "": 0.5}}, share=0.4, topics=F.col("topic")).collect()
+    assert {r.topic for r in out} == {"sport", ""}
+    by = {t: sum(r.n_tokens * r.probability for r in out if r.topic == t) for t in ("sport", "")}
+    assert abs(by["sport"] - by[""]) < 1e-6 * by[""]
+    assert set(out[0].asDict()) == {"doc_id", "text", "lang", "source", "topic", "n_tokens", "weight", "probability", "kept"}
