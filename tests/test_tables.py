@@ -139,3 +139,11 @@ def test_fixed_batches_keep_wide_rows(spark):
         assert (r.n, r.wrong, r.rows) == (150_000, 0, 150_000)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_the_entry_needs_no_session_to_be_imported():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0], timeout=120)
