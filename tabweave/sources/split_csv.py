@@ -3,7 +3,8 @@
 A file's ranges are read as lines. Whether a line starts inside a quoted value depends on all lines before it, but only by
 that one bit: every range says in which state it ends for either state that it may start in, and these few answers,
 taken in the order of the file, give each range its true state. A quote opens a value only where a value begins, as usual
-readers take it, so that an inch mark inside a value does no harm.
+readers take it, so that an inch mark inside a value does no harm. Rows end at ``\n``, ``\r\n`` or ``\r`` outside of quoted
+values and at no other mark; values may have any length.
 
 If no line ends inside a value, every line is a row, and the built-in reader does the rest. Otherwise ranges give the rows that
 begin and end in them, and pieces of those that cross their borders; pieces meet by the row they belong to.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import csv
 import re
+import sys
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +28,7 @@ MARKS_16, MARK_8 = (b"\xff\xfe", b"\xfe\xff"), b"\xef\xbb\xbf"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, block (the range's first byte), at (rising within a range) and the bytes of each line, without its ``\\n``."""
+    """file, block (the range's first byte), at (rising within a range) and the bytes of each line, without its ``\n``."""
     text = spark.read.option("lineSep", "\n").text(path)
     return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("value"))
 
@@ -39,6 +41,13 @@ def encodings(spark: SparkSession, path: str) -> dict[str, str]:
     return {r.file: UTF16 if bytes(r.begin) in MARKS_16 else UTF8 if r.valid else LATIN1 for r in found}
 
 
+def ended(line: bytes) -> list[tuple[bytes, bytes]]:
+    """The parts of a line that end at a ``\r`` or at its end, each with what ends it."""
+    end = b"\r\n" if line.endswith(b"\r") else b"\n"
+    parts = line.removesuffix(b"\r").split(b"\r")
+    return [*((p, b"\r") for p in parts[:-1]), (parts[-1], end)]
+
+
 class Quotes:
     """How a line changes the state: inside a quoted value (1) or not (0)."""
 
@@ -77,9 +86,9 @@ def range_states(rows: DataFrame, sep: str) -> list:
                     if now is not None:
                         out.append((*now, *ends, breaks))
                     now, ends, breaks = (file, block), [0, 1], False
-                line = line.rstrip(b"\r")
-                breaks = breaks or quotes.after(line, 0) == 1
-                ends = [quotes.after(line, s) for s in ends]
+                for part, _ in ended(line):
+                    breaks = breaks or quotes.after(part, 0) == 1
+                    ends = [quotes.after(part, s) for s in ends]
         if now is not None:
             out.append((*now, *ends, breaks))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], names=["file", "block", "outside", "inside", "breaks"])
@@ -121,7 +130,8 @@ class Layout:
         return ends[i - 1][1] if i else 0
 
     def cells(self, record: str) -> list[str]:
-        return next(csv.reader(record.splitlines(keepends=True) if "\n" in record else [record], delimiter=self.sep), [])
+        csv.field_size_limit(sys.maxsize)
+        return next(csv.reader([record], delimiter=self.sep), [])  # its line ends are all inside values
 
     def decode(self, file: str, record: bytes) -> str:
         return record.removeprefix(MARK_8).decode("latin-1" if self.encodings.get(file) == LATIN1 else "utf-8")
@@ -141,10 +151,11 @@ def _split(layout: Layout):
 
         def emit(kind: str | None = None) -> None:
             nonlocal seq, held, begun
-            record, top = b"\n".join(held), now[1] == 0 and seq == 0
+            last = held[-1][1] if kind is None else b"\n"  # what the next range begins with follows a line's end
+            record, top = b"".join(p + e for p, e in held).removesuffix(last), now[1] == 0 and seq == 0
             held = []
             if kind is None and begun:
-                text = layout.decode(now[0], record.removesuffix(b"\r"))
+                text = layout.decode(now[0], record)
                 if not text.strip():
                     return
                 out.append((*now, seq, "row", top, layout.cells(text), None))
@@ -163,10 +174,11 @@ def _split(layout: Layout):
                         emit("tail" if begun else "middle")
                     now, state, seq, held = (file, block), layout.start(file, block), 0, []
                     begun = not state
-                held.append(line)
-                state = quotes.after(line.removesuffix(b"\r"), state)
-                if not state:
-                    emit()
+                for part in ended(line):
+                    held.append(part)
+                    state = quotes.after(part[0], state)
+                    if not state:
+                        emit()
             if out:
                 yield batch()
                 out = []
@@ -187,7 +199,7 @@ def _joined(pieces: DataFrame, layout: Layout) -> DataFrame:
     def cells(file, parts):
         import pandas as pd
 
-        return pd.Series([layout.cells(layout.decode(f, b"\n".join(p).removesuffix(b"\r"))) for f, p in zip(file, parts, strict=True)])
+        return pd.Series([layout.cells(layout.decode(f, b"\n".join(p))) for f, p in zip(file, parts, strict=True)])
 
     parts = F.transform(F.array_sort(F.collect_list(F.struct("block", "seq", "piece"))), lambda p: p.piece)
     rows = grouped.groupBy("file", "row").agg(F.min(F.struct("block", "seq", "top")).alias("first"), parts.alias("parts"))
@@ -208,7 +220,7 @@ def names_of(header: list[str]) -> list[str]:
 def read(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None) -> DataFrame:
     """All columns as text, in the order of the files; every file's first row is its header, the first file's names the columns.
 
-    Blank lines are left out; short rows are filled with nulls, and what a row has beyond the header is dropped.
+    Blank lines are left out; blank cells are null, short rows are filled with nulls, and what a row has beyond the header is dropped.
     """
     rows = lines(spark, path)
     found = encodings(spark, path) if encoding is None else dict.fromkeys((r.file for r in rows.select("file").distinct().collect()), encoding)
@@ -224,11 +236,11 @@ def read(spark: SparkSession, path: str, sep: str = ",", encoding: str | None =
     layout = Layout.of(states, sep, found)
     if len(kinds) == 1 and not any(r.breaks for r in states):
         first = rows.filter(F.col("file") == min(found)).filter("block = 0 AND trim(BOTH '\r \t' FROM cast(value AS STRING)) <> ''").orderBy("at").first()
-        names = names_of(layout.cells(layout.decode(first.file, bytes(first.value).removesuffix(b"\r"))))
+        names = names_of(layout.cells(layout.decode(first.file, next(p for p, _ in ended(bytes(first.value)) if p.strip()))))
         reader = spark.read.schema(", ".join(f"`{n.replace('`', '``')}` string" for n in names)).option("header", True).option("escape", '"').option("sep", sep)
         return reader.option("encoding", kinds.pop()).option("enforceSchema", True).csv(path)
     split = rows.select("file", "block", "value").mapInArrow(_split(layout), _SPLIT)
     whole = split.filter("kind = 'row'").select("file", "block", "seq", "top", "cells").unionByName(_joined(split.filter("kind <> 'row'"), layout))
     header = whole.filter("top").orderBy("file").first()
     body = whole.filter("NOT top").orderBy("file", "block", "seq")
-    return body.select(*(F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names_of(header.cells))))
+    return body.select(*(F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names_of(header.cells))))

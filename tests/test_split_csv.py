@@ -112,3 +112,28 @@ def test_vendor_lines_lose_the_first_line_of_each_file_only(spark, tmp_path):
     (tmp_path / "1.txt").write_text("vendor;families;aliases\nAcme;a;b\nvendor;families;aliases\n")
     (tmp_path / "2.txt").write_text("vendor;families;aliases\nBolt;c\n")
     assert sorted(r.value for r in readers.read_vendor_lines(spark, str(tmp_path)).collect()) == ["Acme;a;b", "Bolt;c", "vendor;families;aliases"]
+
+
+@pytest.mark.parametrize("value", ["z", "two\nlines"])  # read by the built-in reader, and in ranges
+def test_long_values_and_marks_that_end_no_row(spark, tmp_path, value):
+    odd = ["\x85", " x", "a\x0bb\x0c", "\x1c", "y" * 300_000]
+    rows = [[str(i), v, value] for i, v in enumerate(odd * 3)]
+    written(tmp_path / "a.csv", rows, end="\n")
+    assert got(split_csv.read(spark, str(tmp_path / "a.csv"))) == rows
+
+
+@pytest.mark.parametrize("value", ["z", "two\r\nlines", "old\rmark"])
+def test_returns_end_rows_outside_of_values(small_ranges, tmp_path, value):
+    rows = [[str(i), "x" * (i % 7), value] for i in range(120)]
+    for name, end in (("a", "\r"), ("b", "\r\n")):
+        written(tmp_path / f"{name}.csv", rows, end=end)
+        df = split_csv.read(small_ranges, str(tmp_path / f"{name}.csv"))
+        assert df.columns == ["k", "a", "b"] and got(df) == rows
+    (tmp_path / "c.csv").write_bytes(b'k,a\r1,"x\ny"\r\n2,u\r3,"v\rw"\n')
+    assert got(split_csv.read(small_ranges, str(tmp_path / "c.csv"))) == [["1", "x\ny"], ["2", "u"], ["3", "v\rw"]]
+
+
+def test_blank_cells_are_null_in_both_ways(spark, tmp_path):
+    for name, more in (("a", ""), ("b", 'x;"y\nz";\n')):
+        (tmp_path / f"{name}.csv").write_text('a;b;c\n1;"";\n' + more)
+        assert tuple(readers.read_semicolon(spark, str(tmp_path / f"{name}.csv")).filter("a = '1'").first()) == ("1", None, None)
