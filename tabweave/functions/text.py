@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DatetimeType, DecimalType, DoubleType, FloatType, FractionalType, StringType
 
+from tabweave.functions.names import col
+
 #: Strings that a CSV reader takes as missing.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
@@ -107,7 +109,7 @@ def json_safe(c: Column, kind: DataType) -> Column:
 
 def json_row(df: DataFrame) -> Column:
     """A row as a JSON object, missing values as null."""
-    return F.to_json(F.struct(*(json_safe(F.col(f.name), f.dataType).alias(f.name) for f in df.schema)), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*(json_safe(col(f.name), f.dataType).alias(f.name) for f in df.schema)), {"ignoreNullFields": "false"})
 
 
 def json_object(c: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
+from tabweave.functions.names import col
 from tabweave.functions.text import as_text, significant
 from tabweave.operators.pairs import ROW_ID
 from tabweave.storage import materialised, numbered, quantiles, small_or_not
@@ -21,7 +22,7 @@ SETS, BASKETS = 200_000, 100_000
 
 def edges(df: DataFrame, column: str, bins: int = 5, method: str = "quantile") -> list[float]:
     """Bin edges of a numeric column, without repeats; quantiles are exact and interpolated."""
-    c = F.col(column).cast("double")
+    c = col(column).cast("double")
     if method == "quantile":
         return sorted(set(quantiles(df, c, [i / bins for i in range(bins + 1)])))
     low, high = df.agg(F.min(c), F.max(c)).first()
@@ -50,15 +51,15 @@ def bin_label(c: Column, cuts: Sequence[float], method: str = "quantile") -> Col
 
 
 def binned(df: DataFrame, column: str, bins: int = 5, method: str = "quantile") -> DataFrame:
-    return df.withColumn(column, bin_label(F.col(column), edges(df, column, bins, method), method))
+    return df.withColumn(column, bin_label(col(column), edges(df, column, bins, method), method))
 
 
 def transactions(df: DataFrame, columns: Sequence[str], treat_na: bool = True, bins: int = 5) -> DataFrame:
     """initial_id, items: the distinct items of each row; rows without any are left out."""
     for c in columns:
         if isinstance(df.schema[c].dataType, NumericType | BooleanType):
-            df = binned(df.withColumn(c, F.col(c).cast("double")), c, bins)
-    item = lambda c: F.concat(F.lit(f"{c}="), F.coalesce(as_text(F.col(c), df.schema[c].dataType), F.lit("NA") if treat_na else F.lit(None)))
+            df = binned(df.withColumn(c, col(c).cast("double")), c, bins)
+    item = lambda c: F.concat(F.lit(f"{c}="), F.coalesce(as_text(col(c), df.schema[c].dataType), F.lit("NA") if treat_na else F.lit(None)))
     items = F.array_sort(F.array_distinct(F.filter(F.array(*(item(c) for c in columns)), lambda x: x.isNotNull())))
     return df.select(ROW_ID, items.alias("items")).filter(F.size("items") > 0)
 
@@ -231,7 +232,7 @@ def filter_rules(rules: DataFrame, support=(0.0, 1.0), confidence=(0.0, 1.0), li
 
 def sort_rules(rules: DataFrame, by: str = "confidence", descending: bool = True) -> DataFrame:
     keys = {"antecedent_size": F.size("antecedent"), "consequent_size": F.size("consequent"), "lift": F.when(F.col("lift") == float("inf"), 0.0).otherwise(F.col("lift"))}
-    key = keys.get(by, F.col(by))
+    key = keys.get(by, col(by))
     return rules.orderBy(key.desc() if descending else key.asc(), "antecedent", "consequent")
 
 
@@ -242,7 +243,7 @@ def rule_statistics(rules: DataFrame) -> DataFrame:
 
 def rule_edges(rules: DataFrame, metric: str = "confidence") -> DataFrame:
     """source, target, weight, width, rule_type: items of antecedents and consequents; the type is the first rule's."""
-    value = F.when(F.col(metric) == float("inf"), 0.0).otherwise(F.col(metric))
+    value = F.when(col(metric) == float("inf"), 0.0).otherwise(col(metric))
     kind = F.concat(F.size("antecedent"), F.lit("-to-"), F.size("consequent"))
     order = F.struct(-F.col("confidence"), "antecedent", "consequent")
     pairs = rules.select(F.explode("antecedent").alias("source"), "consequent", value.alias("v"), kind.alias("kind"), order.alias("o")).select("source", F.explode("consequent").alias("target"), "v", "kind", "o")

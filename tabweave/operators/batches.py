@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from tabweave.functions.names import col, named
 from tabweave.functions.text import json_mapping, strip_to_null
 from tabweave.operators.clean import with_default
 from tabweave.operators.pairs import ROW_ID, require
@@ -101,12 +102,12 @@ def by_group(df: DataFrame, group: str, least: int = LEAST_ROWS, most: int = MOS
     Rows with a missing group get no batch and are left out. Rows are numbered over ranges of
     (group, row), so that a large group is spread over tasks.
     """
-    rows = numbered(df.filter(F.col(group).isNotNull()), "_place", [group, ROW_ID])
-    sizes = materialised(rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("n"), F.min("_place").alias("_start")))
-    blocks = _blocks(sizes.select("_g", "n"), least, most).join(sizes, "_g")
+    rows = numbered(df.filter(col(group).isNotNull()), "_place", [col(group), ROW_ID])
+    sizes = materialised(rows.groupBy(col(group).alias("_g")).agg(F.count("*").alias("n"), F.min("_place").alias("_start")))
+    blocks = _blocks(sizes.select("_g", "n"), least, most).join(sizes, "_g").select("_g", "_start", F.col("first").alias("_first"), F.col("last").alias("_last"))
     block = F.floor((F.col("_place") - F.col("_start")) / most)
-    out = rows.join(blocks, rows[group] == blocks["_g"])
-    return out.select(*(rows[c] for c in df.columns), (F.least(F.col("first") + block, F.col("last"))).cast("long").alias("batch_id"))
+    out = rows.join(blocks, col(group) == F.col("_g"))
+    return out.select(*named(df.columns), (F.least(F.col("_first") + block, F.col("_last"))).cast("long").alias("batch_id"))
 
 
 def fixed(df: DataFrame, size: int = FEW_ROWS) -> DataFrame:
@@ -116,12 +117,12 @@ def fixed(df: DataFrame, size: int = FEW_ROWS) -> DataFrame:
 
 
 def by_first_letter(df: DataFrame, column: str) -> DataFrame:
-    return df.filter(strip_to_null(F.col(column)).isNotNull()).withColumn("batch_id", F.upper(F.substring(F.col(column), 1, 1)))
+    return df.filter(strip_to_null(col(column)).isNotNull()).withColumn("batch_id", F.upper(F.substring(col(column), 1, 1)))
 
 
 def row_json(columns: Sequence[str], group: Column | None = None) -> Column:
     """The row's non-blank trimmed values as a JSON object, with ``_row_id`` (and ``_group`` unless it is among the values)."""
-    values = {c: strip_to_null(F.col(c).cast("string")) for c in columns}
+    values = {c: strip_to_null(col(c).cast("string")) for c in columns}
     fields = [v.alias(c) for c, v in values.items()]
     if group is not None:
         fields.append(F.when(~F.coalesce(F.array_contains(F.array(*values.values()), group), F.lit(False)), group).alias("_group"))
@@ -130,14 +131,14 @@ def row_json(columns: Sequence[str], group: Column | None = None) -> Column:
 
 def row_line(columns: Sequence[str]) -> Column:
     """Row id and values joined by blanks; missing values are empty."""
-    return F.concat(F.col(ROW_ID).cast("string"), F.lit(" "), F.array_join(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), " "))
+    return F.concat(F.col(ROW_ID).cast("string"), F.lit(" "), F.array_join(F.array(*(F.coalesce(col(c).cast("string"), F.lit("")) for c in columns)), " "))
 
 
 def prompts(batched: DataFrame, columns: Sequence[str], template: str = PROMPT, group: str | None = None) -> DataFrame:
     """batch_id, prompt: ``Row id: json`` lines in row order, put into the template; rows without any value are left out."""
-    values = [strip_to_null(F.col(c).cast("string")).isNotNull() for c in columns]
+    values = [strip_to_null(col(c).cast("string")).isNotNull() for c in columns]
     batched = batched.filter(reduce(Column.__or__, values)) if values else batched
-    line = F.concat(F.lit("Row "), F.col(ROW_ID).cast("string"), F.lit(": "), row_json(columns, F.col(group).cast("string") if group else None))
+    line = F.concat(F.lit("Row "), F.col(ROW_ID).cast("string"), F.lit(": "), row_json(columns, col(group).cast("string") if group else None))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(ROW_ID).alias("i"), line.alias("line")))), lambda x: x.line), "\n")
     return batched.groupBy("batch_id").agg(lines.alias("lines")).select("batch_id", F.replace(F.lit(template), F.lit("[rows]"), F.col("lines")).alias("prompt"))
 
@@ -240,12 +241,12 @@ def label_rows(df: DataFrame, columns: Sequence[str], field: str, template: str,
     back to the rows; a row without an answer, or of a batch whose call failed, keeps its value.
     """
     rows = fixed(with_default(df, field), size)
-    line = F.concat(F.col("local_id").cast("string"), F.lit(" "), F.array_join(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), " "))
+    line = F.concat(F.col("local_id").cast("string"), F.lit(" "), F.array_join(F.array(*(F.coalesce(col(c).cast("string"), F.lit("")) for c in columns)), " "))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("local_id", line.alias("line")))), lambda x: x.line), "\n")
     asked = rows.groupBy("batch_id").agg(lines.alias("lines")).select("batch_id", F.replace(F.lit(template), F.lit("[rows]"), F.col("lines")).alias("prompt"))
     answers = extracted(_answered(asked, folder, factory), [field]).groupBy("batch_id", "row_id").agg(F.max(field).alias("_new"))
     answers = answers.withColumnRenamed("row_id", "local_id")
-    return rows.join(answers, ["batch_id", "local_id"], "left").withColumn(field, F.coalesce("_new", field)).select(*df.columns, *([field] if field not in df.columns else []))
+    return rows.join(answers, ["batch_id", "local_id"], "left").withColumn(field, F.coalesce("_new", col(field))).select(*named(df.columns), *(named([field]) if field not in df.columns else []))
 
 
 def _answered(asked: DataFrame, folder: str, factory: Callable, on_error: str = "skip", per_commit: int = PER_COMMIT) -> DataFrame:
@@ -287,7 +288,7 @@ def _answered(asked: DataFrame, folder: str, factory: Callable, on_error: str =
 
 def value_batches(df: DataFrame, column: str, size: int = MOST_VALUES) -> DataFrame:
     """batch_id, prompt of the sorted distinct non-blank values."""
-    values = df.select(F.col(column).cast("string").alias("v")).filter(strip_to_null(F.col("v")).isNotNull()).distinct()
+    values = df.select(col(column).cast("string").alias("v")).filter(strip_to_null(F.col("v")).isNotNull()).distinct()
     numbered = fixed(values.withColumn(ROW_ID, F.col("v")), size)
     lines = F.array_join(F.array_sort(F.collect_list("v")), "\n")
     return numbered.groupBy("batch_id").agg(F.concat(F.lit("Map each value to a simple form.\n"), lines).alias("prompt"))
@@ -302,7 +303,7 @@ def mapping_from(replies: DataFrame) -> DataFrame:
 def apply_mapping(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """Adds ``<column>_simplified``: the mapped value, or the value itself."""
     m = mapping.select(F.col("original").alias("_o"), F.col("simplified").alias("_s")).dropDuplicates(["_o"])
-    return df.join(m, F.col(column) == F.col("_o"), "left").withColumn(f"{column}_simplified", F.coalesce("_s", column)).drop("_o", "_s")
+    return df.join(m, col(column) == F.col("_o"), "left").withColumn(f"{column}_simplified", F.coalesce("_s", col(column))).drop("_o", "_s")
 
 
 def simplify(df: DataFrame, column: str, folder: str, factory: Callable = offline_client, size: int = MOST_VALUES) -> tuple[DataFrame, DataFrame]:
@@ -315,12 +316,12 @@ def simplify(df: DataFrame, column: str, folder: str, factory: Callable = offlin
 
 
 def mapping_preview(df: DataFrame, column: str) -> DataFrame:
-    return df.select(column, f"{column}_simplified").distinct().orderBy(column)
+    return df.select(col(column), col(f"{column}_simplified")).distinct().orderBy(col(column))
 
 
 def reduction(df: DataFrame, column: str) -> DataFrame:
     """Distinct values before and after a mapping, and the difference."""
-    out = df.agg(F.count_distinct(column).alias("before"), F.count_distinct(f"{column}_simplified").alias("after"))
+    out = df.agg(F.count_distinct(col(column)).alias("before"), F.count_distinct(col(f"{column}_simplified")).alias("after"))
     return out.withColumn("fewer", F.col("before") - F.col("after")).withColumn("percent", F.coalesce(F.try_divide(F.col("fewer"), F.col("before")) * 100, F.lit(0.0)))
 
 

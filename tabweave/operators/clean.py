@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tabweave.functions.names import col, named, quoted
 from tabweave.functions.text import as_text, ends_with_space, starts_with_space, strip_to_null
 from tabweave.operators.pairs import ROW_ID, columns_of
 from tabweave.storage import numbered
@@ -24,7 +25,7 @@ def with_row_id(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
 def column_profile(df: DataFrame) -> DataFrame:
     """column, rows, nulls, top: the row, null and most frequent value's counts of every column."""
     cols = columns_of(df)
-    long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols))))
+    long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in cols))))
     counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))
     return counts.groupBy("column").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.coalesce(F.max(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("top"))
 
@@ -42,7 +43,7 @@ def drop_useless_columns(df: DataFrame, limit: float = MOSTLY) -> DataFrame:
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
     cols = columns_of(df)
-    return df.dropna("all", subset=cols) if cols else df
+    return df.dropna("all", subset=[quoted(c) for c in cols]) if cols else df
 
 
 def _texts(df: DataFrame) -> list[str]:
@@ -51,12 +52,12 @@ def _texts(df: DataFrame) -> list[str]:
 
 def strip_texts(df: DataFrame) -> DataFrame:
     """Trims every text column; blank texts become null."""
-    return df.withColumns({c: strip_to_null(F.col(c)) for c in _texts(df)}) if _texts(df) else df
+    return df.withColumns({c: strip_to_null(col(c)) for c in _texts(df)}) if _texts(df) else df
 
 
 def space_counters(df: DataFrame) -> DataFrame:
     """leading, trailing, blanked: values with white space in front or at the end, and blank values."""
-    total = lambda test: reduce(lambda a, b: a + b, [F.count_if(test(F.col(c))) for c in _texts(df)], F.lit(0))
+    total = lambda test: reduce(lambda a, b: a + b, [F.count_if(test(col(c))) for c in _texts(df)], F.lit(0))
     return df.agg(total(starts_with_space).alias("leading"), total(ends_with_space).alias("trailing"), total(lambda c: c.isNotNull() & strip_to_null(c).isNull()).alias("blanked"))
 
 
@@ -65,7 +66,7 @@ def drop_duplicates(df: DataFrame, include_id: bool = False) -> DataFrame:
     cols = columns_of(df)
     if include_id or ROW_ID not in df.columns:
         return df.dropDuplicates()
-    return df.groupBy(*cols).agg(F.min(ROW_ID).alias(ROW_ID)).select(df.columns)
+    return df.groupBy(*named(cols)).agg(F.min(ROW_ID).alias(ROW_ID)).select(*named(df.columns))
 
 
 def clean_import(df: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
         for c, k in f.dtypes:
             kinds.setdefault(c, set()).add(k)
     mixed = {c for c, k in kinds.items() if len(k) > 1}
-    same = [f.withColumns({c: as_text(F.col(c), f.schema[c].dataType) for c in f.columns if c in mixed}) if mixed & set(f.columns) else f for f in frames]
+    same = [f.withColumns({c: as_text(col(c), f.schema[c].dataType) for c in f.columns if c in mixed}) if mixed & set(f.columns) else f for f in frames]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), same)
 
 
@@ -94,8 +95,8 @@ def merge(frames: Sequence[DataFrame], deduplicate: bool = True, trim: bool = Tr
 
 def concat_columns(df: DataFrame, a: str, b: str) -> DataFrame:
     """Replaces two columns by ``a | b``; missing values print as ``nan``."""
-    text = F.concat(as_text(F.col(a), df.schema[a].dataType, "nan"), F.lit(" | "), as_text(F.col(b), df.schema[b].dataType, "nan"))
-    return df.select(*(c for c in df.columns if c not in (a, b)), text.alias(f"{a} | {b}"))
+    text = F.concat(as_text(col(a), df.schema[a].dataType, "nan"), F.lit(" | "), as_text(col(b), df.schema[b].dataType, "nan"))
+    return df.select(*(col(c) for c in df.columns if c not in (a, b)), text.alias(f"{a} | {b}"))
 
 
 def with_default(df: DataFrame, column: str, value: object = "") -> DataFrame:
@@ -105,17 +106,17 @@ def with_default(df: DataFrame, column: str, value: object = "") -> DataFrame:
 
 def label_encoded(df: DataFrame, column: str) -> DataFrame:
     """The column's values replaced by 0, 1, ... in ascending order; missing stays missing. Only distinct values are sorted."""
-    values = df.select(F.col(column).alias("_v")).filter("_v IS NOT NULL").distinct()
+    values = df.select(col(column).alias("_v")).filter("_v IS NOT NULL").distinct()
     codes = numbered(values, "_code", ["_v"])
-    return df.join(codes, F.col(column) == F.col("_v"), "left").withColumn(column, F.col("_code")).select(df.columns)
+    return df.join(codes, col(column) == F.col("_v"), "left").withColumn(column, F.col("_code")).select(*named(df.columns))
 
 
 def report_counts(df: DataFrame, result: str, group: str | None = None) -> DataFrame:
     """rows, filled (rows with a non-blank result) and, by group, groups and average rows per group (0 for no rows)."""
-    filled = F.count_if(strip_to_null(F.col(result).cast("string")).isNotNull()).alias("filled")
+    filled = F.count_if(strip_to_null(col(result).cast("string")).isNotNull()).alias("filled")
     if group is None:
         return df.agg(F.count("*").alias("rows"), filled)
-    out = df.groupBy(group).agg(F.count("*").alias("rows"), filled)
-    known = F.col(group).isNotNull()
+    out = df.groupBy(col(group)).agg(F.count("*").alias("rows"), filled)
+    known = col(group).isNotNull()
     average = F.coalesce(F.try_divide(F.sum(F.when(known, F.col("rows"))), F.count_if(known)), F.lit(0.0))
     return out.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("filled"), F.lit(0)).alias("filled"), F.count_if(known).alias("groups"), average.alias("rows_per_group"))

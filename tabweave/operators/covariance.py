@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tabweave.functions.names import col, named, quoted
 from tabweave.operators.impute import is_numeric
 from tabweave.operators.pairs import ROW_ID, categorical, pair_counts
 from tabweave.storage import materialised, small_or_not
@@ -27,7 +28,7 @@ TOLERANCE = 1e-9
 
 def classify(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list[str], list[str]]:
     """(numeric, categorical, skipped) columns."""
-    few = {r.column for r in categorical(df.select(ROW_ID, *columns)).filter("categorical").collect()}
+    few = {r.column for r in categorical(df.select(ROW_ID, *named(columns))).filter("categorical").collect()}
     numbers = [c for c in columns if is_numeric(df, c)]
     texts = [c for c in columns if c in few and isinstance(df.schema[c].dataType, StringType)]
     return numbers, texts, [c for c in columns if c not in numbers and c not in texts]
@@ -35,7 +36,7 @@ def classify(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list[str
 
 def zscores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns less their mean over their population deviation; a constant column becomes zeros."""
-    cast = {c: F.col(c).cast("double") for c in columns}
+    cast = {c: col(c).cast("double") for c in columns}
     s = df.agg(*(F.avg(cast[c]).alias(f"m{i}") for i, c in enumerate(columns)), *(F.stddev_pop(cast[c]).alias(f"s{i}") for i, c in enumerate(columns))).first()
     return df.withColumns({c: (cast[c] - F.lit(s[f"m{i}"])) / F.lit(s[f"s{i}"] or 1.0) for i, c in enumerate(columns)})
 
@@ -44,7 +45,7 @@ def frequency_encoding(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Each value's share of rows; missing is a value. Counts are joined back, so a hot value is pre-aggregated."""
     total = df.count()
     for c in columns:
-        key = F.coalesce(F.col(c), F.lit(MISSING))
+        key = F.coalesce(col(c), F.lit(MISSING))
         shares = df.groupBy(key.alias("_k")).agg((F.count("*") / F.lit(max(total, 1))).alias("_share"))
         df = df.withColumn("_k", key).join(small_or_not(shares), "_k").drop("_k", c).withColumnRenamed("_share", c)
     return df
@@ -56,8 +57,8 @@ def category_scores(df: DataFrame, columns: Sequence[str], components: int | Non
     Up to MOST_CATEGORIES categories the table is a matrix on the driver; beyond, its leading vectors
     come from orthogonal iteration, in which only sums over all categories reach the driver.
     """
-    filled = df.select(ROW_ID, *(F.coalesce(F.col(c), F.lit(MISSING)).alias(c) for c in columns))
-    singles = materialised(filled.select(F.inline(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns)))).groupBy("c", "v").agg(F.count("*").alias("n")))
+    filled = df.select(ROW_ID, *(F.coalesce(col(c), F.lit(MISSING)).alias(c) for c in columns))
+    singles = materialised(filled.select(F.inline(F.array(*(F.struct(F.lit(c).alias("c"), col(c).alias("v")) for c in columns)))).groupBy("c", "v").agg(F.count("*").alias("n")))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     counts = pair_counts(filled, pairs) if pairs else None
     kinds = singles.count()
@@ -135,17 +136,17 @@ def encode(df: DataFrame, numbers: Sequence[str], texts: Sequence[str], refine:
         by_column = first.groupBy("c").agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("dev"))
         z = materialised(first.join(by_column, "c").select("c", F.col("v").alias("_k"), ((F.coalesce((F.col("s") - F.col("mean")) / F.nullif(F.col("dev"), F.lit(0.0)), F.lit(0.0)) + 1) / 2).alias("_z")))
         for c in texts:
-            out = out.withColumn("_k", F.coalesce(F.col(c), F.lit(MISSING))).join(small_or_not(z.filter(F.col("c") == c).drop("c")), "_k").withColumnRenamed("_z", f"_z_{c}").drop("_k")
+            out = out.withColumn("_k", F.coalesce(col(c), F.lit(MISSING))).join(small_or_not(z.filter(F.col("c") == c).drop("c")), "_k").withColumnRenamed("_z", f"_z_{c}").drop("_k")
     out = frequency_encoding(out, texts)
     if refine:
-        out = out.withColumns({c: 0.7 * F.col(c) + 0.3 * F.col(f"_z_{c}") for c in texts}).drop(*(f"_z_{c}" for c in texts))
-    return zscores(out, [*numbers]).select(ROW_ID, *numbers, *texts), explained
+        out = out.withColumns({c: 0.7 * col(c) + 0.3 * col(f"_z_{c}") for c in texts}).drop(*(f"_z_{c}" for c in texts))
+    return zscores(out, [*numbers]).select(ROW_ID, *named([*numbers, *texts])), explained
 
 
 def covariance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """feature_i, feature_j, cov for all ordered pairs; sample covariance over rows where both are present."""
     pairs = list(combinations_with_replacement(columns, 2))
-    one = df.agg(*(F.covar_samp(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{k}") for k, (a, b) in enumerate(pairs)))
+    one = df.agg(*(F.covar_samp(col(a).cast("double"), col(b).cast("double")).alias(f"c{k}") for k, (a, b) in enumerate(pairs)))
     rows = [F.struct(F.lit(x).alias("feature_i"), F.lit(y).alias("feature_j"), F.col(f"c{k}").alias("cov")) for k, (a, b) in enumerate(pairs) for x, y in {(a, b), (b, a)}]
     return one.select(F.inline(F.array(*rows)))
 
@@ -209,7 +210,7 @@ def leaves(merges: np.ndarray, n: int) -> list[int]:
 def analyse(df: DataFrame, columns: Sequence[str], drop_na: bool = False, refine: bool = False, method: str = "ward") -> dict:
     """Covariance table, matrix, linkage, the clustered order of the columns, rows, and the inertia's explained shares; skipped columns are named."""
     numbers, texts, skipped = classify(df, columns)
-    rows = df.dropna(subset=list(columns)) if drop_na else df
+    rows = df.dropna(subset=[quoted(c) for c in columns]) if drop_na else df
     features = [*numbers, *texts]
     if not features:
         raise ValueError("no numeric or categorical column")
@@ -222,6 +223,6 @@ def analyse(df: DataFrame, columns: Sequence[str], drop_na: bool = False, refine
 
 def missing_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """rows, complete, and the missing values of each column."""
-    return df.agg(F.count("*").alias("rows"), F.count_if(~sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0)).cast("boolean")).alias("complete"), *(F.count_if(F.col(c).isNull()).alias(f"na_{c}") for c in columns))
+    return df.agg(F.count("*").alias("rows"), F.count_if(~sum((col(c).isNull().cast("int") for c in columns), F.lit(0)).cast("boolean")).alias("complete"), *(F.count_if(col(c).isNull()).alias(f"na_{c}") for c in columns))
 
 

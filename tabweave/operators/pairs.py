@@ -21,6 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabweave.functions.names import col, named
 from tabweave.storage import materialised
 
 ROW_ID = "initial_id"
@@ -40,7 +41,7 @@ def require(df: DataFrame, *names: str) -> None:
 
 
 def without_missing(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return df.filter(col(a).isNotNull() & col(b).isNotNull())
 
 
 def pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -50,7 +51,7 @@ def pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     for at in range(0, len(pairs), SETS_PER_SCAN):
         chunk = list(pairs[at : at + SETS_PER_SCAN])
         cols = list(dict.fromkeys(c for p in chunk for c in p))
-        typed = df.select(*(F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(cols)), F.col(ROW_ID))
+        typed = df.select(*(col(c).cast("string").alias(f"k{i}") for i, c in enumerate(cols)), F.col(ROW_ID))
         names = [f"k{i}" for i in range(len(cols))]
         sets = [[F.col(f"k{cols.index(a)}"), F.col(f"k{cols.index(b)}")] for a, b in chunk]
         grouped = typed.groupingSets(sets, *names).agg(F.grouping_id().alias("gid"), F.count("*").alias("n"), F.min(ROW_ID).alias("first"))
@@ -68,7 +69,7 @@ def pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 def directed(counts: DataFrame) -> DataFrame:
     """parent, child, pv, cv, n, first: both directions of unordered pair counts, each row read once."""
-    side = lambda a, b: F.struct(F.col(f"col{a}").alias("parent"), F.col(f"col{b}").alias("child"), F.col(f"v{a}").alias("pv"), F.col(f"v{b}").alias("cv"), "n", "first")
+    side = lambda a, b: F.struct(col(f"col{a}").alias("parent"), col(f"col{b}").alias("child"), col(f"v{a}").alias("pv"), col(f"v{b}").alias("cv"), "n", "first")
     return counts.select(F.inline(F.array(side(1, 2), side(2, 1))))
 
 
@@ -111,7 +112,7 @@ def one_to_one(counts: DataFrame, drop_na: bool = True) -> DataFrame:
     """
     first, second = F.col("v1").isNotNull(), F.col("v2").isNotNull()
     used = (first & second) if drop_na else F.lit(True)
-    partners = lambda v, w, name: counts.filter(F.col(v).isNotNull()).groupBy("col1", "col2", v).agg(F.count(w).alias(name))
+    partners = lambda v, w, name: counts.filter(col(v).isNotNull()).groupBy("col1", "col2", v).agg(F.count(w).alias(name))
     rows = counts.join(partners("v1", "v2", "p1"), ["col1", "col2", "v1"], "left").join(partners("v2", "v1", "p2"), ["col1", "col2", "v2"], "left")
     add = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
     fits = (~first | (F.col("p1") == 1)) & (~second | (F.col("p2") == 1))
@@ -129,11 +130,11 @@ def _sampled_out(df: DataFrame, pairs: list[tuple[str, str]], share: float, drop
     """Pairs whose share of valid rows a bounded sample proves to be below ``share``, for either direction (or for the exact partners, if ``both``)."""
     drawn = F.pmod(F.xxhash64(F.col(ROW_ID)), F.lit(1 << 40))
     chance = int(min(1.0, 1.2 * SAMPLE / df.count()) * (1 << 40))
-    sample = materialised(df.filter(drawn <= chance).orderBy(drawn, ROW_ID).limit(SAMPLE).select(ROW_ID, *dict.fromkeys(c for p in pairs for c in p)))
+    sample = materialised(df.filter(drawn <= chance).orderBy(drawn, ROW_ID).limit(SAMPLE).select(ROW_ID, *named(dict.fromkeys(c for p in pairs for c in p))))
     counts = materialised(pair_counts(sample, pairs))
     first, second = F.col("v1").isNotNull(), F.col("v2").isNotNull()
     used = (first & second) if drop_na else F.lit(True)
-    partners = lambda v, w, name: counts.filter(F.col(v).isNotNull()).groupBy("col1", "col2", v).agg(F.count(w).alias(name))
+    partners = lambda v, w, name: counts.filter(col(v).isNotNull()).groupBy("col1", "col2", v).agg(F.count(w).alias(name))
     rows = counts.filter(used).join(partners("v1", "v2", "p1"), ["col1", "col2", "v1"], "left").join(partners("v2", "v1", "p2"), ["col1", "col2", "v2"], "left")
     many1, many2 = F.coalesce(F.col("p1") > 1, F.lit(False)), F.coalesce(F.col("p2") > 1, F.lit(False))
     add = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
@@ -151,9 +152,9 @@ def _sampled_out(df: DataFrame, pairs: list[tuple[str, str]], share: float, drop
 def _sketched_out(df: DataFrame, pairs: list[tuple[str, str]], share: float, drop_na: bool, both: bool) -> set[tuple[str, str]]:
     """Pairs with so many more value pairs than values that too many rows must be invalid; one pass of mergeable sketches."""
     cols = list(dict.fromkeys(c for p in pairs for c in p))
-    present = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
+    present = lambda a, b: col(a).isNotNull() & col(b).isNotNull()
     sketch = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(SKETCH_BITS)))
-    text = lambda c: F.col(c).cast("string")
+    text = lambda c: col(c).cast("string")
     one = df.agg(
         F.count("*").alias("n"), *(sketch(F.xxhash64(text(c))).alias(f"d{i}") for i, c in enumerate(cols)),
         *(x for k, (a, b) in enumerate(pairs) for x in (sketch(F.when(present(a, b), F.xxhash64(text(a), text(b)))).alias(f"p{k}"), F.count_if(present(a, b)).alias(f"n{k}"))),
@@ -197,7 +198,7 @@ def above(results: DataFrame, percent: float) -> DataFrame:
 def _ranked(results: DataFrame, by: Column, columns: Sequence[str], a: str, b: str) -> DataFrame:
     """Highest first; ties in the order of the columns."""
     place = F.array(*map(F.lit, columns))
-    return results.orderBy(by.desc(), F.array_position(place, F.col(a)), F.array_position(place, F.col(b)))
+    return results.orderBy(by.desc(), F.array_position(place, col(a)), F.array_position(place, col(b)))
 
 
 def analyse_one_to_many(df: DataFrame, threshold: float = 95, drop_na: bool = True, columns: Sequence[str] | None = None, prune: bool = True) -> DataFrame:
@@ -227,36 +228,36 @@ def ordered_pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
 
 def row_mask(df: DataFrame, parent: str, child: str) -> DataFrame:
     """The rows with ``valid``; by a join with the per-child counts, so that a common child is pre-aggregated."""
-    counts = df.groupBy(child, parent).agg(F.count("*").alias("n")).groupBy(child).agg(F.count(parent).alias("_parents"))
-    return df.join(counts.filter(F.col(child).isNotNull()), child, "left").withColumn("valid", F.coalesce(F.col("_parents") == 1, F.lit(False))).drop("_parents")
+    counts = df.groupBy(col(child), col(parent)).agg(F.count("*").alias("n")).groupBy(col(child)).agg(F.count(col(parent)).alias("_parents"))
+    return df.join(counts.filter(col(child).isNotNull()), child, "left").withColumn("valid", F.coalesce(F.col("_parents") == 1, F.lit(False))).drop("_parents")
 
 
 def samples(df: DataFrame, parent: str, child: str, valid: bool = True, most: int | None = 1000) -> DataFrame:
     """Occurrences of value pairs among the first ``most`` valid (or invalid) rows; pairs with a missing value are left out."""
     rows = row_mask(df, parent, child).filter(F.col("valid") == valid)
     rows = rows if most is None else rows.orderBy(ROW_ID).limit(most)
-    return rows.dropna(subset=[parent, child]).groupBy(parent, child).agg(F.count("*").alias("occurrences"), F.min(ROW_ID).alias("first")).orderBy(F.desc("occurrences"), "first")
+    return without_missing(rows, parent, child).groupBy(col(parent), col(child)).agg(F.count("*").alias("occurrences"), F.min(ROW_ID).alias("first")).orderBy(F.desc("occurrences"), "first")
 
 
 def null_profile(df: DataFrame) -> DataFrame:
     """column, nulls, rows, share: from one aggregate over all columns."""
     cols = columns_of(df)
-    one = df.agg(F.count("*").alias("rows"), *(F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)))
+    one = df.agg(F.count("*").alias("rows"), *(F.count_if(col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)))
     items = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("nulls"), F.col("rows")) for i, c in enumerate(cols)))
     return one.select(F.inline(items)).withColumn("share", F.coalesce(F.try_divide("nulls", "rows"), F.lit(0.0)))
 
 
 def value_frequencies(df: DataFrame, column: str, with_missing: bool = False) -> DataFrame:
     """value, n, first; most frequent first, ties by first appearance."""
-    rows = df if with_missing else df.filter(F.col(column).isNotNull())
-    return rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"), F.min(ROW_ID).alias("first")).orderBy(F.desc("n"), "first")
+    rows = df if with_missing else df.filter(col(column).isNotNull())
+    return rows.groupBy(col(column).alias("value")).agg(F.count("*").alias("n"), F.min(ROW_ID).alias("first")).orderBy(F.desc("n"), "first")
 
 
 def categorical(df: DataFrame) -> DataFrame:
     """column, kind, categorical: text columns with few distinct values are categorical."""
     kinds = dict(df.dtypes)
     cols = columns_of(df)
-    one = df.agg(*(F.count(c).alias(f"n{i}") for i, c in enumerate(cols)), *(F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)))
+    one = df.agg(*(F.count(col(c)).alias(f"n{i}") for i, c in enumerate(cols)), *(F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(cols)))
     rows = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("kind"), F.col(f"n{i}").alias("present"), F.col(f"d{i}").alias("distinct_values")) for i, c in enumerate(cols)))
     few = (F.col("distinct_values") < 0.5 * F.col("present")) | (F.col("distinct_values") < 100)
     return one.select(F.inline(rows)).withColumn("categorical", (F.col("kind") == "string") & (F.col("present") > 0) & few)

@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabweave.functions.names import col
 from tabweave.operators.pairs import ROW_ID, above, columns_of, directed, one_to_many, pair_counts, require
 from tabweave.storage import materialised, small_or_not
 
@@ -70,8 +71,8 @@ def totals(plan: DataFrame) -> DataFrame:
 def cells(df: DataFrame, plan: DataFrame, parent: str, child: str, order: int = 0, confident_only: bool = False, drop_na: bool = True) -> DataFrame:
     """plan_order, column, initial_id, new_value: the cells that a pair's plan changes."""
     todo = plan.filter((F.col("parent") == parent) & (F.col("child") == child) & (F.lit(not confident_only) | F.col("confident"))).select("cv", "correct_value")
-    rows = df.filter(F.col(parent).isNotNull()) if drop_na else df
-    hit = rows.select(ROW_ID, F.col(child).cast("string").alias("cv"), F.col(parent).cast("string").alias("old")).join(todo, "cv").filter(~F.col("old").eqNullSafe(F.col("correct_value")))
+    rows = df.filter(col(parent).isNotNull()) if drop_na else df
+    hit = rows.select(ROW_ID, col(child).cast("string").alias("cv"), col(parent).cast("string").alias("old")).join(todo, "cv").filter(~F.col("old").eqNullSafe(F.col("correct_value")))
     return hit.select(F.lit(order).alias("plan_order"), F.lit(parent).alias("column"), ROW_ID, F.col("old").alias("old_value"), F.col("correct_value").alias("new_value"))
 
 
@@ -101,8 +102,8 @@ def all_cells(df: DataFrame, plan: DataFrame, confident_only: bool = False, drop
     parents = [r.parent for r in todo.select("parent").distinct().collect()]
     if not kids:
         return df.select(F.lit(0).alias("plan_order"), F.lit("").alias("column"), ROW_ID, F.lit("").alias("old_value"), F.lit("").alias("new_value")).limit(0)
-    now = F.create_map(*(x for c in parents for x in (F.lit(c), F.col(c).cast("string"))))
-    long = df.select(ROW_ID, now.alias("now"), F.inline(F.array(*(F.struct(F.lit(c).alias("child"), F.col(c).cast("string").alias("cv")) for c in kids)))).filter("cv IS NOT NULL")
+    now = F.create_map(*(x for c in parents for x in (F.lit(c), col(c).cast("string"))))
+    long = df.select(ROW_ID, now.alias("now"), F.inline(F.array(*(F.struct(F.lit(c).alias("child"), col(c).cast("string").alias("cv")) for c in kids)))).filter("cv IS NOT NULL")
     hit = long.join(small_or_not(by_value), ["child", "cv"]).select(ROW_ID, "now", F.inline("plans")).withColumn("old_value", F.element_at("now", F.col("parent")))
     hit = hit.filter(~F.col("old_value").eqNullSafe(F.col("correct_value")) & (F.col("old_value").isNotNull() | F.lit(not drop_na)))
     return hit.select("plan_order", F.col("parent").alias("column"), ROW_ID, "old_value", F.col("correct_value").alias("new_value"))
@@ -120,4 +121,4 @@ def apply(df: DataFrame, changes: DataFrame) -> DataFrame:
     columns = [c for c in df.columns if c != ROW_ID]
     wide = last.groupBy(ROW_ID).agg(*(F.max(F.when(F.col("column") == c, F.col("new"))).alias(f"_new_{c}") for c in columns))
     kinds = dict(df.dtypes)
-    return df.join(wide, ROW_ID, "left").select(*(F.coalesce(F.col(f"_new_{c}").try_cast(kinds[c]), F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns))
+    return df.join(wide, ROW_ID, "left").select(*(F.coalesce(col(f"_new_{c}").try_cast(kinds[c]), col(c)).alias(c) if c in columns else col(c) for c in df.columns))

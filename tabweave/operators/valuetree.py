@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabweave.functions.names import col
 from tabweave.operators.pairs import ROW_ID
 from tabweave.storage import materialised, small_or_not
 
@@ -22,7 +23,7 @@ MOST_NODES = 100_000
 
 
 def _text(df: DataFrame) -> DataFrame:
-    return df.select(*(F.coalesce(F.col(c).cast("string"), F.lit(NA)).alias(c) for c in df.columns))
+    return df.select(*(F.coalesce(col(c).cast("string"), F.lit(NA)).alias(c) for c in df.columns))
 
 
 def grouping_score(top_share, distinct):
@@ -35,7 +36,7 @@ def trees(df: DataFrame, column: str, values: Sequence[str | None], max_depth: i
     rows = _text(df.drop(ROW_ID) if exclude_id else df)
     names = rows.columns
     roots = [NA if v is None else str(v) for v in values]
-    rows = rows.withColumn("_node", F.col(column)).filter(F.col(column).isin(roots)).withColumn("_used", F.array(F.lit(column)))
+    rows = rows.withColumn("_node", col(column)).filter(col(column).isin(roots)).withColumn("_used", F.array(F.lit(column)))
     rows = rows.withColumn("_order", F.col(ROW_ID).cast("long") if ROW_ID in names else F.lit(0))
     start = rows.groupBy(F.col("_node").alias("root")).agg(F.count("*").alias("count"))
     out = start.select(F.col("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), "root", F.lit(0).alias("depth"), F.lit(column).alias("column"), F.col("root").alias("value"), "count", F.lit(1.0).alias("probability"))
@@ -45,7 +46,7 @@ def trees(df: DataFrame, column: str, values: Sequence[str | None], max_depth: i
         frontier = materialised(frontier)
         if frontier.isEmpty():
             break
-        cells = frontier.select("_node", "_root", "_used", "_order", F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in names)))).filter(~F.array_contains("_used", F.col("column")))
+        cells = frontier.select("_node", "_root", "_used", "_order", F.inline(F.array(*(F.struct(F.lit(c).alias("column"), col(c).alias("value")) for c in names)))).filter(~F.array_contains("_used", F.col("column")))
         counts = cells.groupBy("_node", "_root", "column", "value").agg(F.count("*").alias("n"), F.min("_order").alias("first"))
         per = counts.groupBy("_node", "column").agg(F.max("n").alias("top"), F.sum("n").alias("total"), F.count("*").alias("kinds"))
         if remove_determined:
@@ -58,14 +59,14 @@ def trees(df: DataFrame, column: str, values: Sequence[str | None], max_depth: i
         level = materialised(level)
         out = out.unionByName(level)
         steps = level.select(F.col("parent_id").alias("_node"), F.col("column").alias("_column"), F.col("value").alias("_value"), F.col("node_id").alias("_child"))
-        now = F.element_at(F.create_map(*(x for c in names for x in (F.lit(c), F.col(c)))), F.col("_column"))
+        now = F.element_at(F.create_map(*(x for c in names for x in (F.lit(c), col(c)))), F.col("_column"))
         frontier = frontier.join(steps, "_node").filter(now == F.col("_value")).withColumn("_used", F.array_append("_used", F.col("_column"))).withColumn("_node", F.col("_child")).drop("_column", "_value", "_child")
     return out
 
 
 def top_values(df: DataFrame, column: str, most: int = 15) -> list[str]:
     """The most frequent values, missing included; ties by first appearance, or by value without a row id."""
-    key = F.coalesce(F.col(column).cast("string"), F.lit(NA))
+    key = F.coalesce(col(column).cast("string"), F.lit(NA))
     first = F.min(ROW_ID) if ROW_ID in df.columns else F.lit(0)
     return [r.v for r in df.groupBy(key.alias("v")).agg(F.count("*").alias("n"), first.alias("first")).orderBy(F.desc("n"), "first", "v").limit(most).collect()]
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabweave.functions.names import col
 from tabweave.functions.text import json_object
 from tabweave.operators.batches import ask_all
 from tabweave.storage import materialised
@@ -20,7 +21,7 @@ def parse(lines: DataFrame, column: str = "value") -> DataFrame:
 
     Two parts leave aliases empty, one part leaves both empty. Blank vendors are dropped.
     """
-    p = F.split(F.col(column), ";", -1)
+    p = F.split(col(column), ";", -1)
     n = F.size(p)
     families = F.when(n > 2, F.array_join(F.slice(p, F.lit(2), F.greatest(n - 2, F.lit(0))), ";")).when(n == 2, F.get(p, F.lit(1))).otherwise("")
     aliases = F.when(n > 2, F.element_at(p, -1)).otherwise("")
@@ -33,7 +34,7 @@ def base_name(vendor: Column) -> Column:
 
 
 def _united(column: str) -> Column:
-    parts = F.flatten(F.collect_set(F.split(F.col(column), r"\s*,\s*", -1)))
+    parts = F.flatten(F.collect_set(F.split(col(column), r"\s*,\s*", -1)))
     return F.array_join(F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != ""))), ", ")
 
 

@@ -11,6 +11,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabweave.functions.names import col
 from tabweave.functions.text import missing_to_null
 from tabweave.sources import sheets, split_csv
 from tabweave.storage import small_or_not
@@ -25,7 +26,7 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, sep: str = ",") -> DataFrame:
     """CSV files with headers; usual spellings of missing values are null, types are inferred after that. Files are split, see ``split_csv``."""
     raw = split_csv.read(spark, path, sep, encoding)
-    return infer_types(raw.select(*(missing_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns)))
+    return infer_types(raw.select(*(missing_to_null(col(c)).alias(c) for c in raw.columns)))
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -33,21 +34,21 @@ def infer_types(df: DataFrame) -> DataFrame:
     if not df.columns:
         return df
     kinds = {"bigint": lambda c: c.try_cast("bigint").isNotNull() & F.regexp_like(c, F.lit(r"^\s*[+-]?\d+\s*$")), "double": lambda c: c.try_cast("double").isNotNull() & ~F.regexp_like(c, F.lit("(?i)[df]$")), "boolean": lambda c: c.isin("True", "False", "true", "false", "TRUE", "FALSE")}
-    tests = [F.coalesce(F.bool_and(F.when(F.col(f"`{c}`").isNotNull(), t(F.col(f"`{c}`")))), F.lit(False)).alias(f"t{i}_{k}") for i, c in enumerate(df.columns) for k, t in kinds.items()]
+    tests = [F.coalesce(F.bool_and(F.when(col(c).isNotNull(), t(col(c)))), F.lit(False)).alias(f"t{i}_{k}") for i, c in enumerate(df.columns) for k, t in kinds.items()]
     got = df.agg(*tests).first()
     pick = lambda i: next((k for k in kinds if got[f"t{i}_{k}"]), "string")
-    return df.select(*(F.col(f"`{c}`").try_cast(pick(i)).alias(c) for i, c in enumerate(df.columns)))
+    return df.select(*(col(c).try_cast(pick(i)).alias(c) for i, c in enumerate(df.columns)))
 
 
 def read_lines(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
     """Non-blank trimmed lines, in a column named after the file."""
-    return spark.read.text(path).select(F.trim("value").alias(name or PurePosixPath(path).stem)).filter(F.length(F.col(f"`{name or PurePosixPath(path).stem}`")) > 0)
+    return spark.read.text(path).select(F.trim("value").alias(name or PurePosixPath(path).stem)).filter(F.length(col(name or PurePosixPath(path).stem)) > 0)
 
 
 def read_semicolon(spark: SparkSession, path: str) -> DataFrame:
     """Quoted ``;`` rows, all text; rows without any value are dropped."""
     raw = split_csv.read(spark, path, ";")
-    return raw.filter(F.concat_ws("", *(F.col(f"`{c}`") for c in raw.columns)) != "")
+    return raw.filter(F.concat_ws("", *(col(c) for c in raw.columns)) != "")
 
 
 def read_vendor_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -77,7 +78,7 @@ def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> Data
         if isinstance(e, ValueError) and "scheme" not in str(e).lower():
             raise
         raw = _fetched(spark, path, sheet)
-    return infer_types(raw.select(*(missing_to_null(F.col(f"`{c.replace('`', '``')}`")).alias(c) for c in raw.columns)))
+    return infer_types(raw.select(*(missing_to_null(col(c)).alias(c) for c in raw.columns)))
 
 
 def _fetched(spark: SparkSession, path: str, sheet: str | None) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabweave.functions.names import col
 from tabweave.operators.pairs import ROW_ID
 
 #: Encodings offered for export.
@@ -25,7 +26,7 @@ def write_csv(df: DataFrame, folder: str, encoding: str = "utf-8", with_id: bool
     if name != "UTF-8":
         "".join(out.columns).encode(encoding)
         other = "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in bytes(range(256)).decode(encoding, "ignore")) + "]"
-        bad = [F.coalesce(F.regexp_like(F.col(f"`{c}`"), F.lit(other)), F.lit(False)) for c, k in out.dtypes if k == "string"]
+        bad = [F.coalesce(F.regexp_like(col(c), F.lit(other)), F.lit(False)) for c, k in out.dtypes if k == "string"]
         if bad and not out.filter(reduce(Column.__or__, bad)).isEmpty():
             raise UnicodeError(f"some texts can't be encoded as {encoding}")
     out = out.coalesce(1) if single else out

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tabweave.functions.names import col
 from tabweave.operators.clean import strip_texts
 
 
@@ -17,7 +18,7 @@ def cleaned_stream(spark: SparkSession, folder: str, schema: StructType | str, f
 
 def missing_per_window(stream: DataFrame, time: str, columns: list[str], window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Rows and missing values per window of event time; later rows than ``late`` are left out."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, window)).agg(F.count("*").alias("rows"), *(F.count_if(F.col(c).isNull()).alias(f"na_{c}") for c in columns))
+    return stream.withWatermark(time, late).groupBy(F.window(time, window)).agg(F.count("*").alias("rows"), *(F.count_if(col(c).isNull()).alias(f"na_{c}") for c in columns))
 
 
 def write_stream(stream: DataFrame, folder: str, checkpoint: str, once: bool = True):
