@@ -81,13 +81,22 @@ def percent(x: float) -> str:
 
 
 def shown(c: Column, digits: int = 4) -> Column:
-    """Fixed digits, without separators."""
-    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c.cast("double")))
+    """Fixed digits, without separators. What lies half-way between two numbers goes to the even digit, as the double's exact value says."""
+    c = c.cast("double")
+    size, scale = F.abs(c), 2.0 * 10**digits
+    half = F.rint(size * scale)  # odd where the value is nearest to a half-way point; its exact distance from that decides
+    split = size * (2.0**27 + 1)
+    high = split - (split - size)
+    error = (high * scale - half) + (size - high) * scale
+    down = F.floor(half / 2)
+    units = F.when(error == 0, down + down % 2).otherwise(down + (error > 0).cast("long"))
+    out = F.when(half % 2 == 1, F.signum(c) * units / 10**digits).otherwise(c)
+    return F.when(F.isnan(c) | (size == float("inf")), number_text(c)).when(c.isNotNull(), F.format_string(f"%.{digits}f", out))
 
 
 def shown_percent(c: Column) -> Column:
     """A share as a percentage with two digits."""
-    return F.when(c.isNotNull(), F.concat(F.format_string("%.2f", c.cast("double") * 100), F.lit("%")))
+    return F.concat(shown(c.cast("double") * 100, 2), F.lit("%"))
 
 
 def shown_thousands(c: Column) -> Column:

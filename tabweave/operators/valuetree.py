@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.functions.names import col
+from tabweave.functions.text import shown_percent
 from tabweave.operators.pairs import ROW_ID
 from tabweave.storage import materialised, small_or_not
 
@@ -102,8 +103,8 @@ def in_order(nodes: DataFrame) -> DataFrame:
 
 def lines(nodes: DataFrame) -> DataFrame:
     """key and line: the text of ``to_text``, a row a node, in depth-first order of the key."""
-    shown = F.concat(F.repeat(F.lit("  "), F.col("depth")), "column", F.lit(" = "), "value", F.lit(" ("), F.format_string("%.2f", F.col("probability") * 100), F.lit("%, "), F.col("count").cast("string"), F.lit(")"))
-    return in_order(nodes).select("key", shown.alias("line")).orderBy("key")
+    text = F.concat(F.repeat(F.lit("  "), F.col("depth")), "column", F.lit(" = "), "value", F.lit(" ("), shown_percent(F.col("probability")), F.lit(", "), F.col("count").cast("string"), F.lit(")"))
+    return in_order(nodes).select("key", text.alias("line")).orderBy("key")
 
 
 def write_text(nodes: DataFrame, folder: str) -> None:

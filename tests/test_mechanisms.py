@@ -211,3 +211,11 @@ def test_second_counts_of_a_hot_child(spark):
     seen = [p for _, c, p in rows if c == "hot"]
     counts = sorted((seen.count(p) for p in set(seen)), reverse=True)
     assert (r.top, r.second, r.correct_value, r.num_changes) == (counts[0], counts[1], "p5", len(seen) - counts[0])
+
+
+def test_fixed_digits_round_as_the_exact_value_says(spark):
+    rng = random.Random(5)
+    values = [0.15625, 0.125, 2.675, 1.005, 0.00005, 0.00015, -0.00005, 0.0, 12345.67895, 1e9 / 7, 0.5, 1.5, float("nan"), float("inf"), *(rng.randrange(2000) / 1600 for _ in range(200)), *(rng.uniform(-1e4, 1e4) for _ in range(200))]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").select(text.shown(F.col("v")).alias("a"), text.shown_percent(F.col("v")).alias("b"))
+    got = [tuple(r) for r in df.collect()]
+    assert got == [*((f"{v:.4f}", f"{v:.2%}") for v in values), (None, None)]
