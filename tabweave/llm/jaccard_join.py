@@ -151,8 +151,35 @@ def common_tokens(docs: DataFrame, classes: DataFrame, words: int) -> np.ndarray
 
     chosen = F.pmod(F.xxhash64("id"), F.lit(ONE_IN)) == 0
     sample = docs.filter(chosen).join(small_or_not(classes.select(F.col("rep").alias("id")).filter(chosen)), "id", "left_semi").select("_tw_text")
-    counts = sample.mapInArrow(freed(run), "token long").groupBy("token").count().filter(F.col("count") >= SEEN)
-    return np.sort(counts.orderBy(F.desc("count"), "token").limit(MOST_COMMON).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+    counts = durable(sample.mapInArrow(freed(run), "token long").groupBy("token").count().filter(F.col("count") >= SEEN))
+    return most_frequent(counts, MOST_COMMON)
+
+
+def most_frequent(counts: DataFrame, most: int) -> np.ndarray:
+    """Sorted tokens of the highest counts (rows: token, count), about ``most`` at most; of the lowest of these counts a share, by hash.
+
+    The count where they end follows from the numbers of tokens by count, so that no order of all tokens is needed: sorting with a limit would
+    send each task's first ``most`` rows to the driver. Tasks pack their tokens as bytes.
+    """
+
+    def pack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kept = [b.column(0).to_numpy() for b in batches]
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(kept).tobytes()], pa.binary())], names=["tokens"])
+
+    # counts have few different values up to a bound, and few tokens exceed it
+    level = F.least(F.col("count"), F.lit(1 << 16))
+    least, share, total = 0, 1.0, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("tokens")).collect(), reverse=True):
+        if total + r.tokens > most:
+            least, share = r.level, (most - total) / r.tokens
+            break
+        total += r.tokens
+    drawn = F.pmod(F.xxhash64("token"), F.lit(1 << 30)) < int(share * (1 << 30))
+    taken = counts.filter((level > least) | ((level == least) & drawn)).select("token")
+    return np.sort(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.tokens, np.int64) for r in taken.mapInArrow(freed(pack), "tokens binary").collect())]).view(np.uint64))
 
 
 def _candidates(docs: DataFrame, classes: DataFrame, words: int, plan: Plan) -> DataFrame:

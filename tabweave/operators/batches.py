@@ -26,8 +26,8 @@ from tabweave.operators.pairs import ROW_ID, require
 from tabweave.storage import materialised, numbered
 
 LEAST_ROWS, MOST_ROWS, MOST_VALUES, FEW_ROWS = 35, 50, 100, 10
-#: Prompts whose replies are saved together.
-PER_COMMIT = 64
+#: Prompts whose replies are saved together, and how often replies are saved at most: a large job saves equal shares of its prompts.
+PER_COMMIT, COMMITS = 64, 50
 PROMPT = "Answer with one JSON object for these rows.\n[rows]"
 
 
@@ -252,7 +252,8 @@ def label_rows(df: DataFrame, columns: Sequence[str], field: str, template: str,
 def _answered(asked: DataFrame, folder: str, factory: Callable, on_error: str = "skip", per_commit: int = PER_COMMIT) -> DataFrame:
     """All replies in ``folder`` that aren't errors, after asking for the batches that it lacks.
 
-    Prompts are written in files of about ``per_commit`` and read as a stream, a file a micro-batch, whose calls are spread over all
+    Prompts are written in files and read as a stream, whose micro-batches have about ``per_commit`` prompts, or more where there would be
+    more than ``COMMITS`` of them otherwise (each costs about a second whatever its size); calls are spread over all
     tasks. Each micro-batch's replies are saved before the next one begins, under its own number, so that a repeated one replaces itself.
     With ``raise`` a failed call ends the run once its micro-batch is saved; the next run asks for what is lacking.
     """
@@ -264,11 +265,13 @@ def _answered(asked: DataFrame, folder: str, factory: Callable, on_error: str =
     if store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store):
         asked = asked.join(found().select("batch_id"), "batch_id", "left_anti")
     asked = materialised(asked.select("batch_id", "prompt"))
-    files = -(-asked.count() // per_commit)
-    if files:
-        asked.repartition(files).write.parquet(f"{folder}/asked/{run}")
-        stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/asked/{run}")
-        spread = stream.repartition(spark.sparkContext.defaultParallelism)
+    n, tasks = asked.count(), spark.sparkContext.defaultParallelism
+    if n:
+        commits = min(COMMITS, -(-n // per_commit))
+        at_once = min(tasks, -(-n // (commits * per_commit)))  # files of a micro-batch
+        asked.repartition(commits * at_once).write.parquet(f"{folder}/asked/{run}")
+        stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", at_once).parquet(f"{folder}/asked/{run}")
+        spread = stream.repartition(tasks)
 
         def save(answers: DataFrame, number: int) -> None:
             at = f"{replies}/run={run}/commit={number}"

@@ -47,6 +47,17 @@ def test_a_failed_call_keeps_earlier_replies_and_is_resumed(spark, tmp_path):
     assert batches.extract_resumable(df.limit(0), "g", ["t", "g"], str(tmp_path / "e")).count() == 0
 
 
+def test_large_jobs_save_replies_in_a_bounded_number_of_commits(spark, tmp_path):
+    n, folder = 3 * batches.COMMITS, str(tmp_path / "many")
+    rows = [(10 * b + i, f"thing {b} {i}") for b in range(n) for i in range(10)]
+    df = spark.createDataFrame(rows, "initial_id long, t string").repartition(3)
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("initial_id", "t"))), lambda x: x.t), "\n")
+    asked = df.groupBy(F.floor(F.col("initial_id") / 10).alias("batch_id")).agg(F.concat(F.lit("Map\n"), line).alias("prompt"))
+    out = batches._answered(asked, folder, batches.offline_client, per_commit=1)
+    assert sorted(r.batch_id for r in out.collect()) == list(range(n))
+    assert 1 < spark.read.parquet(f"{folder}/replies").select("commit").distinct().count() <= batches.COMMITS
+
+
 def test_web_results_with_retries_and_errors(spark):
     class Flaky(batches.OfflineSearch):
         calls = 0
