@@ -2,6 +2,8 @@
 
 Edges have the columns src and dst. Every round joins only what the last one found with the edges and drops what is known
 (semi-naive evaluation); rounds are written, so that plans stay short. Their number is the longest shortest path's length.
+Joins are by sort and merge: a written table keeps the size that was guessed for its input, by which edges of any number
+would be sent through the driver in every round.
 """
 
 from __future__ import annotations
@@ -9,7 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.storage import materialised, small_or_not
+from tabweave.storage import materialised
+
+
+def _merged(df: DataFrame) -> DataFrame:
+    """``df`` for a join that shuffles both sides."""
+    return df.hint("merge")
 
 
 def closure(edges: DataFrame, starts: DataFrame | None = None, most: int | None = None) -> DataFrame:
@@ -19,13 +26,13 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, most: int | None
     """
     e = materialised(edges.select("src", "dst").distinct())
     after = e.select(F.col("src").alias("dst"), F.col("dst").alias("_next"))
-    first = e if starts is None else e.join(small_or_not(starts.select("src").distinct()), "src", "left_semi")
+    first = e if starts is None else e.join(_merged(starts.select("src").distinct()), "src", "left_semi")
     frontier = materialised(first.withColumn("steps", F.lit(1)))
     known, rounds = frontier, 1
     while not frontier.isEmpty() and (most is None or rounds < most):
         rounds += 1
-        found = frontier.join(after, "dst").select("src", F.col("_next").alias("dst")).distinct()
-        frontier = materialised(found.join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("steps", F.lit(rounds)))
+        found = frontier.join(_merged(after), "dst").select("src", F.col("_next").alias("dst")).distinct()
+        frontier = materialised(found.join(_merged(known.select("src", "dst")), ["src", "dst"], "left_anti").withColumn("steps", F.lit(rounds)))
         known = known.unionByName(frontier)
         if rounds % 8 == 0:
             known = materialised(known)
@@ -37,7 +44,7 @@ def is_acyclic(edges: DataFrame) -> bool:
     left = materialised(edges.select("src", "dst").distinct())
     n = left.count()
     while n:
-        left = materialised(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+        left = materialised(left.join(_merged(left.select(F.col("dst").alias("src")).distinct()), "src", "left_semi"))
         n, before = left.count(), n
         if n == before:
             return False
@@ -51,17 +58,17 @@ def reduced(edges: DataFrame) -> DataFrame:
     """
     e = materialised(edges.select("src", "dst").distinct())
     back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    both = e.join(back, ["src", "dst"]).filter("src < dst")
-    one = materialised(e.join(back, ["src", "dst"], "left_anti"))
+    both = e.join(_merged(back), ["src", "dst"]).filter("src < dst")
+    one = materialised(e.join(_merged(back), ["src", "dst"], "left_anti"))
     if not is_acyclic(one):
         return one.unionByName(both)
     # a long way round begins at a node with several successors and ends at one with several predecessors
     forks = one.groupBy("src").count().filter("count > 1").select("src")
     joins = one.groupBy("dst").count().filter("count > 1").select("dst")
-    asked = materialised(one.join(forks, "src", "left_semi").join(joins, "dst", "left_semi"))
-    reach = closure(one, asked.select("src").distinct().join(one, "src").select(F.col("dst").alias("src")))
-    detour = asked.join(one.select("src", F.col("dst").alias("_via")), "src").filter("_via <> dst").join(reach.select(F.col("src").alias("_via"), "dst"), ["_via", "dst"]).select("src", "dst").distinct()
-    return one.join(detour, ["src", "dst"], "left_anti").unionByName(both)
+    asked = materialised(one.join(_merged(forks), "src", "left_semi").join(_merged(joins), "dst", "left_semi"))
+    reach = closure(one, asked.select("src").distinct().join(_merged(one), "src").select(F.col("dst").alias("src")))
+    detour = asked.join(_merged(one.select("src", F.col("dst").alias("_via"))), "src").filter("_via <> dst").join(_merged(reach.select(F.col("src").alias("_via"), "dst")), ["_via", "dst"]).select("src", "dst").distinct()
+    return one.join(_merged(detour), ["src", "dst"], "left_anti").unionByName(both)
 
 
 def paths(edges: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -72,15 +79,15 @@ def paths(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     frontier = open_.select("src", F.col("src").alias("_at"), F.array("src").alias("path")).distinct()
     seen, out = materialised(frontier.select("src", "_at")), None
     while not open_.isEmpty():
-        step = frontier.join(after, "_at").groupBy("src", F.col("_next").alias("_at")).agg(F.min(F.concat("path", F.array("_next"))).alias("path"))
+        step = frontier.join(_merged(after), "_at").groupBy("src", F.col("_next").alias("_at")).agg(F.min(F.concat("path", F.array("_next"))).alias("path"))
         # a node that was reached before is passed on by its shorter path; the start may be reached again, by a cycle
-        frontier = materialised(step.join(seen.filter("src <> _at"), ["src", "_at"], "left_anti"))
+        frontier = materialised(step.join(_merged(seen.filter("src <> _at")), ["src", "_at"], "left_anti"))
         if frontier.isEmpty():
             break
-        hit = materialised(open_.join(frontier.withColumnRenamed("_at", "dst"), ["src", "dst"]))
+        hit = materialised(open_.join(_merged(frontier.withColumnRenamed("_at", "dst")), ["src", "dst"]))
         out = hit if out is None else out.unionByName(hit)
-        open_ = materialised(open_.join(hit, ["src", "dst"], "left_anti"))
-        frontier = frontier.filter("src <> _at").join(small_or_not(open_.select("src").distinct()), "src", "left_semi")
+        open_ = materialised(open_.join(_merged(hit), ["src", "dst"], "left_anti"))
+        frontier = frontier.filter("src <> _at").join(_merged(open_.select("src").distinct()), "src", "left_semi")
         seen = materialised(seen.unionByName(frontier.select("src", "_at")))
     return out if out is not None else open_.limit(0).withColumn("path", F.array("src"))
 
@@ -89,7 +96,7 @@ def removed(edges: DataFrame) -> DataFrame:
     """src, dst and path: the edges that the reduction drops, and what stands for each: its way round, or the edge itself the other way for one of a mutual pair."""
     e = edges.select("src", "dst").distinct()
     kept = materialised(reduced(e))
-    gone = materialised(e.join(kept, ["src", "dst"], "left_anti"))
-    back = gone.join(kept.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    ways = paths(kept, gone.join(back, ["src", "dst"], "left_anti"))
+    gone = materialised(e.join(_merged(kept), ["src", "dst"], "left_anti"))
+    back = gone.join(_merged(kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), ["src", "dst"])
+    ways = paths(kept, gone.join(_merged(back), ["src", "dst"], "left_anti"))
     return ways.unionByName(back.withColumn("path", F.array("dst", "src")))

@@ -66,3 +66,17 @@ def test_reduction_agrees_with_the_graph_of_columns(spark):
 def test_graphs_without_edges(spark):
     none = frame(spark, [("a", "b")]).limit(0)
     assert graphs.closure(none).count() == graphs.reduced(none).count() == graphs.removed(none).count() == 0 and graphs.is_acyclic(none)
+
+
+def test_no_join_of_rounds_is_a_broadcast(spark, monkeypatch):
+    plans, written = [], graphs.materialised
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(graphs, "materialised", noted)
+    df = frame(spark, DAG)
+    for out in (graphs.closure(df), graphs.removed(df)):
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
