@@ -101,3 +101,25 @@ def test_components_of_a_long_path(spark, monkeypatch, limit):
     path = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in connected_components(path).collect()}
     assert got == {i: 0 for i in range(41)} | {99: 99, 100: 99}
+
+
+def test_most_frequent_tokens_without_sorting_at_the_driver(spark):
+    rng = random.Random(5)
+    rows = [(t - 3000, c) for t, c in enumerate(rng.choice([2] * 50 + [3] * 9 + [4, 70, 1 << 20]) for _ in range(6000))]
+    df = spark.createDataFrame(rows, "token long, count long").repartition(3)
+    for most in (0, 10, 500, 2500, 6000, 9000):
+        got = J.most_frequent(df, most).view(np.int64)
+        assert sorted(got.view(np.uint64).tolist()) == got.view(np.uint64).tolist()
+        by = dict(rows)
+        least = min((by[t] for t in got.tolist()), default=1 << 30)
+        above = {t for t, c in rows if c > least}
+        assert above <= set(got.tolist())  # all of higher counts, and about as many as fit of the lowest
+        assert len(got) == min(most, 6000) or abs(len(got) - most) < 0.1 * most + 30
+    assert len(J.most_frequent(df.limit(0), 10)) == 0
+    plans = []
+    kept, J.durable = J.durable, lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or kept(d)
+    try:
+        J.components(spark.createDataFrame(list(enumerate(texts(3))), "doc_id long, text string")).count()
+    finally:
+        J.durable = kept
+    assert plans and not any("TakeOrdered" in p for p in plans)
