@@ -147,6 +147,24 @@ def test_attention_learns_from_all_training_texts(spark, monkeypatch):
     assert learned == [sum(not r.held_out for r in got.values())]
 
 
+def test_attention_learns_from_every_id_of_all_training_texts(spark, monkeypatch):
+    monkeypatch.setattr(L, "REPLICA", 4)
+    made, windows, s = [], L.training_windows, L.subwords(PATH)
+    monkeypatch.setattr(L, "training_windows", lambda *a: made.append(windows(*a)) or made[-1])
+    rows = [(i, t, "x") for i, t in enumerate([*TEXTS, "one " * 16, "some longer words " * 300])]
+    got = run(spark, rows)
+    seen, blank = Counter(), np.iinfo(s.dtype).max
+    for r in made[0].collect():
+        for x in np.frombuffer(r.windows, s.dtype).reshape(-1, L.WINDOW + 1).tolist():
+            seen.update((a, b) for a, b in zip(x, x[1:]) if b != blank)
+    pairs = Counter()
+    for i, t, _ in rows:
+        if not got[i].held_out:
+            ids = [s.size, *(x for w in words(t) for x in s.encoding.encode_ordinary(" " + w)), s.size]
+            pairs.update(zip(ids, ids[1:]))
+    assert not pairs - seen and not seen.keys() - pairs.keys()
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the sample tables")
 def test_held_out_documents_score_above_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
