@@ -113,6 +113,24 @@ def test_training_windows_hold_whole_beginnings_and_ends():
     assert len(got) == 3 + 500 // L.BLOCK + 1 and (got[3:, 0] == s.size).sum() == 1 and s.size in got[-1]
 
 
+def test_every_id_is_the_next_one_of_one_training_window():
+    s, texts = L.subwords(PATH), [*TEXTS, "one " * 16, "some longer words " * 300]
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return [x for b in run(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])])) for x in b.column(0).to_pylist()]
+
+    got = np.concatenate([np.frombuffer(x, s.dtype).reshape(-1, L.WINDOW + 1) for x in L.training_windows(Rows(), PATH)])
+    blank, seen, pairs, rows = np.iinfo(s.dtype).max, Counter(), Counter(), 0
+    for x in got.tolist():
+        seen.update((a, b) for a, b in zip(x, x[1:]) if b != blank)
+    for t in texts:
+        ids = [s.size, *(x for w in words(t) for x in s.encoding.encode_ordinary(" " + w)), s.size]
+        pairs.update(zip(ids, ids[1:]))
+        rows += -(-(len(ids) - 1) // L.WINDOW)
+    assert seen == pairs and len(got) == rows
+
+
 def test_training_helps_on_held_out_texts(spark, monkeypatch):
     monkeypatch.setattr(L, "REPLICA", 6000)
     rng = np.random.default_rng(3)
