@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabweave.llm.common import durable, freed
+from tabweave.storage import unused, written
 
 #: Edges that one task contracts at a time; a graph of at most so many is done then.
 TASK_EDGES = 1_000_000
@@ -75,12 +76,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     if n <= TASK_EDGES:
         return durable(contracted(pairs.coalesce(1)).select(F.col("a").alias("node"), F.col("b").alias("component")))
     both = durable(pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a")).distinct())
-    labels = durable(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")))
+    # labels are read again from files, whose size is known: a checkpoint keeps the size that was guessed for its plan, the product of its joins'
+    # inputs, so that the guess's digits would double every round, up to numbers of many MB at the driver
+    labels = written(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("m"))
-        seen = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
+        near = both.join(labels.select(F.col("node").alias("other"), "component").hint("merge"), "other").groupBy("node").agg(F.min("component").alias("m"))
+        seen = labels.join(near.hint("merge"), "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = durable(seen.join(up, "component").select("node", "old", F.least("component", "up").alias("component")))
+        new = written(seen.join(up.hint("merge"), "component").select("node", "old", F.least("component", "up").alias("component")))
+        unused(edges.sparkSession, labels)
         if new.filter("component <> old").limit(1).count() == 0:
             return new.select("node", "component")
         labels = new.select("node", "component")

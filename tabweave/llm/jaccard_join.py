@@ -364,10 +364,10 @@ def components(df: DataFrame, words: int = 5, num: int = 80, den: int = 100, key
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_tw_text"))
     slim = durable(_sets(docs, words))
     classes = durable(slim.filter("n > 0 AND id IS NOT NULL").groupBy("n", "node", "check").agg(F.min("id").alias("rep")))
-    members = connected_components(_candidates(docs.filter("id IS NOT NULL"), classes, words, plan)).join(classes, "node").select(F.col("rep").alias("id"), "node", "n", "component")
-    near = connected_components(_links(durable(members), docs, words, plan, exact=False)).join(classes, "node").select(F.col("rep").alias("id"), "node", "n", "component")
+    members = connected_components(_candidates(docs.filter("id IS NOT NULL"), classes, words, plan)).join(classes.hint("merge"), "node").select(F.col("rep").alias("id"), "node", "n", "component")
+    near = connected_components(_links(durable(members), docs, words, plan, exact=False)).join(classes.hint("merge"), "node").select(F.col("rep").alias("id"), "node", "n", "component")
     linked = connected_components(_links(durable(near), docs, words, plan, exact=True)).withColumnRenamed("component", "root")
-    named = linked.join(classes, "node").select("node", "root", "rep")
+    named = linked.join(classes.hint("merge"), "node").select("node", "root", "rep")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component"))
     labels = durable(named.join(smallest, "root").select("rep", "component"))
     labelled = classes.join(labels, "rep", "left").select("n", "node", "check", F.coalesce("component", "rep").alias("component"))

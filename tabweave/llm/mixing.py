@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.llm.common import BROADCAST_ROWS, WORD, durable, small_or_not
-from tabweave.storage import running
+from tabweave.storage import running, unused, written
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Targets are the observed token shares to this power, normalised, where none are given.
@@ -74,11 +74,14 @@ def rake_by_joins(cells: DataFrame, targets: dict[str, dict[str, float]] | None
         sums = durable(sums.withColumn("_tw_raw", raw))
         known = sums.agg(F.sum(F.when(F.col("_tw_own") > 0, F.col("_tw_raw")))).first()[0]
         wanted[d] = sums.select(d, F.try_divide(total * F.col("_tw_raw"), F.lit(known).cast("double")).alias("_tw_goal"))
-    out = cells.withColumn("weight", F.col("tokens").cast("double"))
+    out = first = cells.withColumn("weight", F.col("tokens").cast("double"))
     for _ in range(sweeps):
         for d in DIMENSIONS:
             factor = out.groupBy(d).agg(F.sum("weight").alias("_tw_sum")).join(wanted[d], d).select(d, F.try_divide("_tw_goal", "_tw_sum").alias("_tw_factor"))
-            out = durable(out.join(factor, d).withColumn("weight", F.coalesce(F.col("weight") * F.col("_tw_factor"), F.lit(0.0))).drop("_tw_factor"))
+            # a file's size is known; of checkpoints the guessed size's digits would double every step
+            before, out = out, written(out.join(factor, d).withColumn("weight", F.coalesce(F.col("weight") * F.col("_tw_factor"), F.lit(0.0))).drop("_tw_factor"))
+            if before is not first:
+                unused(cells.sparkSession, before)
     return out.select(*DIMENSIONS, "tokens", "weight")
 
 

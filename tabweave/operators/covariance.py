@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType
 from tabweave.functions.names import col, named, quoted
 from tabweave.operators.impute import is_numeric
 from tabweave.operators.pairs import ROW_ID, categorical, pair_counts
-from tabweave.storage import materialised, small_or_not
+from tabweave.storage import materialised, small_or_not, unused, written
 
 MISSING = "_MISSING_"
 #: Categories up to which their table is a matrix on the driver, and rounds of iteration beyond.
@@ -109,7 +109,9 @@ def _by_iteration(singles: DataFrame, counts: DataFrame, columns: int, k: int, r
     for k_ in range(rounds + 1):
         x = materialised(turned(x, np.linalg.inv(np.linalg.cholesky(products(x, "x", "x"))).T, "x"))
         y = table.join(x.select(F.col("a").alias("b"), *(f"x{i}" for i in range(size))), "b").groupBy("a").agg(*(F.sum(F.col("w") * F.col(f"x{i}")).alias(f"y{i}") for i in range(size)))
-        xy = materialised(x.join(y, "a"))
+        if k_:
+            unused(x.sparkSession, xy)
+        xy = written(x.join(y, "a"))  # a file's size is known; of checkpoints the guessed size's digits would double every round
         h = products(xy, "x", "y")
         now = np.linalg.eigvalsh((h + h.T) / 2)
         if k_ == rounds or (before is not None and np.abs(now - before).max() <= TOLERANCE * np.abs(now).max()):

@@ -103,6 +103,18 @@ def test_components_of_a_long_path(spark, monkeypatch, limit):
     assert got == {i: 0 for i in range(41)} | {99: 99, 100: 99}
 
 
+def test_size_estimates_stay_small_over_rounds(spark, monkeypatch):
+    monkeypatch.setattr(C, "TASK_EDGES", 3)
+    rng = random.Random(4)
+    names = rng.sample(range(1000), 400)
+    path = [(a, b, rng.randrange(40)) for a, b in zip(names, names[1:], strict=False)]
+    edges = spark.createDataFrame(path, "a long, b long, t int").repartition(8, "t").select("a", "b")
+    out = connected_components(edges)
+    assert {r.component for r in out.collect()} == {min(names)} and out.count() == 400
+    bits = out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+    assert bits < 50
+
+
 def test_most_frequent_tokens_without_sorting_at_the_driver(spark):
     rng = random.Random(5)
     rows = [(t - 3000, c) for t, c in enumerate(rng.choice([2] * 50 + [3] * 9 + [4, 70, 1 << 20]) for _ in range(6000))]
