@@ -1,7 +1,9 @@
 """Reachability, reduction and paths in graphs of any size, as joins; graphs of a table's columns are in ``relations``.
 
-Edges have the columns src and dst. Every round joins only what the last one found with the edges and drops what is known
-(semi-naive evaluation); rounds are written, so that plans stay short. Their number is the longest shortest path's length.
+Edges have the columns src and dst. All nodes' reach in a graph without cycles comes level by level: a node's, from that of its
+successors, which are settled before it, so that each pair is made once an edge, written once and never compared with what is known. Elsewhere every
+round joins only what the last one found with the edges and drops what is known (semi-naive evaluation); rounds are written, so that
+plans stay short. Their number is the longest shortest path's length.
 Joins are by sort and merge: a written table keeps the size that was guessed for its input, by which edges of any number
 would be sent through the driver in every round.
 """
@@ -11,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.storage import materialised
+from tabweave.storage import materialised, written
+
+#: Levels of a graph up to which it is settled level by level; in deeper ones shortest paths may take fewer rounds.
+LEVELS = 64
 
 
 def _merged(df: DataFrame) -> DataFrame:
@@ -19,12 +24,61 @@ def _merged(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def _levels(e: DataFrame) -> list[DataFrame] | None:
+    """The written edges ``e`` by the longest way from a node without predecessors to their source; none if there is a cycle or more than ``LEVELS``."""
+    left, out, n = e, [], e.count()
+    while n:
+        ends = left.select(F.col("dst").alias("src")).distinct()
+        inner = written(left.join(_merged(ends), "src", "left_semi"))
+        out.append(left.join(_merged(ends), "src", "left_anti"))
+        left, n, before = inner, inner.count(), n
+        if n == before or (n and len(out) == LEVELS):
+            return None
+    return out
+
+
+def _by_levels(levels: list[DataFrame]) -> DataFrame:
+    """``closure`` of all nodes, from the last level, whose edges end outside of all, to the first."""
+    known = None
+    for k, e in enumerate(reversed(levels)):
+        found = e.withColumn("steps", F.lit(1))
+        if known is not None:
+            via = e.withColumnRenamed("dst", "_via").join(_merged(known.withColumnRenamed("src", "_via")), "_via")
+            found = found.unionByName(via.select("src", "dst", (F.col("steps") + 1).alias("steps"))).groupBy("src", "dst").agg(F.min("steps").alias("steps"))
+        if k < len(levels) - 1:  # of the first level, often half of all, nothing more is made
+            found = written(found)
+        known = found if known is None else known.unionByName(found)
+    return known
+
+
+def _sources(e: DataFrame, starts: DataFrame) -> DataFrame:
+    """src: ``starts`` and every node they reach that has edges."""
+    e = e.select("src", "dst")
+    known = frontier = written(starts.select("src").distinct())
+    while not frontier.isEmpty():
+        found = e.join(_merged(frontier), "src", "left_semi").select(F.col("dst").alias("src")).distinct().join(_merged(e.select("src")), "src", "left_semi")
+        frontier = written(found.join(_merged(known), "src", "left_anti"))
+        known = known.unionByName(frontier)
+    return known
+
+
 def closure(edges: DataFrame, starts: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """src, dst, steps: every node that each node (or each of ``starts``, a column src) reaches, and the least number of edges to it.
 
     A node reaches itself by a cycle only. ``most`` ends the search after so many steps.
     """
-    e = materialised(edges.select("src", "dst").distinct())
+    e = written(edges.select("src", "dst").distinct())
+    if most is None:
+        inside = e
+        if starts is not None:
+            begun = written(starts.select("src").distinct())
+            sources = _sources(e, begun)
+            # of many more nodes than were asked for, all nodes' reach would be far larger
+            inside = written(e.join(_merged(sources), "src", "left_semi")) if sources.count() <= 2 * begun.count() else None
+        levels = None if inside is None else _levels(inside)
+        if levels is not None:
+            reach = _by_levels(levels) if levels else e.withColumn("steps", F.lit(1)).limit(0)
+            return reach if starts is None else reach.join(_merged(begun), "src", "left_semi")
     after = e.select(F.col("src").alias("dst"), F.col("dst").alias("_next"))
     first = e if starts is None else e.join(_merged(starts.select("src").distinct()), "src", "left_semi")
     frontier = materialised(first.withColumn("steps", F.lit(1)))

@@ -80,3 +80,15 @@ def test_no_join_of_rounds_is_a_broadcast(spark, monkeypatch):
     for out in (graphs.closure(df), graphs.removed(df)):
         plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_pairs_without_cycles_are_made_level_by_level(spark, monkeypatch):
+    want, df = distances(DAG), frame(spark, DAG)
+    with monkeypatch.context() as m:
+        m.setattr(graphs, "materialised", None)  # which rounds of semi-naive evaluation need
+        assert {(r.src, r.dst): r.steps for r in graphs.closure(df).collect()} == want
+        most = df.select("src").distinct().filter("src > 'n02'")
+        assert {(r.src, r.dst): r.steps for r in graphs.closure(df, most).collect()} == {k: v for k, v in want.items() if k[0] > "n02"}
+    monkeypatch.setattr(graphs, "LEVELS", 2)  # deeper graphs are settled by rounds
+    assert {(r.src, r.dst): r.steps for r in graphs.closure(df).collect()} == want
+    assert graphs._levels(df.distinct()) is None and graphs._levels(frame(spark, CYCLIC)) is None
